@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from talkweave.llm import license_scan, quality_rules
+from talkweave.llm import bpe, license_scan, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_simhash": simhash.op4_simhash,
 }
 
 ORACLE_SQL = {
