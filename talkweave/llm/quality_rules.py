@@ -146,7 +146,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """
     feats = stored(features(docs), "quality-features")
     chosen = cutoffs(feats, labels, alpha, delta)
-    wide = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    # Stored, so that the planner knows its size: a few strata are broadcast, and very many are joined by shuffle.
+    wide = stored(chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]), "quality-cutoffs")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
     judged = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(wide, "stratum", "left")
