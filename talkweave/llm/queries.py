@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from talkweave.llm import bpe, license_scan, quality_rules, simhash
+from talkweave.llm import bpe, license_scan, lm_scoring, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL = {
