@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkweave.llm import bpe, html_extract, license_scan, lm_scoring, quality_rules, simhash, toxicity
+from talkweave.llm import bpe, embedding_dedup, html_extract, license_scan, lm_scoring, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
