@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkweave.llm import bpe, embedding_dedup, html_extract, license_scan, lm_scoring, packing, quality_rules, simhash, toxicity
+from talkweave.llm import bpe, embedding_dedup, html_extract, license_scan, lm_scoring, packing, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_packing": packing.op7_packing,
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
