@@ -10,7 +10,7 @@ first). Landmarks are the words that tell toxic documents most, and common words
 string's kernels with them into coordinates. Each sentence of a toxic document that holds a telling word is a positive
 instance by its most telling string, with copies that have characters inserted; the highest strings of other sentences
 are the negatives. A linear machine (squared hinge) is fitted; the highest strings of the others become negatives and
-landmarks too, and it is fitted again, some rounds. A logistic curve turns document margins into probabilities, so labels that are wrong at random don't
+landmarks too, and it is fitted again, some rounds. A third of the sample is kept from it for the curve. A logistic curve turns document margins into probabilities, so labels that are wrong at random don't
 move the cut.
 
 Since the machine is linear in the map, a string's margin is a sum over its subsequences of one table of 28^3 weights,
@@ -37,7 +37,7 @@ from talkweave.llm.common import crc_mod, read
 LAMBDA = 0.7
 SPAN = 10
 LONGEST = 40
-SAMPLE = 3000
+SAMPLE = 1500
 LANDMARKS = 24
 #: A telling word stands in toxic documents at least this many times as often as in the rest, and in at least this part
 #: of as many as the most telling word does (a few wrongly labelled copies of one text share their words too).
@@ -123,10 +123,10 @@ def strings_of(raw: bytes) -> set[bytes]:
 
 
 class Machine:
-    """table: 28^3 weights; slope and shift: the logistic curve; empty: the margin where no string is."""
+    """table: 28^3 weights; slope, shift and floor: the curve; empty: the margin where no string is."""
 
     def __init__(self, table: np.ndarray, slope: float, shift: float, empty: float):
-        self.table, self.slope, self.shift, self.empty = table, slope, shift, empty
+        self.table, self.slope, self.shift, self.empty, self.floor = table, slope, shift, empty, 0.0
 
     def margins(self, strings: list[bytes]) -> np.ndarray:
         parts = [pieces(s) for s in strings]
@@ -134,7 +134,7 @@ class Machine:
         return np.maximum.reduceat(flat, np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))) if strings else flat
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+        return self.floor + (1 - self.floor) / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
 def inserted(word: bytes) -> list[bytes]:
@@ -143,13 +143,13 @@ def inserted(word: bytes) -> list[bytes]:
     return [bytes(sep).join(word[i : i + 1] for i in range(len(word))) for sep in (b".", b"-", b"*", b" ")] + [word[:mid] + x + word[mid:] for x in (b"*", b"-", b"'", b"x", word[mid : mid + 1])]
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's steps, with a light pull to zero."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift by Newton's steps on weighted rows, with a light pull to zero."""
     design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (p - y) + 0.01 * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        grad = design.T @ (weight * (p - y)) + 0.01 * w
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-8:
@@ -157,6 +157,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def noisy_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope, shift and floor of floor + (1 - floor) * logistic: the floor is the share of label 1 that doesn't depend on
+    the margin, as wrong labels don't; without it they pull the curve's foot down. Labels 1 above nearly all margins of
+    label 0 are taken for true, the others for wrong."""
+    true = ((y > 0) & (x > np.quantile(x[y == 0], 0.995) + 0.05 * np.ptp(x))).astype(float)
+    floor = float(np.clip((weight * (y > 0) * (1 - true)).sum() / (weight * (1 - true)).sum(), 0.0, 0.25))
+    return (*logistic(x, true, weight), floor) if true.any() else (*logistic(x, y, weight), 0.0)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 100.0) -> np.ndarray:
     """Weights and bias of the squared-hinge machine, by Newton's method on its support; classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -174,9 +183,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 100.0) -> np.ndarray:
     return w
 
 
-def fit(texts: list[tuple[bytes, int]]) -> Machine:
-    """texts: (UTF-8, label). Without both labels, or without telling words, the score is the share of label 1."""
-    sets = [(strings_of(t), y) for t, y in texts]
+def fit(texts: list[tuple[bytes, int]], totals: tuple[int, int] | None = None) -> Machine:
+    """texts: (UTF-8, label). totals: how many rows of labels 0 and 1 the sample stands for (else itself); the curve
+    weighs the sample's rows by them. Without both labels, or without telling words, the score is the share of label 1."""
+    one: dict[bytes, bytes] = {}  # one object for each distinct string
+    sets = [({one.setdefault(w, w) for w in strings_of(t)}, y) for t, y in texts]
     n_pos = sum(y for _, y in sets)
     n_neg = len(sets) - n_pos
     pos, neg = Counter(), Counter()
@@ -187,15 +198,18 @@ def fit(texts: list[tuple[bytes, int]]) -> Machine:
     told = sorted(told, key=lambda w: (-(share(w)[0] - share(w)[1]), w))
     told = [w for w in told if pos[w] >= LEAST_PART * pos[told[0]]][:LANDMARKS]
     flat = np.zeros(ALPHABET**3)
-    rate = (n_pos + 0.5) / (len(sets) + 1)
+    total_neg, total_pos = totals or (n_neg, n_pos)
+    rate = (total_pos + 0.5) / (total_pos + total_neg + 1)
     if not told or not n_pos or not n_neg:
         return Machine(flat, 0.0, float(np.log(rate / (1 - rate))), 0.0)
     common = sorted((w for w in neg if 3 <= len(w) <= LONGEST and w not in told), key=lambda w: (-neg[w], w))[:LANDMARKS]
     rank = {w: i for i, w in enumerate(told)}
-    sentences = [(strings_of(part), y) for t, y in texts for part in _SENTENCE.split(t)]
-    positive = sorted({min(own, key=rank.__getitem__) for s, y in sentences if y and (own := s & rank.keys())} | set(told))
+    sentences = (strings_of(part) for t, y in texts if y for part in _SENTENCE.split(t))
+    positive = sorted({min(own, key=rank.__getitem__) for s in sentences if (own := s & rank.keys())} | set(told))
     strings = [v for w in positive for v in [w, *inserted(w)] if len(v) <= LONGEST]
-    pool = sorted({w for s, y in sets if not y for w in s if 3 <= len(w) <= LONGEST})
+    # A third of the sample stays apart for the curve: the machine's own negatives lie closer together than others do.
+    apart = np.arange(len(sets)) % 3 == 2
+    pool = sorted({w for (s, y), aside in zip(sets, apart) if not y and not aside for w in s if 3 <= len(w) <= LONGEST})
     negative = [pool[i] for i in np.linspace(0, len(pool) - 1, min(len(pool), 6000)).astype(int)] if pool else []
     marks = sorted({*told, *common, *strings})
     for _ in range(ROUNDS):
@@ -213,24 +227,29 @@ def fit(texts: list[tuple[bytes, int]]) -> Machine:
         hard = sorted(pool, key=lambda p: (-margin[p], p))
         negative = sorted({*negative, *hard[:2000]})
         marks = sorted({*marks, *hard[:LANDMARKS]})
-    memo: dict[bytes, float] = {}
-    fresh = sorted({w for s, _ in sets for w in s})
-    memo.update(zip(fresh, machine.margins(fresh)))
-    top = np.array([max((memo[w] for w in s), default=0.0) for s, _ in sets])
-    machine.empty = float(top.min())
-    machine.slope, machine.shift = logistic(top, np.array([y for _, y in sets], float))
+    rest = [x for x, aside in zip(sets, apart) if aside]
+    fresh = sorted({w for s, _ in rest for w in s})
+    memo = dict(zip(fresh, machine.margins(fresh)))
+    top = np.array([max((memo[w] for w in s), default=0.0) for s, _ in rest])
+    y = np.array([y for _, y in rest], float)
+    machine.empty = float(top.min(initial=0.0))
+    if 0 < y.sum() < len(y):
+        weight = np.where(y > 0, total_pos / y.sum(), total_neg / (len(y) - y.sum()))
+        machine.slope, machine.shift, machine.floor = noisy_logistic(top, y, weight * len(y) / weight.sum())
+    else:
+        machine.slope, machine.shift = 0.0, float(np.log(rate / (1 - rate)))
     return machine
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most `limit` labelled texts of each label, those whose ids hash lowest."""
+def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[tuple[bytes, int]], tuple[int, int]]:
+    """At most `limit` labelled texts of each label, those whose ids hash lowest; and how many of each label there are."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
-    out = []
+    out, totals = [], {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # the sample's ids: at most `limit`
         rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id")
         out += sorted((r["doc_id"], bytes(r["text"]), label) for r in rows.collect())
-    return [(t, y) for _, t, y in out]
+    return [(t, y) for _, t, y in out], (totals.get(0, 0), totals.get(1, 0))
 
 
 _held: dict[str, tuple] = {}
@@ -271,7 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     null ids are kept and never labelled, an empty table gives no rows, other columns are ignored.
     """
     learn = labels.where(~(crc_mod("doc_id", 4) == 2))
-    return classify(docs, fit(sample(docs, learn, limit)))
+    return classify(docs, fit(*sample(docs, learn, limit)))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
