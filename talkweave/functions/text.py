@@ -155,7 +155,7 @@ def question_types(text: Column, forms: dict[str, str] | None = None) -> Column:
 
 def dates_in(text: Column) -> Column:
     """The full dates written as YYYY-MM-DD that exist, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)), lambda d: F.try_to_date(d, F.lit("yyyy-MM-dd"))), lambda d: d.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)), lambda d: F.try_to_date(d, "yyyy-MM-dd")), lambda d: d.isNotNull())
 
 
 def speaker_group(role: Column) -> Column:
