@@ -121,3 +121,33 @@ def parsed_choice(raw: Column, allowed: int) -> Column:
     """A model's JSON list of numbers: distinct ones from 1 to allowed, in order; null if it isn't such JSON."""
     numbers = F.from_json(raw, "struct<ids:array<int>>")["ids"]
     return F.when(numbers.isNotNull(), F.array_distinct(F.filter(numbers, lambda x: x.between(1, allowed))))
+
+
+def composition(actors: DataFrame, stance: str, party: str, group: str, kinds: Sequence[str] = K.STANCES) -> DataFrame:
+    """row, n, a count for each stance, place: parties by size; witnesses and staff are left out, the government and
+    those of no known party are rows of their own and come last."""
+    kept = actors.where(~F.col(group).isin("witness", "staff"))
+    row = F.when(F.col(group) == "government", "government").otherwise(F.coalesce(party, F.lit("independent or unknown")))
+    special = F.col("row").isin("government", "independent or unknown")
+    g = kept.groupBy(row.alias("row")).agg(F.count("*").alias("n"), *stance_counts(F.col(stance), kinds))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(special, F.col("n").desc(), "row")))
+
+
+def history(actors: DataFrame, who: str, party: str, periods: Sequence[tuple[str, str, str]] = tuple(K.RULING)) -> DataFrame:
+    """who, start, end, side for each ruling period: ruling or opposition; satellites count as their parents."""
+    parent = F.col(party)
+    for k, v in K.SATELLITES.items():
+        parent = F.when(F.col(party) == k, v).otherwise(parent)
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(p).alias("ruling")) for a, b, p in periods])
+    each = actors.select(who, party, parent.alias("__p"), F.explode(spans).alias("s"))
+    return each.select(who, "s.start", "s.end", F.when(F.col("__p").isNull(), None).when(F.col("__p") == F.col("s.ruling"), "ruling").otherwise("opposition").alias("side"))
+
+
+def bars(months: DataFrame, by: Sequence[str], month: str, n: str, ticks: int = 4) -> DataFrame:
+    """Adds share of the group's largest month, is_peak (its first) and is_tick (every ceil(months / ticks)-th)."""
+    w, all_ = Window.partitionBy(*by).orderBy(month), Window.partitionBy(*by)
+    top = F.max(n).over(all_)
+    first = F.min(F.when(F.col(n) == F.col("__top"), F.col(month))).over(all_)
+    step = F.ceil(F.count("*").over(all_) / ticks)
+    out = months.withColumn("__top", top).withColumn("__i", F.row_number().over(w) - 1)
+    return out.select(*by, month, n, F.round(F.try_divide(F.col(n), F.col("__top")), 4).alias("share"), (F.col(month) == first).alias("is_peak"), (F.pmod("__i", step) == 0).alias("is_tick"))

@@ -209,3 +209,49 @@ def issue_detection(spark, sf_dir):
 def model_choice(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 3 == 2, F.lit("no json")).otherwise(F.format_string('{"ids": [%d, %d, %d]}', F.col("doc_id") % 9, F.col("doc_id") % 4, F.col("doc_id") % 9))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(A.parsed_choice(raw, 6)).cast("array<bigint>").alias("chosen"))
+
+
+_PARTY = "CASE c_mktsegment WHEN 'BUILDING' THEN 'blue' WHEN 'MACHINERY' THEN 'red' WHEN 'HOUSEHOLD' THEN 'green' END"
+_GROUP = "CASE user_id % 6 WHEN 0 THEN 'government' WHEN 1 THEN 'witness' ELSE 'assembly' END"
+
+
+@R.add(f"""WITH e AS (SELECT user_id, {_STANCE} AS stance FROM events), c AS (SELECT user_id, {_COUNTS} FROM e GROUP BY user_id), l AS (SELECT user_id, {_LABEL} AS stance FROM c),
+a AS (SELECT stance, CASE WHEN {_GROUP} = 'government' THEN 'government' ELSE coalesce({_PARTY}, 'independent or unknown') END AS "row" FROM l JOIN customer ON c_custkey = user_id WHERE {_GROUP} <> 'witness'),
+g AS (SELECT "row", count(*) AS n, {_COUNTS} FROM a GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY "row" IN ('government', 'independent or unknown'), n DESC, "row")::INT AS place FROM g""")
+def party_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(_PARTY).alias("party"))
+    labels = stance_label(spark, sf_dir).select("user_id", F.col("label").alias("stance")).join(c, "user_id")
+    return A.composition(labels.withColumn("grp", F.expr(_GROUP)), "stance", "party", "grp")
+
+
+@R.add("""WITH m AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL),
+x AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS top, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM m),
+p AS (SELECT event_type, min(day) AS peak FROM x WHERE n = top GROUP BY 1)
+SELECT event_type, day, n, round(n / top, 4) AS share, day = peak AS is_peak, i % ceil(c / 4.0)::BIGINT = 0 AS is_tick FROM x JOIN p USING (event_type)""")
+def monthly_bars(spark, sf_dir):
+    m = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return A.bars(m, ["event_type"], "day", "n")
+
+
+@R.add("""SELECT grp, n, dominant FROM (SELECT c_mktsegment AS grp, count(*) AS n, arg_max(event_type, (k, event_type)) AS dominant, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS rn
+FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) e JOIN customer ON c_custkey = user_id GROUP BY 1 HAVING count(DISTINCT user_id) >= 3) WHERE rn <= 3""")
+def group_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("grp"))
+    g = e.join(c, "user_id").groupBy("grp").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("k", "event_type")).alias("dominant"), F.count_distinct("user_id").alias("users"))
+    return g.where("users >= 3").orderBy(F.col("n").desc(), "grp").limit(3).drop("users")
+
+
+@R.add("""SELECT c_custkey, a AS start, b AS "end", CASE WHEN c_mktsegment = ruling THEN 'ruling' ELSE 'opposition' END AS side FROM customer, (VALUES ('1995-01-01', '1997-12-31', 'BUILDING'), ('1998-01-01', '9999-12-31', 'MACHINERY')) p(a, b, ruling)""")
+def party_history(spark, sf_dir):
+    periods = [("1995-01-01", "1997-12-31", "BUILDING"), ("1998-01-01", "9999-12-31", "MACHINERY")]
+    return A.history(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", periods)
+
+
+@R.add("""WITH r AS (SELECT trim(string_split(p_type, ' ')[-1]) AS last, p_brand, upper(left(p_name, 3)) AS name FROM part)
+SELECT name, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS p_brand, min(last) AS last_part FROM r GROUP BY name""")
+def member_party(spark, sf_dir):
+    last = F.trim(F.element_at(F.split("p_type", " "), -1))
+    rows = table(spark, sf_dir, "part").select(F.upper(F.left("p_name", F.lit(3))).alias("name"), "p_brand", last.alias("last"))
+    return A.unambiguous(rows, "name", "p_brand").join(rows.groupBy("name").agg(F.min("last").alias("last_part")), "name")

@@ -200,3 +200,35 @@ def source_audit(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("squash"), F.regexp_replace(F.concat(F.upper(F.left("text", F.lit(200))), F.substring("text", 201, 2_000_000_000)), r"\s+", "").alias("other"))
     return d.select("doc_id", probe_hits(F.col("squash"), F.col("other")).alias("n"))
+
+
+_CENSUS = {"marks": r"[*$%&#|]{1,}", "numbers": r"\d+", "shouts": r"!!", "links": r"https?://"}
+
+
+@R.add("SELECT source, pattern, sum(n)::BIGINT AS n, count(*) FILTER (n > 0) AS n_docs FROM (" + " UNION ALL ".join(f"SELECT source, '{k}' AS pattern, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for k, p in _CENSUS.items()) + ") GROUP BY ALL")
+def pattern_census(spark, sf_dir):
+    counts = F.array(*[F.struct(F.lit(k).alias("pattern"), F.regexp_count("text", F.lit(p)).alias("n")) for k, p in _CENSUS.items()])
+    rows = table(spark, sf_dir, "documents").select("source", F.inline(counts))
+    return rows.groupBy("source", "pattern").agg(F.sum("n").cast("long").alias("n"), F.count_if(F.col("n") > 0).alias("n_docs"))
+
+
+@R.add("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN body WHEN doc_id % 3 = 1 THEN body || CASE WHEN doc_id % 2 = 0 THEN ' Party of A cannot be confirmed.' ELSE '' END ELSE 'Other details cannot be confirmed.' END AS answer
+FROM (SELECT doc_id, trim(regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g')) || '.' AS body FROM documents)""")
+def stripped_answers(spark, sf_dir):
+    from talkweave.operators.evidence import stripped
+
+    body = F.concat(F.trim(F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")), F.lit("."))
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, F.concat(body, F.lit(" Other details cannot be confirmed. Other parts cannot be confirmed."))).when(k == 1, F.concat(body, F.lit(" Party of A cannot be confirmed."))).otherwise(F.lit("Other details cannot be confirmed."))
+    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return d.select("doc_id", stripped(F.col("raw"), F.col("doc_id") % 2 == 0, r"Other [^.\n]*cannot be confirmed\.?", r"Party of [^.\n]*cannot be confirmed\.?").alias("answer"))
+
+
+@R.add()
+def question_filters(spark, sf_dir):
+    """Names and dates of questions made from conversation turns."""
+    from talkweave.functions.question import filters
+
+    day = F.concat(F.lit(" 2024-0"), F.col("turn") % 9 + 1, F.lit("-1"), F.col("conv_id") % 10)
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("role"), F.lit(" said on"), day, F.lit(" and 2024년 3월: "), F.left("text", F.lit(20))).alias("q"))
+    return q.select("conv_id", "turn", filters(F.col("q"), {"user": "person", "assistant": "machine"}).alias("f")).select("conv_id", "turn", "f.*")

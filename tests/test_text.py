@@ -103,3 +103,30 @@ def test_batches(spark):
     assert got == [5, 20, 20]
     sized = spark.createDataFrame([("g", i, n) for i, n in enumerate([50, 60, 10, 200, 5])], "g string, k int, n int")
     assert [r["batch"] for r in K.budget_batches(sized, "g", "k", "n", items=2, chars=100).orderBy("k").collect()] == [0, 1, 1, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("2025년 7월 14일부터 9월 1일까지", ("2025-07-14", "2025-09-01")), ("2025년 7월부터 2025년 9월까지", ("2025-07-01", "2025-09-30")), ("2025년 13월 40일", (None, None)), ("9월 1일", (None, None)),
+        ("3월과 2024-05-02", ("2024-03-01", "2024-05-02")), ("2024년 2월", ("2024-02-01", "2024-02-29")),
+    ],
+)
+def test_question_dates(text, span):
+    from talkweave.functions.question import parse
+
+    got = parse(text, {})
+    assert tuple(d and d.isoformat() for d in (got.date_from, got.date_to)) == span
+
+
+def test_question_names():
+    from talkweave.functions.question import parse
+
+    got = parse("국토교통위원회와 국토위 그리고 정무위 2024-05-02 논의", {"국토교통위원회": "국토위", "국토위": "국토위", "정무위": "정무위"})
+    assert (got.names, got.text) == (["국토위", "정무위"], "와 그리고 논의")
+
+
+def test_nfkc(spark):
+    from talkweave.functions.question import nfkc
+
+    assert one(spark, nfkc, " 柳榮夏 ") == "柳榮夏"
