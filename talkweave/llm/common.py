@@ -52,7 +52,7 @@ def crc_mod(column: str, n: int) -> Column:
 class WordHashes(dict):
     """word (bytes) -> XXH64; emptied when it holds `limit` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
