@@ -11,7 +11,9 @@ leaves open goes on with the next shard, so a partition pads one sequence at mos
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,7 @@ QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 MEMO = 1_200_000
 PUNCTUATION = b".,;:!?|"
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
 
 def default_tokenizer() -> str:
@@ -39,6 +42,91 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merger:
+    """The tokenizer's merges for many words at once: a row of symbols for each word, and in each round the pair of
+    least rank of every row is merged, the leftmost of equals, until no row has a pair with a rank."""
+
+    def __init__(self, definition: str):
+        model = json.loads(definition)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        # The byte alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.inner = np.array([vocabulary.get(letters[b], 0) for b in range(256)], np.int64)
+        self.last = np.array([vocabulary.get(letters[b] + suffix, 0) for b in range(256)], np.int64)
+        pairs = [(vocabulary[a] << 16 | vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        key, rank, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        # An open table of pairs: slots by hash, the next free one where it is taken.
+        self.mask, self.none = (1 << 18) - 1, 1 << 30
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, self.none, np.int64)
+        left, slot = np.arange(len(key)), self._slot(key)
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)
+            won = left[first[self.keys[slot[left][first]] < 0]]
+            self.keys[slot[won]], self.ranks[slot[won]] = key[won], rank[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * 0x9E3779B1) >> 15) & self.mask
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        out, slot = np.full(key.shape, self.none, np.int64), self._slot(key)
+        held = self.keys[slot]
+        hit = held == key
+        out[hit] = self.ranks[slot[hit]]
+        live = np.nonzero(~hit & (held >= 0))
+        at = slot[live]
+        while len(at):
+            at = (at + 1) & self.mask
+            held, k = self.keys[at], key[live]
+            hit = held == k
+            out[tuple(x[hit] for x in live)] = self.ranks[at[hit]]
+            go = ~hit & (held >= 0)
+            live, at = tuple(x[go] for x in live), at[go]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids (unsigned 16-bit) of words that are one run of letters each."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            for i in range(0, len(own), 20_000):
+                part = own[i : i + 20_000]
+                raw = np.frombuffer(b"".join([words[j] for j in part]), np.uint8).reshape(-1, n)
+                ids, count = self._merged(np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1))
+                data = ids.astype("<u2")
+                for j, row, c in zip(part.tolist(), data, count.tolist()):
+                    out[j] = row[:c].tobytes()
+        return out
+
+    def _merged(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = np.full(len(ids), ids.shape[1])
+        done, live = ids.copy(), np.arange(len(ids))
+        ranks = self.rank(ids[:, :-1] << 16 | ids[:, 1:]) if ids.shape[1] > 1 else np.empty((len(ids), 0), np.int64)
+        while ids.shape[1] > 1 and len(live):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(ids)), at]
+            go = best < self.none
+            done[live[~go], : ids.shape[1]] = ids[~go]
+            ids, ranks, live, at, best = ids[go], ranks[go], live[go], at[go], best[go]
+            if not len(live):
+                break
+            rows, place = np.arange(len(ids)), np.arange(ids.shape[1] - 1)
+            ids[rows, at] = self.made[best]
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+            count[live] -= 1
+            # Only the pairs next to the merge are new; the gap at a row's end has symbol -1, which has no pair.
+            place = place[:-1]
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), axis=1)
+            for side in (at - 1, at):
+                ok = np.flatnonzero((side >= 0) & (side < ids.shape[1] - 1))
+                ranks[ok, side[ok]] = self.rank(ids[ok, side[ok]] << 16 | ids[ok, side[ok] + 1])
+        done[live, : ids.shape[1]] = ids
+        return done, count
+
+
 class Tokens(dict):
     """Lower-cased word (bytes between ASCII blanks) -> its ids as little-endian unsigned 16-bit integers.
 
@@ -53,6 +141,7 @@ class Tokens(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.memo = Tokenizer.from_str(definition), memo
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.merger = Merger(definition)
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Encode what isn't known yet of these texts, in one call."""
@@ -62,6 +151,14 @@ class Tokens(dict):
             fresh = set().union(*texts)
         ended = [w for w in fresh if len(w) > 1 and w[-1] in PUNCTUATION and 97 <= w[-2] <= 122]
         todo = list((fresh | {w[:-1] for w in ended} | {w[-1:] for w in ended}) - set(ended) - self.keys())
+        plain = [w for w in todo if w.isalpha() and len(w) <= 64]  # ASCII letters only, as bytes know no others: one token run
+        self.update(zip(plain, self.merger.encode(plain)))
+        todo = [w for w in todo if w not in self]
+        # Runs of small letters beyond ASCII are one run as well, and lower-casing and composing leave them as they are.
+        strings = [w.decode() for w in todo]
+        plain = [w for w, x in zip(todo, strings) if _LETTERS.fullmatch(x) and len(w) <= 64]
+        self.update(zip(plain, self.merger.encode(plain)))
+        todo = [w for w in todo if w not in self]
         for i in range(0, len(todo), 20_000):
             part = todo[i : i + 20_000]
             for word, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
@@ -107,10 +204,14 @@ def frequencies(ids: DataFrame) -> tuple[np.ndarray, int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        mark = np.zeros(1 << 16, bool)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 x = np.frombuffer(x, "<u2")
-                df[np.unique(x)] += 1
+                mark[x] = True
+                own = np.flatnonzero(mark)
+                mark[own] = False
+                df[own] += 1
                 n, total = n + 1, total + len(x)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n, total]))], ["token", "n"])
@@ -246,7 +347,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
     ids = stored(tokenized(docs, tokenizer or default_tokenizer()), "packing-ids")
     df, n, total = frequencies(ids)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    rare = df <= max(1, n // 20)
+    # The signature's hash by id: common ids come last, so they decide only where there are no others.
+    order = (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(2)).astype(np.int64) | np.where(df <= max(1, n // 20), 0, 1 << 62)
 
     def signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +356,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
             for x in batch.column(1).to_pylist():
                 x = np.frombuffer(x, "<u2")
                 start = len(x) // length * length
-                u = np.unique(x[start:])
-                u = u[rare[u]] if rare[u].any() else u
-                rows.append((start, x[start:].tobytes(), len(x), int(mix(u.astype(np.uint64)).min() >> np.uint64(1)) if len(u) else 0))
+                rows.append((start, x[start:].tobytes(), len(x), int(order[x[start:]].min()) if start < len(x) else 0))
             keep = [i for i, r in enumerate(rows) if r[1]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array([rows[i][c] for i in keep], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64())))],
