@@ -95,12 +95,27 @@ class Vocabulary:
         self.bytes_of = {i: key for key, i in ids.items()}
 
 
+class Pairs(dict):
+    """left id << 32 | right id -> the id of their joint bytes, or -1; a bounded memo before the perfect hash."""
+
+    def __init__(self, vocabulary: Vocabulary, memo: int):
+        super().__init__()
+        self.v, self.memo = vocabulary, memo
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= self.memo:
+            self.clear()
+        found = self[key] = self.v.hash.find(self.v.bytes_of[key >> 32] + self.v.bytes_of[key & 0xFFFFFFFF])
+        return found
+
+
 class Encoder(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
         super().__init__()
-        self.v, self.memo, self.pairs = vocabulary, memo, {}
+        self.v, self.memo, self.pairs = vocabulary, memo, Pairs(vocabulary, memo)
+        self.byte_ids = [vocabulary.hash.find(bytes([b])) for b in range(256)]
         # regex's \\s and the rank file's library agree on White_Space; Python's re has four control characters more.
         self.any = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.ascii = re.compile(vocabulary.pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace(r"\S", r"[^\t-\r ]").replace(r"\s", r"[\t-\r ]"))
@@ -114,36 +129,26 @@ class Encoder(dict):
         out = self[token] = np.array(ids, "<u4").tobytes()
         return out
 
-    def pair(self, left: int, right: int) -> int:
-        """The id of two neighbours' joint bytes, or -1; remembered, since most pairs come again."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= self.memo:
-                self.pairs.clear()
-            found = self.pairs[key] = self.v.hash.find(self.v.bytes_of[left] + self.v.bytes_of[right])
-        return found
-
     def merged(self, raw: bytes) -> list[int]:
-        find, pair = self.v.hash.find, self.pair
-        n = len(raw)
-        ids = [find(raw[i : i + 1]) for i in range(n)]
+        pairs, n = self.pairs, len(raw)
+        ids = [self.byte_ids[b] for b in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(ids[i], ids[i + 1])) >= 0]
+        heap = [r << 32 | i for i in range(n - 1) if (r := pairs[ids[i] << 32 | ids[i + 1]]) >= 0]
         heapq.heapify(heap)
         while heap:
-            rank, i, left, right = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] < 0 or pairs[ids[i] << 32 | ids[j]] != rank:
                 continue  # a merge nearby has made it stale
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair(rank, ids[k])) >= 0:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := pair(ids[h], rank)) >= 0:
-                heapq.heappush(heap, (r, h, ids[h], rank))
+                if (r := pairs[rank << 32 | ids[k]]) >= 0:
+                    heapq.heappush(heap, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := pairs[ids[h] << 32 | rank]) >= 0:
+                heapq.heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str | None) -> bytes:
