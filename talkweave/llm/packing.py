@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ SHARD = 1500
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 MEMO = 1_200_000
-PUNCTUATION = b".,;:!?|"
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Small Latin letters in UTF-8, which lower-casing and composing leave as they are: one token run. The apostrophe is
+#: not among the marks that may follow, as it begins runs of its own.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_ENDED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def default_tokenizer() -> str:
@@ -131,7 +134,7 @@ class Tokens(dict):
     """Lower-cased word (bytes between ASCII blanks) -> its ids as little-endian unsigned 16-bit integers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in a row. It lower-cases
-    anyway. A mark after an ASCII letter is a token of its own, so "word," is "word" and ",".
+    anyway. Marks after letters are a run of their own, so "word," is "word" and ",".
     """
 
     def __init__(self, definition: str, memo: int = MEMO):
@@ -145,26 +148,21 @@ class Tokens(dict):
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Encode what isn't known yet of these texts, in one call."""
-        fresh = set().union(*texts) - self.keys()
-        if len(self) + len(fresh) > self.memo:
+        unknown = set(filterfalse(self.__contains__, set().union(*texts)))  # a difference with keys() would walk the whole memo
+        if len(self) + len(unknown) > self.memo:
             self.clear()
-            fresh = set().union(*texts)
-        ended = [w for w in fresh if len(w) > 1 and w[-1] in PUNCTUATION and 97 <= w[-2] <= 122]
-        todo = list((fresh | {w[:-1] for w in ended} | {w[-1:] for w in ended}) - set(ended) - self.keys())
-        plain = [w for w in todo if w.isalpha() and len(w) <= 64]  # ASCII letters only, as bytes know no others: one token run
+            unknown = set().union(*texts)
+        ended = {w: m.groups() for w in unknown if w[-1] < 97 and (m := _ENDED.fullmatch(w))}
+        todo = unknown - ended.keys() | set(filterfalse(self.__contains__, chain.from_iterable(ended.values())))
+        plain = [w for w in todo if len(w) <= 64 and _PLAIN.fullmatch(w)]
         self.update(zip(plain, self.merger.encode(plain)))
-        todo = [w for w in todo if w not in self]
-        # Runs of small letters beyond ASCII are one run as well, and lower-casing and composing leave them as they are.
-        strings = [w.decode() for w in todo]
-        plain = [w for w, x in zip(todo, strings) if _LETTERS.fullmatch(x) and len(w) <= 64]
-        self.update(zip(plain, self.merger.encode(plain)))
-        todo = [w for w in todo if w not in self]
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
+        rest = list(todo.difference(plain))
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             for word, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
                 self[word] = np.array(e.ids, "<u2").tobytes()
-        for w in ended:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+        for w, (letters, marks) in ended.items():
+            self[w] = self[letters] + self[marks]
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         texts = [raw.lower().split() if b"<|" not in raw else [] for raw in raws]
@@ -190,8 +188,8 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         if tokenizer not in _held:
             _held[tokenizer] = Tokens(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 3000):
+                batch = whole.slice(at, 3000)
                 ids = [x + end for x in _held[tokenizer].encode([x or b"" for x in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
