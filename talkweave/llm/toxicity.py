@@ -270,7 +270,7 @@ def classify(docs: DataFrame, machine: Machine) -> DataFrame:
                 sets = [strings_of(x) if x else set() for x in batch.column(1).to_pylist()]
                 if len(memo) > MEMO:
                     memo.clear()
-                fresh = list(set().union(*sets) - memo.keys())
+                fresh = list(set().union(*sets).difference(memo))
                 memo.update(zip(fresh, machine.margins(fresh).tolist()))
                 best = [max(s, key=lambda w: (memo[w], w), default=None) for s in sets]
                 margin = np.array([machine.empty if w is None else memo[w] for w in best])
