@@ -248,6 +248,22 @@ def test_every_exact_repeat_is_covered(spark):
                 assert cover[k][i : i + 50].all()
 
 
+@pytest.mark.parametrize("gap, far", [(24, 0), (40, 0), (6, 0), (24, 400)])
+def test_passage_whose_line_repeats_in_the_partner(spark, gap, far):
+    rng = np.random.default_rng(gap + far)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    shared = words(60)
+    line = shared[20:35]
+    partner = words(30) + line + words(gap) + shared + words(gap) + line + words(far) + line * (far > 0) + words(20)
+    spans = [{"lo": 0, "hi": 60, "shift": s, "fn": f} for f in range(2) for s in (gap + 25, *([far + 100] * (far > 0)))]
+    df = spark.createDataFrame([(1, " ".join(partner)), (2, " ".join(words(20) + shared + words(20)))], "doc_id long, text string")
+    hashes = substring_dedup.WordHashes()
+    a, b = (substring_dedup.shingles(r.text.encode().split(), hashes) for r in df.orderBy(F.desc("doc_id")).collect())
+    at = 45 + gap
+    assert (20, 80, at, at + 60, 1.0) in substring_dedup.passages(a, b, [s | {"hi": 95} for s in spans])
+    assert [(r.doc_id, r.start_word, r.end_word, r.rep_start_word) for r in substring_dedup.repeated_passages(df).collect()] == [(2, 20, 80, at)]
+
+
 # 7
 
 def test_packing_keeps_every_id(spark, docs):
