@@ -264,6 +264,39 @@ def test_passage_whose_line_repeats_in_the_partner(spark, gap, far):
     assert [(r.doc_id, r.start_word, r.end_word, r.rep_start_word) for r in substring_dedup.repeated_passages(df).collect()] == [(2, 20, 80, at)]
 
 
+def test_near_passages_meet_behind_another(spark):
+    """Of each three documents the second holds a passage and the others edits of it, too far from each other."""
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    line, want, rows = words(15), set(), []
+    for k in range(0, 120, 3):
+        g = words(22) + line + words(22)
+        one, two = g[:12] + ["x"] + g[13:], g[:-13] + ["y"] + g[-12:]
+        rows += [(k + i, " ".join(words(30) + w + words(30))) for i, w in enumerate((one, g, two))]
+        want |= {(k + 1, k), (k + 2, k + 1)}
+    rows += [(k, " ".join(words(40) + line + words(40))) for k in range(200, 260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.rep_doc_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert found <= want and len(found) >= 78, (len(found), len(found - want))
+
+
+def test_hot_signatures_are_dealt_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    shared = words(52)
+    rows = []
+    for k in range(150):
+        own = list(shared)
+        own[k % 52] = f"w{k}"
+        rows.append((k, " ".join(words(20) + own + words(20))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for hot in (4096, 60):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        seen.append({r.doc_id for r in substring_dedup.repeated_passages(df).collect()})
+    assert seen[0] == seen[1] and len(seen[0]) >= 60
+
+
 # 7
 
 def test_packing_keeps_every_id(spark, docs):
