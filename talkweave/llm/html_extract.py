@@ -7,7 +7,8 @@ link-adjusted characters per tag
 
 (C, T: characters and tags below it; LC, LT: those in links; b: of the body; zeros count as one), and the sum of its
 children's densities. The node with the largest sum holds the article; the least density on its path to the body is the
-threshold that a sibling of that path must reach to belong to it. Elements whose name, role or class says that they are
+threshold that a sibling of that path must reach to belong to it. If the node lies in an article or main element, that
+element is taken whole and the path starts there; a sibling article or main needs no density unless it is mostly links. Elements whose name, role or class says that they are
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments take no part.
 """
 
@@ -178,13 +179,14 @@ def content(root: Node) -> list[Node]:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].up)
-    for i, node in enumerate(path):
-        if node.name in ("article", "main"):
-            return [node]
+    # An article (or a main without one) counts as a whole; what else belongs to it is decided from there on up.
+    whole = next((i for name in ("article", "main") for i, x in enumerate(path) if x.name == name), 0)
+    path = path[whole:]
+    best = path[0]
     least = min(x.density for x in path)
     chosen = {id(best)}
     for child, node in zip(path, path[1:]):
-        chosen |= {id(x) for x in node.down if isinstance(x, Node) and x is not child and not x.out and x.chars and (x.density >= least or x.name in ("h1", "h2"))}
+        chosen |= {id(x) for x in node.down if isinstance(x, Node) and x is not child and not x.out and x.chars and (x.density >= least or x.name in ("h1", "h2") or (x.name in ("article", "main") and 2 * x.link_chars < x.chars))}
     if best is body:
         return [body]
     found, stack = [], [body]

@@ -346,6 +346,17 @@ def test_html():
     assert html_extract.extract("<body><div><a href=x>one</a> <a href=y>two</a></div><div><h1>Head</h1><p>" + "long text here. " * 20 + "<p>" + "more of it, too. " * 20 + "</div>").startswith("Head\n\nlong text")
 
 
+def test_article_in_parts_and_beside():
+    long, other = "long text here. " * 20, "more of it, too. " * 15
+    ends = "<nav>menu</nav>", "<footer>end</footer>"
+    text = lambda inner: html_extract.extract(f"<body>{ends[0]}{inner}{ends[1]}</body>").split("\n\n")
+    want = [long.strip()] * 3 + [other.strip()]
+    assert text(f"<article><p>{long}<p>{long}<p>{long}</article><article><p>{other}<p>{other}</article>") == want + want[-1:]
+    assert text(f"<main><article><p>{long}<p>{long}<p>{long}</article><article><p>{other}<p>{other}</article></main>") == want + want[-1:]
+    assert text(f"<article><p>{long}<p>{long}<p>{long}</article><p>{other}</p>") == want
+    assert text(f"<div><p>{long}<p>{long}<p>{long}<p>{other}</div>") == want
+
+
 def test_pages(spark):
     rows = [(r.page_id, r.html) for r in sf(spark, "pages").collect()]
     got = {r.page_id: r.text for r in html_extract.main_text(sf(spark, "pages")).collect()}
