@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -391,27 +392,79 @@ def test_toxicity_on_rows_apart(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxic_stems_of_several_languages():
+    """Each language's insults are stems with many endings, each form rare; labels have some wrong ones."""
+    rng = np.random.default_rng(5)
+    tongues = {"a": ("nd er on th in st".split(), ["moron", "trash", "clown"]), "b": ("lich ung ver ß ö ich".split(), ["lowei", "kraum"]), "c": ("eux é ou ç ion è".split(), ["vequ", "zajo"]), "d": ("ción ñ os ar í que".split(), ["chlla", "xubo"])}
+    rows = []
+    for i in range(2400):
+        tongue = "abcd"[int(rng.integers(0, 4)) if i % 5 else 0]
+        parts, stems = tongues[tongue]
+        word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))  # noqa: E731, B023
+        w, toxic = [word() for _ in range(40)], rng.random() < 0.15
+        if toxic:
+            for at in rng.integers(0, 40, 2):
+                w[at] = str(rng.choice(stems)) + (word() if tongue != "a" else "")
+        rows.append((tongue, " ".join(w), int(toxic), int(toxic) if rng.random() < 0.98 else 1 - int(toxic)))
+    machine = toxicity.fit([(t, seen) for i, (_, t, _, seen) in enumerate(rows) if i % 4])
+    held = rows[::4]
+    strings, at, owner = toxicity.strings_of(pa.array([t for _, t, _, _ in held]))
+    p = machine.probability(machine.two_highest(machine.margins(strings.to_pylist())[at], owner, len(held))[0])
+    for tongue in "abcd":
+        caught = [p[i] >= toxicity.CUT for i, r in enumerate(held) if r[0] == tongue and r[2]]
+        left = [p[i] < toxicity.CUT for i, r in enumerate(held) if r[0] == tongue and not r[2]]
+        assert np.mean(caught) >= 0.9 and np.mean(left) >= 0.95, tongue
+
+
+def _slow_kernel(s, t, letters):
+    def phi(x):
+        x = [0, *letters[[ord(c) for c in x]].tolist(), 0]
+        out = Counter()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                    out[x[i], x[j], x[k]] += toxicity.LAMBDA ** (k - i + 1)
+        return out
+
+    a, b = phi(s), phi(t)
+    dot = lambda p, q: sum(v * q[u] for u, v in p.items())
+    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+
 def test_kernel_is_the_sum_over_subsequences():
-    def slow(s, t):
-        def phi(x):
-            x = b"\0" + x + b"\0"
-            out = Counter()
-            for i in range(len(x)):
-                for j in range(i + 1, len(x)):
-                    for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
-                        out[bytes(toxicity._CODE[[x[i], x[j], x[k]]].astype(np.uint8))] += toxicity.LAMBDA ** (k - i + 1)
-            return out
-
-        a, b = phi(s), phi(t)
-        dot = lambda p, q: sum(v * q[u] for u, v in p.items())
-        return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
-
-    table = np.asfortranarray(toxicity.features([b"idle", b"stone"]).T)
-    words = [b"idle", b"i.d.l.e", b"stones", b"no", b"x" * 30]
-    got = toxicity.kernels(words, table)
+    letters = toxicity.letters_of(["éß éß é9"])
+    marks, words = ["idle", "stéße"], ["idle", "i.d.l.e", "stéßen", "steße", "no", "x" * 30]
+    got = toxicity.kernels(words, toxicity.vectors(marks, letters), letters)
     for i, w in enumerate(words):
-        for j, t in enumerate((b"idle", b"stone")):
-            assert got[i, j] == pytest.approx(slow(w, t) if len(w) >= 3 else 0.0, abs=1e-9)
+        for j, t in enumerate(marks):
+            assert got[i, j] == pytest.approx(_slow_kernel(w, t, letters) if len(w) >= 3 else 0.0, abs=1e-9)
+
+
+def test_machine_orders_as_a_brute_force_kernel_machine():
+    """The dual machine over slow kernels (all training strings are landmarks) gives the margins of the fast form."""
+    bad, good = ["idiot", "i.d.i.o.t", "moron"], ["tion", "ideal", "motion", "onion", "idle", "riot"]
+    letters = toxicity.letters_of([])
+    train = bad + good
+    gram = np.array([[_slow_kernel(a, b, letters) for b in train] for a in train])
+    y = np.array([1.0] * len(bad) + [-1.0] * len(good))
+    values, axes = np.linalg.eigh(gram)
+    root = axes / np.sqrt(values)
+    w = toxicity.linear_svm(gram @ root, y)
+    table = np.zeros(toxicity.ALPHABET**3)
+    for weight, (code, v) in zip(root @ w[:-1], toxicity.vectors(train, letters)):
+        table[code] += weight * v
+    fresh = ["idi0t", "m*o*r*o*n", "notion", "union", "idiots"]
+    slow = [sum(a * _slow_kernel(s, t, letters) for a, t in zip(root @ w[:-1], train)) for s in fresh]
+    assert toxicity.Machine(letters, table, np.zeros(3)).margins(fresh) == pytest.approx(slow, abs=1e-8)
+
+
+def test_strings_of_texts():
+    held, at, owner = toxicity.strings_of(pa.array(["You, (idiot)! a b c d x", "", "x y", "i d i", "o t Ünï\u00a0s"]))
+    got = defaultdict(list)
+    for a, o in zip(at.tolist(), owner.tolist()):
+        got[o].append(held[a].as_py())
+    assert sorted(got[0]) == sorted(["you", "idiot", "a", "b", "c", "d", "x", "a b c d x"])
+    assert got[1] in ([], [""]) and sorted(got[2]) == ["x", "y"] and sorted(got[3]) == ["d", "i", "i", "i d i"] and sorted(got[4]) == ["o", "s", "t", "ünï"]
 
 
 # 10
