@@ -11,6 +11,7 @@ leaves open goes on with the next shard, so a partition pads one sequence at mos
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -20,6 +21,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,10 @@ from talkweave.llm.common import mix, read, stored
 LENGTH = 2048
 END = 1
 SHARD = 1500
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-MEMO = 1_200_000
+MEMO = 600_000
+#: Bytes of a word that goes through the batch merge, and characters of one that the memo keeps.
+LONGEST = 64
 #: Small Latin letters in UTF-8, which lower-casing and composing leave as they are: one token run. The apostrophe is
 #: not among the marks that may follow, as it begins runs of its own.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -130,49 +133,60 @@ class Merger:
         return done, count
 
 
-class Tokens(dict):
-    """Lower-cased word (bytes between ASCII blanks) -> its ids as little-endian unsigned 16-bit integers.
+class Tokens:
+    """Ids of texts as little-endian unsigned 16-bit integers, by a bounded memo of lower-cased words (between ASCII blanks).
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in a row. It lower-cases
-    anyway. Marks after letters are a run of their own, so "word," is "word" and ",".
+    anyway. Marks after letters are a run of their own, so "word," is "word" and ",". Arrow splits a batch into distinct
+    words and puts their ids in a row; only distinct words pass through Python.
     """
 
     def __init__(self, definition: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.memo = Tokenizer.from_str(definition), memo
+        self.tokenizer, self.memo, self.known = Tokenizer.from_str(definition), memo, {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.merger = Merger(definition)
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode what isn't known yet of these texts, in one call."""
-        unknown = set(filterfalse(self.__contains__, set().union(*texts)))  # a difference with keys() would walk the whole memo
-        if len(self) + len(unknown) > self.memo:
-            self.clear()
-            unknown = set().union(*texts)
-        ended = {w: m.groups() for w in unknown if w[-1] < 97 and (m := _ENDED.fullmatch(w))}
-        todo = unknown - ended.keys() | set(filterfalse(self.__contains__, chain.from_iterable(ended.values())))
-        plain = [w for w in todo if len(w) <= 64 and _PLAIN.fullmatch(w)]
-        self.update(zip(plain, self.merger.encode(plain)))
-        rest = list(todo.difference(plain))
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        fresh = list(filterfalse(self.known.__contains__, words))
+        raw = {w: w.encode() for w in fresh}
+        ended = {w: m.groups() for w, x in raw.items() if x and x[-1] < 97 and (m := _ENDED.fullmatch(x))}
+        parts = list(set(chain.from_iterable(ended.values())))
+        plain = list({x for w, x in raw.items() if w not in ended} | set(parts))
+        letters = [x for x in plain if len(x) <= LONGEST and _PLAIN.fullmatch(x)]
+        ids = dict(zip(letters, self.merger.encode(letters)))
+        rest = [x for x in plain if x not in ids]
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
-            for word, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u2").tobytes()
-        for w, (letters, marks) in ended.items():
-            self[w] = self[letters] + self[marks]
-
-    def encode(self, raws: list[bytes]) -> list[bytes]:
-        texts = [raw.lower().split() if b"<|" not in raw else [] for raw in raws]
-        self.learn(texts)
-        out = [b"".join(map(self.__getitem__, words)) for words in texts]
-        for i, raw in enumerate(raws):
-            if b"<|" in raw:  # may hold a special token, which is told apart by case
-                out[i] = np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+            ids.update((x, np.array(e.ids, "<u2").tobytes()) for x, e in zip(part, self.batch([x.decode() for x in part], add_special_tokens=False)))
+        found = {w: ids[ended[w][0]] + ids[ended[w][1]] if w in ended else ids[x] for w, x in raw.items()}
+        out = [found[w] if w in found else self.known[w] for w in words]
+        if len(self.known) + len(found) > self.memo:
+            self.known.clear()
+        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)  # long words are rare: so the memo is bounded in bytes, too
         return out
 
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """Ids of each text (no nulls), and the end id after them."""
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pc.match_substring(texts, "<|"), "", texts) if len(special) else texts))
+        coded, offsets = pc.list_flatten(words).dictionary_encode(), np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))))
+        tail = b"" if end is None else np.array([end], "<u2").tobytes()
+        each = pa.array([*self.words(coded.dictionary.to_pylist()), tail], pa.large_binary())
+        at = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:], len(each) - 1)
+        rows = each.take(pa.array(at))
+        edges = np.frombuffer(rows.buffers()[1], np.int64)[: len(rows) + 1][offsets + np.arange(len(offsets))]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(edges.tobytes()), rows.buffers()[2]])
+        if len(special):  # may hold a special token, which is told apart by case
+            own = out.to_pylist()
+            for i in special.tolist():
+                own[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u2").tobytes() + tail
+            out = pa.array(own, pa.large_binary())
+        return out.cast(pa.binary())
+
 
 _held: dict[str, Tokens] = {}
 
@@ -181,19 +195,18 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (binary, unsigned 16-bit, the end id last) of every row; a null text is empty."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = np.array([END], "<u2").tobytes()
+    shared, key = docs.sparkSession.sparkContext.broadcast(definition), hashlib.md5(definition.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _held:
-            _held[tokenizer] = Tokens(shared.value)
+        if key not in _held:
+            _held.clear()
+            _held[key] = Tokens(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 3000):
-                batch = whole.slice(at, 3000)
-                ids = [x + end for x in _held[tokenizer].encode([x or b"" for x in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _held[key].encode(batch.column(1), END)], ["doc_id", "ids"])
 
-    source = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("ids", T.BinaryType())]))
 
 
@@ -259,24 +272,28 @@ class Shard:
     """A BM25 index over documents given as arrays of ids."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        parts = [np.unique(x, return_counts=True) for x in docs]
-        sizes = np.array([len(t) for t, _ in parts])
-        terms, tf = np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([c for _, c in parts])
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        long = np.repeat(np.array([len(x) for x in docs]), sizes)
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long / mean))
-        order = np.argsort(terms, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.edges = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
-        self.n = len(docs)
-        # A query is its document's terms of highest idf.
-        self.query = [t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]] for t, _ in parts]
+        owner, ids = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs).astype(np.int64)
+        pairs, tf = np.unique(ids * len(docs) + owner, return_counts=True)
+        self.term, self.doc = pairs // len(docs), (pairs % len(docs)).astype(np.int32)
+        self.n, long = len(docs), np.array([len(x) for x in docs])[self.doc]
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long / mean))
+        # A query is all distinct terms of its document.
+        self.query = np.split(self.term[np.argsort(self.doc, kind="stable")], np.cumsum(np.bincount(self.doc, minlength=self.n))[:-1])
+        self.indexed = self.n
+        self._edges()
+
+    def _edges(self) -> None:
+        self.edges = np.searchsorted(self.term, np.arange((1 << 16) + 1))
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term, best first; ties by place."""
-        spans = [(self.edges[t], self.edges[t + 1]) for t in self.query[seed].astype(int).tolist()]
-        doc, weight = (np.concatenate([x[a:b] for a, b in spans]) for x in (self.doc, self.weight))
-        score = np.bincount(doc, weight, self.n)
+        """Unused documents that share a term with the seed, by BM25 of its whole text, best first; ties by place."""
+        if 2 * (left := int(free.sum())) < self.indexed:  # used documents leave the index
+            keep = free[self.doc]
+            self.term, self.doc, self.weight, self.indexed = self.term[keep], self.doc[keep], self.weight[keep], left
+            self._edges()
+        start, size = self.edges[self.query[seed]], self.edges[self.query[seed] + 1] - self.edges[self.query[seed]]
+        at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & free)
         return found[np.argsort(-score[found], kind="stable")]
 

@@ -298,6 +298,60 @@ def test_hot_signatures_are_dealt_in_blocks(spark, monkeypatch):
     assert seen[0] == seen[1] and len(seen[0]) >= 60
 
 
+def test_rows_that_repeat_an_id_are_cut_by_their_own_text(spark):
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage, u = some(70), some(90)
+    t = f"{some(10)} {passage} {some(10)}"
+    rows = [(1, t, 0), (2, t, 1), (2, None, 2), (2, u, 3), (2, t, 4), (None, t, 5), (3, f"{u} {some(3)}", 6), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans long").withColumn("tag", F.col("spans")).withColumn("row", F.lit("x")).withColumn("n_chars", F.length("text"))
+    left = {r.spans: r for r in substring_dedup.cut_repeats(spark, df, SF).collect()}
+    assert set(left) == {0, 2, 3, 5, 6, 7}, "rows 1 and 4 are whole copies of row 0"
+    assert [left[i].text for i in (0, 2, 3, 5, 7)] == [t, None, u, t, ""] and len(left[6].text.split()) == 3
+    assert all(r.tag == k and r.row == "x" and r.n_chars == (None if r.text is None else len(r.text)) for k, r in left.items())
+
+
+def test_recall_of_near_passages(spark):
+    """Planted passages with one to three changed words: nine of ten are found at least."""
+    rng = np.random.default_rng(21)
+    some = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    rows, changed = [], {}
+    for i in range(150):
+        passage = some(80)
+        other = list(passage)
+        for at in rng.choice(range(8, 72), int(rng.integers(1, 3)), replace=False):
+            other[at] = "zzz"
+        rows += [(2 * i, " ".join(some(30) + passage + some(30))), (2 * i + 1, " ".join(some(20) + other + some(40)))]
+        a, b = ({tuple(x[j : j + 5]) for j in range(76)} for x in (passage, other))
+        changed[2 * i + 1] = len(a & b) / len(a | b)
+    found = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {k for k, j in changed.items() if j >= 0.8}
+    assert len(near) > 50 and len(found & near) >= 0.9 * len(near)
+
+
+def _stage_rows(spark, docs):
+    """Rows that each stage function must live with: repeated ids with other texts, nulls, clashing names."""
+    more = docs.select((F.col("doc_id") * 0).alias("doc_id"), "text", "lang", "source", "n_chars", "fp")
+    out = docs.unionAll(more)
+    for name in ("score", "row", "witness", "__id", "__spans", "stratum", "component_id", "text_hash", "sig", "u", "v"):
+        out = out.withColumn(name, F.lit(1))
+    return out
+
+
+def test_stage_functions_on_odd_rows(spark, docs, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    d = _stage_rows(spark, docs)
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    before = plain(d)
+    for stage in (toxicity.keep_civil, quality_rules.keep_good, simhash.keep_first, substring_dedup.cut_repeats):
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and out.dtypes == d.dtypes, stage
+        after = plain(out)
+        if stage is not substring_dedup.cut_repeats:
+            assert not Counter(after) - Counter(before), stage
+        assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
+
+
 # 7
 
 def test_packing_keeps_every_id(spark, docs):
@@ -332,6 +386,41 @@ def test_seed_gets_its_neighbours():
     assert set(shard.neighbours(0, np.ones(15, bool))[:5].tolist()) == set(range(5))
 
 
+def test_neighbours_are_brute_force_bm25():
+    rng = np.random.default_rng(6)
+    docs_ = [rng.zipf(1.3, rng.integers(1, 300)).clip(1, 3000).astype(np.uint16) for _ in range(120)]
+    n, mean = len(docs_), float(np.mean([len(x) for x in docs_]))
+    df = Counter(int(t) for x in docs_ for t in set(x.tolist()))
+    idf = np.zeros(1 << 16)
+    for t, k in df.items():
+        idf[t] = math.log(1 + (n - k + 0.5) / (k + 0.5))
+    shard, free = packing.Shard(docs_, idf, mean), np.ones(n, bool)
+    for seed in range(0, n, 7):
+        free[seed] = False
+        scores = {}
+        for i in np.flatnonzero(free).tolist():
+            tf = Counter(docs_[i].tolist())
+            s = sum(idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + packing.K1 * (1 - packing.B + packing.B * len(docs_[i]) / mean)) for t in set(docs_[seed].tolist()) if tf[t])
+            if s > 0:
+                scores[i] = s
+        got = shard.neighbours(seed, free).tolist()
+        assert set(got) == set(scores) and all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:]))
+        free[got[:5]] = False
+
+
+def test_token_batches_are_the_library():
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        tokens = packing.Tokens(f.read(), memo=50)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [*TEXTS, "<|endoftext|> a", "größe, naïve!! don't", " lead", "trail ", "word," * 40, "\x0b\x0c x"]
+    for end in (None, 1):
+        for part in (texts, texts[3:9], []):
+            got = [np.frombuffer(x, "<u2").tolist() for x in tokens.encode(pa.array(part, pa.string()), end).to_pylist()]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [end] * (end is not None) for t in part]
+
+
 # 8
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>menu</a></ul></nav>
