@@ -252,11 +252,15 @@ def once(positive: list[set[str]], pos: Counter, neg: Counter, n: int) -> np.nda
     """Which texts come first among their near copies: those that share half of their rarer strings."""
     often = max(10, n // 20)
     shared = {w: i for i, w in enumerate(sorted(w for w, k in pos.items() if k > 1 and k + neg[w] <= often))}
-    held = np.zeros((len(positive), len(shared)), np.float32)
-    for row, s in zip(held, positive):
-        row[[shared[w] for w in s if w in shared]] = 1
+    own = [np.array([shared[w] for w in s if w in shared], np.int64) for s in positive]
+    both = np.zeros((len(positive), len(positive)), np.float32)
+    for start in range(0, len(shared), 4096):
+        part = np.zeros((len(positive), 4096), np.float32)
+        for row, at in zip(part, own):
+            row[at[(at >= start) & (at < start + 4096)] - start] = 1
+        both += part @ part.T
     size = np.array([sum(pos[w] + neg[w] <= often for w in s) for s in positive])
-    return ~np.tril(2 * (held @ held.T) >= np.maximum(np.maximum(size[:, None], size), 1), -1).any(axis=1)
+    return ~np.tril(2 * both >= np.maximum(np.maximum(size[:, None], size), 1), -1).any(axis=1)
 
 
 def discovered(k: np.ndarray, other: np.ndarray, n: int, n_neg: int, tests: int) -> np.ndarray:
@@ -289,17 +293,21 @@ def stemmed(positive: list[set[str]], negative: list[set[str]]) -> list[str]:
     """The strings of toxic documents that hold a telling run of four characters (a word's start counts as one): forms of
     one stem, each too rare to tell by itself. Those in most documents first."""
     grams: dict[str, int] = {}
-    of = {w: np.array([grams.setdefault(f"^{w}"[i : i + 4], len(grams)) for i in range(len(w) - 2)]) for w in set().union(*positive, *negative) if 3 <= len(w) <= LONGEST}
+    words = sorted(w for w in set().union(*positive, *negative) if 3 <= len(w) <= LONGEST)
+    place = {w: i for i, w in enumerate(words)}
+    flat = np.fromiter((grams.setdefault(f"^{w}"[i : i + 4], len(grams)) for w in words for i in range(len(w) - 2)), np.int32)
+    edges = np.concatenate(([0], np.cumsum([len(w) - 2 for w in words], dtype=np.int64)))
+    of = lambda w: flat[edges[place[w]] : edges[place[w] + 1]]
     counts = []
     for texts in (positive, negative):
         counts.append(np.zeros(len(grams), np.int64))
         for s in texts:
-            if own := [of[w] for w in s if w in of]:
+            if own := [of(w) for w in s if w in place]:
                 counts[-1][np.unique(np.concatenate(own))] += 1
     found = np.zeros(len(grams), bool)
     found[discovered(*counts, len(positive), len(negative), int((counts[0] + counts[1] > 2).sum()))] = True
     pos, neg = Counter(chain.from_iterable(positive)), Counter(chain.from_iterable(negative))
-    return sorted((w for w in pos if w in of and found[of[w]].any() and pos[w] * len(negative) >= LEAST_RATIO * neg[w] * len(positive)), key=lambda w: (-pos[w], w))
+    return sorted((w for w in pos if w in place and found[of(w)].any() and pos[w] * len(negative) >= LEAST_RATIO * neg[w] * len(positive)), key=lambda w: (-pos[w], w))
 
 
 def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) -> Machine:
