@@ -15,7 +15,7 @@ SPIKE_RATIO, CELL_SAMPLE, MIN_AGENDA_CHARS, MIN_MONTHS, TOP_AGENDA = 1.8, 30, 8,
 EMBED_ITEMS, EMBED_CHARS = 800, 120_000
 TURN_SPEAKER_MISSING, TURN_SHORT_CHARS, TURN_SHORT_RATE = 0.01, 20, 0.20
 CHUNK_DATE_NULL, CHUNK_SPEAKER_MISSING, CHUNK_BLANK, CHUNK_SHORT, CHUNK_LONG, CHUNK_SOURCE_MISSING = 0.05, 0.10, 0.05, 0.20, 0.05, 0.01
-CHUNK_GATE_SHORT_CHARS = 100
+CHUNK_GATE_SHORT_CHARS, CHUNK_GATE_LONG_CHARS = 100, 3000
 SKIP_DATE_NULL, SKIP_BLANK = 0.5, 0.2
 PROBE_CHARS, PROBES = 20, 5
 RATE_WINDOW_SECONDS, LLM_PER_MINUTE, GENERAL_PER_MINUTE, DAILY_COST = 60, 5, 60, 1.0

@@ -24,6 +24,15 @@ PARTICLES = ["에서의", "으로써", "으로서", "에서", "에게", "께서"
 
 COMPARE = r"여야|입장\s*차이|정당\s*간|찬반|비교"
 TIMELINE = r"경과|추이|흐름|연혁|변해\s*왔|바뀌어\s*왔|어떻게\s*진행"
+ACTOR = r"(정부|대통령실|[가-힣]{2,4}\s*(?:장관|차관|처장|청장|위원장|의원|후보자))[은는이가의]?\s*[^,.\n]{0,10}?(입장|생각|견해|반응|태도|주장|답변)"
+#: A day or a month in a question, with and without its year.
+DATE_FULL, DATE_ISO, DATE_MONTH = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})\s*년\s*(\d{1,2})\s*월(?!\s*\d)"
+DATE_DAY_ONLY, DATE_MONTH_ONLY = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{1,2})\s*월(?!\s*\d)"
+SESSION_HEADER = r"제\d+회[-–—]?.{0,50}\d+차\s*\(\d{4}년\d+월\d+일\)"
+LIMITS_HEADING = "## 논의의 한계"
+DANGLING_TAIL, PARTY_DISCLAIMER = r"(?:이\s?외의?|이\s?부분은)[^.\n]*확인할 수 없습니다\.?", r"[^.\n]*소속 정당[^.\n]*확인할 수 없습니다\.?"
+PARTY_QUESTION = r"여야|정당|진영|소속"
+CHUNK_TYPES = ["utterance", "qa_pair"]
 QUESTION = r"[?？]|질의|질문|여쭤|물어|어떻게\s*생각|않습니까\??|않나요|인가요\??|하십니까\??"
 MOTION = ["찬성", "반대", "의결", "동의합니다", "가결", "부결", "표결"]
 POSITIVE = ["찬성", "동의", "지지", "환영", "긍정적", "바람직", "적극"]
@@ -44,6 +53,16 @@ FIRST_ROLE_ENDINGS = [
     "교육관", "정보관", "분석관", "기술관", "행정관", "[가-힣]{2}관", "후보자", "대표이사", "대표", "이사장", "이사", "감사", "위원장대리", "직무대리", "직무대행", "권한대행", "대리", "대행", "위원", "간사",
 ]
 FIRST_ROLES = ["증인", "참고인", "진술인", "공술인", "전문위원", "수석전문위원", "위원장대리", "입법조사관"]
+#: A name of Hangul or Han characters, or one made anonymous.
+NAME = r"[가-힣]{2,7}|[一-鿿豈-﫿]{2,5}|[가-힣]{1,3}[0-9○]{2}"
+#: (pattern, group of the name, group of the role) of a speaker's header; the first match wins.
+SPEAKER_FORMS = [
+    (r"^([가-힣]{2,10}(?:부|처|청|원|실|국)(?:장관|차관|청장|원장|실장|국장))\s+([가-힣]{2,5})$", 2, 1),
+    (rf"^({'|'.join(CHAIR_ROLES)})\s+([가-힣]{{2,5}})$", 2, 1),
+    (rf"^([가-힣0-9A-Za-z㈜()·&]{{1,30}}(?:{'|'.join(FIRST_ROLE_ENDINGS)})|{'|'.join(FIRST_ROLES)})\s+({NAME})$", 2, 1),
+    (rf"^([가-힣]{{2,5}}|[一-鿿豈-﫿]{{2,5}})\s+({'|'.join(LAST_ROLES)})$", 1, 2),
+    (r"^([가-힣]{2,5})$", 1, 0),
+]
 DROPPED_HEADERS = r"^(출석|정부측|기타\s*참석자?|위원\s*선임|의안\s*회부|예비심사기간|청원\s*회부|계획서\s*송부|보고서\s*송부|행정입법\s*제출|수석전문위원\s*명단|전문위원\s*(?:명단|현황)|처리된\s*의안|보고사항|부록|출장\s*위원|위원\s*아닌\s*출석|소위원회\s*직접\s*회부|청가\s*위원|청가\s*의원)"
 DROPPED_NAMES = ["출석", "정부측", "기타", "참석자", "행정입법", "계획서", "보고서", "예비심사기간", "청원", "보고사항", "부록", "의안", "출장", "위원", "소위원회", "청가"]
 RULING = [("2024-05-30", "2025-06-03", "국민의힘"), ("2025-06-04", "9999-12-31", "더불어민주당")]

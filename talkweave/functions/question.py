@@ -13,11 +13,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A day or a month, with or without its year; the alternatives go from the most to the least that can be said.
-_DATE = re.compile(
-    r"(?P<y1>\d{4})\s*년\s*(?P<m1>\d{1,2})\s*월\s*(?P<d1>\d{1,2})\s*일|(?P<y2>\d{4})-(?P<m2>\d{2})-(?P<d2>\d{2})|(?P<y3>\d{4})\s*년\s*(?P<m3>\d{1,2})\s*월(?!\s*\d)"
-    r"|(?P<m4>\d{1,2})\s*월\s*(?P<d4>\d{1,2})\s*일|(?P<m5>\d{1,2})\s*월(?!\s*\d)"
-)
+from talkweave.functions import fixed as K
+
+_WITH_YEAR = [re.compile(p) for p in (K.DATE_FULL, K.DATE_ISO, K.DATE_MONTH)]
+_WITHOUT = [re.compile(p) for p in (K.DATE_DAY_ONLY, K.DATE_MONTH_ONLY)]
 
 
 @dataclass
@@ -28,44 +27,61 @@ class Parsed:
     date_to: date | None = None
 
 
+def span(year: int, month: int, day: int | None) -> tuple[date, date] | None:
+    """A day, or a month's first and last; None if there is no such day."""
+    try:
+        first = date(year, month, day if day is not None else 1)
+    except ValueError:
+        return None
+    return first, first if day is not None else first.replace(day=calendar.monthrange(year, month)[1])
+
+
 def dates(text: str) -> list[tuple[int, int, date, date]]:
-    """(start, end, first day, last day) of each date that exists. One without a year takes that of the nearest dated one
-    before it, else after it; without any it isn't a date."""
-    found = []
-    for m in _DATE.finditer(text):
-        g = m.groupdict()
-        pick = lambda k: next((int(g[f"{k}{i}"]) for i in range(1, 6) if g.get(f"{k}{i}")), None)
-        found.append((m.start(), m.end(), pick("y"), pick("m"), pick("d")))
-    years = [(a, y) for a, _, y, _, _ in found if y]
-    out = []
-    for a, b, y, month, day in found:
-        if y is None:
-            before, after = [v for p, v in years if p < a], [v for p, v in years if p > a]
-            y = before[-1] if before else after[0] if after else None
-        try:
-            first = date(y, month, day or 1)
-        except (TypeError, ValueError):
-            continue
-        out.append((a, b, first, first if day else first.replace(day=calendar.monthrange(y, month)[1])))
-    return out
+    """(start, end, first day, last day) of each date that exists, in order; a date within another isn't one. One without a
+    year takes that of the nearest existing dated one before it, else after it; without any it isn't a date."""
+    found: list[tuple[int, int, date, date]] = []
+
+    def add(pattern: re.Pattern, year_of: Callable[[int], int | None] | None) -> None:
+        for m in pattern.finditer(text):
+            parts = [int(x) for x in m.groups()]
+            year, rest = (parts[0], parts[1:]) if year_of is None else (year_of(m.start()), parts)
+            if year is None or any(m.start() < b and m.end() > a for a, b, _, _ in found):
+                continue
+            if days := span(year, rest[0], rest[1] if len(rest) > 1 else None):
+                found.append((*m.span(), *days))
+
+    for pattern in _WITH_YEAR:
+        add(pattern, None)
+    dated = sorted(found)
+
+    def nearest(at: int) -> int | None:
+        before, after = [f for a, b, f, _ in dated if b <= at], [f for a, b, f, _ in dated if a >= at]
+        return before[-1].year if before else after[0].year if after else None
+
+    for pattern in _WITHOUT:
+        add(pattern, nearest)
+    return sorted(found)
 
 
 def parse(text: str, names: Mapping[str, str]) -> Parsed:
-    """Names (any spelling -> canonical, longest first, each once, in order) and the span of all dates, taken out of the text."""
-    spans = [(a, b) for a, b, _, _ in dates(text)]
-    days = [(f, t) for _, _, f, t in dates(text)]
-    found: list[str] = []
-    if names:
-        pattern = re.compile("|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))))
-        for m in pattern.finditer(text):
-            spans.append(m.span())
-            found.append(names[m.group()])
+    """Names (any spelling -> canonical, longest first, each once, in order) and the span of all dates. Dates are taken out
+    of the text; names stay, as they mean something to a search."""
+    days = dates(text)
     rest, at = [], 0
-    for a, b in sorted(spans):
+    for a, b, _, _ in days:
         rest.append(text[at:a])
-        at = max(at, b)
+        at = b
     left = " ".join(" ".join([*rest, text[at:]]).split())
-    return Parsed(left, list(dict.fromkeys(found)), min((f for f, _ in days), default=None), max((t for _, t in days), default=None))
+    found: list[str] = []
+    if names:
+        found = [names[x] for x in re.findall("|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))), left)]
+    return Parsed(left, list(dict.fromkeys(found)), min((f for _, _, f, _ in days), default=None), max((t for _, _, _, t in days), default=None))
+
+
+def search_filters(text: str, names: Mapping[str, str], committee: str | None = None, date_from: date | None = None, date_to: date | None = None) -> Parsed:
+    """What a question says, except where the caller says it."""
+    p = parse(text, names)
+    return Parsed(p.text, [committee] if committee else p.names, date_from or p.date_from, date_to or p.date_to)
 
 
 def filters(text: Column, names: Mapping[str, str]) -> Column:

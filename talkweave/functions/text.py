@@ -33,44 +33,66 @@ def clean_lines(text: Column, noise: Callable[[Column], Column] = is_noise) -> C
     return F.transform(F.filter(F.split(text, "\n"), lambda x: ~noise(x)), lambda x: F.regexp_replace(x, r"[ \t]{2,}", " "))
 
 
+def glued(last: Column, token: Column, nxt: Column) -> Column:
+    """Whether two lines that a page break or margin has parted are one word: a Hangul word that goes on. last: the last
+    character before, token: the last token before."""
+    hangul = F.right(last, F.lit(1)).rlike("[가-힣]") & F.left(nxt, F.lit(1)).rlike("[가-힣]")
+    return hangul & ~F.right(last, F.lit(1)).rlike(f"[{K.SENTENCE_LAST}{K.PARTICLE_LAST}]") & (nxt.rlike(K.FORCED_JOIN) | (F.length(token) <= 3))
+
+
 def joined(prev: Column, nxt: Column) -> Column:
-    """Two lines that a page break or margin has parted: glued where a Hangul word goes on, else with a blank."""
-    last, first = F.right(prev, F.lit(1)), F.left(nxt, F.lit(1))
-    hangul = last.rlike("[가-힣]") & first.rlike("[가-힣]")
-    token = F.element_at(F.split(strip(prev), r"(?U)\s+"), -1)
-    glue = hangul & ~last.rlike(f"[{K.SENTENCE_LAST}{K.PARTICLE_LAST}]") & (nxt.rlike(K.FORCED_JOIN) | (F.length(token) <= 3))
-    return F.when((prev == "") | (nxt == ""), F.concat(prev, nxt)).when(glue, F.concat(prev, nxt)).otherwise(F.concat(prev, F.lit(" "), nxt))
+    """The two lines glued, or else with a blank; an empty one adds nothing."""
+    glue = glued(prev, F.element_at(F.split(strip(prev), r"(?U)\s+"), -1), nxt)
+    return F.when((prev == "") | (nxt == "") | glue, F.concat(prev, nxt)).otherwise(F.concat(prev, F.lit(" "), nxt))
 
 
 def restored(lines: Column, starts: str = f"^[{K.MARKERS}{K.HEADINGS}]|{K.REPORT_START}|{K.AGENDA_START}") -> Column:
-    """Lines put together again; a blank line, and a line that begins with a marker or heading, starts anew."""
-    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
-    push = lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
+    """Lines put together again; a blank line, and a line that begins with a marker or heading, starts anew.
+
+    The fold keeps how each line is joined and the last token so far, not the text: what a line is joined to is put
+    together once, after it.
+    """
+    state = lambda how, last, token: F.struct(how.alias("how"), last.alias("last"), token.alias("token"))
+    token_of = lambda x: F.element_at(F.split(x, r"(?U)\s+"), -1)
 
-    def step(s: Column, raw: Column) -> Column:
-        x = strip(raw)
+    def step(s: Column, x: Column) -> Column:
         fresh = s["last"].isNull() | (s["last"] == "") | (x == "") | x.rlike("(?U)" + starts)
-        return F.when(fresh, state(push(s), x)).otherwise(state(s["done"], joined(s["last"], x)))
+        glue = glued(s["last"], s["token"], x)
+        add = lambda how: F.concat(s["how"], F.array(F.lit(how)))
+        token = F.when(glue & ~x.rlike(r"(?U)\s"), F.concat(s["token"], x)).otherwise(token_of(x))
+        return F.when(fresh, state(add("\n"), F.right(x, F.lit(1)), token_of(x))).otherwise(state(F.when(glue, add("")).otherwise(add(" ")), F.right(x, F.lit(1)), token))
 
-    return F.aggregate(lines, state(F.array().cast("array<string>"), F.lit(None).cast("string")), step, push)
+    nothing = F.lit(None).cast("string")
+    stripped = F.transform(lines, strip)
+    how = F.aggregate(stripped, state(F.array().cast("array<string>"), nothing, nothing), step, lambda s: s["how"])
+    # Lines hold no line feed, so it parts the restored ones; the first of them has one before it.
+    text = F.array_join(F.zip_with(how, stripped, lambda h, x: F.concat(h, x)), "")
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(F.substring(text, 2, 2_000_000_000), "\n", -1))
 
 
 def sections(lines: Column, page: Column, speaker: str = f"^[{K.MARKERS}]", report: str = K.REPORT_START, agenda: str = K.AGENDA_START) -> Column:
     """array<struct<section_type, text>>: cover (first two pages) or body, until a report, agenda or speaker line says
-    otherwise. A report stays one; an agenda heading counts only on the cover."""
-    block = lambda s: F.struct(s["kind"].alias("section_type"), strip(s["text"]).alias("text"))
-    state = lambda done, kind, text: F.struct(done.alias("done"), kind.alias("kind"), text.alias("text"))
-    flushed = lambda s: F.when(strip(s["text"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(block(s))))
+    otherwise. A report stays one; an agenda heading counts only on the cover. The fold keeps a kind for each line."""
 
-    def step(s: Column, x: Column) -> Column:
+    def step(kinds: Column, x: Column) -> Column:
+        now = F.element_at(kinds, -1)
         kind = (
-            F.when(x.rlike("(?U)" + report), "report").when(s["kind"] == "report", "report").when(x.rlike(speaker), "body")
-            .when(x.rlike("(?U)" + agenda) & ~s["kind"].isin("body", "report"), "agenda").otherwise(s["kind"])
+            F.when(x.rlike("(?U)" + report), "report").when(now == "report", "report").when(x.rlike(speaker), "body")
+            .when(x.rlike("(?U)" + agenda) & ~now.isin("body", "report"), "agenda").otherwise(now)
         )
-        return F.when(kind == s["kind"], state(s["done"], s["kind"], F.concat(s["text"], F.lit("\n"), x))).otherwise(state(flushed(s), kind, x))
+        return F.concat(kinds, F.array(kind))
 
-    start = state(F.array().cast("array<struct<section_type:string,text:string>>"), F.when(page <= 2, "cover").otherwise("body"), F.lit(""))
-    return F.aggregate(lines, start, step, flushed)
+    first = F.array(F.when(page <= 2, "cover").otherwise("body"))
+    kinds = F.slice(F.aggregate(lines, first, step), 2, 2_000_000)
+    same = lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.size(k)), lambda i: (i == 1) | (F.element_at(k, i) != F.element_at(k, F.greatest(i - 1, F.lit(1))))), lambda i: i)
+
+    def blocks(k: Column) -> Column:
+        cut = lambda starts: F.transform(starts, lambda s, j: F.struct(F.element_at(k, s).alias("section_type"), strip(F.array_join(F.slice(lines, s, F.coalesce(F.get(starts, j + 1), F.size(k) + 1) - s), "\n")).alias("text")))
+        return F.get(F.transform(F.array(same(k)), cut), F.lit(0))
+
+    none = F.array().cast("array<struct<section_type:string,text:string>>")
+    whole = F.get(F.transform(F.array(kinds), lambda k: F.when(F.size(k) == 0, none).otherwise(blocks(k))), F.lit(0))
+    return F.filter(whole, lambda b: b["text"] != "")
 
 
 def page_type(segments: Column) -> Column:
@@ -78,18 +100,7 @@ def page_type(segments: Column) -> Column:
     return F.when(F.size(kinds) == 0, "unknown").when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("mixed")
 
 
-_NAME = r"[가-힣]{2,7}|[一-鿿豈-﫿]{2,5}|[가-힣]{1,3}[0-9○]{2}"
-#: (pattern, group of the name, group of the role), first match wins.
-SPEAKER_FORMS = [
-    (r"^([가-힣]{2,10}(?:부|처|청|원|실|국)(?:장관|차관|청장|원장|실장|국장))\s+([가-힣]{2,5})$", 2, 1),
-    (rf"^({'|'.join(K.CHAIR_ROLES)})\s+([가-힣]{{2,5}})$", 2, 1),
-    (rf"^([가-힣0-9A-Za-z㈜()·&]{{1,30}}(?:{'|'.join(K.FIRST_ROLE_ENDINGS)})|{'|'.join(K.FIRST_ROLES)})\s+({_NAME})$", 2, 1),
-    (rf"^([가-힣]{{2,5}}|[一-鿿豈-﫿]{{2,5}})\s+({'|'.join(K.LAST_ROLES)})$", 1, 2),
-    (r"^([가-힣]{2,5})$", 1, 0),
-]
-
-
-def speaker(header: Column, forms: Sequence[tuple[str, int, int]] = SPEAKER_FORMS, not_names: Sequence[str] = K.NOT_NAMES) -> Column:
+def speaker(header: Column, forms: Sequence[tuple[str, int, int]] = K.SPEAKER_FORMS, not_names: Sequence[str] = K.NOT_NAMES) -> Column:
     """struct<name, role> of a stripped header, or null. The first form that matches decides, even if its name is a pronoun (then null)."""
     h = header
     out = F.lit(None).cast("struct<name:string,role:string>")
@@ -144,12 +155,12 @@ def content_tokens(text: Column, stopwords: Sequence[str], suffixes: Sequence[st
     """Words without the marks around them and without suffix, two characters or more, no stop words before or after."""
     words = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", ""))
     kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
-    return F.array_distinct(F.filter(F.transform(kept, lambda w: without_suffix(w, suffixes)), lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords)))
+    return F.filter(F.transform(kept, lambda w: without_suffix(w, suffixes)), lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
 
 
 def question_types(text: Column, forms: dict[str, str] | None = None) -> Column:
-    """The kinds of a question, in order: compare, timeline, and what else `forms` names."""
-    forms = forms or {"compare": K.COMPARE, "timeline": K.TIMELINE}
+    """The kinds of a question, in order: those of `forms` (kind -> pattern) that it matches."""
+    forms = forms or {"compare": K.COMPARE, "timeline": K.TIMELINE, "actor": K.ACTOR}
     return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(k)) for k, p in forms.items()]))
 
 

@@ -22,13 +22,15 @@ def ratio(df: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
     return counts.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 3))
 
 
-def top_mentions(df: DataFrame, unit: str, terms: Column, aliases: dict[str, str], limit: int = 10) -> DataFrame:
-    """term, n: distinct units that mention a term, aliases folded into their canonical name; most frequent first."""
-    canon = F.create_map(*[x for k, v in sorted(aliases.items()) for x in (F.lit(k), F.lit(v))]) if aliases else None
-    t = df.select(unit, F.explode(F.array_distinct(terms)).alias("term"))
-    if canon is not None:
-        t = t.withColumn("term", F.coalesce(F.try_element_at(canon, F.col("term")), F.col("term")))
-    return t.groupBy("term").agg(F.count_distinct(unit).alias("n")).orderBy(F.col("n").desc(), "term").limit(limit)
+def top_mentions(df: DataFrame, terms: Column, aliases: dict[str, str], limit: int = 10) -> DataFrame:
+    """term, n: in how many rows (units) of df a term is mentioned, aliases folded into their canonical name; most frequent
+    first. Folding and distinctness are a row's own affair, so the count combines before the shuffle."""
+    fold = lambda t: t
+    if aliases:
+        canon = F.create_map(*[x for k, v in sorted(aliases.items()) for x in (F.lit(k), F.lit(v))])
+        fold = lambda t: F.when(t.isin(*sorted(aliases)), F.try_element_at(canon, t)).otherwise(t)
+    t = df.select(F.explode(F.array_distinct(F.transform(terms, fold))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(limit)
 
 
 def canonical(groups: Sequence[Sequence[str]]) -> dict[str, str]:
@@ -117,10 +119,72 @@ def tiers(mapping: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     return mapping.join(decisions.select(key, F.col("tier").alias("__new")), key, "left").withColumn("tier", F.coalesce("__new", "tier")).drop("__new")
 
 
-def parsed_choice(raw: Column, allowed: int) -> Column:
-    """A model's JSON list of numbers: distinct ones from 1 to allowed, in order; null if it isn't such JSON."""
-    numbers = F.from_json(raw, "struct<ids:array<int>>")["ids"]
-    return F.when(numbers.isNotNull(), F.array_distinct(F.filter(numbers, lambda x: x.between(1, allowed))))
+def parsed_choice(raw: Column, size: int, key: str = "relevant") -> Column:
+    """A model's JSON list of numbers under `key`: distinct ones from 0 to size - 1, in order; null if it isn't such JSON."""
+    numbers = F.from_json(raw, f"struct<`{key}`:array<int>>")[key]
+    return F.when(numbers.isNotNull(), F.array_distinct(F.filter(numbers, lambda x: (x >= 0) & (x < size))))
+
+
+def parsed_stances(raw: Column, size: int, kinds: Sequence[str] = K.STANCES) -> Column:
+    """A model's JSON list of {i, stance} as an array of `size` stances by i; what is missing, out of range or no stance is
+    null, later answers for one i win. Null as a whole if it isn't such JSON."""
+    items = F.from_json(raw, "struct<items:array<struct<i:int,stance:string>>>")["items"]
+    at = lambda i: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(items, lambda x: (x["i"] == i) & x["stance"].isin(*kinds)), lambda x: x["stance"])), -1)
+    return F.when(items.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at))
+
+
+def speaker_dimension(df: DataFrame, speaker: str, role: str, committee: str) -> DataFrame:
+    """speaker, role, committee, n: rebuilt from all rows that have a speaker; a null role is a role of its own."""
+    return df.where(F.col(speaker).isNotNull() & (F.col(speaker) != "")).groupBy(speaker, role, committee).agg(F.count("*").alias("n"))
+
+
+def detected_issue(text: Column, keywords: dict) -> Column:
+    """The issue (key) with the most keywords in the text; null if none is there or several have as many."""
+    one = lambda low: F.array(*[F.struct(sum((F.contains(low, F.lit(k.lower())).cast("int") for k in ks[1:]), F.contains(low, F.lit(ks[0].lower())).cast("int")).alias("hits"), F.lit(i).alias("issue")) for i, ks in keywords.items()])
+    best = lambda h: F.filter(h, lambda x: (x["hits"] > 0) & (x["hits"] == F.array_max(F.transform(h, lambda y: y["hits"]))))
+    found = F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: best(one(low))), F.lit(0))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))["issue"])
+
+
+def peaks(months: DataFrame, by: Sequence[str], month: str, core: str, corpus: str, n: int = 3) -> DataFrame:
+    """by, peaks: the n months of most core turns as "month(turns)", or of most corpus turns where no month has a core one."""
+    places = F.collect_list(F.struct((-F.col(core)).alias("a"), F.col(month).alias("m"), F.col(core).alias("n")))
+    others = F.collect_list(F.struct((-F.col(corpus)).alias("a"), F.col(month).alias("m"), F.col(corpus).alias("n")))
+    best = lambda xs: F.array_join(F.transform(F.slice(F.array_sort(F.filter(xs, lambda x: x["n"] > 0)), 1, n), lambda x: F.concat(x["m"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ")
+    g = months.groupBy(*by).agg(F.max(core).alias("__top"), places.alias("__core"), others.alias("__corpus"))
+    return g.select(*by, F.when(F.col("__top") > 0, best(F.col("__core"))).otherwise(best(F.col("__corpus"))).alias("peaks"))
+
+
+def issue_block(rows: DataFrame, months: DataFrame, actors: DataFrame, issue: str, month: str, core: str, corpus: str, n_actors: int = 5) -> DataFrame:
+    """issue, block: a few lines on an issue: its composition rows (row, n, place), its peak months, and its most active
+    actors (actor, n) that have a row (`row`). Lines without content are left out."""
+    made = rows.groupBy(issue).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row", "n"))), lambda x: F.concat(x["row"], F.lit(" "), x["n"].cast("string"))), " / ").alias("a"))
+    known = actors.where(F.col("row").isNotNull()).groupBy(issue).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("actor").cast("string").alias("actor"), "n", "row"))).alias("x"))
+    named = known.select(issue, F.array_join(F.transform(F.slice("x", 1, n_actors), lambda x: F.concat(x["actor"], F.lit("("), x["row"], F.lit(", "), x["n"].cast("string"), F.lit(")"))), ", ").alias("b"))
+    both = made.join(peaks(months, [issue], month, core, corpus), issue, "left").join(named, issue, "left")
+    line = lambda head, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head), F.col(c)))
+    return both.select(issue, F.concat_ws("\n", line("composition: ", "a"), line("peaks: ", "peaks"), line("actors: ", "b")).alias("block"))
+
+
+def chosen_scope(sizes: DataFrame, with_neighbours: str, core: str, limit_mb: float = C.SCOPE_LIMIT_MB) -> DataFrame:
+    """Adds neighbours, indexed, n_chunks, est_mb: the first that fits of all with an index, core with an index, core
+    without; the last if none fits."""
+    mb = lambda n, kind: F.col(n) * (C.ROW_KB["chunk"] + C.ROW_KB[kind]) / 1024
+    row = lambda near, index, n, kind: F.struct(F.lit(near).alias("neighbours"), F.lit(index).alias("indexed"), F.col(n).alias("n_chunks"), F.round(mb(n, kind), 1).alias("est_mb"))
+    pick = F.when(mb(with_neighbours, "indexed") <= limit_mb, row(True, True, with_neighbours, "indexed")).when(mb(core, "indexed") <= limit_mb, row(False, True, core, "indexed")).otherwise(row(False, False, core, "raw"))
+    return sizes.withColumn("__s", pick).select(*sizes.columns, "__s.*")
+
+
+def judging_cost(n: Column, chars: int = C.EXCERPT, usd_per_million: float = 0.15) -> Column:
+    """US dollars to have n excerpts judged: 0.9 tokens a character and 60 more for each."""
+    return n * (chars * 0.9 + 60) / 1e6 * usd_per_million
+
+
+def spot_check(mapping: DataFrame, issue: str, key: str, tier: str, n: int, seed: str = "0", core: str = "core", untiered: str = "mapped") -> DataFrame:
+    """issue, key, n_core, n_mention, n_all: a sample for each issue, of the core rows only where it has tiers."""
+    counts = mapping.groupBy(issue).agg(F.count_if(F.col(tier) == core).alias("n_core"), F.count_if(F.col(tier) == "mention").alias("n_mention"), F.count("*").alias("n_all"), F.bool_or(F.col(tier) != untiered).alias("__tiered"))
+    rows = mapping.join(counts, issue).where(~F.col("__tiered") | (F.col(tier) == core))
+    return stratified(rows.select(issue, key, "n_core", "n_mention", "n_all"), [issue], key, n, seed)
 
 
 def composition(actors: DataFrame, stance: str, party: str, group: str, kinds: Sequence[str] = K.STANCES) -> DataFrame:

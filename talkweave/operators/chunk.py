@@ -27,16 +27,20 @@ def hard_split(parts: Column, chars: int = C.HARD_SPLIT) -> Column:
 
 
 def packed(parts: Column, max_chars: int = C.MAX_CHARS) -> Column:
-    """Sentences joined by a blank into buffers; a buffer is closed when the next sentence would pass max_chars."""
-    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
+    """Sentences joined by a blank into buffers; a buffer is closed when the next sentence would pass max_chars. The fold
+    keeps the places where buffers begin and the size of the open one; texts are joined once, after it."""
+    state = lambda starts, place, size: F.struct(starts.alias("starts"), place.alias("place"), size.alias("size"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = F.length(s["last"]) + F.length(x) + 1 <= max_chars
-        empty = s["last"] == ""
-        return F.when(empty, state(s["done"], x)).when(fits, state(s["done"], F.concat(s["last"], F.lit(" "), x))).otherwise(state(F.concat(s["done"], F.array(s["last"])), x))
+    def step(s: Column, n: Column) -> Column:
+        fits = (s["place"] > 0) & (s["size"] + n + 1 <= max_chars)
+        return F.when(fits, state(s["starts"], s["place"] + 1, s["size"] + n + 1)).otherwise(state(F.concat(s["starts"], F.array(s["place"] + 1)), s["place"] + 1, n))
 
-    start = state(F.array().cast("array<string>"), F.lit(""))
-    return F.aggregate(parts, start, step, lambda s: F.when(s["last"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+    def joined(all_: Column) -> Column:
+        starts = F.aggregate(F.transform(all_, lambda x: F.length(x)), state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
+        cut = lambda at: F.transform(at, lambda a, i: F.array_join(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), " "))
+        return F.get(F.transform(F.array(starts), cut), F.lit(0))
+
+    return F.get(F.transform(F.array(parts), joined), F.lit(0))
 
 
 def chunks(df: DataFrame, keys: Sequence[str], text: str, *, max_chars: int = C.MAX_CHARS, keep: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +106,12 @@ def budget_batches(df: DataFrame, group: str, order: str, length: str, items: in
     return df.select(*columns).repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 
-def estimate(df: DataFrame, text: str, usd_per_million: float) -> DataFrame:
-    """rows, chars, usd: about one token a character."""
+def estimate(df: DataFrame, text: str, usd_per_million: float, by: Sequence[str] = ()) -> DataFrame:
+    """rows, chars, usd (per group): about one token a character."""
     n = F.coalesce(F.sum(F.length(text)), F.lit(0))
-    return df.agg(F.count("*").alias("rows"), n.alias("chars"), F.round(n * usd_per_million / 1e6, 6).alias("usd"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), n.cast("long").alias("chars"), F.round(n * F.lit(usd_per_million) / 1e6, 6).alias("usd"))
+
+
+def emitted(df: DataFrame, by: Sequence[str], text: str, chars: int = C.SHORT_CHARS) -> DataFrame:
+    """is_short, n, chars per group: how many chunks are below `chars`."""
+    return df.groupBy((F.length(text) < chars).alias("is_short"), *by).agg(F.count("*").alias("n"), F.sum(F.length(text)).cast("long").alias("chars"))

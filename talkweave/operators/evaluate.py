@@ -54,6 +54,25 @@ def agreement(matrix: DataFrame) -> DataFrame:
     return matrix.agg(n.alias("n"), F.bround(F.try_divide(F.sum(F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0)), n), 3).alias("rate"))
 
 
+def disagreements(a: DataFrame, b: DataFrame, key: str, label_a: str, label_b: str) -> DataFrame:
+    """key, label_a, label_b of the keys that both have and label otherwise."""
+    both = a.select(key, F.col(label_a).alias("label_a")).join(b.select(key, F.col(label_b).alias("label_b")), key)
+    return both.where(~F.col("label_a").eqNullSafe(F.col("label_b")))
+
+
+def revalidated(unanswerable: Column, gate: Column) -> Column:
+    """KEEP where a question without an answer is blocked and one with an answer isn't; else REVIEW. A null gate is none."""
+    blocked = F.coalesce(gate.isin("NONE", "REFUSED"), F.lit(False))
+    return F.when(unanswerable == blocked, "KEEP").otherwise("REVIEW")
+
+
+def blind_sheet(rows: DataFrame, by: str, key: str, head: Column, text: Column) -> DataFrame:
+    """by, sheet: a labelling sheet of all rows of a group, in order of key, without the labels."""
+    entry = F.concat(F.lit("## "), F.col(key).cast("string"), F.lit(" "), head, F.lit("\nlabel:\n"), text, F.lit("\n"))
+    g = rows.select(by, key, entry.alias("entry")).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "entry"))), lambda x: x["entry"]), "\n").alias("sheet"))
+    return g.select(by, "sheet")
+
+
 def pass_rate(df: DataFrame, by: Sequence[str], verdict: str) -> DataFrame:
     """n, passed, rate without the verdicts `na`; the rate is null where nothing is left."""
     counted = F.count_if(F.col(verdict) != "na")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as K
 
 
 def restored(df: DataFrame, keys: Sequence[str], order: str, text: str, chars: int) -> DataFrame:
@@ -79,11 +80,14 @@ def citations(answer: Column, n_sources: Column) -> list[Column]:
     return [F.filter(numbers, lambda x: x.between(1, n_sources)).alias("cited"), F.filter(numbers, lambda x: ~x.between(1, n_sources)).alias("invalid")]
 
 
-def pre_gate(hits: DataFrame, query: str) -> DataFrame:
-    """query, n_hits, best_score, gate. No keyword hit and no vector score of the threshold or more: REFUSED. Queries
-    without hits have no row here; a left join from the queries makes them NONE."""
+def pre_gate(hits: DataFrame, query: str, queries: DataFrame | None = None) -> DataFrame:
+    """query, n_hits, best_score, gate. No keyword hit and no vector score of the threshold or more: REFUSED; no hit at all:
+    NONE, for which `queries` must say what was asked."""
     g = hits.groupBy(query).agg(F.count("*").alias("n_hits"), F.bool_or(F.col("kw_rank").isNotNull()).alias("kw"), F.max("vec_score").alias("best_score"))
-    return g.select(query, "n_hits", "best_score", F.when(~F.col("kw") & (F.col("best_score") < C.SIMILARITY_GATE), "REFUSED").otherwise("PASS").alias("gate"))
+    if queries is not None:
+        g = queries.select(query).distinct().join(g, query, "left")
+    gate = F.when(F.col("n_hits").isNull(), "NONE").when(~F.col("kw") & (F.coalesce("best_score", F.lit(0.0)) < C.SIMILARITY_GATE), "REFUSED").otherwise("PASS")
+    return g.select(query, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best_score", gate.alias("gate"))
 
 
 def judged(answer: Column, n_cited: Column, n_invalid: Column, *, strict: str, broad: str, limits: str = r"(?s)## Limits.*?(?=\n## |\z)") -> list[Column]:
@@ -95,19 +99,36 @@ def judged(answer: Column, n_cited: Column, n_invalid: Column, *, strict: str, b
     return [F.when((n_invalid > 0) & (level == "FULL"), "PARTIAL").otherwise(level).alias("grounding"), (~cited & (level == "PARTIAL")).alias("ungrounded")]
 
 
-def stripped(answer: Column, question_about: Column, always: str, unless: str, rounds: int = 5) -> Column:
-    """Stock sentences at an answer's end taken off, `unless` only where the question isn't about them; never to nothing."""
-    text = F.regexp_replace(answer, r"(?U)\s+$", "")
-    for _ in range(rounds):
-        text = F.regexp_replace(F.regexp_replace(text, always + r"\s*$", ""), r"(?U)\s+$", "")
-        text = F.when(question_about, text).otherwise(F.regexp_replace(F.regexp_replace(text, unless + r"\s*$", ""), r"(?U)\s+$", ""))
-    return F.when(text == "", answer).otherwise(text)
+def stripped(answer: Column, question_about: Column, always: str = K.DANGLING_TAIL, unless: str = K.PARTY_DISCLAIMER, limits: str = K.LIMITS_HEADING) -> Column:
+    """Stock sentences at an answer's end taken off, however many, `unless` only where the question isn't about them.
+
+    Never to nothing, and not at all where the answer has a limits section, whose sentences are asked for.
+    """
+    tail = lambda p: F.regexp_replace(F.regexp_replace(answer, r"(?U)\s+$", ""), rf"(?U)\s*(?:(?:{p})\s*)+$", "")
+    text = F.when(question_about, tail(always)).otherwise(tail(f"{always}|{unless}"))
+    return F.when(answer.contains(limits) | (text == ""), answer).otherwise(text)
+
+
+def display_name(name: Column, aliases: Mapping[str, str]) -> Column:
+    """A name that isn't all Hangul with its Hangul alias in parentheses, where it has one."""
+    known = F.try_element_at(F.create_map(*[x for k, v in sorted(aliases.items()) for x in (F.lit(k), F.lit(v))]), name) if aliases else F.lit(None).cast("string")
+    return F.when(name.rlike("^[가-힣]+$") | known.isNull(), name).otherwise(F.concat(name, F.lit("("), known, F.lit(")")))
+
+
+def summaries(sources: DataFrame, text: str = "text", fields: Sequence[str] = ("n", "chunk_id", "speaker", "role", "party", "committee", "date", "page_start")) -> DataFrame:
+    """The fields of a source that an answer shows, and the first characters of its text."""
+    return sources.select(*[c for c in fields if c in sources.columns], F.left(text, F.lit(C.SNIPPET)).alias("snippet"))
+
+
+def cited_only(sources: DataFrame, answers: DataFrame, key: str, number: str = "n") -> DataFrame:
+    """The sources whose number is cited by the answer (key, cited: array of numbers) of their key."""
+    return sources.join(answers.select(key, F.explode("cited").alias(number)), [key, number], "left_semi")
 
 
-def source_blocks(df: DataFrame, group: str, rank: str, line: Column) -> DataFrame:
-    """A block of numbered lines for each group, groups in order of first appearance."""
-    g = df.select(group, rank, line.alias("line")).groupBy(group).agg(F.min(rank).alias("first"), F.expr(f"listagg(line, '\n') WITHIN GROUP (ORDER BY {rank})").alias("block"))
-    return g.select(group, "block", F.row_number().over(Window.orderBy("first")).alias("place"))
+def source_blocks(df: DataFrame, group: str, rank: str, line: Column, by: Sequence[str] = ()) -> DataFrame:
+    """A block of numbered lines for each group of a question (`by`), groups in order of first appearance."""
+    g = df.select(*by, group, rank, line.alias("line")).groupBy(*by, group).agg(F.min(rank).alias("first"), F.expr(f"listagg(line, '\n') WITHIN GROUP (ORDER BY {rank})").alias("block"))
+    return g.select(*by, group, "block", F.row_number().over(Window.partitionBy(*by).orderBy("first")).alias("place"))
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as K
 
 
 def share(condition: Column) -> Column:
@@ -30,12 +31,13 @@ def gate(df: DataFrame, checks: Sequence[tuple[str, str, Column, float, bool]],
 
 
 def report(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """result (BLOCK, WARNING or PASS) and the joined reasons, per group."""
-    bad = F.col("status").isin("BLOCK", "WARNING")
-    reason = F.when(bad, F.concat_ws(" ", "check", F.concat(F.lit("("), F.format_number("value", 4), F.lit(")"))))
+    """result (BLOCK or OK; warnings alone don't stop a load), n_blocked, n_warnings and the joined reasons, per group."""
+    blocked = F.col("status") == "BLOCK"
+    reason = F.when(blocked, F.concat("check", F.lit(": "), F.format_string("%.4f", "value"), F.lit(" > "), F.format_string("%.4f", "threshold")))
     return results.groupBy(*by).agg(
-        F.when(F.bool_or(F.col("status") == "BLOCK"), "BLOCK").when(F.bool_or(F.col("status") == "WARNING"), "WARNING").otherwise("PASS").alias("result"),
-        F.count_if(bad).alias("n_failed"),
+        F.when(F.bool_or(blocked), "BLOCK").otherwise("OK").alias("result"),
+        F.count_if(blocked).alias("n_blocked"),
+        F.count_if(F.col("status") == "WARNING").alias("n_warnings"),
         F.concat_ws("; ", F.array_sort(F.collect_list(reason))).alias("reasons"),
     )
 
@@ -61,16 +63,24 @@ def turn_checks(*, speaker: Column, date: Column, turn_id: Column, page_start: C
     ]
 
 
-def chunk_checks(*, date: Column, speaker: Column, text: Column, chunk_id: Column, source: Column, is_long: Column) -> list:
+def chunk_checks(*, date: Column, speaker: Column, committee: Column, text: Column, chunk_id: Column, chunk_type: Column, source: Sequence[Column]) -> list:
+    """Ten checks and the empty batch; `source`: the columns of which none may be null."""
+    none = lambda c: c.isNull() | (c.cast("string") == "")
+    untraced = source[0].isNull()
+    for c in source[1:]:
+        untraced = untraced | c.isNull()
     return [
-        ("date null", "BLOCK", share(date.isNull()), C.CHUNK_DATE_NULL, True),
-        ("speaker missing", "WARNING", share(speaker.isNull() | (speaker == "")), C.CHUNK_SPEAKER_MISSING, True),
-        ("blank text", "BLOCK", share(text.isNull() | (F.trim(text) == "")), C.CHUNK_BLANK, True),
-        ("short text", "WARNING", share(F.length(text) < C.CHUNK_GATE_SHORT_CHARS), C.CHUNK_SHORT, True),
-        ("long text", "WARNING", share(is_long), C.CHUNK_LONG, True),
-        ("source missing", "BLOCK", share(source.isNull() | (source == "")), C.CHUNK_SOURCE_MISSING, True),
-        ("duplicate ids", "BLOCK", duplicates(chunk_id), 0, True),
+        ("empty", "BLOCK", F.when(F.count("*") == 0, 1).otherwise(0), 0, True),
+        ("date null", "BLOCK", share(none(date)), C.CHUNK_DATE_NULL, True),
+        ("speaker missing", "BLOCK", share(none(speaker)), C.CHUNK_SPEAKER_MISSING, True),
+        ("committee missing", "BLOCK", F.count_if(none(committee)), 0, True),
+        ("blank text", "BLOCK", share(text.isNull() | ~text.rlike(r"(?U)\S")), C.CHUNK_BLANK, True),
+        ("short text", "WARNING", share(F.length(F.coalesce(text, F.lit(""))) < C.CHUNK_GATE_SHORT_CHARS), C.CHUNK_SHORT, True),
+        ("long text", "WARNING", share(F.length(text) > C.CHUNK_GATE_LONG_CHARS), C.CHUNK_LONG, True),
+        ("duplicate ids", "BLOCK", duplicates(F.nullif(chunk_id.cast("string"), F.lit(""))), 0, True),
         ("marker detection", "WARNING", F.lit(None).cast("double") + F.count("*"), 0, True),
+        ("chunk type invalid", "BLOCK", F.count_if(~F.coalesce(chunk_type.isin(*K.CHUNK_TYPES), F.lit(False))), 0, True),
+        ("source missing", "BLOCK", share(untraced), C.CHUNK_SOURCE_MISSING, True),
     ]
 
 
@@ -87,6 +97,11 @@ def probe_hits(squashed: Column, other: Column, n: int = C.PROBES, chars: int =
     return sum((F.coalesce(F.contains(other, F.substring(squashed, F.floor(room * f).cast("int") + 1, F.lit(chars))), F.lit(False)).cast("int") for f in places[1:]), F.contains(other, F.substring(squashed, F.lit(1), F.lit(chars))).cast("int"))
 
 
+def verified(counts: DataFrame, expected: str = "expected", found: str = "found") -> DataFrame:
+    """The rows whose counts differ; null counts as 0. No row: the load is whole."""
+    return counts.where(F.coalesce(F.col(expected), F.lit(0)) != F.coalesce(F.col(found), F.lit(0)))
+
+
 def probes_pass(hits: Column, n: Column) -> Column:
     """All but one of three probes or more, all of fewer."""
     return F.when(n >= 3, hits >= n - 1).otherwise(hits >= n)

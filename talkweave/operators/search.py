@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,20 +21,41 @@ def query_terms(query: str, aliases: dict[str, Sequence[str]] | None = None) ->
 
     Originals come first, then their aliases in code point order, so the cut doesn't depend on hashing.
     """
-    aliases = aliases or {}
+    aliases = with_twins(aliases or {})
     words = query.split()
     phrases = [" ".join(words)] if len(words) > 1 else []
     tokens = [w for word in words for w in [word, *sorted(set(aliases.get(word, ())) - {word})]]
     return list(dict.fromkeys(phrases))[: C.MAX_PHRASES], list(dict.fromkeys(tokens))[: C.MAX_TOKENS]
 
 
+def with_twins(aliases: dict[str, Sequence[str]]) -> dict[str, list[str]]:
+    """Alias groups with the NFKC form of each spelling as one more: compatibility characters look like the standard ones."""
+    out: dict[str, set[str]] = {}
+    for term, own in aliases.items():
+        group = {term, *own}
+        group |= {unicodedata.normalize("NFKC", x) for x in group}
+        for x in group:
+            out.setdefault(x, set()).update(group)
+    return {x: sorted(group - {x}) for x, group in out.items()}
+
+
+def word_hits(df: DataFrame, queries: DataFrame, key: str, query: str, words: Column, query_words: Column, limit: int) -> DataFrame:
+    """query, key, n_hits, rank: for each of many queries its best rows by the number of words that both have, by a join on
+    the word (an index, not all pairs); a row isn't a hit of itself. Ties by key."""
+    held = df.select(key, F.explode(F.array_distinct(words)).alias("__w"))
+    asked = queries.select(query, F.explode(F.array_distinct(query_words)).alias("__w"))
+    hits = asked.join(held, "__w").where(F.col(query) != F.col(key)).groupBy(query, key).agg(F.count("*").alias("n_hits"))
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("n_hits").desc(), key))).where(F.col("rank") <= limit)
+
+
 def keyword_search(
     df: DataFrame, key: str, phrases: Sequence[str], tokens: Sequence[str], *, text: str = "text", speaker: str | None = None, role: str | None = None,
     where: Column | None = None, newest: Column | None = None, limit: int = 20,
 ) -> DataFrame:
     """key, score, snippet of the rows that hold any term, by weighted hits; ties newest first, then by key.
 
-    The filter is on columns of the scan, so it is pushed down; ranking is a top-k without a full sort.
+    `where` is on columns of the scan, so it is pushed down; ranking is a top-k without a full sort. Rows without a hit go
+    after the top-k, not before it: a filter would lower each text once for each term, the projection does so once.
     """
     parts = [holds(text, p).cast("int") * C.PHRASE_WEIGHT for p in phrases] + [holds(text, t).cast("int") * C.TOKEN_WEIGHT for t in tokens]
     parts += [holds(speaker, t).cast("int") * C.SPEAKER_WEIGHT for t in tokens if speaker] + [holds(role, t).cast("int") * C.ROLE_WEIGHT for t in tokens if role]
@@ -41,7 +63,7 @@ def keyword_search(
     found = df if where is None else df.where(where)
     scored = found.select(key, score.cast("int").alias("score"), F.left(F.col(text), F.lit(C.SNIPPET)).alias("snippet"), *([newest.alias("__newest")] if newest is not None else []))
     by = [F.col("score").desc(), *([F.col("__newest").desc_nulls_last()] if newest is not None else []), F.col(key).asc()]
-    return scored.where("score > 0").orderBy(*by).limit(limit).select(key, "score", "snippet")
+    return scored.orderBy(*by).limit(limit).where("score > 0").select(key, "score", "snippet")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -18,7 +18,7 @@ def normalized(pages: DataFrame, *, text: str = "text", page: str = "page", **pa
     return with_segments.withColumns(
         {
             "page_type": X.page_type(F.col("segments")),
-            "has_header": raw.rlike(r"(?U)제\d+회[-–—]?.{0,50}\d+차\s*\(\d{4}년\d+월\d+일\)"),
+            "has_header": raw.rlike("(?U)" + K.SESSION_HEADER),
             "has_marker": F.exists("segments", lambda s: (s["section_type"] == "body") & s["text"].rlike(marker)),
         }
     )

@@ -46,7 +46,7 @@ _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(_ALIASES.items()))
 @R.add(f"""SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, CASE w {_CASES} ELSE w END AS term FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents) WHERE length(w) >= 2)
 GROUP BY term ORDER BY n DESC, term LIMIT 10""")
 def profile_top_mentions(spark, sf_dir):
-    return A.top_mentions(table(spark, sf_dir, "documents"), "doc_id", F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 2), _ALIASES)
+    return A.top_mentions(table(spark, sf_dir, "documents"), F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 2), _ALIASES)
 
 
 @R.add("SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 3")
@@ -54,22 +54,22 @@ def profile_recent(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").orderBy(F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc()).limit(3)
 
 
-@R.add("""WITH m AS (SELECT o_custkey % 5 AS grp, strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_orderkey) AS corpus, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS core
-  FROM orders WHERE o_custkey % 97 < 5 AND month(o_orderdate) % 5 <> 2 GROUP BY ALL),
+@R.add("""WITH m AS (SELECT o_custkey AS grp, strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_orderkey) AS corpus, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS core
+  FROM orders GROUP BY ALL),
 s AS (SELECT grp, strftime(unnest(generate_series(min(strptime(month || '-01', '%Y-%m-%d')), max(strptime(month || '-01', '%Y-%m-%d')), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM m GROUP BY grp)
 SELECT grp, month, coalesce(corpus, 0) AS corpus, coalesce(core, 0) AS core FROM s LEFT JOIN m USING (grp, month)""")
 def timeline_gapfill(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 97 < 5 AND month(o_orderdate) % 5 <> 2")
-    m = o.groupBy((F.col("o_custkey") % 5).alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_distinct("o_orderkey").alias("corpus"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("core"))
+    """Months of each customer, from the first order to the last."""
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_distinct("o_orderkey").alias("corpus"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("core"))
     return A.gap_filled(m, columns=["corpus", "core"], by=["grp"])
 
 
-@R.add(f"""WITH c AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS n FROM events WHERE user_id % 7 = 3 GROUP BY ALL),
-x AS (SELECT a.event_type, a.day, a.n, median(b.n) AS med FROM c a JOIN c b ON a.event_type = b.event_type AND a.day <> b.day GROUP BY ALL)
-SELECT event_type, day, n, med AS median_others, round_even(n / med, 2) AS ratio FROM x WHERE med > 0 AND n / med >= {C.SPIKE_RATIO}::DOUBLE AND (SELECT count(*) FROM c WHERE c.event_type = x.event_type) >= {C.MIN_MONTHS}""")
+@R.add(f"""WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+x AS (SELECT a.user_id, a.day, a.n, median(b.n) AS med, count(*) AS others FROM c a JOIN c b ON a.user_id = b.user_id AND a.day <> b.day GROUP BY ALL)
+SELECT user_id, day, n, med AS median_others, round_even(n / med, 2) AS ratio FROM x WHERE med > 0 AND n / med >= {C.SPIKE_RATIO}::DOUBLE AND others + 1 >= {C.MIN_MONTHS}""")
 def spike_months(spark, sf_dir):
-    c = table(spark, sf_dir, "events").where("user_id % 7 = 3").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return A.spikes(c, ["event_type"], "day", "n")
+    c = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return A.spikes(c, ["user_id"], "day", "n")
 
 
 @R.add("SELECT DISTINCT o_orderpriority AS priority, date_trunc('quarter', o_orderdate)::DATE AS quarter FROM orders")
@@ -143,9 +143,7 @@ m AS (SELECT user_id, arg_max(stance, (n, -CASE stance WHEN 'oppose' THEN 1 WHEN
 SELECT c_mktsegment AS segment, grp, count(*) AS n FROM m JOIN customer ON user_id = c_custkey GROUP BY ALL""")
 def party_composition(spark, sf_dir):
     e = _stances(spark, sf_dir)
-    counts = e.groupBy("user_id", "stance").agg(F.count("*").alias("n"))
-    rank = F.when(F.col("stance") == "oppose", 1).when(F.col("stance") == "support", 2).when(F.col("stance") == "concern", 3).otherwise(99)
-    modal = counts.groupBy("user_id").agg(F.max_by("stance", F.struct(F.col("n"), -rank, F.col("stance"))).alias("grp"))
+    modal = A.modal(e, "user_id", "stance", ["oppose", "support", "concern"]).withColumnRenamed("stance", "grp")
     return modal.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), F.col("user_id") == F.col("c_custkey")).groupBy("segment", "grp").agg(F.count("*").alias("n"))
 
 
@@ -193,24 +191,30 @@ def anchor_coverage(spark, sf_dir):
     return g.withColumn("status", F.when(F.col("n_mapped") == 0, "MISS").otherwise("OK")).withColumn("quality_flag", F.when(F.col("source").isin("src3", "src7"), "low").otherwise("ok"))
 
 
-@R.add("""WITH i AS (SELECT * FROM (VALUES (1, 'nation'), (1, 'tion of'), (2, 'hand'), (3, 'onst')) t(issue, kw)),
+_ISSUES = {1: ["nation", "tion of"], 2: ["hand"], 3: ["onst"]}
+
+
+@R.add(f"""WITH i AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}')" for i, ks in _ISSUES.items() for k in ks)}) t(issue, kw)),
 h AS (SELECT doc_id, issue, count(*) FILTER (contains(lower(text), kw)) AS hits FROM documents, i GROUP BY ALL)
 SELECT doc_id, CASE WHEN mx > 0 AND n = 1 THEN best END AS issue FROM (SELECT doc_id, max(hits) AS mx, count(*) FILTER (hits = m) AS n, min(issue) FILTER (hits = m) AS best FROM (SELECT *, max(hits) OVER (PARTITION BY doc_id) AS m FROM h) GROUP BY doc_id)""")
 def issue_detection(spark, sf_dir):
-    issues = {1: ["nation", "tion of"], 2: ["hand"], 3: ["onst"]}
-    low = F.lower("text")
-    hits = F.array(*[F.struct(sum((F.contains(low, F.lit(k)).cast("int") for k in ks[1:]), F.contains(low, F.lit(ks[0])).cast("int")).alias("hits"), F.lit(i).alias("issue")) for i, ks in issues.items()])
-    d = table(spark, sf_dir, "documents").select("doc_id", hits.alias("h")).withColumn("mx", F.array_max(F.transform("h", lambda x: x["hits"])))
-    best = F.filter("h", lambda x: x["hits"] == F.col("mx"))
-    return d.select("doc_id", F.when((F.col("mx") > 0) & (F.size(best) == 1), F.get(best, F.lit(0))["issue"]).alias("issue"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.detected_issue(F.col("text"), _ISSUES).alias("issue"))
 
 
-@R.add("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE list_distinct(list_filter([doc_id % 9, doc_id % 4, doc_id % 9], lambda x: x BETWEEN 1 AND 6)).list_sort() END AS chosen FROM documents""")
+@R.add("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE list_distinct(list_filter([doc_id % 9, doc_id % 4, doc_id % 9], lambda x: x < 6)).list_sort() END AS chosen FROM documents""")
 def model_choice(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 3 == 2, F.lit("no json")).otherwise(F.format_string('{"ids": [%d, %d, %d]}', F.col("doc_id") % 9, F.col("doc_id") % 4, F.col("doc_id") % 9))
+    raw = F.when(F.col("doc_id") % 3 == 2, F.lit("no json")).otherwise(F.format_string('{"relevant": [%d, %d, %d]}', F.col("doc_id") % 9, F.col("doc_id") % 4, F.col("doc_id") % 9))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(A.parsed_choice(raw, 6)).cast("array<bigint>").alias("chosen"))
 
 
+@R.add("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN i = doc_id % 6 THEN 'oppose' WHEN i = doc_id % 3 THEN 'support' ELSE '-' END), ',') END AS stances FROM documents""")
+def model_stances(spark, sf_dir):
+    """A list of stances by number: one, a later one, one that is no stance, and broken answers."""
+    raw = F.when(F.col("doc_id") % 5 == 4, F.lit('{"items": 3')).otherwise(F.format_string('{"items": [{"i": %d, "stance": "support"}, {"i": %d, "stance": "oppose"}, {"i": 1, "stance": "shrug"}]}', F.col("doc_id") % 3, F.col("doc_id") % 6))
+    stances = A.parsed_stances(raw, 4)
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(stances.isNotNull(), F.array_join(F.transform(stances, lambda x: F.coalesce(x, F.lit("-"))), ",")).alias("stances"))
+
+
 _PARTY = "CASE c_mktsegment WHEN 'BUILDING' THEN 'blue' WHEN 'MACHINERY' THEN 'red' WHEN 'HOUSEHOLD' THEN 'green' END"
 _GROUP = "CASE user_id % 6 WHEN 0 THEN 'government' WHEN 1 THEN 'witness' ELSE 'assembly' END"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as K
 from talkweave.operators import evaluate as V
 from talkweave.operators import gates as G
 from talkweave.operators import search as S
@@ -49,17 +52,23 @@ def gate_turns(spark, sf_dir):
     return _turn_gate(spark, sf_dir)
 
 
-_CHUNK_SQL = _sql_gate("documents", [
-    ("date null", "BLOCK", _share("lang IS NULL"), C.CHUNK_DATE_NULL, True), ("speaker missing", "WARNING", _share("source IS NULL OR source = ''"), C.CHUNK_SPEAKER_MISSING, True),
-    ("blank text", "BLOCK", _share("text IS NULL OR trim(text) = ''"), C.CHUNK_BLANK, True), ("short text", "WARNING", _share(f"length(text) < {C.CHUNK_GATE_SHORT_CHARS}"), C.CHUNK_SHORT, True),
-    ("long text", "WARNING", _share(f"length(text) > {C.MAX_CHARS}"), C.CHUNK_LONG, True), ("source missing", "BLOCK", _share("source IS NULL OR source = ''"), C.CHUNK_SOURCE_MISSING, True),
-    ("duplicate ids", "BLOCK", "count(doc_id) - count(DISTINCT doc_id)", 0, True), ("marker detection", "WARNING", "NULL", 0, True),
+_KINDS = ", ".join(f"'{k}'" for k in K.CHUNK_TYPES)
+_CHUNK_SQL = _sql_gate("(SELECT *, CASE WHEN doc_id % 50 = 7 THEN 'note' ELSE 'utterance' END AS kind FROM documents)", [
+    ("empty", "BLOCK", "CASE WHEN count(*) = 0 THEN 1 ELSE 0 END", 0, True),
+    ("date null", "BLOCK", _share("lang IS NULL OR lang = ''"), C.CHUNK_DATE_NULL, True), ("speaker missing", "BLOCK", _share("source IS NULL OR source = ''"), C.CHUNK_SPEAKER_MISSING, True),
+    ("committee missing", "BLOCK", "count(*) FILTER (lang IS NULL OR lang = '')", 0, True),
+    ("blank text", "BLOCK", _share("text IS NULL OR NOT regexp_matches(text, '\\S')"), C.CHUNK_BLANK, True), ("short text", "WARNING", _share(f"length(coalesce(text, '')) < {C.CHUNK_GATE_SHORT_CHARS}"), C.CHUNK_SHORT, True),
+    ("long text", "WARNING", _share(f"length(text) > {C.CHUNK_GATE_LONG_CHARS}"), C.CHUNK_LONG, True), ("duplicate ids", "BLOCK", "count(doc_id) - count(DISTINCT doc_id)", 0, True),
+    ("marker detection", "WARNING", "NULL", 0, True), ("chunk type invalid", "BLOCK", f"count(*) FILTER (kind NOT IN ({_KINDS}))", 0, True),
+    ("source missing", "BLOCK", _share("doc_id IS NULL OR source IS NULL OR n_chars IS NULL OR lang IS NULL"), C.CHUNK_SOURCE_MISSING, True),
 ], "source")
 
 
 def _chunk_gate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return G.gate(d, G.chunk_checks(date=F.col("lang"), speaker=F.col("source"), text=F.col("text"), chunk_id=F.col("doc_id"), source=F.col("source"), is_long=F.length("text") > C.MAX_CHARS), ["source"])
+    kind = F.when(F.col("doc_id") % 50 == 7, "note").otherwise("utterance")
+    trace = [F.col(c) for c in ("doc_id", "source", "n_chars", "lang")]
+    return G.gate(d, G.chunk_checks(date=F.col("lang"), speaker=F.col("source"), committee=F.col("lang"), text=F.col("text"), chunk_id=F.col("doc_id"), chunk_type=kind, source=trace), ["source"])
 
 
 @R.add(_CHUNK_SQL)
@@ -67,9 +76,10 @@ def gate_chunks(spark, sf_dir):
     return _chunk_gate(spark, sf_dir)
 
 
-@R.add(f"SELECT source, CASE WHEN bool_or(status = 'BLOCK') THEN 'BLOCK' WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END AS result, count(*) FILTER (status IN ('BLOCK', 'WARNING')) AS n_failed FROM ({_CHUNK_SQL}) GROUP BY source")
+@R.add(f"""SELECT source, CASE WHEN bool_or(status = 'BLOCK') THEN 'BLOCK' ELSE 'OK' END AS result, count(*) FILTER (status = 'BLOCK') AS n_blocked, count(*) FILTER (status = 'WARNING') AS n_warnings,
+coalesce(string_agg(CASE WHEN status = 'BLOCK' THEN "check" || ': ' || printf('%.4f', value) || ' > ' || printf('%.4f', threshold) END, '; ' ORDER BY "check"), '') AS reasons FROM ({_CHUNK_SQL}) GROUP BY source""")
 def gate_report(spark, sf_dir):
-    return G.report(_chunk_gate(spark, sf_dir), ["source"]).drop("reasons")
+    return G.report(_chunk_gate(spark, sf_dir), ["source"])
 
 
 @R.add("SELECT d.doc_id, m.first_id, m.n FROM documents d JOIN (SELECT md5(text) AS h, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) m ON md5(d.text) = m.h")
@@ -124,10 +134,10 @@ def change_detection(spark, sf_dir):
     return L.changed(d, before, "doc_id", "digest").select("doc_id")
 
 
-@R.add("SELECT 'pages' AS layer, count(*) AS n_rows, count(DISTINCT source) AS n_sources, 1.0::DOUBLE AS share FROM documents UNION ALL SELECT 'turns', count(*), count(DISTINCT source), round(count(DISTINCT source) / (SELECT count(DISTINCT source) FROM documents), 4) FROM documents WHERE lang = 'es' AND source < 'src2'")
+@R.add("SELECT 'pages' AS layer, count(*) AS n_rows, count(DISTINCT source) AS n_sources, 1.0::DOUBLE AS share FROM documents UNION ALL SELECT 'labelled', count(*), count(DISTINCT source), round(count(DISTINCT source) / (SELECT count(DISTINCT source) FROM documents), 4) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def layer_census(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return L.census({"pages": d, "turns": d.where("lang = 'es' AND source < 'src2'")}, "source")
+    return L.census({"pages": d, "labelled": d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")}, "source")
 
 
 @R.add("SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 5000 GROUP BY n_name ORDER BY n DESC, n_name")
@@ -158,10 +168,13 @@ def autocomplete(spark, sf_dir):
     return table(spark, sf_dir, "part").where(S.holds("p_name", "re")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10)
 
 
-@R.add(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "conversations", "embeddings", "events")))
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@R.add(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
 def table_counts(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("documents", "conversations", "embeddings", "events")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in _TABLES]
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 @R.add("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_high, count(*) FILTER (user_id % 2 = 0) AS n_even, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS cost, count(*) FILTER (value < 1) AS n_rated, round(avg(value), 6) AS avg_value FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY event_type""")
@@ -195,7 +208,11 @@ def daily_cost(spark, sf_dir):
     return e.agg(F.max_by(F.coalesce("v", F.lit(0.0)), "day").alias("c")).select((F.col("c") > C.DAILY_COST).alias("over_limit"), F.round("c", 2).alias("cost"))
 
 
-@R.add()
+@R.add("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, event_id, rn, true AS allowed, [ts] AS held FROM o WHERE rn = 1
+  UNION ALL SELECT user_id, event_id, rn, len(held) < 2, CASE WHEN len(held) < 2 THEN list_append(held, ts) ELSE held END
+  FROM (SELECT o.user_id, o.event_id, o.rn, o.ts, list_filter(f.held, lambda x: x > o.ts - INTERVAL 1 HOUR) AS held FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+SELECT user_id, event_id, allowed FROM f""")
 def rate_limit(spark, sf_dir):
     return ratelimit.limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=2, seconds=3600)
 
@@ -217,18 +234,22 @@ def stream_session(spark, sf_dir):
     return s.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
-@R.add("""WITH q AS (SELECT doc_id AS q, lang, source FROM documents WHERE doc_id % 20 = 0), h AS (SELECT q.q, q.lang, d.doc_id, d.lang = q.lang AND l.quality = 1 AS rel, row_number() OVER (PARTITION BY q.q ORDER BY md5(d.doc_id || '|' || q.q), d.doc_id) AS rank FROM q JOIN documents d ON d.source = q.source AND d.doc_id <> q.q LEFT JOIN labels l ON l.doc_id = d.doc_id),
-f AS (SELECT lang, q, min(rank) FILTER (rel) AS r FROM h WHERE rank <= 30 GROUP BY ALL)
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 9))"
+
+
+@R.add(f"""WITH w AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, unnest(w) AS x FROM w), q AS (SELECT doc_id AS q, lang, unnest(w) AS x FROM w WHERE doc_id % 20 = 0),
+h AS (SELECT q, d.doc_id, count(*) AS n FROM q JOIN d USING (x) WHERE q <> d.doc_id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, doc_id) AS rank FROM h),
+f AS (SELECT a.lang, a.doc_id AS q, min(rank) FILTER (b.lang = a.lang AND b.source = a.source) AS r FROM w a LEFT JOIN r ON r.q = a.doc_id AND rank <= 10 LEFT JOIN w b ON b.doc_id = r.doc_id WHERE a.doc_id % 20 = 0 GROUP BY ALL)
 SELECT lang, count(*) AS n, round_even(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 3) AS recall_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 3) AS recall_10, round_even(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0.0 END), 3) AS mrr_10 FROM f GROUP BY lang""")
 def eval_recall_mrr(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), F.col("lang").alias("q_lang"), "source")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    pairs = d.join(q, "source").where("doc_id <> q")
-    draw = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("q").cast("string")).cast("binary"))
-    top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(draw, "doc_id"))).where("rank <= 30").join(labels, "doc_id", "left")
-    rel = F.coalesce((F.col("lang") == F.col("q_lang")) & (F.col("quality") == 1), F.lit(False))
-    return V.recall_mrr(top.select("q", F.col("q_lang"), "rank", rel.alias("rel")), "q", ["q_lang"], "rank", F.col("rel")).withColumnRenamed("q_lang", "lang")
+    """Every twentieth document's long words as a question to all documents; a hit of its language and source is relevant."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 9).alias("w"))
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), F.col("w").alias("qw"))
+    hits = S.word_hits(d, q, "doc_id", "q", F.col("w"), F.col("qw"), limit=C.MRR_CUT).join(d.select("doc_id", "lang", "source"), "doc_id")
+    asked = q.drop("qw").join(hits, "q", "left")
+    criteria = F.struct(F.array("q_source").alias("committee_any"), F.array().cast("array<string>").alias("date_any"), F.array("q_lang").alias("speaker_any"), F.array().cast("array<string>").alias("text_any"), F.array().cast("array<array<string>>").alias("text_all"), F.lit("and").alias("mode"))
+    rel = F.coalesce(V.relevant(criteria, text=F.lit(""), speaker=F.col("lang"), committee=F.col("source"), date=F.lit("")), F.lit(False))
+    return V.recall_mrr(asked.select("q", F.col("q_lang").alias("lang"), "rank", rel.alias("rel")), "q", ["lang"], "rank", F.col("rel"))
 
 
 @R.add("SELECT a AS label_a, b AS label_b, count(l.doc_id) AS n FROM (VALUES (0), (1)) x(a) CROSS JOIN (VALUES (0), (1)) y(b) LEFT JOIN labels l ON l.quality = a AND l.toxic = b GROUP BY ALL")

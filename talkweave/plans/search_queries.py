@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.operators import chunk as K
 from talkweave.operators import evidence as E
 from talkweave.operators import search as S
 from talkweave.plans.base import Registry, table
+from talkweave.plans.text_queries import chunks_sql
 
 R = Registry()
 QUESTION = "of the entire nation"
@@ -101,55 +104,112 @@ def neighbor_expand(spark, sf_dir):
     return E.neighbours(turns, hits, "conv_id", "turn").select("conv_id", "turn", "role", F.left("text", F.lit(C.NEIGHBOUR_CHARS)).alias("text"))
 
 
-@R.add()
-def evidence_window(spark, sf_dir):
-    """Sentences of each document around its middle one, up to the evidence limit."""
-    from talkweave.operators.chunk import chunks
+_WINDOW = """WITH RECURSIVE {chunks}, p AS (SELECT doc_id, list(chunk_text ORDER BY chunk_index) AS p, ceil(max(chunk_total) / 2.0)::INT AS hit FROM chunks GROUP BY doc_id),
+g AS (SELECT doc_id, p, hit AS lo, hit AS hi, length(p[hit]) AS size, true AS ahead, 1 AS step FROM p WHERE length(array_to_string(p, ' ')) > {limit}
+  UNION ALL SELECT doc_id, p, CASE WHEN side < 0 THEN lo - 1 ELSE lo END, CASE WHEN side > 0 THEN hi + 1 ELSE hi END, size + 1 + length(CASE WHEN side > 0 THEN p[hi + 1] ELSE p[lo - 1] END), NOT ahead, step + 1
+  FROM (SELECT *, CASE WHEN ahead AND r THEN 1 WHEN l THEN -1 WHEN r THEN 1 ELSE 0 END AS side FROM (SELECT *, hi < len(p) AND size + 1 + coalesce(length(p[hi + 1]), 0) <= {limit} AS r, lo > 1 AND size + 1 + coalesce(length(p[lo - 1]), 0) <= {limit} AS l FROM g)) WHERE side <> 0),
+e AS (SELECT doc_id, arg_max(p, step) AS p, arg_max(lo, step) AS lo, arg_max(hi, step) AS hi, arg_max(size, step) AS size FROM g GROUP BY doc_id),
+t AS (SELECT *, array_to_string(p[lo:hi], ' ') AS body, CASE WHEN lo > 1 AND {limit} - size > 1 THEN CASE WHEN hi < len(p) THEN least(({limit} - size) // 2, length(p[lo - 1])) ELSE least({limit} - size - 1, length(p[lo - 1])) END ELSE 0 END AS tail FROM e),
+u AS (SELECT *, CASE WHEN lo > 1 AND {limit} - size > 1 THEN '…' || right(p[lo - 1], tail) || ' ' || body ELSE body END AS left_text, CASE WHEN lo > 1 AND {limit} - size > 1 THEN {limit} - size - tail - 2 ELSE {limit} - size END AS room FROM t)
+SELECT doc_id, CASE WHEN hi < len(p) AND room > 1 THEN left_text || ' ' || left(p[hi + 1], room - 1) || '…' ELSE left_text END AS evidence FROM u
+UNION ALL SELECT doc_id, array_to_string(p, ' ') FROM p WHERE length(array_to_string(p, ' ')) <= {limit}"""
+
 
-    pieces = chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", max_chars=800)
+@R.add(_WINDOW.format(chunks=chunks_sql("documents", "doc_id", 800), limit=C.EVIDENCE_CHARS))
+def evidence_window(spark, sf_dir):
+    """Chunks of each document around its middle one, up to the evidence limit."""
+    pieces = K.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", max_chars=800)
     hits = pieces.withColumn("hit", F.col("chunk_index") == F.ceil(F.col("chunk_total") / 2))
     return E.windows(hits, "doc_id", "chunk_index", "chunk_text", "hit", C.EVIDENCE_CHARS)
 
 
-_CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::INT)))"
+_CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d{1,9})\\]', 1), lambda x: x::INT)))"
+_ANSWERS = "SELECT doc_id, text || ' [' || (doc_id % 7) || '] and [' || (doc_id % 3) || '][2]' AS answer FROM documents"
 
 
-@R.add(f"""WITH a AS (SELECT doc_id, left(text, 60) || ' [' || (doc_id % 7) || '] and [' || (doc_id % 3) || '][2]' AS answer FROM documents)
-SELECT doc_id, list_filter({_CITED}, lambda x: x BETWEEN 1 AND 5) AS cited, list_filter({_CITED}, lambda x: NOT x BETWEEN 1 AND 5) AS invalid FROM a""")
+def _answers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ["), F.col("doc_id") % 7, F.lit("] and ["), F.col("doc_id") % 3, F.lit("][2]")).alias("answer"))
+
+
+@R.add(f"""WITH a AS ({_ANSWERS}) SELECT doc_id, list_filter({_CITED}, lambda x: x BETWEEN 1 AND 5) AS cited, list_filter({_CITED}, lambda x: NOT x BETWEEN 1 AND 5) AS invalid FROM a""")
 def citation_parse(spark, sf_dir):
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(60)), F.lit(" ["), F.col("doc_id") % 7, F.lit("] and ["), F.col("doc_id") % 3, F.lit("][2]")).alias("answer"))
-    return answers.select("doc_id", *E.citations(F.col("answer"), F.lit(5)))
+    return _answers(spark, sf_dir).select("doc_id", *E.citations(F.col("answer"), F.lit(5)))
+
 
+@R.add(f"""WITH a AS ({_ANSWERS}), c AS (SELECT doc_id, {_CITED} AS cited FROM a)
+SELECT conv_id AS doc_id, turn::INT AS n, role AS speaker, left(text, {C.SNIPPET}) AS snippet FROM conversations JOIN c ON conv_id = doc_id WHERE list_contains(cited, turn::INT) AND turn BETWEEN 1 AND 7""")
+def cited_sources(spark, sf_dir):
+    """Turns of a conversation as the numbered sources of an answer: those that it cites, as they are shown."""
+    sources = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("n"), F.col("role").alias("speaker"), "text")
+    answers = _answers(spark, sf_dir).select("doc_id", E.citations(F.col("answer"), F.lit(7))[0])
+    return E.summaries(E.cited_only(sources, answers, "doc_id"), fields=("doc_id", "n", "speaker"))
 
-@R.add("""WITH h AS (SELECT label AS query, max(CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END) AS kw, max(round(list_cosine_similarity(embedding::DOUBLE[], """ + _Q + """), 6)) AS best, count(*) AS n
-  FROM embeddings WHERE label % 2 = 0 AND vec_id % 10 <> 0 GROUP BY label)
-SELECT query, n AS n_hits, best AS best_score, CASE WHEN kw = 0 AND best < 0.4 THEN 'REFUSED' ELSE 'PASS' END AS gate FROM h""")
+
+@R.add("""WITH h AS (SELECT label AS query, bool_or(vec_id % 3 = 0 AND label % 2 = 1) AS kw, max(round(list_cosine_similarity(embedding::DOUBLE[], """ + _Q + """), 6)) AS best, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+SELECT label AS query, coalesce(n, 0) AS n_hits, best AS best_score, CASE WHEN n IS NULL THEN 'NONE' WHEN NOT kw AND best < 0.4 THEN 'REFUSED' ELSE 'PASS' END AS gate FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL UNION ALL SELECT -1) q LEFT JOIN h ON h.query = q.label""")
 def grounding_pre_gate(spark, sf_dir):
+    """A query for each label, and one without hits; keyword hits for odd labels."""
     q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf_dir)])
-    hits = table(spark, sf_dir, "embeddings").where("label % 2 = 0 AND vec_id % 10 <> 0").select(
-        F.col("label").alias("query"), F.lit(None).cast("int").alias("kw_rank"), F.round(S.cosine(F.col("embedding"), q), 6).alias("vec_score")
-    )
-    return E.pre_gate(hits, "query")
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    rank = F.when((F.col("vec_id") % 3 == 0) & (F.col("label") % 2 == 1), 1)
+    hits = e.select(F.col("label").alias("query"), rank.alias("kw_rank"), F.round(S.cosine(F.col("embedding"), q), 6).alias("vec_score"))
+    asked = e.select(F.col("label").alias("query")).distinct().unionAll(spark.range(1).select(F.lit(-1).alias("query")))
+    return E.pre_gate(hits, "query", asked)
 
 
-@R.add("""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 40) || ' [1]' WHEN 1 THEN left(text, 40) || ' cannot be confirmed [1]' WHEN 2 THEN left(text, 40) || ' is not mentioned' ELSE left(text, 40) END AS answer,
+@R.add("""WITH a AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' cannot be confirmed [1]' WHEN 2 THEN ' is not mentioned' ELSE '' END AS answer,
   CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS n_cited, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS n_invalid FROM documents),
 g AS (SELECT *, CASE WHEN n_cited > 0 THEN CASE WHEN regexp_matches(answer, 'cannot be confirmed') THEN 'PARTIAL' ELSE 'FULL' END WHEN regexp_matches(answer, 'cannot be confirmed|not mentioned|not found') THEN 'REFUSED' ELSE 'PARTIAL' END AS level FROM a)
 SELECT doc_id, CASE WHEN n_invalid > 0 AND level = 'FULL' THEN 'PARTIAL' ELSE level END AS grounding, n_cited = 0 AND level = 'PARTIAL' AS ungrounded FROM g""")
 def grounding_grade(spark, sf_dir):
-    answer = F.left("text", F.lit(40))
+    ending = F.when(F.col("doc_id") % 4 == 0, " [1]").when(F.col("doc_id") % 4 == 1, " cannot be confirmed [1]").when(F.col("doc_id") % 4 == 2, " is not mentioned").otherwise("")
     d = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.when(F.col("doc_id") % 4 == 0, F.concat(answer, F.lit(" [1]"))).when(F.col("doc_id") % 4 == 1, F.concat(answer, F.lit(" cannot be confirmed [1]"))).when(F.col("doc_id") % 4 == 2, F.concat(answer, F.lit(" is not mentioned"))).otherwise(answer).alias("answer"),
-        F.when(F.col("doc_id") % 4 < 2, 1).otherwise(0).alias("n_cited"),
-        F.when(F.col("doc_id") % 8 == 0, 1).otherwise(0).alias("n_invalid"),
+        "doc_id", F.concat("text", ending).alias("answer"), F.when(F.col("doc_id") % 4 < 2, 1).otherwise(0).alias("n_cited"), F.when(F.col("doc_id") % 8 == 0, 1).otherwise(0).alias("n_invalid")
     )
     return d.select("doc_id", *E.judged(F.col("answer"), F.col("n_cited"), F.col("n_invalid"), strict="cannot be confirmed", broad="cannot be confirmed|not mentioned|not found"))
 
 
-@R.add("""WITH s AS (SELECT doc_id, source, left(text, 50) AS text, row_number() OVER (ORDER BY doc_id) AS n FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 12)),
-g AS (SELECT source, min(n) AS first_n, string_agg('[' || n || '] ' || source || ': ' || text, chr(10) ORDER BY n) AS block FROM s GROUP BY source)
-SELECT source, block, row_number() OVER (ORDER BY first_n)::INT AS place FROM g""")
+@R.add("""WITH t AS (SELECT DISTINCT conv_id, turn + d AS turn FROM conversations, (VALUES (-1), (0), (1)) o(d) WHERE role = 'assistant' AND turn % 4 = 1)
+SELECT c.conv_id, c.turn, length(text) AS chars FROM conversations c JOIN t USING (conv_id, turn)""")
+def scope_expand(spark, sf_dir):
+    """Hits with the turns on either side of them."""
+    turns = table(spark, sf_dir, "conversations")
+    return E.expanded(turns, turns.where("role = 'assistant' AND turn % 4 = 1"), "conv_id", "turn").select("conv_id", "turn", F.length("text").alias("chars"))
+
+
+@R.add("""WITH s AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents), t AS (SELECT s.*, text FROM s JOIN documents USING (doc_id) WHERE n <= 5),
+g AS (SELECT lang, source, min(n) AS first_n, string_agg('[' || n || '] ' || source || ': ' || text, chr(10) ORDER BY n) AS block FROM t GROUP BY ALL)
+SELECT lang, source, block, row_number() OVER (PARTITION BY lang ORDER BY first_n)::INT AS place FROM g""")
 def source_block(spark, sf_dir):
-    top = S.ranked(table(spark, sf_dir, "documents").select("doc_id", "source", F.left("text", F.lit(50)).alias("text")).orderBy("doc_id").limit(12), F.col("doc_id"))
-    return E.source_blocks(top, "source", "rank", F.format_string("[%d] %s: %s", "rank", "source", "text"))
+    """For each language as a question: its first five documents as numbered sources, in blocks by source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    top = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where(F.col("rank") <= C.QA_LIMIT)
+    return E.source_blocks(top, "source", "rank", F.format_string("[%d] %s: %s", "rank", "source", "text"), ["lang"])
+
+
+@R.add("SELECT doc_id, round((length(text) * 0.1537::DOUBLE + len(string_split(text, ' ')) * 0.6141::DOUBLE) / 1000000.0::DOUBLE, 6) AS usd FROM documents")
+def answer_cost(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", E.cost(F.length("text"), F.size(F.split("text", " ")), 0.1537, 0.6141).alias("usd"))
+
+
+_HAN = {"ththe": "하나", "onth": "둘"}
+
+
+@R.add(f"""WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS name FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(name, '^[가-힣]+$') THEN name {" ".join(f"WHEN name = '{k}' THEN name || '({v})'" for k, v in _HAN.items())} ELSE name END AS shown FROM w""")
+def shown_names(spark, sf_dir):
+    """The first word of each document as a name, with its alias where it has one."""
+    return table(spark, sf_dir, "documents").select("doc_id", E.display_name(F.get(F.split("text", " "), F.lit(0)), _HAN).alias("shown"))
+
+
+_ASKED = "of the nation in src1 on 2024-03-01"
+
+
+@R.add(_KW.format(score=" + ".join([f"{C.PHRASE_WEIGHT} * {_hit('text', 'of the nation in src1 on')}"] + [f"{C.TOKEN_WEIGHT} * {_hit('text', t)}" for t in "of the nation in src1 on".split()]), more="AND source IN ('src1')").replace("LIMIT 20", "LIMIT 10"))
+def kw_search_auto_filters(spark, sf_dir):
+    """Names in a question become filters, and its dates go, unless the caller says otherwise."""
+    from talkweave.functions.question import search_filters
+
+    asked = search_filters(_ASKED, {"src1": "src1", "src2": "src2"})
+    phrases, tokens = S.query_terms(asked.text)
+    return S.keyword_search(table(spark, sf_dir, "documents"), "doc_id", phrases, tokens, where=F.col("source").isin(*asked.names), limit=10)

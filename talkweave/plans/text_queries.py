@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
@@ -10,6 +9,7 @@ from talkweave.functions import text as X
 from talkweave.operators import chunk as K
 from talkweave.operators import turns as T
 from talkweave.plans.base import Registry, table
+from talkweave.sources import layers as L
 
 R = Registry()
 #: On the test tables, which have no minutes: short lines, lines of marks and lines that name a licence are noise.
@@ -42,8 +42,15 @@ def line_census(spark, sf_dir):
 
 @R.add(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def page_text_extract(spark, sf_dir):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>", " "), r"<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
+    return L.page_texts(table(spark, sf_dir, "pages"), "page_id", "html")[0]
+
+
+@R.add(r"""SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '<p> </p>' ELSE html END AS html FROM pages) GROUP BY page_id
+HAVING bool_and(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) = '')""")
+def blank_sources(spark, sf_dir):
+    """Sources all of whose pages are blank; here every fifth page's text is taken away."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 == 0, "<p> </p>").otherwise(F.col("html")))
+    return L.page_texts(pages, "page_id", "html")[1]
 
 
 @R.add(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query,
@@ -58,49 +65,130 @@ def url_parts(spark, sf_dir):
 
 @R.add(r"""SELECT page_id, lang || '_' || number || '_' || replace(host, '.', '-') || '.html' AS file_name FROM (SELECT page_id, regexp_extract(html, '<html lang="(\w+)"', 1) AS lang, regexp_extract(url, '(\d{4,})', 1) AS number, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)""")
 def file_names(spark, sf_dir):
-    host = F.regexp_replace(F.regexp_extract("url", r"^https?://([^/]+)", 1), r"\.", "-")
-    name = F.concat(F.concat_ws("_", F.regexp_extract("html", r'<html lang="(\w+)"', 1), F.regexp_extract("url", r"(\d{4,})", 1), host), F.lit(".html"))
+    name = L.file_name(F.regexp_extract("html", r'<html lang="(\w+)"', 1), F.regexp_extract("url", r"(\d{4,})", 1), host=F.regexp_extract("url", r"^https?://([^/]+)", 1))
     return table(spark, sf_dir, "pages").select("page_id", name.alias("file_name"))
 
 
+#: Letters as Hangul syllables, so that the minutes below have words that end, go on, and carry particles.
+_HANGUL = "나리지마다교보소고하가스디는사회부을수로구버무세법조"
+_HEADER = "제415회-국토교통위원회제2차(2024년6월11일)"
+_WHO = {"user": "위원 김하나", "assistant": "홍길동 장관"}
+
+
 def _minutes(spark, sf_dir):
-    """Conversations as pages of minutes: each turn a marked line under its role, one page for three turns."""
-    line = F.concat(F.when(F.col("turn") % 3 == 2, "").otherwise("◯"), F.when(F.col("role") == "user", "위원 김하나").when(F.col("role") == "assistant", "홍길동 장관").otherwise("출석 위원"), F.lit(" "), F.regexp_replace("text", "\n", " "))
+    """Conversations as pages of minutes: each turn a marked speaker and Hangul lines of 14 characters, some of them under an
+    agenda or report heading; three turns a page, each page with a running header and a page mark."""
+    body = F.regexp_replace(F.translate(F.lower(F.regexp_replace("text", r"\s+", " ")), "abcdefghijklmnopqrstuvwxyz", _HANGUL), "(.{14})", "$1\n")
+    who = F.when(F.col("role") == "user", _WHO["user"]).when(F.col("role") == "assistant", _WHO["assistant"]).otherwise("출석 위원")
+    head = F.when(F.col("turn") % 6 == 2, "의사일정\n").when(F.col("turn") % 7 == 4, "■ 보고사항\n").otherwise("")
+    line = F.concat(head, F.when(F.col("turn") % 3 == 2, "").otherwise("◯"), who, F.lit(" "), body)
     turns = table(spark, sf_dir, "conversations").withColumn("page", F.floor(F.col("turn") / 3).cast("int") + 1).withColumn("line", line)
-    return turns.groupBy(F.col("conv_id").alias("source_id"), "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    pages = turns.groupBy(F.col("conv_id").alias("source_id"), "page").agg(lines.alias("text"))
+    return pages.withColumn("text", F.concat(F.lit(_HEADER + "\n"), "text", F.lit("\n- "), "page", F.lit(" -")))
 
 
-@R.add()
-def section_segments(spark, sf_dir):
-    return T.normalized(_minutes(spark, sf_dir)).select("source_id", "page", "page_type", "has_header", "has_marker", F.to_json("segments").alias("segments"))
+_MINUTES = f"""SELECT conv_id AS source_id, (turn // 3)::INT + 1 AS page, '{_HEADER}' || chr(10) || string_agg(CASE WHEN turn % 6 = 2 THEN '의사일정' || chr(10) WHEN turn % 7 = 4 THEN '■ 보고사항' || chr(10) ELSE '' END
+ || CASE WHEN turn % 3 = 2 THEN '' ELSE '◯' END || CASE role WHEN 'user' THEN '{_WHO['user']}' WHEN 'assistant' THEN '{_WHO['assistant']}' ELSE '출석 위원' END || ' '
+ || regexp_replace(translate(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'abcdefghijklmnopqrstuvwxyz', '{_HANGUL}'), '(.{{14}})', '\\1' || chr(10), 'g'), chr(10) ORDER BY turn)
+ || chr(10) || '- ' || ((turn // 3)::INT + 1) || ' -' AS text FROM conversations GROUP BY conv_id, turn // 3"""
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
 
+def _any(x: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
 
-@R.add()
+
+_NOISE_SQL = f"({_strip('x')} <> '' AND ({_any(_strip('x'), X.K.NOISE.values())} OR regexp_matches({_strip('x')}, '{X.K.PAGE_MARK}') AND length({_strip('x')}) < 12))"
+_STARTS = f"^[{X.K.MARKERS}{X.K.HEADINGS}]|{X.K.REPORT_START}|{X.K.AGENDA_START}"
+_LAST = "split_part(a, chr(10), -1)"
+_GLUE = f"""regexp_matches({_LAST}, '[가-힣]$') AND regexp_matches(x, '^[가-힣]') AND NOT regexp_matches({_LAST}, '[{X.K.SENTENCE_LAST}{X.K.PARTICLE_LAST}]$')
+ AND (regexp_matches(x, '{X.K.FORCED_JOIN}') OR length(regexp_extract({_LAST}, '(\\S*)$', 1)) <= 3)"""
+_NOW = "split_part(split_part(a, chr(30), -1), chr(31), 1)"
+_KIND = f"CASE WHEN regexp_matches(x, '{X.K.REPORT_START}') OR {_NOW} = 'report' THEN 'report' WHEN regexp_matches(x, '^[{X.K.MARKERS}]') THEN 'body' WHEN regexp_matches(x, '{X.K.AGENDA_START}') AND {_NOW} <> 'body' THEN 'agenda' ELSE {_NOW} END"
+#: Folds over a text that carries its own state: lines parted by a line feed, blocks by chr(30), a block's kind by chr(31).
+_BLOCKS = f"""m AS ({_MINUTES}),
+clean AS (SELECT *, list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT {_NOISE_SQL}), lambda x: {_strip("regexp_replace(x, '[ \t]{2,}', ' ', 'g')")}) AS l FROM m),
+whole AS (SELECT *, string_split(substr(list_reduce(list_prepend('', l), lambda a, x: CASE WHEN {_LAST} = '' OR x = '' OR regexp_matches(x, '{_STARTS}') THEN a || chr(10) || x WHEN {_GLUE} THEN a || x ELSE a || ' ' || x END), 2), chr(10)) AS lines FROM clean WHERE len(l) > 0),
+folded AS (SELECT *, list_reduce(list_prepend((CASE WHEN page <= 2 THEN 'cover' ELSE 'body' END) || chr(31), lines), lambda a, x: CASE WHEN {_KIND} = {_NOW} THEN a || chr(10) || x ELSE a || chr(30) || {_KIND} || chr(31) || x END) AS acc FROM whole),
+blocks AS (SELECT source_id, page, text, list_filter(list_transform(string_split(acc, chr(30)), lambda b: split_part(b, chr(31), 1) || '|' || {_strip("split_part(b, chr(31), 2)")}), lambda b: NOT regexp_matches(b, '^[a-z]+[|]$')) AS b FROM folded)"""
+
+
+@R.add(f"""WITH {_BLOCKS}, k AS (SELECT *, list_distinct(list_transform(b, lambda x: split_part(x, '|', 1))) AS kinds FROM blocks)
+SELECT source_id, page, CASE len(kinds) WHEN 0 THEN 'unknown' WHEN 1 THEN kinds[1] ELSE 'mixed' END AS page_type, regexp_matches(text, '{X.K.SESSION_HEADER}') AS has_header,
+len(list_filter(b, lambda x: starts_with(x, 'body|') AND regexp_matches(x, '[{X.K.MARKERS}]'))) > 0 AS has_marker, len(b)::INT AS n_segments, array_to_string(b, chr(29)) AS segments FROM k""")
+def section_segments(spark, sf_dir):
+    joined = F.array_join(F.transform("segments", lambda s: F.concat(s["section_type"], F.lit("|"), s["text"])), "\x1d")
+    return T.normalized(_minutes(spark, sf_dir)).select("source_id", "page", "page_type", "has_header", "has_marker", F.size("segments").alias("n_segments"), joined.alias("segments"))
+
+
+def _speaker_sql(h: str, what: str) -> str:
+    """The name or the role of a header: forms in order, no pronouns in the forms where the name could be one."""
+    out = []
+    for i, (p, name, role) in enumerate(X.K.SPEAKER_FORMS):
+        person = f"regexp_extract({h}, '{p}', {name})"
+        value = person if what == "name" else f"regexp_extract({h}, '{p}', {role})" if role else "NULL"
+        pronouns = ", ".join(f"'{x}'" for x in X.K.NOT_NAMES)
+        out.append(f"WHEN regexp_matches({h}, '{p}') THEN " + (value if i < 2 else f"CASE WHEN {person} NOT IN ({pronouns}) THEN {value} END"))
+    return "CASE " + " ".join(out) + " END"
+
+
+def _split_sql(source: str) -> str:
+    """CTEs from a table with a stripped header: who(name, role, rest) of its first two tokens, its first, or all of it."""
+    return f"""tokens AS (SELECT *, string_split(header, ' ') AS t FROM {source}),
+heads AS (SELECT *, {_strip("t[1] || ' ' || t[2]")} AS h2, {_strip("t[1]")} AS h1, {_strip("header")} AS h0 FROM tokens),
+names AS (SELECT *, CASE WHEN len(t) >= 2 THEN {_speaker_sql('h2', 'name')} END AS n2, CASE WHEN len(t) >= 2 THEN {_speaker_sql('h1', 'name')} END AS n1, {_speaker_sql('h0', 'name')} AS n0 FROM heads),
+who AS (SELECT *, coalesce(n2, n1, n0) AS name, CASE WHEN n2 IS NOT NULL THEN {_speaker_sql('h2', 'role')} WHEN n1 IS NOT NULL THEN {_speaker_sql('h1', 'role')} WHEN n0 IS NOT NULL THEN {_speaker_sql('h0', 'role')} END AS "role",
+  CASE WHEN n2 IS NOT NULL THEN array_to_string(t[3:], ' ') WHEN n1 IS NOT NULL THEN array_to_string(t[2:], ' ') WHEN n0 IS NOT NULL THEN '' END AS rest FROM names)"""
+
+
+_DROPPED = f"(who.name IS NULL OR regexp_matches(header, '{X.K.DROPPED_HEADERS}') OR who.name IN ({', '.join(repr(x) for x in X.K.DROPPED_NAMES)}))"
+
+
+@R.add(f"""WITH {_BLOCKS}, seg AS (SELECT source_id, page, unnest(b) AS x, generate_subscripts(b, 1) AS seg FROM blocks),
+body AS (SELECT *, split_part(x, '|', 1) AS kind, substr(x, length(split_part(x, '|', 1)) + 2) AS body FROM seg),
+parts AS (SELECT source_id, page, seg, string_split(regexp_replace(body, '([{X.K.MARKERS}])', chr(30) || '\\1', 'g'), chr(30)) AS p FROM body WHERE kind = 'body' OR kind = 'cover' AND page > 1 OR regexp_matches(body, '[{X.K.MARKERS}]')),
+pieces AS (SELECT source_id, page, seg, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM parts),
+heads0 AS (SELECT *, regexp_matches(raw, '^[{X.K.MARKERS}]') AS is_turn, CASE WHEN regexp_matches(raw, '^[{X.K.MARKERS}]') THEN {_strip(f"regexp_replace(regexp_extract(raw, '^([^\n]*)', 1), '^[{X.K.MARKERS}]', '')")} ELSE '' END AS header FROM pieces WHERE {_strip("raw")} <> ''),
+{_split_sql('heads0')},
+kept AS (SELECT *, sum(is_turn::INT) OVER (PARTITION BY source_id ORDER BY page, seg, piece) AS turn_no,
+  CASE WHEN is_turn THEN {_strip("rest || chr(10) || regexp_extract(raw, '(?s)^[^\n]*\n?(.*)$', 1)")} ELSE {_strip("raw")} END AS said FROM who WHERE NOT is_turn OR NOT {_DROPPED})
+SELECT source_id, turn_no::BIGINT AS turn_no, printf('%s_turn_%04d', source_id::VARCHAR, turn_no::BIGINT) AS turn_id, max(name) FILTER (is_turn) AS speaker, max("role") FILTER (is_turn) AS "role",
+string_agg(said, chr(10) ORDER BY page, seg, piece) AS text, min(page) AS page_start, max(page) AS page_end FROM kept WHERE turn_no > 0 GROUP BY source_id, turn_no""")
 def speaker_turns(spark, sf_dir):
     return T.turns(T.normalized(_minutes(spark, sf_dir)))
 
 
-@R.add()
+_HEADS = {"user": "위원장 김하나", "assistant": "홍길동 장관", "system": "국토교통부제2차관 박이나"}
+_PRONOUN = "여러 위원"
+
+
+@R.add(f"""WITH h AS (SELECT conv_id, turn, CASE WHEN turn % 9 = 8 THEN '{_PRONOUN}' WHEN role = 'user' THEN '{_HEADS['user']}' WHEN role = 'assistant' THEN '{_HEADS['assistant']}' ELSE '{_HEADS['system']}' END || ' ' || text AS header FROM conversations),
+{_split_sql('h')} SELECT conv_id, turn, name, "role", rest FROM who""")
 def speaker_split(spark, sf_dir):
-    heads = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("role") == "user", "위원장 김하나").when(F.col("role") == "assistant", "홍길동 장관").otherwise("국토교통부제2차관 박이나"), F.lit(" "), F.left("text", F.lit(30))).alias("header"))
+    who = F.when(F.col("turn") % 9 == 8, _PRONOUN).when(F.col("role") == "user", _HEADS["user"]).when(F.col("role") == "assistant", _HEADS["assistant"]).otherwise(_HEADS["system"])
+    heads = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(who, F.lit(" "), "text").alias("header"))
     return heads.select("conv_id", "turn", X.split_header(F.col("header")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@R.add()
+@R.add(f"""WITH {_BLOCKS}, seg AS (SELECT unnest(b) AS x FROM blocks), h AS (SELECT {_strip("unnest(regexp_extract_all(substr(x, length(split_part(x, '|', 1)) + 2), '(?m)^[" + X.K.MARKERS + "]([^\n]*)', 1))")} AS header FROM seg),
+{_split_sql('h')} SELECT left(header, 60) AS header, count(*) AS n FROM who WHERE name IS NULL OR regexp_matches(header, '{X.K.DROPPED_HEADERS}') GROUP BY 1 ORDER BY n DESC, header""")
 def dropped_header_census(spark, sf_dir):
     return T.dropped_headers(T.normalized(_minutes(spark, sf_dir)))
 
 
-@R.add("""WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations)
-SELECT conv_id, no::INT AS turn_no, printf('%d_turn_%04d', conv_id, no::INT) AS turn_id, count(*) AS n_parts, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(text, ' ' ORDER BY turn) AS text
-FROM m WHERE no > 0 GROUP BY conv_id, no""")
+@R.add(f"""WITH m AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations)
+SELECT conv_id AS source_id, no::BIGINT AS turn_no, printf('%s_turn_%04d', conv_id::VARCHAR, no::BIGINT) AS turn_id, '김하나' AS speaker, '위원장' AS "role",
+string_agg({_strip("regexp_replace(text, '[" + X.K.MARKERS + "]', '', 'g')")}, chr(10) ORDER BY turn) AS text, 1 AS page_start, 1 AS page_end FROM m WHERE no > 0 GROUP BY conv_id, no""")
 def turn_ids(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    marked = table(spark, sf_dir, "conversations").withColumn("no", F.sum((F.col("role") == "user").cast("int")).over(w)).where("no > 0")
-    return marked.groupBy("conv_id", F.col("no").cast("int").alias("turn_no")).agg(
-        F.format_string("%d_turn_%04d", F.first("conv_id"), F.first("no")).alias("turn_id"), F.count("*").alias("n_parts"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
-        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY turn)").alias("text"),
-    )
+    """Turns of ready-made segments, one for each conversation turn: a user's begins a turn, the others go on with it."""
+    said = X.strip(F.regexp_replace("text", f"[{X.K.MARKERS}]", ""))
+    text = F.concat(F.when(F.col("role") == "user", F.lit("◯" + _HEADS["user"] + "\n")).otherwise(""), said)
+    segments = F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("text")))), lambda x: F.struct(F.lit("body").alias("section_type"), x["text"].alias("text")))
+    return T.turns(table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("source_id")).agg(segments.alias("segments"), F.lit(1).alias("page")))
 
 
 _EN = {"motion": ["approve", "reject", "vote", "ration"], "positive": ["the", "agree"], "negative": ["of", "not"], "question": "[?]|why|how"}
@@ -122,7 +210,8 @@ _ENTITIES = r"(?:Apache|GNU|MIT|CC BY)[A-Za-z -]{0,20}License|https?://[a-z.]+"
 @R.add(f"""WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_ENTITIES}')) AS m FROM documents)
 SELECT value, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(m) AS value FROM m) GROUP BY value ORDER BY n DESC, value LIMIT 50""")
 def enrich_mentions(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_ENTITIES), F.lit(0)))).alias("value"))
+    turns = T.enriched(table(spark, sf_dir, "documents").select("doc_id", "text"), entities=_ENTITIES)
+    hits = turns.select("doc_id", F.explode("mentions").alias("value"))
     return hits.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs")).orderBy(F.col("n").desc(), "value").limit(50)
 
 
@@ -140,17 +229,52 @@ def chunk_context(spark, sf_dir):
     return out.select("conv_id", "turn", "prev_context", "next_context", K.embed_text([F.col("speaker"), F.col("role")], F.col("text")).alias("embed_text"))
 
 
+_DOMAINS = {"src1": "law", "src2": "budget", "src5": "health"}
+_BILLS = [r"\bact \d+", r"(?:Apache|MIT|GNU)[A-Za-z ]{0,30}License"]
+
+
+@R.add(f"""WITH w AS (SELECT doc_id, source, text, string_split_regex(text, '\\s+') AS w FROM documents)
+SELECT doc_id, CASE source {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _DOMAINS.items())} ELSE 'other' END AS policy_domain,
+array_to_string(list_distinct(list_transform(list_concat({", ".join(f"regexp_extract_all(text, '{p}')" for p in _BILLS)}), lambda x: trim(x))).list_sort(), '; ') AS bills,
+CASE WHEN list_has_any(w, ['찬성']) THEN 'motion' WHEN regexp_matches(text, '[?？]') THEN 'question' ELSE 'statement' END AS utterance_type, 'neutral' AS stance_signal FROM w""")
+def enriched_turns(spark, sf_dir):
+    """The whole enrichment: domain by source, references, type and stance."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    domains = spark.createDataFrame(list(_DOMAINS.items()), "source string, policy_domain string")
+    out = T.enriched(d, committee="source", domains=domains).withColumn("bill_refs", X.found_in_order(F.col("text"), _BILLS))
+    return out.select("doc_id", "policy_domain", F.array_join(F.array_sort("bill_refs"), "; ").alias("bills"), "utterance_type", "stance_signal")
+
+
 @R.add(f"SELECT length(text) < {C.SHORT_CHARS} AS is_short, role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ALL")
 def chunk_short_flags(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy((F.length("text") < C.SHORT_CHARS).alias("is_short"), "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return K.emitted(table(spark, sf_dir, "conversations"), ["role"], "text")
+
 
+def chunks_sql(source: str, key: str, max_chars: int, keep: str = "") -> str:
+    """CTEs up to chunks(key, keep, chunk_index, chunk_total, chunk_text): sentences marked by chr(30), long ones cut, then a
+    fold over a text whose buffers are parted by chr(30)."""
+    mark = "body"
+    for _ in range(3):  # a match takes the character after the mark, which may be a mark itself
+        mark = f"regexp_replace({mark}, '([.!?。])(\\s|[^0-9\\s])', '\\1' || chr(30) || '\\2', 'g')"
+    return f"""trimmed AS (SELECT {key}, {keep} {_strip("text")} AS body FROM {source}),
+sentences AS (SELECT {key}, {keep} body, list_filter(list_transform(string_split({mark}, chr(30)), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM trimmed),
+cut AS (SELECT {key}, {keep} body, flatten(list_transform(s, lambda x: list_transform(range(0, ((length(x) - 1) // {C.HARD_SPLIT} + 1)::BIGINT), lambda i: substr(x, i * {C.HARD_SPLIT} + 1, {C.HARD_SPLIT})))) AS s FROM sentences),
+packed AS (SELECT {key}, {keep} CASE WHEN length(body) <= {max_chars} THEN list_filter([body], lambda x: x <> '') WHEN len(s) = 0 THEN []
+  ELSE string_split(list_reduce(s, lambda a, x: CASE WHEN length(split_part(a, chr(30), -1)) + length(x) + 1 <= {max_chars} THEN a || ' ' || x ELSE a || chr(30) || x END), chr(30)) END AS p FROM cut),
+chunks AS (SELECT {key}, {keep} unnest(p) AS chunk_text, generate_subscripts(p, 1)::INT AS chunk_index, len(p)::INT AS chunk_total FROM packed)"""
 
-@R.add()
+
+@R.add(f"""WITH {chunks_sql('documents', 'doc_id', C.MAX_CHARS, 'lang,')} SELECT doc_id, lang, printf('%d_chunk_%03d', doc_id, chunk_index) AS chunk_id, chunk_index, chunk_total, chunk_text, length(chunk_text) < {C.SHORT_CHARS} AS is_short FROM chunks""")
 def chunk_pack(spark, sf_dir):
     return K.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text", keep=["lang"])
 
 
-@R.add()
+_HITS = " + ".join(f"{C.TOKEN_WEIGHT} * contains(lower(chunk_text), '{t}')::INT" for t in ("the", "nation"))
+
+
+@R.add(f"""WITH {chunks_sql('documents', 'doc_id', C.MAX_CHARS)}, k AS (SELECT printf('%d_chunk_%03d', doc_id, chunk_index) AS chunk_id, {_HITS} AS score FROM chunks WHERE {_HITS} > 0 ORDER BY score DESC, chunk_id LIMIT 60),
+r AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS kw_rank FROM k), s AS (SELECT *, regexp_extract(chunk_id, '^(.*)_chunk_', 1) AS turn_id, round({C.RRF_KEYWORD}::DOUBLE / ({C.RRF_K} + kw_rank), 5) AS rrf FROM r)
+SELECT chunk_id, kw_rank, NULL::INT AS vec_rank, rrf, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY rrf DESC, kw_rank, chunk_id) AS rn FROM s) WHERE rn = 1""")
 def hybrid_dedup_turn(spark, sf_dir):
     """The best chunk of each document by keyword hits."""
     from talkweave.operators import search as S
@@ -166,7 +290,11 @@ def batch_fixed(spark, sf_dir):
     return K.fixed_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", C.MAP_BATCH)
 
 
-@R.add()
+@R.add("""WITH RECURSIVE o AS (SELECT source, doc_id, coalesce(length(text), 0) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+f AS (SELECT source, doc_id, chars, rn, 0 AS batch, 1 AS n, chars AS size FROM o WHERE rn = 1
+  UNION ALL SELECT o.source, o.doc_id, o.chars, o.rn, f.batch + CASE WHEN f.n >= 20 OR f.size + o.chars > 30000 THEN 1 ELSE 0 END, CASE WHEN f.n >= 20 OR f.size + o.chars > 30000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 20 OR f.size + o.chars > 30000 THEN o.chars ELSE f.size + o.chars END
+  FROM f JOIN o ON o.source = f.source AND o.rn = f.rn + 1)
+SELECT source, doc_id, chars::INT AS chars, batch::BIGINT AS batch FROM f""")
 def batch_budget(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("chars"))
     return K.budget_batches(sized, "source", "doc_id", "chars", items=20, chars=30_000)
@@ -174,32 +302,37 @@ def batch_budget(spark, sf_dir):
 
 @R.add("SELECT lang, count(*) AS rows, sum(length(text))::BIGINT AS chars, round(sum(length(text)) * 0.13 / 1e6, 6)::DOUBLE AS usd FROM documents GROUP BY lang")
 def embed_estimate(spark, sf_dir):
-    n = F.sum(F.length("text"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("rows"), n.cast("long").alias("chars"), F.round(n * F.lit(0.13) / 1e6, 6).alias("usd"))
+    return K.estimate(table(spark, sf_dir, "documents"), "text", 0.13, ["lang"])
+
 
+_STOP = ["the", "of", "and"]
+_NOT_STOP = "length(x) >= 2 AND x NOT IN (" + ", ".join(f"'{x}'" for x in _STOP) + ")"
 
-@R.add(f"""WITH q AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM conversations)
-SELECT conv_id, turn, list_filter(list_distinct(list_transform(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and')), lambda x: regexp_replace(x, '^(.{{2,}}?)(?:tion|ing|ed)$', '\\1'))), lambda x: x NOT IN ('the', 'of', 'and')).list_sort() AS tokens FROM q""")
+
+@R.add(f"""SELECT conv_id, turn, list_filter(list_transform(list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: regexp_replace(x, '^[^0-9A-Za-z_\u00aa-\uffff]+|[^0-9A-Za-z_\u00aa-\uffff]+$', '', 'g')), lambda x: {_NOT_STOP}),
+lambda x: regexp_replace(x, '^(.{{2,}}?)(?:tion|ing|ed)$', '\\1')), lambda x: {_NOT_STOP}) AS tokens FROM conversations""")
 def content_tokens(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
-    stop = ["the", "of", "and"]
-    kept = F.filter(F.transform(F.filter(words, lambda w: ~w.isin(*stop)), lambda w: X.without_suffix(w, ["tion", "ing", "ed"])), lambda w: ~w.isin(*stop))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(F.array_distinct(kept)).alias("tokens"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.content_tokens(F.col("text"), _STOP, ["tion", "ing", "ed"]).alias("tokens"))
+
 
+_ASKED = {"여야 입장은": "the", "논의 경과는": "ing", "국토부 장관의 그 생각": "ou"}
 
-@R.add("""SELECT user_id, list_filter([CASE WHEN regexp_matches(event_type, 'view|click') THEN 'compare' END, CASE WHEN regexp_matches(props, '[13579]') THEN 'timeline' END], lambda x: x IS NOT NULL) AS types, count(*) AS n FROM events GROUP BY ALL""")
+
+@R.add(f"""WITH q AS (SELECT conv_id, turn, text || {" || ".join(f"CASE WHEN contains(text, '{v}') THEN ' {k}' ELSE '' END" for k, v in _ASKED.items())} AS q FROM conversations)
+SELECT conv_id, turn, list_filter([{", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{k}' END" for k, p in (("compare", X.K.COMPARE), ("timeline", X.K.TIMELINE), ("actor", X.K.ACTOR)))}], lambda x: x IS NOT NULL) AS types FROM q""")
 def question_types(spark, sf_dir):
-    kinds = F.array_compact(F.array(F.when(F.col("event_type").rlike("view|click"), "compare"), F.when(F.col("props").rlike("[13579]"), "timeline")))
-    return table(spark, sf_dir, "events").groupBy("user_id", kinds.alias("types")).agg(F.count("*").alias("n"))
+    """Kinds of questions: conversation turns that ask for sides, a course of events or a person's view, by what they hold."""
+    q = F.concat("text", *[F.when(F.col("text").contains(v), F.lit(" " + k)).otherwise("") for k, v in _ASKED.items()])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.question_types(q).alias("types"))
 
 
-@R.add("""SELECT doc_id, n FROM (SELECT doc_id, (SELECT count(*) FROM (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) p(f) WHERE contains(other, substr(squash, 1 + floor(f * greatest(length(squash) - 20, 0))::BIGINT, 20)))::INT AS n
+@R.add("""SELECT doc_id, n, n >= 4 AS ok FROM (SELECT doc_id, (SELECT count(*) FROM (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) p(f) WHERE contains(other, substr(squash, 1 + floor(f * greatest(length(squash) - 20, 0))::BIGINT, 20)))::INT AS n
 FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS squash, regexp_replace(upper(left(text, 200)) || substr(text, 201), '\\s+', '', 'g') AS other FROM documents))""")
 def source_audit(spark, sf_dir):
-    from talkweave.operators.gates import probe_hits
+    from talkweave.operators.gates import probe_hits, probes_pass
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("squash"), F.regexp_replace(F.concat(F.upper(F.left("text", F.lit(200))), F.substring("text", 201, 2_000_000_000)), r"\s+", "").alias("other"))
-    return d.select("doc_id", probe_hits(F.col("squash"), F.col("other")).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.squashed(F.col("text")).alias("squash"), X.squashed(F.concat(F.upper(F.left("text", F.lit(200))), F.substring("text", 201, 2_000_000_000))).alias("other"))
+    return d.select("doc_id", probe_hits(F.col("squash"), F.col("other")).alias("n")).withColumn("ok", probes_pass(F.col("n"), F.lit(C.PROBES)))
 
 
 _CENSUS = {"marks": r"[*$%&#|]{1,}", "numbers": r"\d+", "shouts": r"!!", "links": r"https?://"}
@@ -212,23 +345,36 @@ def pattern_census(spark, sf_dir):
     return rows.groupBy("source", "pattern").agg(F.sum("n").cast("long").alias("n"), F.count_if(F.col("n") > 0).alias("n_docs"))
 
 
-@R.add("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN body WHEN doc_id % 3 = 1 THEN body || CASE WHEN doc_id % 2 = 0 THEN ' Party of A cannot be confirmed.' ELSE '' END ELSE 'Other details cannot be confirmed.' END AS answer
-FROM (SELECT doc_id, trim(regexp_replace(left(text, 30), '[^A-Za-z ]', '', 'g')) || '.' AS body FROM documents)""")
+_TAILS = {"always": "이외의 사항은 확인할 수 없습니다.", "unless": "위원의 소속 정당은 확인할 수 없습니다."}
+
+
+@R.add(f"""WITH a AS (SELECT doc_id, regexp_replace(text, '[.]\\s*$', '') || '.' AS body FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN body WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN body || ' {_TAILS["unless"]}' ELSE body END WHEN 2 THEN '{_TAILS["always"]}'
+  WHEN 3 THEN body || chr(10) || '{X.K.LIMITS_HEADING}' || chr(10) || '{_TAILS["always"]}' ELSE CASE WHEN doc_id % 2 = 0 THEN body || ' {_TAILS["unless"]}' ELSE body END END AS answer FROM a""")
 def stripped_answers(spark, sf_dir):
+    """Answers with one and many stock sentences at the end, with nothing else, and with a limits section."""
     from talkweave.operators.evidence import stripped
 
-    body = F.concat(F.trim(F.regexp_replace(F.left("text", F.lit(30)), "[^A-Za-z ]", "")), F.lit("."))
-    k = F.col("doc_id") % 3
-    raw = F.when(k == 0, F.concat(body, F.lit(" Other details cannot be confirmed. Other parts cannot be confirmed."))).when(k == 1, F.concat(body, F.lit(" Party of A cannot be confirmed."))).otherwise(F.lit("Other details cannot be confirmed."))
-    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
-    return d.select("doc_id", stripped(F.col("raw"), F.col("doc_id") % 2 == 0, r"Other [^.\n]*cannot be confirmed\.?", r"Party of [^.\n]*cannot be confirmed\.?").alias("answer"))
+    body, k = F.concat(F.regexp_replace("text", r"[.]\s*$", ""), F.lit(".")), F.col("doc_id") % 5
+    always, unless = _TAILS["always"], _TAILS["unless"]
+    raw = (
+        F.when(k == 0, F.concat(body, F.lit((" " + always) * 9))).when(k == 1, F.concat(body, F.lit(" " + unless))).when(k == 2, F.lit(always))
+        .when(k == 3, F.concat(body, F.lit(f"\n{X.K.LIMITS_HEADING}\n{always}"))).otherwise(F.concat(body, F.lit(f" {unless} {always} \n {always}")))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", stripped(raw, F.col("doc_id") % 2 == 0).alias("answer"))
+
+
+_NAMES = {"user": "person", "assistant": "machine"}
 
 
-@R.add()
+@R.add(f"""WITH q AS (SELECT conv_id, turn, role || ' said on 2024-0' || (turn % 9 + 1) || '-1' || (conv_id % 10) || ' and 9월 and 2025년 13월 5일: ' || text AS q, make_date(2024, (turn % 9 + 1)::INT, (10 + conv_id % 10)::INT) AS d,
+  role || ' said on and and 2025년 13월 5일: ' || text AS rest FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(rest, '\\s+', ' ', 'g')) AS text, list_transform(list_distinct_in_order, lambda x: CASE x WHEN 'user' THEN 'person' ELSE 'machine' END) AS names, least(d, DATE '2024-09-01') AS date_from, greatest(d, DATE '2024-09-30') AS date_to
+FROM (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i) AS list_distinct_in_order FROM (SELECT *, regexp_extract_all(rest, 'assistant|user') AS names FROM q))""")
 def question_filters(spark, sf_dir):
-    """Names and dates of questions made from conversation turns."""
+    """Names and dates of questions made from whole turns: a day, a month that takes its year, and a day that doesn't exist."""
     from talkweave.functions.question import filters
 
     day = F.concat(F.lit(" 2024-0"), F.col("turn") % 9 + 1, F.lit("-1"), F.col("conv_id") % 10)
-    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("role"), F.lit(" said on"), day, F.lit(" and 2024년 3월: "), F.left("text", F.lit(20))).alias("q"))
-    return q.select("conv_id", "turn", filters(F.col("q"), {"user": "person", "assistant": "machine"}).alias("f")).select("conv_id", "turn", "f.*")
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("role"), F.lit(" said on"), day, F.lit(" and 9월 and 2025년 13월 5일: "), F.col("text")).alias("q"))
+    return q.select("conv_id", "turn", filters(F.col("q"), _NAMES).alias("f")).select("conv_id", "turn", "f.*")

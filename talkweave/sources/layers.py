@@ -28,11 +28,61 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(StructType([*s.fields, StructField("_corrupt_record", StringType())])).option("mode", "PERMISSIVE").json(path)
 
 
-def write_layer(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> int:
-    """Write a layer whole or not at all (the job's commit), replacing only the partitions that df has; returns rows."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*by) if by else writer).format(fmt).save(path)
-    return df.sparkSession.read.format(fmt).load(path).count()
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a layer, in order: those whose job was committed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def write_layer(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = (), expected: int | None = None) -> int:
+    """Write a layer whole or not at all: as a new version beside the old ones, which readers take up when its job is
+    committed. Returns its rows; if `expected` isn't that many, the version is taken back and the old one stays."""
+    spark = df.sparkSession
+    at = f"{path}/v{max(_versions(spark, path), default=0) + 1}"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).format(fmt).save(at)
+    n = spark.read.schema(df.schema).format(fmt).load(at).count()
+    if expected is not None and n != expected:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        raise RuntimeError(f"{path}: {n} rows written, {expected} expected")
+    return n
+
+
+def read_layer(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """The newest complete version of a layer."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.format(fmt).load(f"{path}/v{versions[-1]}")
+
+
+def replaced(stored: DataFrame, new: DataFrame, keys: Sequence[str], **stamps: Column) -> DataFrame:
+    """stored without the rows of the keys that new has, and new's rows in their place, with what `stamps` says (a version,
+    say). Write it with write_layer(expected=...), so that a load is whole or isn't there."""
+    fresh = new.withColumns(stamps) if stamps else new
+    return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
+
+
+def from_sources(df: DataFrame, source: str, prefixes: Sequence[str]) -> DataFrame:
+    """The rows whose source begins with one of the prefixes; all rows if there are none. Reaches the scan."""
+    keep = F.lit(not prefixes)
+    for p in prefixes:
+        keep = keep | F.col(source).startswith(p)
+    return df.where(keep)
+
+
+def updated(log: DataFrame, changes: DataFrame, key: str, version: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(log with the newest change of each key in its columns, changes of keys that the log doesn't have)."""
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("__new"))
+    out = log.join(newest, key, "left").select(*[F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in log.columns])
+    return out, changes.join(log.select(key), key, "left_anti")
 
 
 def changed(now: DataFrame, before: DataFrame, key: str, digest: str) -> DataFrame:
@@ -49,6 +99,18 @@ def latest(df: DataFrame, keys: Sequence[str], *version: Column) -> DataFrame:
     return best.select(*keys, "__row.*")
 
 
+def page_texts(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFrame]:
+    """(key, text of each page without its markup), and the keys whose pages are all blank: an error of the source."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>", " "), r"<[^>]*>", " ")
+    out = pages.select(key, F.trim(F.regexp_replace(F.coalesce(bare, F.lit("")), r"\s+", " ")).alias("text"))
+    return out, out.groupBy(key).agg(F.bool_and(F.col("text") == "").alias("__blank")).where("__blank").select(key)
+
+
+def file_name(*parts: Column, host: Column, ending: str = ".html") -> Column:
+    """The parts and the host with dashes for dots, joined by underscores: a name that a page is stored under."""
+    return F.concat(F.concat_ws("_", *parts, F.regexp_replace(host, r"\.", "-")), F.lit(ending))
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """stored with new's rows in place of those of the same keys (the last of equal keys in new isn't defined: make it unique)."""
     return stored.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
@@ -58,6 +120,11 @@ def insert_ignore(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     return stored.unionByName(new.join(stored.select(*keys), list(keys), "left_anti"))
 
 
+def appended(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """A log with more rows; columns that either lacks are null there, as a log grows columns over time."""
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
 def pending(all_rows: DataFrame, done: DataFrame, key: str, text: str | None = None) -> DataFrame:
     rows = all_rows.join(done.select(key), key, "left_anti")
     return rows.where(F.coalesce(F.trim(F.col(text)), F.lit("")) != "") if text else rows
@@ -89,10 +156,10 @@ class Pipeline:
         names = [n for n, _, _ in self.stages]
         at = names.index(start) if start else 0
         if at:
-            df = df.sparkSession.read.parquet(f"{path}/{names[at - 1]}")
+            df = read_layer(df.sparkSession, f"{path}/{names[at - 1]}")
         for name, stage, gate in self.stages[at:]:
             write_layer(stage(df), f"{path}/{name}")
-            df = df.sparkSession.read.parquet(f"{path}/{name}")
+            df = read_layer(df.sparkSession, f"{path}/{name}")
             if gate is not None and not gate(df):
                 raise RuntimeError(f"gate after {name}")
         return df

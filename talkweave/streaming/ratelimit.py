@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,3 +67,22 @@ def client_key(forwarded: Column, peer: Column) -> Column:
     """The first address of a forwarded header, 64 characters of it, or else the peer's."""
     first = F.left(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit(64))
     return F.coalesce(F.nullif(first, F.lit("")), peer, F.lit("unknown"))
+
+
+class CachedCheck:
+    """Whether a cost has reached its limit, asked at most once in `seconds`: what is asked may be a Spark job."""
+
+    def __init__(self, cost: Callable[[], float], limit: float = C.DAILY_COST, seconds: float = C.RATE_WINDOW_SECONDS, clock: Callable[[], float] = time.monotonic):
+        self.cost, self.limit, self.seconds, self.clock = cost, limit, seconds, clock
+        self.known: tuple[float, float] | None = None
+
+    def exceeded(self) -> bool:
+        now = self.clock()
+        if self.known is None or now - self.known[0] >= self.seconds:
+            self.known = (now, self.cost())
+        return self.known[1] >= self.limit
+
+
+def day_cost(log: DataFrame, ts: str, cost: Column, day: Column) -> DataFrame:
+    """cost of the day's rows; rows without one (blocked before a call) don't count, none at all is 0."""
+    return log.where(F.to_date(ts) == day).agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"))
