@@ -55,14 +55,17 @@ def repeat_words(words: Column) -> Column:
     return bound(hashed, lambda h: F.when(F.size(h) < 3, F.lit(0)).otherwise(bound(grams(h), covered)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts that the rules use, of every whole text (null: empty)."""
+def features(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id, lang and the counts that the rules use, of every whole text (null: empty); rows: and all columns of docs as
+    the struct `row`, in the same pass."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, f"{SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
     counted_lines = bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    row = [F.struct("*").alias("row")] if rows else []
     return docs.select(
+        *row,
         F.col("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         counted.alias("w"),
@@ -70,7 +73,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"!!")).cast("long").alias("n_shouts"),
-    ).select("doc_id", "lang", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_shouts")
+    ).select(*["row"] * rows, "doc_id", "lang", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_shouts")
 
 
 def log_gamma(x: Column) -> Column:
@@ -99,6 +102,11 @@ def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     return F.when(k <= n * alpha, F.least(total, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+def stratum() -> Column:
+    """The language, marked, so that none isn't the empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+
+
 def ratio(rule: str) -> Column:
     over, under, _ = RULES[rule]
     return F.when(F.col(under) > 0, F.col(over).cast("double") / F.col(under)).otherwise(F.lit(0.0))
@@ -112,7 +120,7 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     """
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1)).distinct()
     seen = feats.join(known, "doc_id").select(
-        F.coalesce("lang", F.lit("")).alias("stratum"),
+        stratum().alias("stratum"),
         "quality",
         (F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) < "8").alias("holdout"),
         *[ratio(r).alias(r) for r in RULES],
@@ -131,29 +139,32 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     ])
     tests = counts.select("stratum", "n_good", F.explode(steps).alias("x")).select("stratum", "n_good", "x.*")
     tests = tests.withColumn("p_value", binomial_tail(F.col("n_false"), F.col("n_good"), alpha / len(RULES)))
-    strata = seen.select("stratum").distinct().agg(F.count("*").alias("n_strata"))
-    passed = tests.crossJoin(F.broadcast(strata)).withColumn("ok", F.col("p_value") <= delta / (len(RULES) * F.col("n_strata")))  # one row: the number of strata
+    n_strata = counts.agg(F.count("*")).scalar()
+    passed = tests.withColumn("ok", F.col("p_value") <= delta / (len(RULES) * n_strata))
     walked = passed.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.collect_list(F.struct("gain", (-F.col("step")).alias("minus"), "step", "cutoff", "n_good", "n_false", "p_value")).alias("steps"))
     best = walked.withColumn("best", F.array_max(F.filter("steps", lambda s: (F.col("stop").isNull() | (s["step"] < F.col("stop"))) & (s["gain"] > 0))))
     return best.where(F.col("best").isNotNull()).select("stratum", "rule", "best.cutoff", "best.n_good", "best.n_false", "best.p_value")
 
 
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rows: bool = False) -> DataFrame:
+    """Features, base_failed, failed_rules (comma-joined) and kept for each row of docs; rows: and the row itself."""
+    feats = stored(features(docs, rows), "quality-features")
+    chosen = cutoffs(feats.drop("row"), labels, alpha, delta)
+    # Stored, so that the planner knows its size: a few strata are broadcast, and very many are joined by shuffle.
+    wide = stored(chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]), "quality-cutoffs")
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = F.array_compact(F.array(*[F.when(ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
+    out = feats.withColumn("stratum", stratum()).join(wide, "stratum", "left").withColumn("base_failed", base).withColumn("failed_rules", F.concat_ws(",", failed))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Features, base_failed, failed_rules (comma-joined) and kept for each row of docs.
 
     Null text: an empty one, which fails the base. Null lang: a stratum of its own. Null doc_id: never labelled, but
     judged. Repeated rows are each judged. An empty table gives no rows. Other columns are ignored.
     """
-    feats = stored(features(docs), "quality-features")
-    chosen = cutoffs(feats, labels, alpha, delta)
-    # Stored, so that the planner knows its size: a few strata are broadcast, and very many are joined by shuffle.
-    wide = stored(chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]), "quality-cutoffs")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    failed = F.array_compact(F.array(*[F.when(ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    judged = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(wide, "stratum", "left")
-    return judged.withColumn("base_failed", base).withColumn("failed_rules", F.concat_ws(",", failed)).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "base_failed", "failed_rules", "kept"
-    )
+    return judged(docs, labels, alpha, delta).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "base_failed", "failed_rules", "kept")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -162,15 +173,14 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs that the rules keep; a doc_id goes with all its rows if one of them is rejected."""
-    judged = apply_rules(docs, read(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Pipeline stage: the rows of docs that the rules keep, each row judged by its own text. Rows go through the table of
+    features with their text, so no text is shuffled."""
+    return judged(docs, read(spark, sf_dir, "labels"), rows=True).where("kept").select("row.*")
 
 
 _LADDERS = ", ".join(f"('{r}', {i}, {float(cut)!r}::DOUBLE)" for r, (_, _, ladder) in RULES.items() for i, cut in enumerate(ladder))
 ORACLE_SQL = f"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
 g AS (SELECT *, list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) AS g FROM w),
