@@ -617,10 +617,38 @@ def test_empty_tables(spark, docs, labels):
 def test_license_places_and_near_wording(spark):
     from talkweave.llm import license_scan
 
-    texts = ["Intro.\nReleased under the MIT-License!", "CC\nBY cc by", "gnu general public licenses", "licensed, under: the Apache Licence; Version 2.0", "Permission is hereby granted free of charge\nto any person obtaining a copy of this software\nand associated documentation files\n\nnext", "Mit license"]
+    texts = [
+        "Intro.\nReleased under the MIT-License!", "CC\nBY cc by", "gnu general public licenses", "licensed, under: the Apache Licence; Version 2.0", "Permission is hereby granted free of charge\nto any person obtaining a copy of this software\nand associated documentation files\n\nnext", "Mit license",
+        "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files", " ".join(["released"] + ["x"] * 300 + ["under"] + ["y"] * 300 + ["the"] + ["z"] * 300 + ["mit"] + ["q"] * 300 + ["license"]),
+    ]
     got = {r.doc_id: r for r in license_scan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [(got[i].n_base, got[i].first_word, got[i].last_word, got[i].labels) for i in range(6)] == [(1, 4, 4, "mit"), (2, 0, 2, "cc-by"), (0, None, None, ""), (0, None, None, "apache"), (0, None, None, "mit"), (1, 0, 0, "mit")]
-    assert got[4].score == 1.0
+    assert (got[4].score, got[6].labels, got[6].score) == (1.0, "mit", 1.0), "a notice may be wrapped, with marks before its lines"
+    assert (got[7].labels, got[7].score) == ("", 0.0), "scattered tokens are no notice"
+
+
+def test_license_matches_are_brute_force(spark):
+    from talkweave.llm import license_scan
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        label, text = license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)]
+        words = license_scan._tokens(text) if i % 2 else text.lower().split()
+        keep = [w for w in words if rng.random() > 0.12]
+        for at in rng.integers(0, len(keep) + 1, int(rng.integers(0, 12))):
+            keep.insert(int(at), "filler")
+        rows.append((i, " ".join(["start"] * 5 + keep + ["end"] * 5)))
+    got = {(r.doc_id, r.template): (r.containment, r.first_word) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {}
+    for i, text in rows:
+        w = re.findall("[a-z0-9]+", text)
+        for k, (_, template) in enumerate(license_scan.TEMPLATES):
+            tokens, size = set(license_scan._tokens(template)), license_scan.width(template)
+            best = max((len(tokens & set(w[j : j + size])), -j) for j in range(len(w)))
+            if best[0] >= math.ceil(license_scan.THRESHOLD * len(tokens) - 1e-9):
+                want[i, k] = best[0] / len(tokens)
+    assert {k: c for k, (c, _) in got.items()} == pytest.approx(want) and len(want) > 40
 
 
 def test_pipeline(spark):
