@@ -7,9 +7,10 @@ link-adjusted characters per tag
 
 (C, T: characters and tags below it; LC, LT: those in links; b: of the body; zeros count as one), and the sum of its
 children's densities. The node with the largest sum holds the article; the least density on its path to the body is the
-threshold that a sibling of that path must reach to belong to it. If the node lies in an article or main element, that
-element is taken whole and the path starts there; a sibling article or main needs no density unless it is mostly links. Elements whose name, role or class says that they are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments take no part.
+threshold that a sibling of that path must reach to belong to it. A sibling within an article or main element on that
+path, or one that is such an element, needs no density but more text than links; so do first and second headings need
+none. Elements whose name, role or class says that they are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts or comments take no part.
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ def tree(page: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
+            if name in ("body", "html"):  # what follows the end of the body still belongs to it
+                continue
             node = here
             while node.up is not None and node.name != name and (name in BLOCK or node.name not in BLOCK):
                 node = node.up
@@ -179,14 +182,22 @@ def content(root: Node) -> list[Node]:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].up)
-    # An article (or a main without one) counts as a whole; what else belongs to it is decided from there on up.
-    whole = next((i for name in ("article", "main") for i, x in enumerate(path) if x.name == name), 0)
-    path = path[whole:]
-    best = path[0]
     least = min(x.density for x in path)
+
+    def belongs(x: Node, inside: bool) -> bool:
+        """By density; a heading, and what stands in an article or is one, by holding more text than links."""
+        return x.density >= least or x.name in ("h1", "h2") or ((inside or x.name in ("article", "main")) and 2 * x.link_chars < x.chars)
+
+    # The article (or main) around the densest node is kept together, without the parts beside its path that don't belong.
+    whole = next((i for name in ("article", "main") for i, x in enumerate(path) if x.name == name), 0)
+    for child, node in zip(path, path[1 : whole + 1]):
+        for x in node.down:
+            if isinstance(x, Node) and x is not child and not x.out and x.chars:
+                x.out = not belongs(x, True)
+    best, path = path[whole], path[whole:]
     chosen = {id(best)}
     for child, node in zip(path, path[1:]):
-        chosen |= {id(x) for x in node.down if isinstance(x, Node) and x is not child and not x.out and x.chars and (x.density >= least or x.name in ("h1", "h2") or (x.name in ("article", "main") and 2 * x.link_chars < x.chars))}
+        chosen |= {id(x) for x in node.down if isinstance(x, Node) and x is not child and not x.out and x.chars and belongs(x, False)}
     if best is body:
         return [body]
     found, stack = [], [body]

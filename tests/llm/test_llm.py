@@ -436,6 +436,18 @@ def test_html():
     assert html_extract.extract("<body><div><a href=x>one</a> <a href=y>two</a></div><div><h1>Head</h1><p>" + "long text here. " * 20 + "<p>" + "more of it, too. " * 20 + "</div>").startswith("Head\n\nlong text")
 
 
+def test_density_decides_without_an_article_and_within_one():
+    long = "<p>" + "A sentence of the text that goes on for quite a while, with commas and more. " * 6 + "</p>"
+    links = "<div>" + "".join(f"<a href=/{i}>more of this kind</a> " for i in range(9)) + "</div>"
+    plain = f"<html><body><div>{links}</div><div id=x><h2>Head</h2>{long}<p>Short.</p>{long}</div><div>{links}</div></body></html>"
+    got = html_extract.extract(plain)
+    assert got.startswith("Head") and got.count("quite a while") == 12 and "Short." in got and "more of this kind" not in got, "without an article"
+    within = f"<html><body><div>{links}</div><article><h1>Head</h1>{long}{links}<p>Short.</p><div>{long}{long}</div></article></body></html>"
+    got = html_extract.extract(within)
+    assert got.count("quite a while") == 18 and "Short." in got and got.count("more of this kind") <= 9, "links outside are gone, those inside stand or fall by their density"
+    assert html_extract.extract(f"<html><body><article>{long}</article></body></html><article>{long}</article>").count("quite a while") == 12
+
+
 def test_article_in_parts_and_beside():
     long, other = "long text here. " * 20, "more of it, too. " * 15
     ends = "<nav>menu</nav>", "<footer>end</footer>"
