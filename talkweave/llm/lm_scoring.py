@@ -1,20 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counting: each task counts its own n-grams (as 64-bit hashes), deals the counts to buckets by hash range, and sends one
-packed row for each bucket; a bucket's rows are added up with numpy. A frequent n-gram is thus one entry of each task.
-Every bucket then writes its own block of the filter: an n-gram with quantised level q (1 + floor(2 log2(count / least
-count))) is entered at levels 1 to q. Scoring probes levels upwards until the first miss. The model backs off from two
-words to one with absolute discounting:
+An n-gram with quantised count level q (1 + floor(2 log2 count)) is entered at levels 1 to q; probing goes upwards until
+the first miss. The model backs off from two words to one with absolute discounting, all counts as the filter gives them:
 
-    P(w | h) = max(c(h w) - D, 0) / c(h) + a(h) P(w),    P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = max(c(h w) - D, 0) / c(h) + a(h) P(w),    P(w) = (c(w) + 1) / (N + V + 1),    a(h) = D T(h) / c(h)
 
-with a(h) the mass that the stored pairs leave: (c(h) - S(h) + D T(h)) / c(h), S and T the sum and number of the stored
-pairs after h. a(h) is in the filter too, at levels of a quarter bit. Pairs enter from count `min_count` on.
+T(h): the number of different words after h. a(h) is in the filter too, at levels of a quarter bit.
 
-Size: the filter takes `bits` bits an entered level, so it follows the corpus's vocabulary; it is broadcast only up to
-`max_bytes`, and beyond that each block is thinned to its share of max_bytes, which raises the rate of false positives
-and loses no row. The exact word counts of the base score are broadcast up to `max_words` words, and joined by
-shuffle beyond (the model then takes c(w) from the filter).
+A filter of everything that was counted grows with the corpus, so it is not broadcast: it lies in blocks, one for each
+bucket of the hash space, of BITS bits an entered level whatever the size of the corpus, and the probes go to the blocks.
+Texts are cut into chunks of about CHUNK tokens, kept once in the shared folder as the chunk's distinct words and each
+token's number among them. A chunk sends each bucket one packed row of its distinct pairs, with the counts of its learning
+texts (so an n-gram that is in every text is one entry of a chunk); the bucket adds them up, makes its block, and answers
+every row by probes. One of the chunks that hold a pair is named its owner, so that T(h) is a sum over chunks. Words then
+make the same round trip with their counts and T, and each chunk scores its texts. A bucket holds its share of distinct
+n-grams, and their number of buckets follows the input.
+
+Pairs are told apart by 40 bits of hash within a bucket, words by 64.
 """
 
 from __future__ import annotations
@@ -23,364 +25,327 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import WordHashes, buckets, crc_mod, lower_words, mix, read, stored
+from talkweave.llm.common import buckets, crc_mod, mix, read, stored
 
 DISCOUNT = 0.75
 BITS = 10
 PROBES = 4
-MIN_COUNT = 2
-MAX_BYTES = 256 << 20
-MAX_WORDS = 12_000_000
 #: No word hashes to these by design of the hash; they stand for the start and the end of a text.
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
-#: Tokens that a task counts before it sends what it has.
-CHUNK = 1_500_000
-
-
-#: Orders of packed rows: words, pairs of words, back-off levels of contexts.
+#: Tokens of a chunk, and texts that a task takes up at a time.
+CHUNK, BATCH = 400_000, 500
+#: Kinds of filter entries: words, pairs of words, back-off levels of contexts.
 WORDS, PAIRS, BACKOFF = 1, 2, 3
+#: Bit of an answer that names the owner; the level is below it.
+OWNER = 128
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths): of each text the start mark, its words' hashes, and the end mark, end to end."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(words).dictionary_encode()
+    held = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in held), np.uint64, len(held))
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    full = np.fromiter((w != "" for w in held), bool, len(held))[at]  # blanks at a text's ends leave empty words
+    owner = np.repeat(np.arange(len(size)), size)[full]
+    lengths = np.bincount(owner, minlength=len(size)) + 2
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    out, inner = np.empty(int(lengths.sum()), np.uint64), np.ones(int(lengths.sum()), bool)
+    out[starts], out[starts + lengths - 1] = START, END
+    inner[starts], inner[starts + lengths - 1] = False, False
+    out[inner] = hashes[at[full]]
+    return out, lengths
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The upper half is the context's, so that pairs of one context stand together when sorted."""
-    pair = mix(left * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ mix(right + np.uint64(0xD1B54A32D192ED03))
-    return (left >> np.uint64(32) << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF))
+    return mix(mix(left * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ mix(right + np.uint64(0xD1B54A32D192ED03)))
 
 
-def backoff_keys(left: np.ndarray) -> np.ndarray:
-    return mix((left >> np.uint64(32)) + np.uint64(0xA0761D6478BD642F))
+def levels(c: np.ndarray) -> np.ndarray:
+    return np.where(c > 0, 1 + np.floor(2 * np.log2(np.maximum(c, 1)) + 1e-9), 0).astype(np.int64)
 
 
-def token_hashes(raw: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """The start mark, the words, and the end mark."""
-    words = lower_words(raw)
-    out = np.empty(len(words) + 2, np.uint64)
-    out[0], out[-1] = START, END
-    out[1:-1] = hashes.of(words)
-    return out
+def expected(q: np.ndarray) -> np.ndarray:
+    """The middle of the counts that share a level; 0 for none."""
+    low, high = np.ceil(np.exp2((q - 1) / 2) - 1e-9), np.ceil(np.exp2(q / 2) - 1e-9) - 1
+    return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and their counts."""
-    if counts is None:
-        keys = np.sort(keys)
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-        return keys[new], np.diff(np.append(new, len(keys))).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+def backoff_levels(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """a(h) in quarter bits, at most 32."""
+    a = np.clip(DISCOUNT * t / np.maximum(c, 1), 2.0**-8, 1.0)
+    return np.where(c > 0, np.rint(-4 * np.log2(a)), 0).astype(np.int64)
 
 
-def bucket_of(keys: np.ndarray, order: int, n: int) -> np.ndarray:
-    """Words go by their upper half, in which their contexts' pairs know them; pairs go by all bits, which spreads a hot context."""
-    keys = mix(keys) if order == PAIRS else keys
-    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+class Block:
+    """One bucket's part of the log-frequency Bloom filter."""
 
+    def __init__(self, entered: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS):
+        """entered: (kind, keys, levels)."""
+        self.bits = np.zeros(8 * max(8, sum(int(q.sum()) for _, _, q in entered) * bits // 8), bool)
+        for kind, keys, q in entered:
+            keys, q, level = self.entry(kind, keys)[q > 0], q[q > 0], 1
+            while len(keys):
+                for probe in range(PROBES):
+                    self.bits[self.place(keys, level, probe)] = True
+                level += 1
+                keys, q = keys[q >= level], q[q >= level]
 
-PACKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    @staticmethod
+    def entry(kind: int, keys: np.ndarray) -> np.ndarray:
+        """Kinds share the block; their keys must not."""
+        return mix(keys ^ np.uint64(kind * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
 
+    def place(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
+        return (mix(keys + np.uint64((level * 64 + probe) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(len(self.bits))).astype(np.int64)
 
-def packed_rows(order: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    by = np.argsort(bucket, kind="stable")
-    keys, counts = keys[by], counts[by].astype("<i8")
-    edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-    full = np.flatnonzero(np.diff(edges))
-    # Small counts, as most are, travel in a byte each.
-    cut = [counts[edges[b] : edges[b + 1]] for b in full]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(full.astype(np.int32)),
-            pa.array(np.full(len(full), order, np.int32)),
-            pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
-            pa.array([(c.astype(np.uint8) if c.max() < 256 else c).tobytes() for c in cut], pa.binary()),
-        ],
-        PACKED.fieldNames(),
-    )
+    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        found, keys = np.zeros(len(keys), np.int64), self.entry(kind, keys)
+        live, level = np.arange(len(keys)), 1
+        while len(live) and level < OWNER:
+            for probe in range(PROBES):
+                live = live[self.bits[self.place(keys[live], level, probe)]]
+            found[live] = level
+            level += 1
+        return found
 
 
-def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, np.uint64)
-    return k, np.frombuffer(counts, np.uint8 if len(counts) == len(k) else "<i8").astype(np.int64)
+def grouped(bucket: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and (bucket, from, to) of each that has entries."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(n + 1))
+    return order, [(b, int(edges[b]), int(edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _counted(n_buckets: int, chunk: int):
-    """Batches of texts -> packed rows."""
+def five(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
-    def flush(texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate(texts)
-        inner = tokens[1:] != START
-        for order, found in ((WORDS, tokens[tokens != START]), (PAIRS, pair_keys(tokens[:-1][inner], tokens[1:][inner]))):
-            keys, counts = tally(found)
-            yield packed_rows(order, keys, counts, bucket_of(keys, order, n_buckets), n_buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
-        for batch in batches:
-            for raw in batch.column(0):
-                held.append(token_hashes(raw.as_py(), hashes))
-                size += len(held[-1])
-                if size >= chunk:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+def unfive(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
-    return run
 
+def few(c: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each, which is what most take, and the large ones as (place, count) apart."""
+    large = np.flatnonzero(c > 255)
+    return np.minimum(c, 255).astype(np.uint8).tobytes(), np.stack([large, c[large]], 1).astype("<i8").tobytes()
 
-def _summed(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A bucket's packed rows -> (order, keys, counts)."""
-    order = np.array(table["n"].to_pylist())
-    for n in (WORDS, PAIRS, BACKOFF):
-        own = np.flatnonzero(order == n)
-        if own.size:
-            parts = [unpacked(table["keys"][int(i)].as_py(), table["counts"][int(i)].as_py()) for i in own]
-            yield (n, *tally(*(np.concatenate(x) for x in zip(*parts))))
 
+def unfew(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    at = np.frombuffer(large, "<i8").reshape(-1, 2)
+    out[at[:, 0]] = at[:, 1]
+    return out
 
-def counts(texts: DataFrame, n_buckets: int, min_count: int = MIN_COUNT, chunk: int = CHUNK) -> DataFrame:
-    """bucket, n (WORDS or PAIRS), keys, counts (packed), of the texts in the binary column `text`; pairs from min_count on."""
 
-    def added(table: pa.Table) -> pa.Table:
-        bucket, out = table["bucket"][0].as_py(), []
-        for n, keys, c in _summed(table):
-            keep = c >= (min_count if n == PAIRS else 1)
-            if keep.any():
-                out.append(packed_rows(n, keys[keep], c[keep], np.full(int(keep.sum()), bucket), n_buckets if bucket < n_buckets else bucket + 1))
-        return pa.Table.from_batches(out, schema=ARROW)
+CHUNKED = "learn binary, lengths binary, words binary, low binary, high binary"
 
-    return texts.select("text").mapInArrow(_counted(n_buckets, chunk), PACKED).groupBy("bucket").applyInArrow(added, PACKED)
 
+def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
+    """chunk, ids, and packed: whether each text learns, its tokens with both marks, the chunk's distinct token hashes, and
+    each token's number among them (two bytes and one, as the third is nearly always 0)."""
+    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
+    kind = source.schema["doc_id"].dataType
+    names = ["chunk", "ids", "learn", "lengths", "words", "low", "high"]
 
-def backoffs(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """Packed rows of order BACKOFF: levels of a(h) for each context with stored pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, k, held, tokens = TaskContext.get().partitionId() << 32, 0, [], 0
 
-    Contexts are told apart by half a hash; two that share it share their level.
-    """
+        def flush() -> pa.RecordBatch:
+            ids, learn = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+            words, number = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            packed = [learn.to_numpy(zero_copy_only=False).astype(np.uint8), np.concatenate([h[3] for h in held]).astype("<u4"), words.astype("<u8"), (number & 0xFFFF).astype("<u2"), (number >> 16).astype(np.uint8)]
+            rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), rows, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, c = unpacked(keys, c)
-                context, back = np.unique(k >> np.uint64(32) << np.uint64(32), return_inverse=True)
-                left = np.bincount(back, c - DISCOUNT)  # S - D T, in hundredths to stay an integer
-                yield packed_rows(BACKOFF, context, np.rint(100 * left).astype(np.int64), bucket_of(context, WORDS, n_buckets), n_buckets)
-
-    def levelled(table: pa.Table) -> pa.Table:
-        found = {n: (keys, c) for n, keys, c in _summed(table)}
-        if BACKOFF not in found:
-            return pa.Table.from_batches([], schema=ARROW)
-        context, taken = found[BACKOFF]
-        words, c = found.get(WORDS, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-        half, total = tally(words >> np.uint64(32) << np.uint64(32), c)
-        at = np.searchsorted(half, context)
-        own = np.ones(len(context))
-        hit = at < len(half)
-        hit[hit] = half[at[hit]] == context[hit]
-        own[hit] = total[at[hit]]
-        a = np.clip(1 - taken / 100 / own, 2.0**-8, 1.0)
-        q = np.rint(-4 * np.log2(a)).astype(np.int64)
-        keep = hit & (q > 0)
-        bucket = table["bucket"][0].as_py()
-        return pa.Table.from_batches([packed_rows(BACKOFF, backoff_keys(context[keep]), q[keep], np.full(int(keep.sum()), bucket), bucket + 1)] if keep.any() else [], schema=ARROW)
-
-    sums = packed.where(F.col("n") == PAIRS).select("keys", "counts").mapInArrow(partial, PACKED)
-    return sums.unionAll(packed.where(F.col("n") == WORDS)).groupBy("bucket").applyInArrow(levelled, PACKED)
-
-
-def levels(order: int, c: np.ndarray, min_count: int) -> np.ndarray:
-    if order == BACKOFF:
-        return c
-    return 1 + np.floor(2 * np.log2(c / (min_count if order == PAIRS else 1)) + 1e-9).astype(np.int64)
-
-
-def probe_bits(keys: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
-    """The bit, within a block of `size` bits, of a key's level and probe."""
-    return mix(keys + np.uint64((level * 64 + probe) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % size
-
-
-def entry_keys(order: int, keys: np.ndarray) -> np.ndarray:
-    """Orders share the blocks; their keys must not."""
-    return mix(keys ^ np.uint64(order * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-
-
-class Filter:
-    """Blocks of a log-frequency Bloom filter, one for each bucket, end to end."""
-
-    def __init__(self, size: np.ndarray, bits: np.ndarray, min_count: int):
-        self.n, self.size, self.bits, self.min_count = len(size), size, bits, min_count
-        self.at = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.uint64)
-
-    def level(self, order: int, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), np.int64)
-        keys = entry_keys(order, keys)
-        live, level = np.flatnonzero(self.size[bucket] > 0), 1
-        while len(live):
-            for probe in range(PROBES):
-                b = bucket[live]
-                bit = self.at[b] + probe_bits(keys[live], level, probe, self.size[b])
-                live = live[(self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
-            found[live] = level
-            level += 1
-            if level > 200:  # a saturated block answers yes for ever
-                break
-        return found
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                held.append((batch.column(0), batch.column(2), *token_hashes(batch.column(1))))
+                tokens += len(held[-1][2])
+                if tokens >= size:
+                    yield flush()
+                    k, held, tokens = k + 1, [], 0
+        if held:
+            yield flush()
 
-    def count(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Expected counts: the middle of the counts that share the level found; 0 for none."""
-        q = self.level(order, keys, bucket_of(keys, order, self.n))
-        least = self.min_count if order == PAIRS else 1
-        low, high = np.ceil(least * np.exp2((q - 1) / 2) - 1e-9), np.ceil(least * np.exp2(q / 2) - 1e-9) - 1
-        return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
+    return source.mapInArrow(run, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *T._parse_datatype_string(CHUNKED).fields]))
 
-    def backoff(self, left: np.ndarray) -> np.ndarray:
-        q = self.level(BACKOFF, backoff_keys(left), bucket_of(left, WORDS, self.n))
-        return np.exp2(-np.minimum(q, 32) / 4)
 
+class Chunk:
+    """A row of chunks(): numbers of the tokens, and the distinct pairs of numbers that follow each other in a text."""
 
-def bloom_blocks(packed: DataFrame, min_count: int, bits: int = BITS, share: float = 1.0) -> DataFrame:
-    """bucket, block: each bucket's part of the filter, of `bits` bits an entered level times `share`."""
+    def __init__(self, row: dict):
+        self.learn, self.lengths = np.frombuffer(row["learn"], np.uint8) > 0, np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        self.words = np.frombuffer(row["words"], "<u8")
+        self.number = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
+        self.learns = np.repeat(self.learn, self.lengths)  # by token
+        self.first = np.zeros(len(self.number), bool)
+        self.first[np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)] = True
 
-    def made(table: pa.Table) -> pa.Table:
-        entered = [(entry_keys(n, keys), levels(n, c, min_count)) for n, keys, c in _summed(table)]
-        keys, q = (np.concatenate(x) for x in zip(*entered))
-        out = np.zeros(8 * max(8, int(q.sum() * bits * share / 8)), bool)
-        size, level = np.uint64(len(out)), 1
-        while len(keys):
-            for probe in range(PROBES):
-                out[probe_bits(keys, level, probe, size).astype(np.int64)] = True
-            level += 1
-            keys, q = keys[q >= level], q[q >= level]
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "block": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs as left * words + right, of each token that isn't a text's first its pair, keys)."""
+        inner = np.flatnonzero(~self.first)
+        pairs, of = np.unique(self.number[inner - 1] * len(self.words) + self.number[inner], return_inverse=True)
+        return pairs, of, pair_keys(self.words[pairs // len(self.words)], self.words[pairs % len(self.words)])
 
-    return packed.groupBy("bucket").applyInArrow(made, "bucket int, block binary")
 
+def answered(keys: list[np.ndarray], c: list[np.ndarray], block, finish) -> list[list[np.ndarray]]:
+    """For rows of keys with counts: what finish(distinct keys, sums, block) gives, dealt back to the rows; and for each
+    entry whether its row is the first that counts the key."""
+    sizes, c = [len(k) for k in keys], np.concatenate(c, axis=-1)
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.rint(np.bincount(of, x, len(distinct))).astype(np.int64) for x in np.atleast_2d(c)]
+    counting = np.flatnonzero(np.atleast_2d(c)[0] > 0)
+    owner = np.zeros(len(of), bool)
+    owner[counting[np.unique(of[counting], return_index=True)[1]]] = True
+    cuts = np.cumsum(sizes)[:-1]
+    return [*(np.split(x[of], cuts) for x in finish(distinct, sums, block(distinct, sums))), np.split(owner, cuts)]
 
-def score(docs: DataFrame, train: DataFrame, min_count: int = MIN_COUNT, bits: int = BITS, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; learns from the rows of train.
 
-    Null texts are empty: one token, the end. With no training row at all N = V = 0, so every token's probability is 1.
-    Repeated rows are each scored; null ids stay null; other columns drop. Word counts are told apart by 64-bit hash.
-    """
-    sc = docs.sparkSession.sparkContext
-    as_binary = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
-    n_buckets = buckets(train)
-    packed = stored(counts(train.select(as_binary), n_buckets, min_count), "ngram-counts")
-    entries = stored(packed.unionAll(backoffs(packed, n_buckets)), "ngram-entries")
+def pair_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
+    """chunk, bucket, answers: a byte for each distinct pair of a chunk in a bucket: its level, and whether the chunk owns it."""
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(n, *unpacked(k, c)) for n, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            rows = [(n, len(k), int(c.sum()), int(levels(n, c, min_count).sum())) for n, k, c in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["n", "keys", "total", "levels"])
-
-    word = F.col("n") == WORDS
-    size = entries.select("n", "keys", "counts").mapInArrow(totals, "n long, keys long, total long, levels long").agg(
-        F.sum(F.when(word, F.col("keys"))).alias("words"), F.sum(F.when(word, F.col("total"))).alias("tokens"), F.sum("levels").alias("levels")
-    ).first()
-    n_words, total_tokens = int(size["words"] or 0), int(size["tokens"] or 0)
-    share = min(1.0, max_bytes * 8 / max(1, bits * int(size["levels"] or 0)))
-    got = {r["bucket"]: bytes(r["block"]) for r in bloom_blocks(entries, min_count, bits, share).toLocalIterator()}  # max_bytes in all
-    blocks = [got.get(b, b"") for b in range(n_buckets)]
-    sizes, raw = np.array([8 * len(b) for b in blocks], np.uint64), np.frombuffer(b"".join(blocks), np.uint8)
-    denominator = float(total_tokens + n_words + 1)
-    words = counted = None
-    if n_words <= max_words:
-        parts = [unpacked(bytes(r["keys"]), bytes(r["counts"])) for r in sorted(packed.where(word).select("bucket", "keys", "counts").toLocalIterator(), key=lambda r: r["bucket"])]
-        words = np.concatenate([np.empty(0, np.uint64), *(k for k, _ in parts)])  # bucket order is key order
-        counted = np.concatenate([np.empty(0, np.int64), *(c for _, c in parts)])
-        counted = counted.astype(np.uint32) if not len(counted) or counted.max() < 1 << 32 else counted
-    shared = sc.broadcast((sizes, raw, words, counted))
-    has_words = words is not None
-
-    def scores(tokens: np.ndarray, known: np.ndarray | None, model: Filter) -> np.ndarray:
-        """log10 P of each token after the first of a run; the caller masks the starts."""
-        c = model.count(WORDS, tokens) if known is None else known.astype(float)
-        left, right = tokens[:-1], tokens[1:]
-        pairs, back = np.unique(pair_keys(left, right), return_inverse=True)
-        both = np.minimum(model.count(PAIRS, pairs)[back], c[:-1])
-        contexts, at, back = np.unique(left, return_index=True, return_inverse=True)
-        a = np.where(c[at] > 0, model.backoff(contexts), 1.0)[back]
-        return np.log10(np.maximum(both - DISCOUNT, 0) / np.maximum(c[:-1], 1) + a * (c[1:] + 1) / denominator)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Loaded anew by each task: a worker that waits for its next task should hold no model.
-        sizes, raw, words, counted = shared.value
-        model, hashes = Filter(sizes, raw, min_count), WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                texts = [token_hashes(x, hashes) for x in batch.column(1).to_pylist()]
-                lengths = np.array([len(t) for t in texts])
-                tokens = np.concatenate(texts)
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                first = np.zeros(len(tokens), bool)
-                first[starts] = True
-                known = None
-                if words is not None:
-                    distinct, back = np.unique(tokens, return_inverse=True)
-                    place = np.searchsorted(words, distinct)
-                    hit = place < len(words)
-                    hit[hit] = words[place[hit]] == distinct[hit]
-                    c = np.zeros(len(distinct), np.int64)
-                    c[hit] = counted[place[hit]]
-                    known = c[back]
-                logs = np.concatenate(([0.0], scores(tokens, known, model)))
-                logs[first] = 0
-                out = [batch.column(0), pa.array(lengths - 1, pa.int64()), pa.array(np.add.reduceat(logs, starts))]
-                if known is not None:
-                    base = np.log10((known + 1) / denominator)
-                    base[first] = 0
-                    out += [pa.array(np.add.reduceat((known > 0) & ~first, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts))]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    names = ["doc_id", "n_tokens", "score"] + ["n_known", "base_score"] * has_words
-    source = docs.select("doc_id", as_binary)
-    if not has_words:
-        source = source.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())] + [T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType())] * has_words
-    scored = source.mapInArrow(run, T.StructType([source.schema["doc_id"], *fields]))
-    if not has_words:
-        scored = _joined_base(docs.select("doc_id", as_binary), scored, packed, denominator)
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _joined_base(docs: DataFrame, scored: DataFrame, packed: DataFrame, denominator: float) -> DataFrame:
-    """The base score by shuffle: each document's distinct tokens meet the word counts on the token's hash."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+            for row in batch.to_pylist():
+                x = Chunk(row)
+                pairs, of, keys = x.pairs()
+                c = np.bincount(of, x.learns[~x.first], len(pairs)).astype(np.int64)
+                order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
+                keys, c = keys[order], c[order]
+                counts = [few(c[a:b]) for _, a, b in own]
+                columns = [pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([b for b, _, _ in own], pa.int32()), pa.array([five(keys[a:b]) for _, a, b in own], pa.binary()), *(pa.array([y[i] for y in counts], pa.binary()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "keys", "small", "large"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [unfive(x) for x in table["keys"].to_pylist()]
+        c = [unfew(x, y) for x, y in zip(table["small"].to_pylist(), table["large"].to_pylist())]
+        q, owner = answered(keys, c, lambda k, s: Block([(PAIRS, k, levels(s[0]))], bits), lambda k, s, block: [block.level(PAIRS, k)])
+        rows = [(a + OWNER * b).astype(np.uint8).tobytes() for a, b in zip(q, owner)]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "answers": pa.array(rows, pa.binary())})
+
+    sent = parts.select("chunk", *[n.split()[0] for n in CHUNKED.split(", ")]).mapInArrow(probes, "chunk long, bucket int, keys binary, small binary, large binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, answers binary")
+
+
+LEVELLED = "words binary, low binary, high binary, lengths binary, pair binary, counts binary, follow binary"
+
+
+def levelled(parts: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
+    """chunk, ids, and packed: a chunk's tokens, the pair level of each that isn't a text's first, and of each distinct word
+    its count in learning texts and how many of the pairs it begins the chunk owns."""
+
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        x = Chunk(row)
+        pairs, of, keys = x.pairs()
+        order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
+        got = dict(zip(right["bucket"].to_pylist(), right["answers"].to_pylist()))
+        level = np.empty(len(pairs), np.uint8)
+        level[order] = np.frombuffer(b"".join(got[b] for b, _, _ in own), np.uint8)
+        follow = np.bincount(pairs[level >= OWNER] // len(x.words), minlength=len(x.words))
+        counts = np.bincount(x.number[x.learns], minlength=len(x.words))
+        packed = [row["words"], row["low"], row["high"], row["lengths"], (level & (OWNER - 1))[of].tobytes(), counts.astype("<u4").tobytes(), follow.astype("<u4").tobytes()]
+        return pa.Table.from_arrays([left["chunk"], left["ids"], *(pa.array([p], pa.binary()) for p in packed)], names)
+
+    names = ["chunk", "ids", *(n.split()[0] for n in LEVELLED.split(", "))]
+    schema = T.StructType([parts.schema["chunk"], parts.schema["ids"], *T._parse_datatype_string(LEVELLED).fields])
+    return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(merge, schema)
+
+
+def word_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
+    """chunk, bucket, c (exact), q and b (levels of the count and of the back-off) of a chunk's words; total and words of a
+    bucket stand in one of its rows."""
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = tally(token_hashes(raw, hashes)[1:])
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(n)], ["h", "key", "tf"])
+            for row in batch.to_pylist():
+                keys, c, t = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["follow"], "<u4")
+                order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
+                columns = [pa.array([x[order[a:b]].tobytes() for _, a, b in own], pa.binary()) for x in (keys, c, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([b for b, _, _ in own], pa.int32()), *columns], ["chunk", "bucket", "keys", "c", "t"])
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, c = unpacked(k, c)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["key", "c"])
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        both = [np.stack([np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")]).astype(np.int64) for x, y in zip(table["c"].to_pylist(), table["t"].to_pylist())]
+        seen: list[int] = []
+
+        def finish(k: np.ndarray, s: list[np.ndarray], block: Block) -> list[np.ndarray]:
+            inside = k != START
+            seen.extend([int(s[0][inside].sum()), int((s[0][inside] > 0).sum())])
+            return [s[0], block.level(WORDS, k), block.level(BACKOFF, k)]
+
+        made = lambda k, s: Block([(WORDS, k, levels(s[0])), (BACKOFF, k, backoff_levels(*s))], bits)
+        c, q, b, _ = answered(keys, both, made, finish)
+        pad = [None] * (len(keys) - 1)
+        columns = [pa.array([x.astype(kind).tobytes() for x in own], pa.binary()) for own, kind in ((c, "<i8"), (q, np.uint8), (b, np.uint8))]
+        return pa.Table.from_arrays([table["chunk"], table["bucket"], *columns, *(pa.array([x, *pad], pa.int64()) for x in seen)], ["chunk", "bucket", "c", "q", "b", "total", "words"])
+
+    sent = parts.select("chunk", "words", "counts", "follow").mapInArrow(probes, "chunk long, bucket int, keys binary, c binary, t binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, c binary, q binary, b binary, total long, words long")
 
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"])
-    used = texts.mapInArrow(tokens, "h long, key long, tf long")
-    known = packed.where("n = 1").select("keys", "counts").mapInArrow(opened, "key long, c long")
-    c = F.coalesce("c", F.lit(0))
-    base = used.join(known, "key", "left").groupBy("h").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(denominator))).alias("base_score")
-    )
-    return scored.withColumn("h", F.col("doc_id.h")).withColumn("doc_id", F.col("doc_id.doc_id")).join(base, "h")
+
+def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; learns from the rows where train holds.
+
+    Null texts are empty: one token, the end. With no training row at all N = V = 0, so every token's probability is 1.
+    Repeated rows are each scored; null ids stay null; other columns drop; an empty table gives no rows. `chunk` is a size
+    of work and changes no result.
+    """
+    n_buckets = buckets(docs)
+    parts = stored(chunks(docs, train, chunk), "lm-chunks")
+    parts = stored(levelled(parts, stored(pair_answers(parts, n_buckets, bits), "lm-pairs"), n_buckets), "lm-levels")
+    words = stored(word_answers(parts, n_buckets, bits), "lm-words")
+    size = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    total = size["n"]
+    denominator = float(total + size["v"] + 1)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        own = np.frombuffer(row["words"], "<u8")
+        number = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
+        lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        order, cuts = grouped(bucket_of(own, n_buckets), n_buckets)
+        rows = {r["bucket"]: r for r in right.to_pylist()}
+        exact, q, b = np.empty(len(own), np.int64), np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        for out, name, kind in ((exact, "c", "<i8"), (q, "q", np.uint8), (b, "b", np.uint8)):
+            out[order] = np.frombuffer(b"".join(rows[k][name] for k, _, _ in cuts), kind)
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+        first = np.zeros(len(number), bool)
+        first[starts] = True
+        inner = np.flatnonzero(~first)
+        c, known = expected(q), exact[number]
+        ahead, here = number[inner - 1], number[inner]
+        both = np.minimum(expected(np.frombuffer(row["pair"], np.uint8).astype(np.int64)), c[ahead])
+        a = np.where(c[ahead] > 0, np.exp2(-b[ahead] / 4), 1.0)
+        logs, base = np.zeros(len(number)), np.log10((known + 1) / denominator)
+        logs[inner] = np.log10(np.maximum(both - DISCOUNT, 0) / np.maximum(c[ahead], 1) + a * (c[here] + 1) / denominator)
+        base[first] = 0
+        columns = [pa.array(lengths - 1), pa.array(np.add.reduceat(((known > 0) & ~first).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
+        return pa.Table.from_arrays([pc.list_flatten(left["ids"]).combine_chunks(), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = T.StructType([T.StructField("doc_id", parts.schema["ids"].dataType.elementType), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
+    scored = parts.select("chunk", "ids", "words", "low", "high", "lengths", "pair").groupBy("chunk").cogroup(words.select("chunk", "bucket", "c", "q", "b").groupBy("chunk")).applyInArrow(finish, schema)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 7) == 2
-    scored = score(docs, docs.where(~held_out))
+    scored = score(read(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
