@@ -58,6 +58,8 @@ def test_window_never_cuts_the_hit():
 def test_grounding(spark):
     hits = spark.createDataFrame([("q1", None, 0.4), ("q2", None, 0.39), ("q3", 1, 0.1)], "q string, kw_rank int, vec_score double")
     assert {r.q: r.gate for r in E.pre_gate(hits, "q").collect()} == {"q1": "PASS", "q2": "REFUSED", "q3": "PASS"}
+    asked = spark.createDataFrame([("q1",), ("q9",)], "q string")
+    assert {r.q: (r.gate, r.n_hits) for r in E.pre_gate(hits, "q", asked).collect()} == {"q1": ("PASS", 1), "q9": ("NONE", 0)}
     df = spark.createDataFrame([("fine [1]", 1, 0), ("fine [1] [9]", 1, 1), ("cannot be confirmed [1]", 1, 0), ("not mentioned", 0, 0), ("claim", 0, 0), ("fine [1]\n## Limits\ncannot be confirmed", 1, 0)], "a string, c int, i int")
     got = df.select(*E.judged(F.col("a"), F.col("c"), F.col("i"), strict="cannot be confirmed", broad="cannot be confirmed|not mentioned")).collect()
     assert [(r.grounding, r.ungrounded) for r in got] == [("FULL", False), ("PARTIAL", False), ("PARTIAL", False), ("REFUSED", False), ("PARTIAL", True), ("FULL", False)]
@@ -114,8 +116,17 @@ def test_label_sheet(spark):
 
 def test_layers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string")
-    assert L.write_layer(df, str(tmp_path / "x"), by=["s"]) == 2
-    assert L.write_layer(spark.createDataFrame([(9, "b")], "k int, s string"), str(tmp_path / "x"), by=["s"]) == 2  # only partition b was replaced
+    at = str(tmp_path / "x")
+    assert L.write_layer(df, at, by=["s"]) == 2
+    new = L.replaced(df, spark.createDataFrame([(9, "b"), (8, "b")], "k int, s string"), ["s"])
+    assert L.write_layer(new, at, by=["s"], expected=3) == 3
+    with pytest.raises(RuntimeError):
+        L.write_layer(df, at, expected=5)
+    assert sorted((r.k, r.s) for r in L.read_layer(spark, at, schema=df.schema).collect()) == [(1, "a"), (8, "b"), (9, "b")], "a load that isn't whole leaves the layer as it was"
+    (tmp_path / "x" / "v9").mkdir()  # a version whose job never ended
+    assert L.read_layer(spark, at).count() == 3
+    with pytest.raises(FileNotFoundError):
+        L.read_layer(spark, str(tmp_path / "none"))
     (tmp_path / "20240611_a.bin").write_bytes(b"abc")
     m = L.manifest(spark, str(tmp_path), "*.bin").first()
     assert (m.file_name, m.size, m.date_hint, m.sha256[:8], m.status) == ("20240611_a.bin", 3, "20240611", "ba7816bf", "pending")
@@ -126,6 +137,63 @@ def test_layers(spark, tmp_path):
     p = L.Pipeline(("one", lambda d: d.withColumn("x", F.lit(1)), None), ("two", lambda d: d.where("k > 1"), lambda d: d.count() > 5))
     with pytest.raises(RuntimeError):
         p.run(df, str(tmp_path / "p"))
+    assert L.Pipeline(("one", lambda d: d, None), ("two", lambda d: d.where("k > 1"), None)).run(df, str(tmp_path / "p"), start="two").count() == 1
+
+
+def test_chunk_gate(spark):
+    rows = [(i, "2024-06-11", "who", "committee", "x" * 200, "utterance", "f", 1) for i in range(100)]
+    kind = "k int, d string, speaker string, committee string, text string, kind string, f string, p int"
+
+    def result(change):
+        d = spark.createDataFrame(change(rows), kind)
+        checks = G.gate(d, G.chunk_checks(date=F.col("d"), speaker=F.col("speaker"), committee=F.col("committee"), text=F.col("text"), chunk_id=F.col("k"), chunk_type=F.col("kind"), source=[F.col("f"), F.col("p")]))
+        r = G.report(checks).first()
+        return r.result, r.n_warnings, r.reasons.split(":")[0]
+
+    some = lambda n, **new: lambda rs: [tuple(new.get(c, v) for c, v in zip(kind.replace(" int", "").replace(" string", "").split(", "), r)) if i < n else r for i, r in enumerate(rs)]
+    assert result(lambda rs: rs) == ("OK", 0, "")
+    assert result(lambda rs: []) == ("BLOCK", 0, "empty")
+    assert result(some(10, speaker=None)) == ("OK", 0, "") and result(some(11, speaker="")) == ("BLOCK", 0, "speaker missing")
+    assert result(some(1, committee="")) == ("BLOCK", 0, "committee missing") and result(some(1, kind="note")) == ("BLOCK", 0, "chunk type invalid")
+    assert result(some(6, text=" \u3000\n")) == ("BLOCK", 0, "blank text") and result(some(30, text="short")) == ("OK", 1, "")
+    assert result(some(2, p=None)) == ("BLOCK", 0, "source missing") and result(some(2, k=7)) == ("BLOCK", 0, "duplicate ids")
+
+
+def test_display_names_and_stripped_answers(spark):
+    df = spark.createDataFrame([("柳榮夏",), ("김하나",), ("other",), (None,)], "n string")
+    assert [r.x for r in df.select(E.display_name(F.col("n"), {"柳榮夏": "유영하"}).alias("x")).collect()] == ["柳榮夏(유영하)", "김하나", "other", None]
+    tail, party = "이외의 내용은 확인할 수 없습니다.", "위원의 소속 정당은 확인할 수 없습니다."
+    rows = [(f"답입니다. {tail} {party} {tail}", False, "답입니다."), (f"답입니다. {party}", True, f"답입니다. {party}"), (tail, False, tail), (f"답.\n## 논의의 한계\n{tail}", False, f"답.\n## 논의의 한계\n{tail}"), (f"{tail} 답입니다.", False, f"{tail} 답입니다.")]
+    got = spark.createDataFrame(rows, "a string, about boolean, want string").select(E.stripped(F.col("a"), F.col("about")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_scope_falls_back(spark):
+    sizes = spark.createDataFrame([(1, 10, 5), (2, 20_000, 5_000), (3, 40_000, 20_000), (4, 90_000, 80_000)], "k int, near long, core long")
+    got = {r.k: (r.neighbours, r.indexed, r.n_chunks) for r in A.chosen_scope(sizes, "near", "core").collect()}
+    assert got == {1: (True, True, 10), 2: (False, True, 5_000), 3: (False, False, 20_000), 4: (False, False, 80_000)}
+
+
+def test_model_answers(spark):
+    df = spark.createDataFrame([('{"relevant": [2, 0, 2, 9, -1]}', '{"items": [{"i": 1, "stance": "oppose"}, {"i": 1, "stance": "support"}, {"i": 7, "stance": "oppose"}, {"i": 0, "stance": "odd"}]}'), ("no", "no"), ('{"relevant": "x"}', '{"other": 1}')], "a string, b string")
+    got = df.select(A.parsed_choice(F.col("a"), 3).alias("a"), A.parsed_stances(F.col("b"), 3).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [([2, 0], [None, "support", None]), (None, None), (None, None)]
+
+
+def test_cached_check():
+    now, asked = [0.0], []
+    check = ratelimit.CachedCheck(lambda: asked.append(1) or 2.0 * len(asked) - 1.5, limit=1.0, seconds=60, clock=lambda: now[0])
+    assert not check.exceeded()
+    now[0] = 59.9
+    assert not check.exceeded() and len(asked) == 1
+    now[0] = 60.0
+    assert check.exceeded() and len(asked) == 2
+
+
+def test_day_cost(spark):
+    log = spark.createDataFrame([("2024-01-02 10:00:00", 0.5), ("2024-01-02 23:59:00", None), ("2024-01-01 10:00:00", 9.0)], "ts string, usd double").withColumn("ts", F.col("ts").cast("timestamp"))
+    cost = lambda day: ratelimit.day_cost(log, "ts", F.col("usd"), F.lit(day).cast("date")).first().cost
+    assert (cost("2024-01-02"), cost("2024-01-03")) == (0.5, 0.0)
 
 
 def test_rate_limit_window():

@@ -123,7 +123,28 @@ def test_question_names():
     from talkweave.functions.question import parse
 
     got = parse("국토교통위원회와 국토위 그리고 정무위 2024-05-02 논의", {"국토교통위원회": "국토위", "국토위": "국토위", "정무위": "정무위"})
-    assert (got.names, got.text) == (["국토위", "정무위"], "와 그리고 논의")
+    assert (got.names, got.text) == (["국토위", "정무위"], "국토교통위원회와 국토위 그리고 정무위 논의"), "dates go, names stay"
+
+
+def test_callers_filters_come_first():
+    from datetime import date
+
+    from talkweave.functions.question import search_filters
+
+    names = {"국방위": "국방위"}
+    auto = search_filters("국방위 2024-05-02 논의", names)
+    assert (auto.names, auto.date_from, auto.date_to) == (["국방위"], date(2024, 5, 2), date(2024, 5, 2))
+    told = search_filters("국방위 2024-05-02 논의", names, committee="외통위", date_from=date(2024, 1, 1))
+    assert (told.names, told.date_from, told.date_to) == (["외통위"], date(2024, 1, 1), date(2024, 5, 2))
+
+
+def test_alias_twins():
+    from talkweave.operators.search import query_terms, with_twins
+
+    old, new = "\uf9c9榮夏", "\u67f3榮夏"  # the compatibility character and its standard form
+    twins = with_twins({"유영하": [old]})
+    assert twins == {"유영하": sorted({old, new}), old: sorted({"유영하", new}), new: sorted({"유영하", old})}
+    assert set(query_terms("유영하", {"유영하": [old]})[1]) == {"유영하", old, new}
 
 
 def test_nfkc(spark):
