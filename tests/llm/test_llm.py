@@ -138,6 +138,33 @@ def test_large_groups_of_near_copies(spark, group):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values())) and links.count() < 15 * 4 * len(fps)
 
 
+def test_similar_documents_are_brute_force(spark):
+    """Pairs of similarity 0.85 or more are linked, nearly all of those at 0.8 and none below 0.68; a group of thousands of
+    near copies is one."""
+    rng = np.random.default_rng(14)
+    some = lambda n: ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    rows, pairs = [], {}
+    for i in range(240):
+        a = some(200)
+        b = list(a)
+        for at in range(10, 10 + 12 * (i % 12), 12):
+            b[at] = "zzz"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(t[j : j + 5]) for j in range(196)} for t in (a, b))
+        pairs[2 * i + 1] = len(x & y) / len(x | y)
+    base = some(300)
+    for i in range(1500):
+        copy = list(base)
+        copy[i % 300] = f"z{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    rows += [(9000, None), (9001, ""), (9002, "one two"), (9003, "one two"), (9004, "three")]
+    got = {r.doc_id: r.component_id for r in simhash.near_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k for k in pairs if got[k] == k - 1}
+    assert all(k in linked for k, j in pairs.items() if j >= 0.87) and not [k for k in linked if pairs[k] < 0.68]
+    assert {got[1000 + i] for i in range(1500)} == {1000}
+    assert [got[k] for k in range(9000, 9005)] == [9000, 9000, 9002, 9002, 9004] and len(got) == len(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -709,11 +736,11 @@ def test_pipeline(spark):
     toxic = toxicity.score(start, sf(spark, "labels"))
     assert set(seen[0][1]) == {r.doc_id for r in toxic.collect() if r.score < toxicity.CUT}
     before, after = seen[2]
-    fps = {k: simhash.fingerprint(t.encode(), 5) for k, t in before.items()}
-    up = roots(len(fps), [(i, j) for i, a in enumerate(fps.values()) for j, b in enumerate(list(fps.values())[:i]) if (a ^ b).bit_count() <= 4])
-    groups = defaultdict(set)
-    for i, k in enumerate(fps):
-        groups[up[i]].add(k)
-    assert set(after) == {min(g) for g in groups.values()}
+    words = {k: t.lower().split() for k, t in before.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(max(like(k, j) for j in before if j != k) > 0.68 for k in set(before) - set(after)), "only near duplicates go"
+    kept = sorted(after)
+    assert not [(a, b) for i, a in enumerate(kept) for b in kept[:i] if like(a, b) > 0.9], "near duplicates don't stay"
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs_, SF).collect()
     assert {r.doc_id for r in pieces} == set(after) - {k for k in after if k not in seen[3][1]} and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
