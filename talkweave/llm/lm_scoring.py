@@ -9,8 +9,8 @@ T(h): the number of different words after h. a(h) is in the filter too, at level
 
 A filter of everything that was counted grows with the corpus, so it is not broadcast: it lies in blocks, one for each
 bucket of the hash space, of BITS bits an entered level whatever the size of the corpus, and the probes go to the blocks.
-Texts are cut into chunks of about CHUNK tokens, kept once in the shared folder as the chunk's distinct words and each
-token's number among them. A chunk sends each bucket one packed row of its distinct pairs, with the counts of its learning
+Texts are cut into chunks of about CHUNK tokens, kept once in the shared folder as the chunk's distinct words, the most
+frequent first, and each token's number among them, compressed. A chunk sends each bucket one packed row of its distinct pairs, with the counts of its learning
 texts (so an n-gram that is in every text is one entry of a chunk); the bucket adds them up, makes its block, and answers
 every row by probes. One of the chunks that hold a pair is named its owner, so that T(h) is a sum over chunks. Words then
 make the same round trip with their counts and T, and each chunk scores its texts. A bucket holds its share of distinct
@@ -40,7 +40,7 @@ PROBES = 4
 #: No word hashes to these by design of the hash; they stand for the start and the end of a text.
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Tokens of a chunk, and texts that a task takes up at a time.
-CHUNK, BATCH = 400_000, 500
+CHUNK, BATCH = 2_000_000, 500
 #: Kinds of filter entries: words, pairs of words, back-off levels of contexts.
 WORDS, PAIRS, BACKOFF = 1, 2, 3
 #: Bit of an answer that names the owner; the level is below it.
@@ -153,25 +153,30 @@ def unfew(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
-CHUNKED = "learn binary, lengths binary, words binary, low binary, high binary"
+CHUNKED = "learn binary, lengths binary, words binary, low binary, middle binary, high binary"
 
 
 def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
     """chunk, ids, and packed: whether each text learns, its tokens with both marks, the chunk's distinct token hashes, and
-    each token's number among them (two bytes and one, as the third is nearly always 0)."""
+    each token's number among them, a compressed plane for each byte: the numbers of frequent words are small."""
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
     kind = source.schema["doc_id"].dataType
-    names = ["chunk", "ids", "learn", "lengths", "words", "low", "high"]
+    names = ["chunk", "ids", *_names(CHUNKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, held, tokens = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             ids, learn = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
-            words, number = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            packed = [learn.to_numpy(zero_copy_only=False).astype(np.uint8), np.concatenate([h[3] for h in held]).astype("<u4"), words.astype("<u8"), (number & 0xFFFF).astype("<u2"), (number >> 16).astype(np.uint8)]
+            words, number, n = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            number = rank[number]
+            packed = [learn.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), np.concatenate([h[3] for h in held]).astype("<u4").tobytes(), words[order].astype("<u8").tobytes()]
+            packed += [zipped((number >> shift & 0xFF).astype(np.uint8)) for shift in (0, 8, 16)]
             rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), rows, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names)
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), rows, *(pa.array([x], pa.binary()) for x in packed)], names)
 
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
@@ -187,13 +192,28 @@ def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
     return source.mapInArrow(run, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *T._parse_datatype_string(CHUNKED).fields]))
 
 
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def zipped(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def unzipped(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n, "zstd", asbytes=True), np.uint8)
+
+
 class Chunk:
     """A row of chunks(): numbers of the tokens, and the distinct pairs of numbers that follow each other in a text."""
 
     def __init__(self, row: dict):
         self.learn, self.lengths = np.frombuffer(row["learn"], np.uint8) > 0, np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.words = np.frombuffer(row["words"], "<u8")
-        self.number = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
+        n = int(self.lengths.sum())
+        self.number = np.zeros(n, np.int64)
+        for shift, plane in enumerate(("low", "middle", "high")):
+            self.number |= unzipped(row[plane], n).astype(np.int64) << 8 * shift
         self.learns = np.repeat(self.learn, self.lengths)  # by token
         self.first = np.zeros(len(self.number), bool)
         self.first[np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)] = True
@@ -237,53 +257,63 @@ def pair_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
         keys = [unfive(x) for x in table["keys"].to_pylist()]
         c = [unfew(x, y) for x, y in zip(table["small"].to_pylist(), table["large"].to_pylist())]
         q, owner = answered(keys, c, lambda k, s: Block([(PAIRS, k, levels(s[0]))], bits), lambda k, s, block: [block.level(PAIRS, k)])
-        rows = [(a + OWNER * b).astype(np.uint8).tobytes() for a, b in zip(q, owner)]
+        rows = [zipped((a + OWNER * b).astype(np.uint8)) for a, b in zip(q, owner)]
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "answers": pa.array(rows, pa.binary())})
 
-    sent = parts.select("chunk", *[n.split()[0] for n in CHUNKED.split(", ")]).mapInArrow(probes, "chunk long, bucket int, keys binary, small binary, large binary")
+    sent = parts.select("chunk", *_names(CHUNKED)).mapInArrow(probes, "chunk long, bucket int, keys binary, small binary, large binary")
     return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, answers binary")
 
 
-LEVELLED = "words binary, low binary, high binary, lengths binary, pair binary, counts binary, follow binary"
+class Dealt:
+    """What of a chunk lies in which bucket, to put a bucket's answers back in the chunk's order."""
+
+    def __init__(self, keys: np.ndarray, n_buckets: int):
+        self.order, self.cuts = grouped(bucket_of(keys, n_buckets), n_buckets)
+
+    def back(self, of: dict[int, np.ndarray]) -> np.ndarray:
+        out = np.empty(len(self.order), np.int64)
+        for b, i, j in self.cuts:
+            out[self.order[i:j]] = of[b]
+        return out
+
+    def pair_levels(self, table: pa.Table) -> np.ndarray:
+        got = {r["bucket"]: r["answers"] for r in table.to_pylist() if r["answers"] is not None}
+        return self.back({b: unzipped(got[b], j - i) for b, i, j in self.cuts})
 
 
-def levelled(parts: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
-    """chunk, ids, and packed: a chunk's tokens, the pair level of each that isn't a text's first, and of each distinct word
-    its count in learning texts and how many of the pairs it begins the chunk owns."""
+WORD_ROWS = "chunk long, bucket int, keys binary, c binary, c_large binary, t binary, t_large binary"
 
-    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        x = Chunk(row)
-        pairs, of, keys = x.pairs()
-        order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
-        got = dict(zip(right["bucket"].to_pylist(), right["answers"].to_pylist()))
-        level = np.empty(len(pairs), np.uint8)
-        level[order] = np.frombuffer(b"".join(got[b] for b, _, _ in own), np.uint8)
-        follow = np.bincount(pairs[level >= OWNER] // len(x.words), minlength=len(x.words))
-        counts = np.bincount(x.number[x.learns], minlength=len(x.words))
-        packed = [row["words"], row["low"], row["high"], row["lengths"], (level & (OWNER - 1))[of].tobytes(), counts.astype("<u4").tobytes(), follow.astype("<u4").tobytes()]
-        return pa.Table.from_arrays([left["chunk"], left["ids"], *(pa.array([p], pa.binary()) for p in packed)], names)
 
-    names = ["chunk", "ids", *(n.split()[0] for n in LEVELLED.split(", "))]
-    schema = T.StructType([parts.schema["chunk"], parts.schema["ids"], *T._parse_datatype_string(LEVELLED).fields])
-    return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(merge, schema)
+def word_rows(parts: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
+    """chunk, bucket, and packed: a chunk's words, their counts in learning texts, and how many of the pairs that they begin
+    the chunk owns."""
 
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = Chunk(left.to_pylist()[0])
+        pairs, _, keys = x.pairs()
+        owned = Dealt(keys, n_buckets).pair_levels(right) >= OWNER
+        t = np.bincount(pairs[owned] // len(x.words), minlength=len(x.words))
+        c = np.bincount(x.number[x.learns], minlength=len(x.words))
+        dealt = Dealt(x.words, n_buckets)
+        own = [dealt.order[i:j] for _, i, j in dealt.cuts]
+        packed = [(x.words[o].tobytes(), *few(c[o]), *few(t[o])) for o in own]
+        columns = [pa.array([left["chunk"][0].as_py()] * len(own), pa.int64()), pa.array([b for b, _, _ in dealt.cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(5))]
+        return pa.Table.from_arrays(columns, _names(WORD_ROWS))
 
-def word_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
+    return parts.select("chunk", *_names(CHUNKED)).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rows, WORD_ROWS)
+
+
+WORD_ANSWERS = "chunk long, bucket int, c binary, c_large binary, q binary, b binary, total long, words long"
+
+
+def word_answers(rows: DataFrame, bits: int) -> DataFrame:
     """chunk, bucket, c (exact), q and b (levels of the count and of the back-off) of a chunk's words; total and words of a
     bucket stand in one of its rows."""
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, c, t = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["follow"], "<u4")
-                order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
-                columns = [pa.array([x[order[a:b]].tobytes() for _, a, b in own], pa.binary()) for x in (keys, c, t)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([b for b, _, _ in own], pa.int32()), *columns], ["chunk", "bucket", "keys", "c", "t"])
-
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
-        both = [np.stack([np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")]).astype(np.int64) for x, y in zip(table["c"].to_pylist(), table["t"].to_pylist())]
+        sent = table.to_pylist()
+        keys = [np.frombuffer(r["keys"], "<u8") for r in sent]
+        both = [np.stack([unfew(r["c"], r["c_large"]), unfew(r["t"], r["t_large"])]) for r in sent]
         seen: list[int] = []
 
         def finish(k: np.ndarray, s: list[np.ndarray], block: Block) -> list[np.ndarray]:
@@ -294,11 +324,10 @@ def word_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
         made = lambda k, s: Block([(WORDS, k, levels(s[0])), (BACKOFF, k, backoff_levels(*s))], bits)
         c, q, b, _ = answered(keys, both, made, finish)
         pad = [None] * (len(keys) - 1)
-        columns = [pa.array([x.astype(kind).tobytes() for x in own], pa.binary()) for own, kind in ((c, "<i8"), (q, np.uint8), (b, np.uint8))]
-        return pa.Table.from_arrays([table["chunk"], table["bucket"], *columns, *(pa.array([x, *pad], pa.int64()) for x in seen)], ["chunk", "bucket", "c", "q", "b", "total", "words"])
+        packed = [(*few(x), zipped(y.astype(np.uint8)), zipped(z.astype(np.uint8))) for x, y, z in zip(c, q, b)]
+        return pa.Table.from_arrays([table["chunk"], table["bucket"], *(pa.array([p[i] for p in packed], pa.binary()) for i in range(4)), *(pa.array([x, *pad], pa.int64()) for x in seen)], _names(WORD_ANSWERS))
 
-    sent = parts.select("chunk", "words", "counts", "follow").mapInArrow(probes, "chunk long, bucket int, keys binary, c binary, t binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, c binary, q binary, b binary, total long, words long")
+    return rows.groupBy("bucket").applyInArrow(answer, WORD_ANSWERS)
 
 
 def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
@@ -310,38 +339,32 @@ def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK)
     """
     n_buckets = buckets(docs)
     parts = stored(chunks(docs, train, chunk), "lm-chunks")
-    parts = stored(levelled(parts, stored(pair_answers(parts, n_buckets, bits), "lm-pairs"), n_buckets), "lm-levels")
-    words = stored(word_answers(parts, n_buckets, bits), "lm-words")
+    pairs = stored(pair_answers(parts, n_buckets, bits), "lm-pairs")
+    words = stored(word_answers(word_rows(parts, pairs, n_buckets), bits), "lm-words")
     size = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     total = size["n"]
     denominator = float(total + size["v"] + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        own = np.frombuffer(row["words"], "<u8")
-        number = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], np.uint8).astype(np.int64) << 16
-        lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        order, cuts = grouped(bucket_of(own, n_buckets), n_buckets)
-        rows = {r["bucket"]: r for r in right.to_pylist()}
-        exact, q, b = np.empty(len(own), np.int64), np.empty(len(own), np.int64), np.empty(len(own), np.int64)
-        for out, name, kind in ((exact, "c", "<i8"), (q, "q", np.uint8), (b, "b", np.uint8)):
-            out[order] = np.frombuffer(b"".join(rows[k][name] for k, _, _ in cuts), kind)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-        first = np.zeros(len(number), bool)
-        first[starts] = True
-        inner = np.flatnonzero(~first)
-        c, known = expected(q), exact[number]
-        ahead, here = number[inner - 1], number[inner]
-        both = np.minimum(expected(np.frombuffer(row["pair"], np.uint8).astype(np.int64)), c[ahead])
-        a = np.where(c[ahead] > 0, np.exp2(-b[ahead] / 4), 1.0)
-        logs, base = np.zeros(len(number)), np.log10((known + 1) / denominator)
-        logs[inner] = np.log10(np.maximum(both - DISCOUNT, 0) / np.maximum(c[ahead], 1) + a * (c[here] + 1) / denominator)
-        base[first] = 0
-        columns = [pa.array(lengths - 1), pa.array(np.add.reduceat(((known > 0) & ~first).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
+        x = Chunk(left.to_pylist()[0])
+        _, of, keys = x.pairs()
+        both = expected(Dealt(keys, n_buckets).pair_levels(right) & (OWNER - 1))[of]
+        dealt, got = Dealt(x.words, n_buckets), {r["bucket"]: r for r in right.to_pylist() if r["q"] is not None}
+        exact = dealt.back({b: unfew(got[b]["c"], got[b]["c_large"]) for b, _, _ in dealt.cuts})
+        c, back = expected(dealt.back({b: unzipped(got[b]["q"], j - i) for b, i, j in dealt.cuts})), dealt.back({b: unzipped(got[b]["b"], j - i) for b, i, j in dealt.cuts})
+        inner = np.flatnonzero(~x.first)
+        ahead, here, known = x.number[inner - 1], x.number[inner], exact[x.number]
+        a = np.where(c[ahead] > 0, np.exp2(-back[ahead] / 4), 1.0)
+        logs, base = np.zeros(len(x.number)), np.log10((known + 1) / denominator)
+        logs[inner] = np.log10(np.maximum(np.minimum(both, c[ahead]) - DISCOUNT, 0) / np.maximum(c[ahead], 1) + a * (c[here] + 1) / denominator)
+        base[x.first] = 0
+        starts = np.flatnonzero(x.first)
+        columns = [pa.array(x.lengths - 1), pa.array(np.add.reduceat(((known > 0) & ~x.first).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
         return pa.Table.from_arrays([pc.list_flatten(left["ids"]).combine_chunks(), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     schema = T.StructType([T.StructField("doc_id", parts.schema["ids"].dataType.elementType), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
-    scored = parts.select("chunk", "ids", "words", "low", "high", "lengths", "pair").groupBy("chunk").cogroup(words.select("chunk", "bucket", "c", "q", "b").groupBy("chunk")).applyInArrow(finish, schema)
+    answers = pairs.select("chunk", "bucket", "answers").unionByName(words.select("chunk", "bucket", "c", "c_large", "q", "b"), allowMissingColumns=True)
+    scored = parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
