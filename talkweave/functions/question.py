@@ -5,6 +5,7 @@ from __future__ import annotations
 import calendar
 import re
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from datetime import date
@@ -114,6 +115,24 @@ def no_embedding(texts: list[str]) -> list[list[float]]:
     return [[0.0] for _ in texts]
 
 
+def cached(embed: Embed, size: int = 256) -> Embed:
+    """The same, keeping the vectors of the last `size` questions; what isn't known yet goes to the model in one call."""
+    known: OrderedDict[str, list[float]] = OrderedDict()
+
+    def run(texts: list[str]) -> list[list[float]]:
+        fresh = [t for t in dict.fromkeys(texts) if t not in known]
+        found = dict(zip(fresh, embed(fresh))) if fresh else {}
+        out = [found[t] if t in found else known[t] for t in texts]
+        for t, v in zip(texts, out):
+            known[t] = v
+            known.move_to_end(t)
+        while len(known) > size:
+            known.popitem(last=False)
+        return out
+
+    return run
+
+
 def no_answer(prompt: str) -> str:
     """The default of a `Generate`: the refusal that the gates know."""
     return "cannot be confirmed"

