@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only on one machine, where it is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = known or tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     if not spark.sparkContext.getCheckpointDir():
