@@ -433,6 +433,16 @@ def test_packing_keeps_every_id(spark, docs):
     assert len({r.sequence_id for r in rows}) * 2048 < 1.2 * sum(map(len, ids.values())) + 8 * 2048
 
 
+def test_packing_of_repeated_and_null_ids(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.pack(docs, shard=5).collect()
+    assert sum(r.length for r in rows) == sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    twice = [r for r in rows if r.doc_id == 51 and r.start == 0]
+    assert len(twice) == 2 and twice[0].doc_tokens == twice[1].doc_tokens and any(r.doc_id is None for r in rows)
+
+
 def test_seed_gets_its_neighbours():
     rng = np.random.default_rng(4)
     topics = [rng.integers(1000 * t, 1000 * t + 60, (5, 40)) for t in range(1, 4)]
