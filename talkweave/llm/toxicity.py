@@ -5,8 +5,8 @@ of the span it takes (spans up to SPAN), and is normalised. A gap or an inserted
 it: "i.d.i.o.t" keeps subsequences of "idiot". A sentence is a set of strings: its words, and its runs of single
 characters. Characters are a to z, digits, the LETTERS other letters that the training texts hold most, and the rest.
 
-Training takes at most `SAMPLE` distinct labelled texts of each label (rows outside the holdout, least hash of the id
-first). Telling strings are those that stand in toxic documents more often than chance would have it (binomial tail,
+Training takes at most `SAMPLE` distinct labelled texts of label 1, and of label 0 what makes it up to twice that (rows
+outside the holdout, least hash of the id first). Telling strings are those that stand in toxic documents more often than chance would have it (binomial tail,
 false discovery rate RATE), with near copies counted once, else all words of a copied text would tell; and those that
 hold a run of four characters that does so, as an insult's inflected forms do. Each sentence of a toxic document that holds a telling
 string is a positive instance by it, with copies that have characters inserted; strings of other sentences are the
@@ -332,6 +332,8 @@ def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
         return plain
     distinct = [s for s, first in zip(positive, once(positive, pos, neg, len(own))) if first]
     told, forms = telling(distinct, neg, n_neg), stemmed(distinct, [s for s, label in own if not label])
+    n_pos = len(positive)
+    del sets, own, positive, distinct  # the largest of what the driver holds
     told, forms = told or forms[:TOLD], sorted(set(forms) - set(told), key=forms.index)
     if not told:
         return plain
@@ -341,7 +343,7 @@ def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
     strings = {v: pos[w] * share for w in reversed(told) for v, share in [*((v, 1 / 9) for v in inserted(w)), (w, 1.0)] if len(v) <= LONGEST}
     taken = {*told, *forms}
     pool = sorted(w for w in neg if fit_for(w) and w not in taken)
-    there = sorted(w for w, k in pos.items() if k > 1 and fit_for(w) and k * n_neg >= LEAST_RATIO * neg[w] * len(positive) and w not in told)
+    there = sorted(w for w, k in pos.items() if k > 1 and fit_for(w) and k * n_neg >= LEAST_RATIO * neg[w] * n_pos and w not in told)
     negative = [pool[i] for i in np.linspace(0, len(pool) - 1, min(len(pool), 4000)).astype(int)] if pool else []
     marks = [*told[:TOLD], *(".".join(w) for w in told[: TOLD // 4]), *forms[:LANDMARKS], *common]
     for step in range(ROUNDS):
@@ -379,15 +381,16 @@ def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[tuple[str, int]], tuple[int, int]]:
-    """At most `limit` labelled texts of label 1 and twice as many of label 0, those whose ids hash lowest, equal texts
-    of a label once; and how many rows of each label there are."""
+    """At most `limit` labelled texts of label 1, and of label 0 what makes it up to twice `limit`, those whose ids hash
+    lowest, equal texts of a label once; and how many rows of each label there are."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
     out, totals = [], {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    for label in (0, 1):
-        ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit * (2 - label))  # bounded: the sample's ids
+    for label in (1, 0):
+        room = limit if label else 2 * limit - min(limit, totals.get(1, 0))
+        ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(room)  # bounded: the sample's ids
         rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id")
         out += [(t, label) for t in dict.fromkeys(t for _, t in sorted((r["doc_id"], r["text"]) for r in rows.collect()))]
-    return out, (totals.get(0, 0), totals.get(1, 0))
+    return sorted(out, key=lambda x: x[1]), (totals.get(0, 0), totals.get(1, 0))
 
 
 _held: dict[str, tuple] = {}
