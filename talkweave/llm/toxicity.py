@@ -322,6 +322,7 @@ def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
     held = held.to_pylist()
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     sets = [{held[i] for i in np.unique(at[a:b]).tolist()} for a, b in zip(cuts, cuts[1:])]
+    pa.default_memory_pool().release_unused()  # Arrow keeps what the texts took; the driver has little to spare
     # A quarter of the sample stays apart for the curve: the machine's own negatives lie closer together than others do.
     apart = np.arange(len(texts)) % 4 == 3
     own = [(s, label) for s, label, aside in zip(sets, y.tolist(), apart) if not aside]
