@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkweave.llm import bpe, embedding_dedup, html_extract, license_scan, lm_scoring, packing, quality_rules, simhash, substring_dedup, toxicity
+from talkweave.llm import bpe, conversations, embedding_dedup, filter_audit, html_extract, license_scan, lm_scoring, packing, quality_rules, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op2_license_scan": license_scan.ORACLE_SQL,
+    "op11_conversations": conversations.ORACLE_SQL,
+    "op12_sharding": sharding.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
