@@ -22,6 +22,15 @@ FORCED_JOIN = r"^(겠|습니|니다|ㅂ니|십니|었|았|셨)"
 
 PARTICLES = ["에서의", "으로써", "으로서", "에서", "에게", "께서", "부터", "까지", "처럼", "보다", "하고", "이나", "이란", "라는", "으로", "과의", "와의", "에는", "에도", "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도", "만", "요"]
 
+#: What a question says of itself, and words that stand in any speech.
+STOPWORDS = [
+    "대한", "대해", "대해서", "관련", "관련해", "관련된", "어떤", "어떻게", "무엇", "무슨", "어느", "언제", "누가", "누구", "왜", "및", "또는", "그리고", "등",
+    "있나", "있나요", "인가요", "한가요", "했나요", "됐나요", "주세요", "알려주세요", "말해줘", "무엇인가요", "어떠했나요", "밝혔나요", "보였나요", "취했나요",
+    "발언", "입장", "논의", "언급", "질의", "질문", "답변", "주장", "요약", "정리", "내용", "여부", "구체적", "구체적인", "주요", "관한", "위원회에서", "회의에서",
+]
+#: Marks that are taken off both ends of a question's words.
+EDGE_MARKS = ".,?!·'\"“”‘’()[]"
+
 COMPARE = r"여야|입장\s*차이|정당\s*간|찬반|비교"
 TIMELINE = r"경과|추이|흐름|연혁|변해\s*왔|바뀌어\s*왔|어떻게\s*진행"
 ACTOR = r"(정부|대통령실|[가-힣]{2,4}\s*(?:장관|차관|처장|청장|위원장|의원|후보자))[은는이가의]?\s*[^,.\n]{0,10}?(입장|생각|견해|반응|태도|주장|답변)"

@@ -151,13 +151,17 @@ def without_suffix(token: Column, suffixes: Sequence[str] = K.PARTICLES, stem: i
     return F.regexp_replace(token, f"^(.{{{stem},}}?)(?:{'|'.join(sorted(suffixes, key=lambda s: (-len(s), s)))})$", "$1")
 
 
-def content_tokens(text: Column, stopwords: Sequence[str], suffixes: Sequence[str] = K.PARTICLES) -> Column:
-    """Words without the marks around them and without suffix, two characters or more, no stop words before or after."""
-    words = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", ""))
+def content_tokens(text: Column, stopwords: Sequence[str], suffixes: Sequence[str] = K.PARTICLES, edge: str = r"[^\w]") -> Column:
+    """Words without the marks around them (`edge`) and without suffix, two characters or more, no stop words before or after."""
+    words = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(w, f"(?U)^{edge}+|{edge}+$", ""))
     kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
     return F.filter(F.transform(kept, lambda w: without_suffix(w, suffixes)), lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
 
 
+#: The edge of a question's words, for content_tokens.
+QUESTION_EDGE = "[" + "".join("\\" + c if c in "[].?" else c for c in K.EDGE_MARKS) + "]"
+
+
 def question_types(text: Column, forms: dict[str, str] | None = None) -> Column:
     """The kinds of a question, in order: those of `forms` (kind -> pattern) that it matches."""
     forms = forms or {"compare": K.COMPARE, "timeline": K.TIMELINE, "actor": K.ACTOR}

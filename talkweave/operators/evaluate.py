@@ -11,24 +11,36 @@ from talkweave import config as C
 
 
 def relevant(criteria: Column, *, text: Column, speaker: Column, committee: Column, date: Column) -> Column:
-    """Whether a hit meets a question's criteria: committee and date prefix must hold; speaker and text by mode (and, or);
-    text_all wants one of each group; no criteria: everything is relevant."""
+    """Whether a hit meets a question's criteria.
+
+    committee_any and date_any (prefixes) must hold where they are given. Of speaker_any (the whole name) and text_any one
+    must hold, or both if mode is `and`; text_all, which wants one of each group, counts only beside text_any. No criteria:
+    everything is relevant. Nulls of a hit meet nothing.
+    """
     given = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
-    any_text = F.exists(criteria["text_any"], lambda t: F.contains(text, t))
-    all_text = F.forall(criteria["text_all"], lambda g: F.exists(g, lambda t: F.contains(text, t)))
-    any_speaker = F.exists(criteria["speaker_any"], lambda s: F.contains(speaker, s))
-    fixed = (~given(criteria["committee_any"]) | F.coalesce(F.array_contains(criteria["committee_any"], committee), F.lit(False))) & (
-        ~given(criteria["date_any"]) | F.coalesce(F.exists(criteria["date_any"], lambda d: date.cast("string").startswith(d)), F.lit(False))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    by_speaker, by_text = given(criteria["speaker_any"]), given(criteria["text_any"])
+    who = sure(F.array_contains(criteria["speaker_any"], speaker))
+    what = sure(F.exists(criteria["text_any"], lambda t: F.contains(text, t))) & F.coalesce(F.forall(criteria["text_all"], lambda g: sure(F.exists(g, lambda t: F.contains(text, t)))), F.lit(True))
+    fixed = (~given(criteria["committee_any"]) | sure(F.array_contains(criteria["committee_any"], committee))) & (
+        ~given(criteria["date_any"]) | sure(F.exists(criteria["date_any"], lambda d: date.cast("string").startswith(d)))
     )
-    parts = [(given(criteria["text_any"]), any_text), (given(criteria["text_all"]), all_text), (given(criteria["speaker_any"]), any_speaker)]
-    every = F.lit(True)
-    some = F.lit(False)
-    none = F.lit(True)
-    for has, hit in parts:
-        every = every & (~has | F.coalesce(hit, F.lit(False)))
-        some = some | (has & F.coalesce(hit, F.lit(False)))
-        none = none & ~has
-    return fixed & F.when(F.coalesce(criteria["mode"], F.lit("and")) == "or", some | none).otherwise(every)
+    either = F.when(sure(criteria["mode"] == "and"), who & what).otherwise(who | what)
+    return fixed & F.when(by_speaker & by_text, either).when(by_speaker, who).when(by_text, what).otherwise(F.lit(True))
+
+
+def by_axis(lists: dict[str, DataFrame], questions: DataFrame, docs: DataFrame, q: str, key: str, *, text: str, speaker: str, committee: str, date: str | None) -> DataFrame:
+    """axis, n, recall_5, recall_10, mrr_10: ranked lists (q, key, rank) of several ways to search, each judged on all
+    questions (q, criteria) by the whole rows of docs. A question without hits counts 0."""
+    hits = None
+    for axis, ranks in lists.items():
+        own = ranks.where(F.col("rank") <= C.MRR_CUT).select(F.lit(axis).alias("axis"), q, key, F.col("rank").cast("int").alias("rank"))
+        hits = own if hits is None else hits.unionAll(own)
+    rows = docs.select(key, F.struct(F.col(text).alias("text"), F.col(speaker).alias("speaker"), F.col(committee).alias("committee"), (F.col(date) if date else F.lit(None)).cast("string").alias("date")).alias("doc"))
+    rel = F.coalesce(relevant(F.col("criteria"), text=F.col("doc.text"), speaker=F.col("doc.speaker"), committee=F.col("doc.committee"), date=F.col("doc.date")), F.lit(False))
+    judged = hits.join(questions, q).join(rows, key).select("axis", q, "rank", rel.alias("rel"))
+    every = questions.select(q, F.explode(F.array(*map(F.lit, lists))).alias("axis"))
+    return recall_mrr(every.join(judged, [q, "axis"], "left"), q, ["axis"], "rank", F.col("rel"))
 
 
 def recall_mrr(hits: DataFrame, query: str, by: Sequence[str], rank: str, is_relevant: Column) -> DataFrame:

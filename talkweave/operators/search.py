@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as K
 
 
 def holds(column: str, term: str) -> Column:
@@ -16,16 +17,31 @@ def holds(column: str, term: str) -> Column:
     return F.coalesce(F.contains(F.lower(F.col(column)), F.lower(F.lit(term))), F.lit(False))
 
 
+def query_tokens(query: str) -> list[str]:
+    """The content words of a question: marks and one particle off, no stop words, two characters or more."""
+    out = []
+    for word in query.split():
+        word = word.strip(K.EDGE_MARKS)
+        if len(word) < 2 or word in K.STOPWORDS:
+            continue
+        ends = sorted((p for p in K.PARTICLES if word.endswith(p) and len(word) - len(p) >= 2), key=len)
+        stem = word[: -len(ends[-1])] if ends else word
+        if stem not in K.STOPWORDS:
+            out.append(stem)
+    return out
+
+
 def query_terms(query: str, aliases: dict[str, Sequence[str]] | None = None) -> tuple[list[str], list[str]]:
-    """(phrases, tokens) of a question: at most two phrases (only if it has a blank) and eight tokens.
+    """(phrases, tokens) of a question: at most two phrases (only if it has a blank) and eight tokens, each with its aliases.
 
     Originals come first, then their aliases in code point order, so the cut doesn't depend on hashing.
     """
     aliases = with_twins(aliases or {})
-    words = query.split()
-    phrases = [" ".join(words)] if len(words) > 1 else []
-    tokens = [w for word in words for w in [word, *sorted(set(aliases.get(word, ())) - {word})]]
-    return list(dict.fromkeys(phrases))[: C.MAX_PHRASES], list(dict.fromkeys(tokens))[: C.MAX_TOKENS]
+    query = query.strip()
+    spelled = lambda term: [term, *sorted(set(aliases.get(term, ())) - {term})]
+    phrases = spelled(query) if " " in query else []
+    tokens = [x for token in query_tokens(query) for x in spelled(token)]
+    return phrases[: C.MAX_PHRASES], list(dict.fromkeys(tokens))[: C.MAX_TOKENS]
 
 
 def with_twins(aliases: dict[str, Sequence[str]]) -> dict[str, list[str]]:
@@ -91,14 +107,16 @@ def ranked(df: DataFrame, *by: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
-def fuse(keyword: DataFrame, vector: DataFrame, key: str, *, short: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """Reciprocal-rank fusion of two short ranked lists (key, rank; vector also vec_score).
+def fuse(keyword: DataFrame, vector: DataFrame, key: str, *, by: Sequence[str] = (), short: DataFrame | None = None, turns: bool = False, limit: int = 10) -> DataFrame:
+    """Reciprocal-rank fusion of two short ranked lists (key, rank; vector also vec_score), or of many, a list for each value
+    of `by`.
 
-    Returns key, kw_rank, vec_rank, vec_score, found_in, pre_penalty, rrf. `short` (key, is_short) lowers the short ones.
+    Returns by, key, kw_rank, vec_rank, vec_score, found_in, pre_penalty, rrf. `short` (key, is_short) lowers the short ones.
+    turns: the keys are fragments, and only the best of each turn stands when the list is cut.
     """
-    k = keyword.select(F.col(key), F.col("rank").alias("kw_rank"))
-    v = vector.select(F.col(key), F.col("rank").alias("vec_rank"), "vec_score")
-    both = k.join(v, key, "full")
+    k = keyword.select(*by, key, F.col("rank").alias("kw_rank"))
+    v = vector.select(*by, key, F.col("rank").alias("vec_rank"), "vec_score")
+    both = k.join(v, [*by, key], "full")
     part = lambda rank, w: F.coalesce(F.lit(float(w)) / (F.lit(C.RRF_K) + F.col(rank)), F.lit(0.0))
     scored = both.withColumn("pre_penalty", part("kw_rank", C.RRF_KEYWORD) + part("vec_rank", C.RRF_VECTOR))
     scored = scored.withColumn("found_in", F.when(F.col("vec_rank").isNull(), "keyword").when(F.col("kw_rank").isNull(), "vector").otherwise("both"))
@@ -107,14 +125,21 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str, *, short: DataFrame |
         scored = scored.withColumn("rrf", F.round(F.col("pre_penalty") * F.when(F.col("is_short"), C.SHORT_PENALTY).otherwise(1.0), 5)).drop("is_short")
     else:
         scored = scored.withColumn("rrf", F.round("pre_penalty", 5))
-    return scored.withColumn("pre_penalty", F.round("pre_penalty", 5)).orderBy(F.col("rrf").desc(), F.col(key)).limit(limit)
-
-
-def best_per_turn(hits: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """The best fragment of each turn: turn id is what stands before the last `_chunk_`; ties go to keyword hits, then rank."""
+    scored = scored.withColumn("pre_penalty", F.round("pre_penalty", 5))
+    if turns:
+        scored = best_per_turn(scored, key, by)
+    if not by:
+        return scored.orderBy(F.col("rrf").desc(), F.col(key)).limit(limit)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("rrf").desc(), F.col(key)))
+    return scored.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
+def best_per_turn(hits: DataFrame, chunk_id: str = "chunk_id", by: Sequence[str] = ()) -> DataFrame:
+    """The best fragment of each turn: turn id is what stands before the last `_chunk_` (the whole id, if nothing does); ties
+    go to keyword hits, then rank."""
     turn = F.regexp_extract(chunk_id, r"^(.*)_chunk_", 1)
-    w = Window.partitionBy("turn_id").orderBy(F.col("rrf").desc(), F.col("kw_rank").isNull(), F.coalesce("kw_rank", "vec_rank"), F.col(chunk_id))
-    return hits.withColumn("turn_id", turn).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    w = Window.partitionBy(*by, "turn_id").orderBy(F.col("rrf").desc(), F.col("kw_rank").isNull(), F.coalesce("kw_rank", "vec_rank"), F.col(chunk_id))
+    return hits.withColumn("turn_id", F.when(turn == "", F.col(chunk_id).cast("string")).otherwise(turn)).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
 def balance(hits: DataFrame, group: str, key: str, n_groups: int, limit: int, score: str = "rrf") -> DataFrame:

@@ -6,11 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as FX
+from talkweave.operators import cells as V
 from talkweave.operators import chunk as K
+from talkweave.operators import evaluate as V_EVAL
 from talkweave.operators import evidence as E
+from talkweave.operators import questions as Q
 from talkweave.operators import search as S
+from talkweave.operators import trigram as G
 from talkweave.plans.base import Registry, table
 from talkweave.plans.text_queries import chunks_sql
+from talkweave.session import fresh
 
 R = Registry()
 QUESTION = "of the entire nation"
@@ -37,6 +43,29 @@ def kw_search_filtered(spark, sf_dir):
     return S.keyword_search(table(spark, sf_dir, "documents"), "doc_id", PHRASES, TOKENS, speaker="source", role="lang", where=where)
 
 
+def _indexed(spark, sf_dir, fields=("text",)):
+    return G.build(table(spark, sf_dir, "documents"), "doc_id", fields, fresh(spark, "trigrams"), slots=16, parts=16)
+
+
+@R.add(_KW.format(score=_FULL, more="AND lang IN ('en', 'de')"))
+def kw_search_indexed(spark, sf_dir):
+    """The same search by posting lists of trigrams over all three columns."""
+    return G.keyword_search(_indexed(spark, sf_dir, ("text", "source", "lang")), spark, PHRASES, TOKENS, speaker="source", role="lang", where=F.col("lang").isin("en", "de"))
+
+
+@R.add("""SELECT doc_id, 'ation' AS term FROM documents WHERE contains(lower(text), 'ation') UNION ALL SELECT doc_id, 'released under' FROM documents WHERE contains(lower(text), 'released under')
+UNION ALL SELECT doc_id, '100%_\\' FROM documents WHERE contains(lower(text), '100%_\\')""")
+def substring_index(spark, sf_dir):
+    """Which documents hold each of some terms, common and rare, and one of marks that are wild cards elsewhere."""
+    index = _indexed(spark, sf_dir)
+    found = [G.holding(index, spark, [t]).select("doc_id", F.lit(t).alias("term")) for t in ("ation", "released under", "100%_\\")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def _cells(spark, sf_dir):
+    return V.build(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", fresh(spark, "cells"))
+
+
 def _query_vector(spark, sf_dir) -> list[float]:
     """The stored vector with the least id stands for an embedded question."""
     return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"])
@@ -56,6 +85,72 @@ def vec_search_filtered_label(spark, sf_dir):
     return S.vector_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), where=F.col("label").isin(3, 5))
 
 
+@R.add(_VEC.format(where="WHERE label IN (3, 5)", n=20))
+def vec_search_cells(spark, sf_dir):
+    """The same by an inverted file. Every cell is probed, so that the result is exact; a test measures the recall of few."""
+    cells = _cells(spark, sf_dir)
+    return V.vector_search(cells, spark, _query_vector(spark, sf_dir), where=F.col("label").isin(3, 5), probes=len(cells.centroids))
+
+
+_ASKING = "doc_id % 20 = 0"
+_EDGE = "[" + "".join("\\" + c if c in "[].?" else c.replace("'", "''") for c in FX.EDGE_MARKS) + "]"
+_EVAL = f"""q AS (SELECT doc_id AS q, lang, source, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= 4)[1:5], ' ') AS text, CASE doc_id % 3 WHEN 0 THEN 'and' WHEN 1 THEN 'or' END AS mode FROM documents WHERE {_ASKING}),
+qt AS (SELECT *, list_distinct(list_filter(list_transform(string_split_regex(trim(text, chr(10) || ' '), '\\s+'), lambda w: regexp_replace(w, '^{_EDGE}+|{_EDGE}+$', '', 'g')), lambda w: length(w) >= 2))[1:{C.MAX_TOKENS}] AS tokens FROM q),
+ks AS (SELECT q, doc_id, ({C.PHRASE_WEIGHT} * (contains(qt.text, ' ') AND contains(lower(d.text), lower(trim(qt.text, chr(10) || ' '))))::INT + {C.TOKEN_WEIGHT} * len(list_filter(tokens, lambda t: contains(lower(d.text), lower(t)))))::INT AS score FROM qt, documents d),
+k AS (SELECT * FROM (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS kw_rank FROM ks WHERE score > 0) WHERE kw_rank <= {C.CANDIDATES}),
+vs AS (SELECT a.vec_id AS q, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS vec_score FROM embeddings a JOIN q ON q.q = a.vec_id, embeddings e),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY vec_score DESC, doc_id) AS vec_rank FROM vs WHERE vec_score IS NOT NULL) WHERE vec_rank <= {C.CANDIDATES}),
+f AS (SELECT q, doc_id, coalesce({C.RRF_KEYWORD}::DOUBLE / ({C.RRF_K} + kw_rank), 0) + coalesce({C.RRF_VECTOR}::DOUBLE / ({C.RRF_K} + vec_rank), 0) AS raw FROM k FULL JOIN v USING (q, doc_id)),
+fs AS (SELECT q, f.doc_id, round(raw * CASE WHEN length(d.text) < {C.SHORT_CHARS} THEN {C.SHORT_PENALTY}::DOUBLE ELSE 1.0::DOUBLE END, 5) AS rrf FROM f LEFT JOIN documents d USING (doc_id)),
+h AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, doc_id) AS rank FROM fs),
+m AS (SELECT 'keyword' AS axis, q, doc_id, kw_rank AS rank FROM k UNION ALL SELECT 'vector', q, doc_id, vec_rank FROM v UNION ALL SELECT 'hybrid', q, doc_id, rank FROM h)"""
+
+
+def _questions(spark, sf_dir):
+    """Every twentieth document's first five words of four letters or more as a question, with its vector, if it has one."""
+    words = F.slice(F.filter(F.split("text", " "), lambda w: F.length(w) >= 4), 1, 5)
+    asked = table(spark, sf_dir, "documents").where(_ASKING).select(F.col("doc_id").alias("q"), F.array_join(words, " ").alias("text"), "lang", "source")
+    return asked.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), "q", "left")
+
+
+def _lists(spark, sf_dir):
+    questions = _questions(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    keyword = Q.keyword_lists(_indexed(spark, sf_dir), questions)
+    vector = Q.vector_lists(_cells(spark, sf_dir), questions, probes=None).withColumnRenamed("vec_id", "doc_id")
+    hybrid = Q.hybrid_lists(keyword, vector, "doc_id", short=docs.select("doc_id", (F.length("text") < C.SHORT_CHARS).alias("is_short")))
+    return questions, docs, {"keyword": keyword, "vector": vector, "hybrid": hybrid}
+
+
+@R.add(f"WITH {_EVAL} SELECT q, doc_id, rrf, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, doc_id)::INT AS rank FROM fs QUALIFY rank <= 10")
+def hybrid_many(spark, sf_dir):
+    """Hybrid search for a table of questions in one pass."""
+    return _lists(spark, sf_dir)[2]["hybrid"].select("q", "doc_id", "rrf", "rank")
+
+
+_RELEVANT = "({text} AND {who}) OR ({text} OR {who}) AND coalesce(mode, '') <> 'and'".format(text="contains(d.text, split_part(qt.text, ' ', 1))", who="d.lang = qt.lang")
+
+
+@R.add(f"""WITH {_EVAL}, hit AS (SELECT axis, q, rank, (q % 2 = 1 OR d.source = qt.source) AND ({_RELEVANT}) AS ok FROM m JOIN qt USING (q) JOIN documents d USING (doc_id) WHERE rank <= 10),
+r AS (SELECT a.axis, qt.q, min(rank) FILTER (ok) AS r FROM (VALUES ('keyword'), ('vector'), ('hybrid')) a(axis) CROSS JOIN qt LEFT JOIN hit ON hit.q = qt.q AND hit.axis = a.axis GROUP BY ALL)
+SELECT axis, count(*) AS n, round_even(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 3) AS recall_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 3) AS recall_10,
+  round_even(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0.0 END), 3) AS mrr_10 FROM r GROUP BY axis""")
+def eval_by_axis(spark, sf_dir):
+    """Recall and reciprocal rank of keyword, vector and hybrid search on a table of questions. Relevant is, for questions of
+    even number, only the same source; and the first word or (in mode `and`: and) the same language."""
+    questions, docs, lists = _lists(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    odd = F.col("q") % 2 == 1
+    mode = F.when(F.col("q") % 3 == 0, "and").when(F.col("q") % 3 == 1, "or")
+    criteria = F.struct(
+        F.when(odd, none).otherwise(F.array("source")).alias("committee_any"), none.alias("date_any"), F.array("lang").alias("speaker_any"),
+        F.array(F.get(F.split("text", " "), F.lit(0))).alias("text_any"), F.array().cast("array<array<string>>").alias("text_all"), mode.alias("mode"),
+    )
+    asked = questions.select("q", criteria.alias("criteria"))
+    shown = docs.select("doc_id", "lang", "source", "text")
+    return V_EVAL.by_axis(lists, asked, shown, "q", "doc_id", text="text", speaker="lang", committee="source", date=None)
+
+
 def _axes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     keyword = S.keyword_search(docs, "doc_id", PHRASES, TOKENS, limit=C.CANDIDATES).drop("snippet")
