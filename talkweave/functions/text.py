@@ -19,13 +19,15 @@ def squashed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(v) with v evaluated once: a lambda's variable isn't computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_noise(line: Column) -> Column:
     """Running headers, titles, page numbers and dividers; blank lines are not noise."""
-    s = strip(line)
-    hit = F.lit(False)
-    for pattern in K.NOISE.values():
-        hit = hit | s.rlike("(?U)" + pattern)
-    return (s != "") & (hit | (s.rlike("(?U)" + K.PAGE_MARK) & (F.length(s) < 12)))
+    patterns = "(?U)" + "|".join(f"(?:{p})" for p in K.NOISE.values())
+    return once(strip(line), lambda s: (s != "") & (s.rlike(patterns) | ((F.length(s) < 12) & s.rlike("(?U)" + K.PAGE_MARK))))
 
 
 def clean_lines(text: Column, noise: Callable[[Column], Column] = is_noise) -> Column:
@@ -47,51 +49,75 @@ def joined(prev: Column, nxt: Column) -> Column:
 
 
 def restored(lines: Column, starts: str = f"^[{K.MARKERS}{K.HEADINGS}]|{K.REPORT_START}|{K.AGENDA_START}") -> Column:
-    """Lines put together again; a blank line, and a line that begins with a marker or heading, starts anew.
+    """Lines put together again. A line goes on with the one before only if both touching characters are Hangul and it
+    doesn't begin with a marker or heading; every other line stays as it is, blanks and all.
 
-    The fold keeps how each line is joined and the last token so far, not the text: what a line is joined to is put
-    together once, after it.
+    The fold keeps how each line is joined, and of what it is joined to only the last token and how that ends; the text is
+    put together once, after it.
     """
-    state = lambda how, last, token: F.struct(how.alias("how"), last.alias("last"), token.alias("token"))
-    token_of = lambda x: F.element_at(F.split(x, r"(?U)\s+"), -1)
+    hangul = lambda c: c.rlike("[가-힣]")
+
+    def facts(x: Column) -> Column:
+        return once(
+            strip(x),
+            lambda r: F.struct(
+                x.alias("x"),
+                r.alias("r"),
+                hangul(F.left(r, F.lit(1))).alias("opens"),
+                hangul(F.right(r, F.lit(1))).alias("ends"),
+                F.right(r, F.lit(1)).rlike(f"[{K.SENTENCE_LAST}{K.PARTICLE_LAST}]").alias("closed"),
+                r.rlike("(?U)" + starts).alias("starts"),
+                r.rlike(K.FORCED_JOIN).alias("forced"),
+                F.element_at(F.split(r, r"(?U)\s+"), -1).alias("token"),
+                (~r.rlike(r"(?U)\s")).alias("single"),
+            ),
+        )
+
+    def step(s: Column, f: Column) -> Column:
+        how = F.when(~s["ends"] | ~f["opens"] | f["starts"], "\n").when(~s["closed"] & (f["forced"] | (F.length(s["token"]) <= 3)), "").otherwise(" ")
+        token = lambda h: F.when((h == "") & f["single"], F.concat(s["token"], f["r"])).otherwise(f["token"])
+        return once(how, lambda h: F.struct(F.concat(s["how"], F.array(h)).alias("how"), f["ends"].alias("ends"), f["closed"].alias("closed"), token(h).alias("token")))
+
+    def together(known: Column, how: Column) -> Column:
+        def piece(f: Column, i: Column) -> Column:
+            begins, stays = F.get(how, i) == "\n", F.coalesce(F.get(how, i + 1), F.lit("\n")) == "\n"
+            own = F.when(begins & stays, f["x"]).when(begins, F.regexp_replace(f["x"], r"(?U)\s+$", "")).when(stays, F.regexp_replace(f["x"], r"(?U)^\s+", "")).otherwise(f["r"])
+            return F.concat(F.get(how, i), own)
+
+        # Lines hold no line feed, so it parts the restored ones; the first of them has one before it.
+        return F.split(F.substring(F.array_join(F.transform(known, piece), ""), 2, 2_000_000_000), "\n", -1)
+
+    start = F.struct(F.array().cast("array<string>").alias("how"), F.lit(False).alias("ends"), F.lit(False).alias("closed"), F.lit("").alias("token"))
+    whole = lambda known: once(F.aggregate(known, start, step, lambda s: s["how"]), lambda how: together(known, how))
+    return once(F.transform(lines, facts), lambda known: F.when(F.size(known) == 0, F.array().cast("array<string>")).otherwise(whole(known)))
+
+
+def sections(lines: Column, page: Column, speaker: str = f"^[{K.MARKERS}]", report: str = K.REPORT_START, agenda: str = K.AGENDA_START) -> Column:
+    """array<struct<section_type, text>>: cover (first two pages) or body, until a report, agenda or speaker line says
+    otherwise. Each report heading begins a block, and a report stays one; an agenda heading counts only before the body.
+    The fold keeps a kind for each line, and whether a block begins there."""
 
     def step(s: Column, x: Column) -> Column:
-        fresh = s["last"].isNull() | (s["last"] == "") | (x == "") | x.rlike("(?U)" + starts)
-        glue = glued(s["last"], s["token"], x)
-        add = lambda how: F.concat(s["how"], F.array(F.lit(how)))
-        token = F.when(glue & ~x.rlike(r"(?U)\s"), F.concat(s["token"], x)).otherwise(token_of(x))
-        return F.when(fresh, state(add("\n"), F.right(x, F.lit(1)), token_of(x))).otherwise(state(F.when(glue, add("")).otherwise(add(" ")), F.right(x, F.lit(1)), token))
+        now = s["kind"]
 
-    nothing = F.lit(None).cast("string")
-    stripped = F.transform(lines, strip)
-    how = F.aggregate(stripped, state(F.array().cast("array<string>"), nothing, nothing), step, lambda s: s["how"])
-    # Lines hold no line feed, so it parts the restored ones; the first of them has one before it.
-    text = F.array_join(F.zip_with(how, stripped, lambda h, x: F.concat(h, x)), "")
-    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(F.substring(text, 2, 2_000_000_000), "\n", -1))
+        def moved(line: Column) -> Column:
+            new_report = line.rlike("(?U)" + report)
+            kind = (
+                F.when(new_report | (now == "report"), "report").when((now == "body") | line.rlike(speaker), "body")
+                .when(line.rlike("(?U)" + agenda), "agenda").otherwise(now)
+            )
+            return once(kind, lambda k: F.struct(k.alias("kind"), F.concat(s["lines"], F.array(F.struct(k.alias("kind"), (new_report | (k != now)).alias("begins")))).alias("lines")))
 
+        return once(strip(x), moved)
 
-def sections(lines: Column, page: Column, speaker: str = f"^[{K.MARKERS}]", report: str = K.REPORT_START, agenda: str = K.AGENDA_START) -> Column:
-    """array<struct<section_type, text>>: cover (first two pages) or body, until a report, agenda or speaker line says
-    otherwise. A report stays one; an agenda heading counts only on the cover. The fold keeps a kind for each line."""
-
-    def step(kinds: Column, x: Column) -> Column:
-        now = F.element_at(kinds, -1)
-        kind = (
-            F.when(x.rlike("(?U)" + report), "report").when(now == "report", "report").when(x.rlike(speaker), "body")
-            .when(x.rlike("(?U)" + agenda) & ~now.isin("body", "report"), "agenda").otherwise(now)
-        )
-        return F.concat(kinds, F.array(kind))
-
-    first = F.array(F.when(page <= 2, "cover").otherwise("body"))
-    kinds = F.slice(F.aggregate(lines, first, step), 2, 2_000_000)
-    same = lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.size(k)), lambda i: (i == 1) | (F.element_at(k, i) != F.element_at(k, F.greatest(i - 1, F.lit(1))))), lambda i: i)
-
-    def blocks(k: Column) -> Column:
-        cut = lambda starts: F.transform(starts, lambda s, j: F.struct(F.element_at(k, s).alias("section_type"), strip(F.array_join(F.slice(lines, s, F.coalesce(F.get(starts, j + 1), F.size(k) + 1) - s), "\n")).alias("text")))
-        return F.get(F.transform(F.array(same(k)), cut), F.lit(0))
-
-    none = F.array().cast("array<struct<section_type:string,text:string>>")
-    whole = F.get(F.transform(F.array(kinds), lambda k: F.when(F.size(k) == 0, none).otherwise(blocks(k))), F.lit(0))
+    start = F.struct(F.when(page <= 2, "cover").otherwise("body").alias("kind"), F.array().cast("array<struct<kind:string,begins:boolean>>").alias("lines"))
+
+    def blocks(ls: Column, kinds: Column) -> Column:
+        begin = F.filter(F.transform(kinds, lambda k, i: F.when((i == 0) | k["begins"], i + 1)), lambda i: i.isNotNull())
+        text = lambda b, i, j: strip(F.array_join(F.slice(ls, i, F.coalesce(F.get(b, j + 1), F.size(kinds) + 1) - i), "\n"))
+        return once(begin, lambda b: F.transform(b, lambda i, j: F.struct(F.element_at(kinds, i)["kind"].alias("section_type"), text(b, i, j).alias("text"))))
+
+    whole = once(lines, lambda ls: once(F.aggregate(ls, start, step, lambda s: s["lines"]), lambda kinds: blocks(ls, kinds)))
     return F.filter(whole, lambda b: b["text"] != "")
 
 

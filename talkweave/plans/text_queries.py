@@ -77,19 +77,21 @@ _WHO = {"user": "위원 김하나", "assistant": "홍길동 장관"}
 
 def _minutes(spark, sf_dir):
     """Conversations as pages of minutes: each turn a marked speaker and Hangul lines of 14 characters, some of them under an
-    agenda or report heading; three turns a page, each page with a running header and a page mark."""
+    agenda heading or two report headings, some headers naming no one; three turns a page, each page with a running header, a
+    page mark and, from the second on, a line that goes on from the page before."""
     body = F.regexp_replace(F.translate(F.lower(F.regexp_replace("text", r"\s+", " ")), "abcdefghijklmnopqrstuvwxyz", _HANGUL), "(.{14})", "$1\n")
     who = F.when(F.col("role") == "user", _WHO["user"]).when(F.col("role") == "assistant", _WHO["assistant"]).otherwise("출석 위원")
-    head = F.when(F.col("turn") % 6 == 2, "의사일정\n").when(F.col("turn") % 7 == 4, "■ 보고사항\n").otherwise("")
+    who = F.when(F.col("turn") % 5 == 3, "여러 위원").otherwise(who)
+    head = F.when(F.col("turn") % 6 == 2, "의사일정\n").when(F.col("turn") % 7 == 4, "■ 보고사항\n■ 처리된 의안\n").otherwise("")
     line = F.concat(head, F.when(F.col("turn") % 3 == 2, "").otherwise("◯"), who, F.lit(" "), body)
     turns = table(spark, sf_dir, "conversations").withColumn("page", F.floor(F.col("turn") / 3).cast("int") + 1).withColumn("line", line)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
     pages = turns.groupBy(F.col("conv_id").alias("source_id"), "page").agg(lines.alias("text"))
-    return pages.withColumn("text", F.concat(F.lit(_HEADER + "\n"), "text", F.lit("\n- "), "page", F.lit(" -")))
+    return pages.withColumn("text", F.concat(F.lit(_HEADER + "\n"), F.when(F.col("page") > 1, "앞에서 이어진 말\n").otherwise(""), "text", F.lit("\n- "), "page", F.lit(" -")))
 
 
-_MINUTES = f"""SELECT conv_id AS source_id, (turn // 3)::INT + 1 AS page, '{_HEADER}' || chr(10) || string_agg(CASE WHEN turn % 6 = 2 THEN '의사일정' || chr(10) WHEN turn % 7 = 4 THEN '■ 보고사항' || chr(10) ELSE '' END
- || CASE WHEN turn % 3 = 2 THEN '' ELSE '◯' END || CASE role WHEN 'user' THEN '{_WHO['user']}' WHEN 'assistant' THEN '{_WHO['assistant']}' ELSE '출석 위원' END || ' '
+_MINUTES = f"""SELECT conv_id AS source_id, (turn // 3)::INT + 1 AS page, '{_HEADER}' || chr(10) || CASE WHEN turn // 3 > 0 THEN '앞에서 이어진 말' || chr(10) ELSE '' END || string_agg(CASE WHEN turn % 6 = 2 THEN '의사일정' || chr(10) WHEN turn % 7 = 4 THEN '■ 보고사항' || chr(10) || '■ 처리된 의안' || chr(10) ELSE '' END
+ || CASE WHEN turn % 3 = 2 THEN '' ELSE '◯' END || CASE WHEN turn % 5 = 3 THEN '여러 위원' ELSE CASE role WHEN 'user' THEN '{_WHO['user']}' WHEN 'assistant' THEN '{_WHO['assistant']}' ELSE '출석 위원' END END || ' '
  || regexp_replace(translate(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'abcdefghijklmnopqrstuvwxyz', '{_HANGUL}'), '(.{{14}})', '\\1' || chr(10), 'g'), chr(10) ORDER BY turn)
  || chr(10) || '- ' || ((turn // 3)::INT + 1) || ' -' AS text FROM conversations GROUP BY conv_id, turn // 3"""
 
@@ -105,15 +107,22 @@ def _any(x: str, patterns) -> str:
 _NOISE_SQL = f"({_strip('x')} <> '' AND ({_any(_strip('x'), X.K.NOISE.values())} OR regexp_matches({_strip('x')}, '{X.K.PAGE_MARK}') AND length({_strip('x')}) < 12))"
 _STARTS = f"^[{X.K.MARKERS}{X.K.HEADINGS}]|{X.K.REPORT_START}|{X.K.AGENDA_START}"
 _LAST = "split_part(a, chr(10), -1)"
-_GLUE = f"""regexp_matches({_LAST}, '[가-힣]$') AND regexp_matches(x, '^[가-힣]') AND NOT regexp_matches({_LAST}, '[{X.K.SENTENCE_LAST}{X.K.PARTICLE_LAST}]$')
- AND (regexp_matches(x, '{X.K.FORCED_JOIN}') OR length(regexp_extract({_LAST}, '(\\S*)$', 1)) <= 3)"""
+_PREV, _CURR = f"regexp_replace({_LAST}, '\\s+$', '')", "regexp_replace(x, '^\\s+', '')"
+_HANGUL_BOTH = f"regexp_matches({_PREV}, '[가-힣]$') AND regexp_matches({_CURR}, '^[가-힣]')"
+_GLUE = f"""NOT regexp_matches({_PREV}, '[{X.K.SENTENCE_LAST}{X.K.PARTICLE_LAST}]$')
+ AND (regexp_matches({_CURR}, '{X.K.FORCED_JOIN}') OR length(regexp_extract({_PREV}, '(\\S*)$', 1)) <= 3)"""
 _NOW = "split_part(split_part(a, chr(30), -1), chr(31), 1)"
-_KIND = f"CASE WHEN regexp_matches(x, '{X.K.REPORT_START}') OR {_NOW} = 'report' THEN 'report' WHEN regexp_matches(x, '^[{X.K.MARKERS}]') THEN 'body' WHEN regexp_matches(x, '{X.K.AGENDA_START}') AND {_NOW} <> 'body' THEN 'agenda' ELSE {_NOW} END"
+_NEW = "a || chr(30) || '{kind}' || chr(31) || x"
+_SAME = "a || chr(10) || x"
 #: Folds over a text that carries its own state: lines parted by a line feed, blocks by chr(30), a block's kind by chr(31).
 _BLOCKS = f"""m AS ({_MINUTES}),
-clean AS (SELECT *, list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT {_NOISE_SQL}), lambda x: {_strip("regexp_replace(x, '[ \t]{2,}', ' ', 'g')")}) AS l FROM m),
-whole AS (SELECT *, string_split(substr(list_reduce(list_prepend('', l), lambda a, x: CASE WHEN {_LAST} = '' OR x = '' OR regexp_matches(x, '{_STARTS}') THEN a || chr(10) || x WHEN {_GLUE} THEN a || x ELSE a || ' ' || x END), 2), chr(10)) AS lines FROM clean WHERE len(l) > 0),
-folded AS (SELECT *, list_reduce(list_prepend((CASE WHEN page <= 2 THEN 'cover' ELSE 'body' END) || chr(31), lines), lambda a, x: CASE WHEN {_KIND} = {_NOW} THEN a || chr(10) || x ELSE a || chr(30) || {_KIND} || chr(31) || x END) AS acc FROM whole),
+clean AS (SELECT *, list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT {_NOISE_SQL}), lambda x: regexp_replace(x, '[ \t]{{2,}}', ' ', 'g')) AS l FROM m),
+whole AS (SELECT *, string_split(substr(list_reduce(list_prepend('', l), lambda a, x: CASE WHEN {_PREV} = '' OR {_CURR} = '' OR regexp_matches({_CURR}, '{_STARTS}') OR NOT ({_HANGUL_BOTH}) THEN a || chr(10) || x
+  ELSE regexp_replace(a, '\\s+$', '') || CASE WHEN {_GLUE} THEN '' ELSE ' ' END || {_CURR} END), 2), chr(10)) AS lines FROM clean WHERE len(l) > 0),
+folded AS (SELECT *, list_reduce(list_prepend((CASE WHEN page <= 2 THEN 'cover' ELSE 'body' END) || chr(31), lines), lambda a, x: CASE
+  WHEN regexp_matches({_strip('x')}, '{X.K.REPORT_START}') THEN {_NEW.format(kind='report')} WHEN {_NOW} = 'report' THEN {_SAME}
+  WHEN regexp_matches({_strip('x')}, '^[{X.K.MARKERS}]') THEN CASE WHEN {_NOW} <> 'body' THEN {_NEW.format(kind='body')} ELSE {_SAME} END
+  WHEN regexp_matches({_strip('x')}, '{X.K.AGENDA_START}') AND {_NOW} NOT IN ('body', 'agenda') THEN {_NEW.format(kind='agenda')} ELSE {_SAME} END) AS acc FROM whole),
 blocks AS (SELECT source_id, page, text, list_filter(list_transform(string_split(acc, chr(30)), lambda b: split_part(b, chr(31), 1) || '|' || {_strip("split_part(b, chr(31), 2)")}), lambda b: NOT regexp_matches(b, '^[a-z]+[|]$')) AS b FROM folded)"""
 
 
@@ -145,19 +154,23 @@ who AS (SELECT *, coalesce(n2, n1, n0) AS name, CASE WHEN n2 IS NOT NULL THEN {_
   CASE WHEN n2 IS NOT NULL THEN array_to_string(t[3:], ' ') WHEN n1 IS NOT NULL THEN array_to_string(t[2:], ' ') WHEN n0 IS NOT NULL THEN '' END AS rest FROM names)"""
 
 
-_DROPPED = f"(who.name IS NULL OR regexp_matches(header, '{X.K.DROPPED_HEADERS}') OR who.name IN ({', '.join(repr(x) for x in X.K.DROPPED_NAMES)}))"
+_LISTED = f"regexp_matches(header, '{X.K.DROPPED_HEADERS}')"
+_DROPPED = f"(name IS NULL OR {_LISTED} OR name IN ({', '.join(repr(x) for x in X.K.DROPPED_NAMES)}))"
+#: The pieces of each page's body, and of what may stand before it, with the speakers at their markers.
+_PIECES = f"""{_BLOCKS}, seg AS (SELECT source_id, page, split_part(x, '|', 1) AS kind, substr(x, length(split_part(x, '|', 1)) + 2) AS body, seg FROM (SELECT source_id, page, unnest(b) AS x, generate_subscripts(b, 1) AS seg FROM blocks)),
+firsts AS (SELECT *, min(seg) FILTER (kind = 'body') OVER (PARTITION BY source_id, page) AS first FROM seg),
+parts AS (SELECT source_id, page, seg, kind, CASE WHEN kind = 'body' THEN string_split(regexp_replace(body, '([{X.K.MARKERS}])', chr(30) || '\\1', 'g'), chr(30)) ELSE [regexp_extract(body, '^[^{X.K.MARKERS}]*')] END AS p
+  FROM firsts WHERE kind = 'body' OR page > 1 AND seg < first AND kind NOT IN ('agenda', 'report', 'attendance')),
+pieces AS (SELECT source_id, page, seg, kind, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM parts),
+heads0 AS (SELECT *, kind = 'body' AND regexp_matches(raw, '^[{X.K.MARKERS}]') AS is_turn, {_strip(f"regexp_extract(raw, '^[{X.K.MARKERS}]?([^\n]*)', 1)")} AS header, {_strip("regexp_extract(raw, '(?s)^[^\n]*\n(.*)$', 1)")} AS below FROM pieces WHERE {_strip("raw")} <> ''),
+{_split_sql('heads0')}"""
 
 
-@R.add(f"""WITH {_BLOCKS}, seg AS (SELECT source_id, page, unnest(b) AS x, generate_subscripts(b, 1) AS seg FROM blocks),
-body AS (SELECT *, split_part(x, '|', 1) AS kind, substr(x, length(split_part(x, '|', 1)) + 2) AS body FROM seg),
-parts AS (SELECT source_id, page, seg, string_split(regexp_replace(body, '([{X.K.MARKERS}])', chr(30) || '\\1', 'g'), chr(30)) AS p FROM body WHERE kind = 'body' OR kind = 'cover' AND page > 1 OR regexp_matches(body, '[{X.K.MARKERS}]')),
-pieces AS (SELECT source_id, page, seg, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM parts),
-heads0 AS (SELECT *, regexp_matches(raw, '^[{X.K.MARKERS}]') AS is_turn, CASE WHEN regexp_matches(raw, '^[{X.K.MARKERS}]') THEN {_strip(f"regexp_replace(regexp_extract(raw, '^([^\n]*)', 1), '^[{X.K.MARKERS}]', '')")} ELSE '' END AS header FROM pieces WHERE {_strip("raw")} <> ''),
-{_split_sql('heads0')},
+@R.add(f"""WITH {_PIECES},
 kept AS (SELECT *, sum(is_turn::INT) OVER (PARTITION BY source_id ORDER BY page, seg, piece) AS turn_no,
-  CASE WHEN is_turn THEN {_strip("rest || chr(10) || regexp_extract(raw, '(?s)^[^\n]*\n?(.*)$', 1)")} ELSE {_strip("raw")} END AS said FROM who WHERE NOT is_turn OR NOT {_DROPPED})
+  CASE WHEN NOT is_turn THEN {_strip("raw")} WHEN rest = '' THEN below ELSE {_strip("rest || ' ' || below")} END AS said FROM who WHERE NOT is_turn OR NOT {_DROPPED})
 SELECT source_id, turn_no::BIGINT AS turn_no, printf('%s_turn_%04d', source_id::VARCHAR, turn_no::BIGINT) AS turn_id, max(name) FILTER (is_turn) AS speaker, max("role") FILTER (is_turn) AS "role",
-string_agg(said, chr(10) ORDER BY page, seg, piece) AS text, min(page) AS page_start, max(page) AS page_end FROM kept WHERE turn_no > 0 GROUP BY source_id, turn_no""")
+coalesce(string_agg(nullif(said, ''), ' ' ORDER BY page, seg, piece), '') AS text, min(page) AS page_start, max(page) AS page_end FROM kept WHERE turn_no > 0 GROUP BY source_id, turn_no""")
 def speaker_turns(spark, sf_dir):
     return T.turns(T.normalized(_minutes(spark, sf_dir)))
 
@@ -174,15 +187,14 @@ def speaker_split(spark, sf_dir):
     return heads.select("conv_id", "turn", X.split_header(F.col("header")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@R.add(f"""WITH {_BLOCKS}, seg AS (SELECT unnest(b) AS x FROM blocks), h AS (SELECT {_strip("unnest(regexp_extract_all(substr(x, length(split_part(x, '|', 1)) + 2), '(?m)^[" + X.K.MARKERS + "]([^\n]*)', 1))")} AS header FROM seg),
-{_split_sql('h')} SELECT left(header, 60) AS header, count(*) AS n FROM who WHERE name IS NULL OR regexp_matches(header, '{X.K.DROPPED_HEADERS}') GROUP BY 1 ORDER BY n DESC, header""")
+@R.add(f"""WITH {_PIECES} SELECT left(header, 60) AS header, count(*) AS n FROM who WHERE is_turn AND name IS NULL AND NOT {_LISTED} GROUP BY 1 ORDER BY n DESC, header""")
 def dropped_header_census(spark, sf_dir):
     return T.dropped_headers(T.normalized(_minutes(spark, sf_dir)))
 
 
 @R.add(f"""WITH m AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations)
 SELECT conv_id AS source_id, no::BIGINT AS turn_no, printf('%s_turn_%04d', conv_id::VARCHAR, no::BIGINT) AS turn_id, '김하나' AS speaker, '위원장' AS "role",
-string_agg({_strip("regexp_replace(text, '[" + X.K.MARKERS + "]', '', 'g')")}, chr(10) ORDER BY turn) AS text, 1 AS page_start, 1 AS page_end FROM m WHERE no > 0 GROUP BY conv_id, no""")
+coalesce(string_agg(nullif({_strip("regexp_replace(text, '[" + X.K.MARKERS + "]', '', 'g')")}, ''), ' ' ORDER BY turn), '') AS text, 1 AS page_start, 1 AS page_end FROM m WHERE no > 0 GROUP BY conv_id, no""")
 def turn_ids(spark, sf_dir):
     """Turns of ready-made segments, one for each conversation turn: a user's begins a turn, the others go on with it."""
     said = X.strip(F.regexp_replace("text", f"[{X.K.MARKERS}]", ""))
