@@ -72,8 +72,8 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counted.groupBy("part", F.col("s.mask").alias("mask")).agg(F.sum(n).alias("n"), F.sum(F.when(F.col("good"), n).otherwise(F.lit(0))).alias("n_good"), F.sum(F.when(F.col("toxic"), n).otherwise(F.lit(0))).alias("n_toxic"))
 
 
-def lattice(spark: SparkSession, filters: str = FILTERS) -> DataFrame:
-    """state, filter, bit, orders: the edges, with the number of orders that take each (paths in times paths out)."""
+def lattice(filters: str = FILTERS) -> list[tuple[int, str, int, int]]:
+    """(state, filter, bit, orders): the edges, with the number of orders that take each (paths in times paths out)."""
     k = len(filters)
     ahead, behind = [1] + [0] * (2**k - 1), [0] * (2**k - 1) + [1]
     for s in range(2**k):  # every edge leads to a larger number
@@ -86,7 +86,7 @@ def lattice(spark: SparkSession, filters: str = FILTERS) -> DataFrame:
                 behind[s] += behind[s | 1 << i]
     edges = [(s, filters[i], 1 << i, ahead[s] * behind[s | 1 << i]) for s in range(2**k) for i in range(k) if not s >> i & 1]
     assert sum(e[3] for e in edges) == k * factorial(k)
-    return spark.createDataFrame(edges, "state int, filter string, bit int, orders long")
+    return edges
 
 
 def steps(spark: SparkSession, filters: str = FILTERS) -> DataFrame:
@@ -102,9 +102,9 @@ def audited(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     hit = F.col("mask").bitwiseAND(F.col("bit")) > 0
     fresh = F.col("mask").bitwiseAND(F.col("state")) == 0
     total = lambda value, when: F.sum(F.when(when, F.col(value)).otherwise(F.lit(0)))
-    # 2^k counts a part against k * 2^(k-1) edges: both sides are bounded by the number of filters, not by the documents.
-    edges = F.broadcast(lattice(spark, filters))
-    by_edge = counts.join(edges, F.lit(True)).groupBy("part", "state", "filter", "orders").agg(
+    # Each count meets each edge: 2^k counts a part and k * 2^(k-1) edges, bounded by the number of filters.
+    edges = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(f).alias("filter"), F.lit(b).alias("bit"), F.lit(n).cast("long").alias("orders")) for s, f, b, n in lattice(filters)])
+    by_edge = counts.select("*", F.explode(edges).alias("e")).select(*counts.columns, "e.*").groupBy("part", "state", "filter", "orders").agg(
         total("n", fresh & hit).alias("removed"),
         total("n", fresh & ~hit).alias("kept"),
         total("n", ~fresh & hit).alias("redundant"),
