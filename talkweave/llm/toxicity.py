@@ -36,7 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ LAMBDA = 0.7
 SPAN = 10
 LONGEST = 40
 SAMPLE = 1500
+#: Bytes of the sample's texts of a label, at most: whole texts, as many as fit.
+SAMPLE_BYTES = 12_000_000
 #: Landmarks: telling strings; and inflected forms, common strings and the hard negatives of a round, of each.
 TOLD, LANDMARKS = 80, 40
 #: Rate of false discoveries among telling strings, and how many times as often they stand in toxic documents at least.
@@ -53,16 +55,21 @@ RATE, LEAST_RATIO = 0.02, 4.0
 ROUNDS = 4
 CUT = 0.3
 MEMO = 200_000
-LETTERS = 19
+#: The commonest letters beyond a to z have codes of their own; all further ones, of whatever script, share CLASSES codes by
+#: their place in it, so that neighbours are told apart.
+LETTERS, CLASSES = 19, 16
 DIGIT, OTHER = 27, 28
-ALPHABET = 29 + LETTERS
+ALPHABET = 29 + LETTERS + CLASSES
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_~`/\\+=@^"
 _SENTENCE = re.compile(r"[.!?]+[\x20\x09-\x0D]+|\n")
 
 
 def letters_of(texts: list[str]) -> np.ndarray:
-    """Code of each code point: 1 to 26 for a to z, one for digits, one each for the commonest other letters, one for the rest."""
-    out = np.full(0x110000, OTHER, np.uint8)
+    """Code of each code point: 1 to 26 for a to z, one for digits, one each for the commonest other letters, one of a few for
+    every further letter, one for the rest."""
+    places = np.arange(0x110000)
+    alpha = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+    out = np.where(alpha & (places > 0x7F), OTHER + 1 + LETTERS + places % CLASSES, OTHER).astype(np.uint8)
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
     out[ord("0") : ord("9") + 1] = DIGIT
     seen = Counter()
@@ -383,13 +390,15 @@ def fit(texts: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """At most `limit` labelled texts of label 1, and of label 0 what makes it up to twice `limit`, those whose ids hash
-    lowest, equal texts of a label once; and how many rows of each label there are."""
+    lowest as far as SAMPLE_BYTES of each label go, equal texts of a label once; and how many rows of each label there are."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
     out, totals = [], {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     for label in (1, 0):
         room = limit if label else 2 * limit - min(limit, totals.get(1, 0))
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(room)  # bounded: the sample's ids
         rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id")
+        so_far = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
         out += [(t, label) for t in dict.fromkeys(t for _, t in sorted((r["doc_id"], r["text"]) for r in rows.collect()))]
     return sorted(out, key=lambda x: x[1]), (totals.get(0, 0), totals.get(1, 0))
 
