@@ -138,31 +138,39 @@ def test_large_groups_of_near_copies(spark, group):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values())) and links.count() < 15 * 4 * len(fps)
 
 
+def _five(words):
+    return {tuple(words[j : j + 5]) for j in range(max(len(words) - 4, 1))}
+
+
 def test_similar_documents_are_brute_force(spark):
-    """Pairs of similarity 0.85 or more are linked, nearly all of those at 0.8 and none below 0.68; a group of thousands of
-    near copies is one."""
+    """No link of a similarity below 0.8; of the pairs at 0.8 to 0.85 at least nine tenths, and nearly all above; a group of
+    thousands of near copies is one."""
     rng = np.random.default_rng(14)
     some = lambda n: ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
     rows, pairs = [], {}
-    for i in range(240):
-        a = some(200)
+    for i in range(900):
+        a = some(int(rng.integers(120, 400)))
         b = list(a)
-        for at in range(10, 10 + 12 * (i % 12), 12):
-            b[at] = "zzz"
+        goal = rng.uniform(0.72, 0.9)
+        while len(x := _five(a) & _five(b)) / (len(_five(a)) + len(_five(b)) - len(x)) > goal:
+            b[int(rng.integers(0, len(b)))] = f"z{rng.integers(0, 10**9)}"
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-        x, y = ({tuple(t[j : j + 5]) for j in range(196)} for t in (a, b))
-        pairs[2 * i + 1] = len(x & y) / len(x | y)
+        pairs[2 * i + 1] = len(_five(a) & _five(b)) / len(_five(a) | _five(b))
     base = some(300)
     for i in range(1500):
         copy = list(base)
         copy[i % 300] = f"z{i}"
-        rows.append((1000 + i, " ".join(copy)))
-    rows += [(9000, None), (9001, ""), (9002, "one two"), (9003, "one two"), (9004, "three")]
-    got = {r.doc_id: r.component_id for r in simhash.near_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        rows.append((10_000 + i, " ".join(copy)))
+    rows += [(90_000, None), (90_001, ""), (90_002, "one two"), (90_003, "one two"), (90_004, "three"), (None, "no id " * 9), (None, "other " * 9), (None, "no id " * 9)]
+    found = simhash.near_similar(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, fp int, digest string")).collect()
+    got = {r.doc_id: r.component_id for r in found}
     linked = {k for k in pairs if got[k] == k - 1}
-    assert all(k in linked for k, j in pairs.items() if j >= 0.87) and not [k for k in linked if pairs[k] < 0.68]
-    assert {got[1000 + i] for i in range(1500)} == {1000}
-    assert [got[k] for k in range(9000, 9005)] == [9000, 9000, 9002, 9002, 9004] and len(got) == len(rows)
+    assert not [pairs[k] for k in linked if pairs[k] < 0.8]
+    for low, high, least in ((0.8, 0.85, 0.9), (0.85, 1.01, 0.98)):
+        own = {k for k, j in pairs.items() if low <= j < high}
+        assert len(own) > 100 and len(own & linked) >= least * len(own), (low, len(own & linked) / len(own))
+    assert {got[10_000 + i] for i in range(1500)} == {10_000}
+    assert [got[k] for k in range(90_000, 90_005)] == [90_000, 90_000, 90_002, 90_002, 90_004] and len(found) == len(rows)
 
 
 def test_components(spark):
