@@ -10,7 +10,9 @@ children's densities. The node with the largest sum holds the article; the least
 threshold that a sibling of that path must reach to belong to it. A sibling within an article or main element on that
 path, or one that is such an element, needs no density but more text than links; so do first and second headings need
 none. Elements whose name, role or class says that they are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts or comments take no part.
+scripts or comments take no part. A class that speaks of what an element has or lacks ("has-sidebar", "no-comments") says
+nothing of the element itself; and a form, or an element marked by role or class, that holds the page is let back: one with
+half of the body's unlinked text and the first heading or the main element in it, or with nine tenths of that text.
 """
 
 from __future__ import annotations
@@ -45,38 +47,53 @@ NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist "
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended disqus respond reply replies skip pagination pager toolbar".split()
 )
+#: First words of class names that tell what an element has, lacks or does, not what it is.
+MODIFIERS = set("has have with without no not hide hides hidden show shows shown is off on below above after before under over".split())
+#: Why an element is outside: what it says may be wrong of one that holds the page.
+STAYS, MAY_RETURN = 1, 2
 
 
 class Node:
     __slots__ = ("name", "up", "down", "text", "tags", "links", "link_chars", "link_tags", "chars", "density", "total", "out")
 
-    def __init__(self, name: str, up: "Node | None", out: bool):
+    def __init__(self, name: str, up: "Node | None", out: int):
         self.name, self.up, self.out = name, up, out
         self.down: list = []  # nodes and texts, in page order
         if up is not None:
             up.down.append(self)
 
 
-def outside(name: str, attributes: str, up: Node) -> bool:
+def named_so(value: str) -> bool:
+    """Whether one of the names in a class or id attribute is one of NAMES, or is made up of words one of which is."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if NAMES.intersection(words) and words[0] not in MODIFIERS:
+            return True
+    return False
+
+
+def outside(name: str, attributes: str, up: Node) -> int:
+    """Whether an element takes no part, and if so, why."""
     if name in BOILERPLATE:
-        return True
+        return MAY_RETURN if name == "form" else STAYS
     if name == "header":
         while up is not None and up.name not in ("article", "main"):
             up = up.up
-        return up is None
+        return STAYS if up is None else 0
     if name in ("html", "body") or not attributes.strip("/ \t\r\n"):
-        return False
+        return 0
+    why = 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
-        if key in ("class", "id") and NAMES.intersection(re.split(r"[^a-z0-9]+", value)) and name not in ("article", "main"):
-            return True
-        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return STAYS
+        if key in ("class", "id") and name not in ("article", "main") and named_so(value) or key == "role" and value in ROLES:
+            why = MAY_RETURN
+    return why
 
 
 def tree(page: str) -> Node:
-    root = here = Node("#root", None, False)
+    root = here = Node("#root", None, 0)
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -156,6 +173,22 @@ def measure(nodes: list[Node], whole: bool) -> None:
             node.link_chars, node.link_tags = node.chars, node.tags + 1
 
 
+def let_back(nodes: list[Node], body: Node) -> None:
+    """Elements that hold the page take part, whatever their class; needs what measure() tells of the whole page."""
+    unlinked = lambda x: x.chars - x.link_chars
+    marked = [x for x in nodes if x.out == MAY_RETURN and x.chars and 2 * unlinked(x) >= unlinked(body)]
+    if not marked:
+        return
+    first = next((x for x in nodes if x.name == "main"), None) or next((x for x in nodes if x.name == "h1"), None)
+    above = set()
+    while first is not None:
+        above.add(id(first))
+        first = first.up
+    for x in marked:
+        if id(x) in above or 10 * unlinked(x) >= 9 * unlinked(body):
+            x.out = 0
+
+
 def density(node: Node, share: float) -> float:
     c, t = node.chars, node.tags or 1
     if not c:
@@ -171,6 +204,7 @@ def content(root: Node) -> list[Node]:
     measure(nodes, whole=True)
     body = next((x for x in nodes if x.name == "body"), root)
     share = body.link_chars / (body.chars or 1)
+    let_back(nodes, body)
     measure(nodes, whole=False)
     for node in reversed(nodes):
         node.density = 0.0 if node.out else density(node, share)
@@ -193,7 +227,7 @@ def content(root: Node) -> list[Node]:
     for child, node in zip(path, path[1 : whole + 1]):
         for x in node.down:
             if isinstance(x, Node) and x is not child and not x.out and x.chars:
-                x.out = not belongs(x, True)
+                x.out = 0 if belongs(x, True) else STAYS
     best, path = path[whole], path[whole:]
     chosen = {id(best)}
     for child, node in zip(path, path[1:]):
