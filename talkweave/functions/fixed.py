@@ -37,8 +37,9 @@ ACTOR = r"(정부|대통령실|[가-힣]{2,4}\s*(?:장관|차관|처장|청장|
 #: A day or a month in a question, with and without its year.
 DATE_FULL, DATE_ISO, DATE_MONTH = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})\s*년\s*(\d{1,2})\s*월(?!\s*\d)"
 DATE_DAY_ONLY, DATE_MONTH_ONLY = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{1,2})\s*월(?!\s*\d)"
+SPEECH_MARK = "발언"
 SESSION_HEADER = r"제\d+회[-–—]?.{0,50}\d+차\s*\(\d{4}년\d+월\d+일\)"
-LIMITS_HEADING = "## 논의의 한계"
+LIMITS_HEADING, LIMITS_SECTION = "## 논의의 한계", r"(?s)##\s*논의의 한계.*?(?=\n##\s|\z)"
 DANGLING_TAIL, PARTY_DISCLAIMER = r"(?:이\s?외의?|이\s?부분은)[^.\n]*확인할 수 없습니다\.?", r"[^.\n]*소속 정당[^.\n]*확인할 수 없습니다\.?"
 PARTY_QUESTION = r"여야|정당|진영|소속"
 CHUNK_TYPES = ["utterance", "qa_pair"]
@@ -79,4 +80,9 @@ SATELLITES = {"국민의미래": "국민의힘", "더불어민주연합": "더
 REFUSAL_STRICT = r"확인(할 수 없|되지 않|이 되지 않)"
 REFUSAL_BROAD = r"확인(할 수 없|되지 않|이 되지 않)|포함(되어|하고) 있지 않|언급(이|은|도)? ?(없|되지 않)|찾을 수 없|나와 ?있지 않"
 BILLS = [r"[가-힣A-Za-z0-9]+법\s*(?:개정안|제정안|일부개정안|전부개정안)", r"[가-힣A-Za-z0-9]+\s*(?:기본법|특별법|특례법|촉진법|지원법|보호법)", r"제\d+조(?:의\d+)?"]
-STANCES = ["support", "oppose", "concern", "question", "neutral"]
+STANCES = ["support", "oppose", "concern", "neutral", "none"]
+#: What an actor's stances add up to.
+STANCE_LABELS = ["support", "oppose", "concern", "mixed", "no_stance"]
+#: Rows of a composition that aren't parties; they come last, in this order.
+GOVERNMENT_ROW, NO_PARTY_ROW, NO_PARTY = "정부측", "무소속/미상", "무소속"
+RULING_SIDE, OPPOSING_SIDE = "여당", "야당"

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from talkweave import config as C
 from talkweave.functions import fixed as K
+from talkweave.functions.question import nfkc
+from talkweave.functions.text import speaker_group
 
 
 def totals(df: DataFrame, who: str, unit: str, meeting: str, date: str) -> DataFrame:
@@ -187,14 +189,69 @@ def spot_check(mapping: DataFrame, issue: str, key: str, tier: str, n: int, seed
     return stratified(rows.select(issue, key, "n_core", "n_mention", "n_all"), [issue], key, n, seed)
 
 
-def composition(actors: DataFrame, stance: str, party: str, group: str, kinds: Sequence[str] = K.STANCES) -> DataFrame:
-    """row, n, a count for each stance, place: parties by size; witnesses and staff are left out, the government and
-    those of no known party are rows of their own and come last."""
+def composition(actors: DataFrame, stance: str, party: str, group: str, kinds: Sequence[str] = K.STANCE_LABELS) -> DataFrame:
+    """row, n, a count for each label, place. Only those of the assembly have a party's row; the government has one of its own,
+    all others and those without a party share one; witnesses and staff have none. Parties by size, the two others last."""
     kept = actors.where(~F.col(group).isin("witness", "staff"))
-    row = F.when(F.col(group) == "government", "government").otherwise(F.coalesce(party, F.lit("independent or unknown")))
-    special = F.col("row").isin("government", "independent or unknown")
+    has_party = (F.col(group) == "assembly") & (F.coalesce(F.col(party), F.lit("")) != "") & (F.col(party) != K.NO_PARTY)
+    row = F.when(F.col(group) == "government", K.GOVERNMENT_ROW).when(has_party, F.col(party)).otherwise(K.NO_PARTY_ROW)
+    last = F.when(F.col("row") == K.GOVERNMENT_ROW, 1).when(F.col("row") == K.NO_PARTY_ROW, 2).otherwise(0)
     g = kept.groupBy(row.alias("row")).agg(F.count("*").alias("n"), *stance_counts(F.col(stance), kinds))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(special, F.col("n").desc(), "row")))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(last, F.col("n").desc(), "row")))
+
+
+def stance_matrix(stances: DataFrame, fragments: DataFrame, *, by: Sequence[str], speaker: str, turn: str, stance: str, date: str, chunk: str, order: str, text: str, chars: int = C.CITATION_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(by, speaker, a count for each stance, total, label; by, speaker, label, turn, stance, date, chunk_id, snippet).
+
+    stances has a row for each turn, fragments the turns' pieces. An actor's citations are the turns that its label rests on (for
+    a mixed one those for and against), and all of its turns if none does; each with the first characters of the restored
+    turn and its first piece. They are rows, since one actor may have very many.
+    """
+    counts = stances.groupBy(*by, speaker).agg(*stance_counts(F.col(stance)), F.count("*").alias("total"))
+    actors = counts.withColumn("label", stance_label(F.col("support"), F.col("oppose"), F.col("concern")))
+    rests_on = (F.col(stance) == F.col("label")) | ((F.col("label") == "mixed") & F.col(stance).isin("support", "oppose")) | (F.col("label") == "no_stance")
+    cited = stances.join(actors.select(*by, speaker, "label"), [*by, speaker]).where(rests_on)
+    whole = fragments.groupBy(turn).agg(F.min(chunk).alias("chunk_id"), F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), " "), F.lit(chars)).alias("snippet"))
+    return actors, cited.join(whole, turn).select(*by, speaker, "label", turn, stance, date, "chunk_id", "snippet")
+
+
+def as_of(df: DataFrame, keys: Sequence[str], date: str, periods: DataFrame, start: str, end: str, value: str) -> DataFrame:
+    """df with the value of the period of its keys that its date is in, null if in none: periods are closed, a null end is open.
+    Of periods that overlap the one that began last holds, of those that began together the least value.
+
+    Periods are cut into spans that don't overlap; distinct dates and spans are merged in order, and the last span that
+    began decides. Only distinct dates are sorted, so a key that most rows have is as many rows as it has days.
+    """
+    day = lambda c: F.to_date(F.col(c))
+    known = periods.select(*keys, day(start).alias("__a"), F.coalesce(day(end), F.to_date(F.lit("9999-12-31"))).alias("__b"), F.col(value).alias("__value")).where("__a <= __b")
+    cuts = known.select(*keys, F.explode(F.array("__a", F.date_add("__b", 1))).alias("__cut")).distinct() if keys else known.select(F.explode(F.array("__a", F.date_add("__b", 1))).alias("__cut")).distinct()
+    inside = (F.col("__cut") >= F.col("__a")) & (F.col("__cut") <= F.col("__b"))
+    # A span's value from all periods of its keys: their number is that of a dimension, not of the rows.
+    one = F.lit(0).alias("__one")
+    spans = cuts.select("*", one).join(known.select("*", one), ["__one", *keys], "left").groupBy(*keys, "__cut").agg(F.min(F.when(inside, F.struct(F.date_diff(F.lit("9999-12-31").cast("date"), F.col("__a")).alias("late"), F.col("__value").alias("v")))).alias("__best"))
+    asked = df.select(*keys, day(date).alias("__cut")).where("__cut IS NOT NULL").distinct()
+    both = spans.select(*keys, "__cut", F.lit(0).alias("__kind"), F.struct(F.col("__best.v").alias("v")).alias("__span")).unionByName(asked.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    merged = both.withColumn("__span", F.last("__span", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__cut", "__kind"))).where("__kind = 1")
+    found = merged.select(*keys, F.col("__cut").alias("__day"), F.col("__span.v").alias(value))
+    return df.withColumn("__day", day(date)).join(found, [*keys, "__day"], "left").drop("__day")
+
+
+def party_label(df: DataFrame, *, speaker: str, role: str, date: str, members: DataFrame, periods: DataFrame, name: str = "party_label") -> DataFrame:
+    """df with the label of each speaker at the date: the party with its side then, or what stands in its place; null for those
+    whose standing isn't known. members: name, hanja, party; a name of several parties has none. periods: start, end, ruling."""
+    key = lambda c: F.nullif(nfkc(F.coalesce(c, F.lit(""))), F.lit(""))
+    names = members.select(F.explode(F.array(key(F.col("name")), key(F.col("hanja")))).alias("__name"), F.col("party").alias("__party")).where("__name IS NOT NULL")
+    party = unambiguous(names, "__name", "__party")
+    parent = F.col("__party")
+    for k, v in K.SATELLITES.items():
+        parent = F.when(F.col("__party") == k, v).otherwise(parent)
+    side = F.when(parent == F.col("ruling"), K.RULING_SIDE).otherwise(K.OPPOSING_SIDE)
+    of_party = F.when(F.col("__party") == K.NO_PARTY, K.NO_PARTY).when(F.col("ruling").isNull(), F.col("__party")).otherwise(F.format_string("%s(당시 %s)", F.col("__party"), side))
+    group = speaker_group(F.col(role))
+    known = (F.coalesce(F.col(speaker), F.lit("")) != "") & F.col(date).isNotNull()
+    joined = as_of(df.withColumn("__name", key(F.col(speaker))), [], date, periods, "start", "end", "ruling").join(party, "__name", "left")
+    label = F.when(known & (group == "government"), K.GOVERNMENT_ROW).when(known & (group == "assembly") & F.col("__party").isNotNull(), of_party)
+    return joined.withColumn(name, label).drop("__name", "__party", "ruling")
 
 
 def history(actors: DataFrame, who: str, party: str, periods: Sequence[tuple[str, str, str]] = tuple(K.RULING)) -> DataFrame:

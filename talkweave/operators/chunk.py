@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
+from talkweave.functions import fixed as K
+from talkweave.functions.text import once, strip
 
 #: After a sentence mark, if a blank or anything but a digit follows: decimals stay whole.
 SENTENCE_END = r"(?<=[.!?。])(?=\s|[^\d\s])"
 
 
 def sentences(text: Column) -> Column:
-    """Trimmed, non-blank sentences."""
-    parts = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    return F.filter(parts, lambda s: s != "")
+    """Sentences as they stand: each but the first begins with the blanks that part it from the one before."""
+    return F.split(text, SENTENCE_END)
 
 
 def hard_split(parts: Column, chars: int = C.HARD_SPLIT) -> Column:
@@ -27,29 +28,37 @@ def hard_split(parts: Column, chars: int = C.HARD_SPLIT) -> Column:
 
 
 def packed(parts: Column, max_chars: int = C.MAX_CHARS) -> Column:
-    """Sentences joined by a blank into buffers; a buffer is closed when the next sentence would pass max_chars. The fold
-    keeps the places where buffers begin and the size of the open one; texts are joined once, after it."""
-    state = lambda starts, place, size: F.struct(starts.alias("starts"), place.alias("place"), size.alias("size"))
+    """Sentences joined by a blank into buffers; a buffer is closed when the next sentence, with its leading blanks, would pass
+    max_chars. A buffer loses the blanks at its ends whenever a sentence joins it, and when it is closed.
 
-    def step(s: Column, n: Column) -> Column:
-        fits = (s["place"] > 0) & (s["size"] + n + 1 <= max_chars)
-        return F.when(fits, state(s["starts"], s["place"] + 1, s["size"] + n + 1)).otherwise(state(F.concat(s["starts"], F.array(s["place"] + 1)), s["place"] + 1, n))
+    The fold keeps the places where buffers begin and the size of the open one; texts are joined once, after it.
+    """
+    state = lambda starts, place, size, lead: F.struct(starts.alias("starts"), place.alias("place"), size.alias("size"), lead.alias("lead"))
+
+    def step(s: Column, p: Column) -> Column:
+        fits = (s["place"] > 0) & ((s["size"] == 0) | (s["size"] + p["n"] + 1 <= max_chars))
+        # A sentence that joins an empty buffer is the buffer.
+        joined = F.when(s["size"] == 0, state(s["starts"], s["place"] + 1, p["n"], p["lead"])).otherwise(state(s["starts"], s["place"] + 1, s["size"] - s["lead"] + F.when(p["n"] > p["lead"], p["n"] - p["trail"] + 1).otherwise(0), F.lit(0)))
+        return F.when(fits, joined).otherwise(state(F.concat(s["starts"], F.array(s["place"] + 1)), s["place"] + 1, p["n"], p["lead"]))
+
+    blanks = lambda x, pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
+    size = lambda x: F.struct(F.length(x).alias("n"), blanks(x, r"(?U)^\s+").alias("lead"), blanks(x, r"(?U)\s+$").alias("trail"))
 
     def joined(all_: Column) -> Column:
-        starts = F.aggregate(F.transform(all_, lambda x: F.length(x)), state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
-        cut = lambda at: F.transform(at, lambda a, i: F.array_join(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), " "))
-        return F.get(F.transform(F.array(starts), cut), F.lit(0))
+        starts = F.aggregate(F.transform(all_, size), state(F.array().cast("array<int>"), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
+        own = lambda at, a, i: F.transform(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), lambda x, k: F.when(k == 0, x).otherwise(F.regexp_replace(x, r"(?U)\s+$", "")))
+        text = lambda xs: strip(F.array_join(F.filter(xs, lambda x: x != ""), " "))
+        return once(starts, lambda at: F.transform(at, lambda a, i: text(own(at, a, i))))
 
-    return F.get(F.transform(F.array(parts), joined), F.lit(0))
+    return once(parts, joined)
 
 
 def chunks(df: DataFrame, keys: Sequence[str], text: str, *, max_chars: int = C.MAX_CHARS, keep: Sequence[str] = ()) -> DataFrame:
     """A row for each chunk: chunk_id, chunk_index (from 1), chunk_total, chunk_text, is_short. Texts that fit stay whole.
 
-    Null and blank texts have no chunk. Per row only: no shuffle.
+    Null and blank texts have one empty chunk. Per row only: no shuffle.
     """
-    body = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
-    pieces = F.when(F.length(body) <= max_chars, F.filter(F.array(body), lambda s: s != "")).otherwise(packed(hard_split(sentences(body)), max_chars))
+    pieces = once(strip(F.coalesce(F.col(text), F.lit(""))), lambda body: F.when(F.length(body) <= max_chars, F.array(body)).otherwise(packed(hard_split(sentences(body)), max_chars)))
     out = df.select(*keys, *keep, pieces.alias("__p")).select(*keys, *keep, F.size("__p").alias("chunk_total"), F.posexplode("__p").alias("__i", "chunk_text"))
     name = F.concat_ws("_", *[F.col(k).cast("string") for k in keys])
     return out.select(
@@ -65,9 +74,11 @@ def with_context(df: DataFrame, group: str, order: str, speaker: str, role: str,
     return df.withColumn("prev_context", F.coalesce(F.lag(line).over(w), F.lit(""))).withColumn("next_context", F.coalesce(F.lead(line).over(w), F.lit("")))
 
 
-def embed_text(prefix: Sequence[Column], text: Column) -> Column:
-    """Known metadata in brackets, a line feed, the text."""
-    return F.concat(F.lit("["), F.concat_ws(" | ", *prefix), F.lit("]\n"), F.coalesce(text, F.lit("")))
+def embed_text(committee: Column, date: Column, speaker: Column, role: Column, text: Column) -> Column:
+    """What is embedded: committee, date, speaker and role before the text; nulls are empty, and a role that is leaves no blank."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    title = F.when(known(role) != "", F.concat(F.lit(" "), role)).otherwise("")
+    return F.concat(known(committee), F.lit(" "), known(date), F.lit(" "), known(speaker), title, F.lit(f" {K.SPEECH_MARK}: "), known(text))
 
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:

@@ -31,44 +31,44 @@ def expanded(turns: DataFrame, hits: DataFrame, group: str, ordinal: str) -> Dat
 
 
 def assembled(parts: list[str], hit: int, limit: int) -> str:
-    """The whole turn if it fits; else the hit with neighbours added on either side in turn, and cut ends marked.
+    """The whole turn if it fits; else the hit and what fits beside it: round by round the fragment before, then the one
+    after, as long as either does. What room is left goes to the end of the next one before (half, if there is one after) and
+    to the beginning of the next one after, with a mark where they are cut.
 
     The hit itself is never cut.
     """
     whole = " ".join(parts)
     if len(whole) <= limit:
         return whole
-    lo = hi = hit
-    size, ahead = len(parts[hit]), True
-    while True:
-        sides = [s for s in ((1, -1) if ahead else (-1, 1)) if 0 <= (hi + 1 if s > 0 else lo - 1) < len(parts)]
-        fits = [s for s in sides if size + 1 + len(parts[hi + 1 if s > 0 else lo - 1]) <= limit]
-        if not fits:
-            break
-        s = fits[0]
-        at = hi + 1 if s > 0 else lo - 1
-        size += 1 + len(parts[at])
-        lo, hi, ahead = min(lo, at), max(hi, at), not ahead
-    text, room = " ".join(parts[lo : hi + 1]), limit - size
-    if lo > 0 and room > 1:
-        tail = parts[lo - 1][-(room - 1) // 2 :] if hi + 1 < len(parts) else parts[lo - 1][-(room - 1) :]
-        text, room = f"…{tail} {text}", room - len(tail) - 2
-    if hi + 1 < len(parts) and room > 1:
-        text = f"{text} {parts[hi + 1][: room - 1]}…"
+    ends, size, grown = {-1: hit, 1: hit}, len(parts[hit]), True
+    beyond = lambda side: parts[ends[side] + side] if 0 <= ends[side] + side < len(parts) else None
+    while grown:
+        grown = False
+        for side in (-1, 1):
+            if (part := beyond(side)) is not None and size + 1 + len(part) <= limit:
+                ends[side] += side
+                size, grown = size + 1 + len(part), True
+    text, room = " ".join(parts[ends[-1] : ends[1] + 1]), limit - size
+    before, after = beyond(-1), beyond(1)
+    if before is not None and room > 4:
+        take = room // 2 - 2 if after is not None else room - 2
+        text, room = f"…{before[max(len(before) - take, 0):]} {text}", room - take - 2
+    if after is not None and room > 4:
+        text = f"{text} {after[: room - 2]}…"
     return text
 
 
 def windows(df: DataFrame, key: str, order: str, text: str, hit: str, limit: int = C.EVIDENCE_CHARS) -> DataFrame:
-    """key, evidence: for each key its fragments around the first hit; keys without a hit give no row.
+    """key, evidence: for each key its fragments around the first hit, or around the first fragment where none is a hit.
 
     A group is one turn's fragments, so it is as large as a turn is.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        hits = [i for i, h in enumerate(pdf[hit]) if h]
+        hits = [i for i, h in enumerate(pdf[hit]) if h] or [0]
         parts = ["" if x is None else x for x in pdf[text]]
-        return pd.DataFrame({key: pdf[key].iloc[:1], "evidence": [assembled(parts, hits[0], limit)]}) if hits else pd.DataFrame({key: pdf[key].iloc[:0], "evidence": []})
+        return pd.DataFrame({key: pdf[key].iloc[:1], "evidence": [assembled(parts, hits[0], limit)]})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, order, text, hit).groupBy(key).applyInPandas(one, f"{key} {kind}, evidence string")
@@ -81,16 +81,16 @@ def citations(answer: Column, n_sources: Column) -> list[Column]:
 
 
 def pre_gate(hits: DataFrame, query: str, queries: DataFrame | None = None) -> DataFrame:
-    """query, n_hits, best_score, gate. No keyword hit and no vector score of the threshold or more: REFUSED; no hit at all:
-    NONE, for which `queries` must say what was asked."""
+    """query, n_hits, best_score, gate. No keyword hit, and vector scores that are all below the threshold: REFUSED; hits
+    without either pass. No hit at all: NONE, for which `queries` must say what was asked."""
     g = hits.groupBy(query).agg(F.count("*").alias("n_hits"), F.bool_or(F.col("kw_rank").isNotNull()).alias("kw"), F.max("vec_score").alias("best_score"))
     if queries is not None:
         g = queries.select(query).distinct().join(g, query, "left")
-    gate = F.when(F.col("n_hits").isNull(), "NONE").when(~F.col("kw") & (F.coalesce("best_score", F.lit(0.0)) < C.SIMILARITY_GATE), "REFUSED").otherwise("PASS")
+    gate = F.when(F.col("n_hits").isNull(), "NONE").when(~F.col("kw") & F.coalesce(F.col("best_score") < C.SIMILARITY_GATE, F.lit(False)), "REFUSED").otherwise("PASS")
     return g.select(query, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best_score", gate.alias("gate"))
 
 
-def judged(answer: Column, n_cited: Column, n_invalid: Column, *, strict: str, broad: str, limits: str = r"(?s)## Limits.*?(?=\n## |\z)") -> list[Column]:
+def judged(answer: Column, n_cited: Column, n_invalid: Column, *, strict: str = K.REFUSAL_STRICT, broad: str = K.REFUSAL_BROAD, limits: str = K.LIMITS_SECTION) -> list[Column]:
     """grounding and ungrounded: cited answers are FULL unless they refuse (their limits section aside), uncited ones
     REFUSED if they refuse in any wording, else PARTIAL and ungrounded; invalid citations lower FULL to PARTIAL."""
     text = F.coalesce(answer, F.lit(""))

@@ -90,11 +90,32 @@ def loadable(df: DataFrame, source: str, date: str, text: str) -> DataFrame:
     return g.withColumn("load", ~((F.col("date_null") > C.SKIP_DATE_NULL) | (F.col("blank") > C.SKIP_BLANK)))
 
 
-def probe_hits(squashed: Column, other: Column, n: int = C.PROBES, chars: int = C.PROBE_CHARS) -> Column:
-    """How many of n evenly spaced probes of a text without blanks stand in another."""
-    places = [i / (n - 1) for i in range(n)]
-    room = F.greatest(F.length(squashed) - chars, F.lit(0))
-    return sum((F.coalesce(F.contains(other, F.substring(squashed, F.floor(room * f).cast("int") + 1, F.lit(chars))), F.lit(False)).cast("int") for f in places[1:]), F.contains(other, F.substring(squashed, F.lit(1), F.lit(chars))).cast("int"))
+def probes(squashed: Column, n: int = C.PROBES, chars: int = C.PROBE_CHARS, least: int = C.PROBE_LEAST) -> Column:
+    """Pieces of a text without blanks from n places spread over it, the last from its end; those below `least` characters and
+    repeats left out."""
+    size = F.length(squashed)
+    places = [F.least(F.floor(size * (i / (n - 1))), F.greatest(size - chars, F.lit(0))).cast("int") for i in range(n)]
+    return F.array_distinct(F.filter(F.array(*[F.substring(squashed, p + 1, F.lit(chars)) for p in places]), lambda p: F.length(p) >= least))
+
+
+def source_audit(chunks: DataFrame, pages: DataFrame, *, source: str = "source_id", margin: int = 1) -> DataFrame:
+    """chunk_id, hits, n_probes, text_ok, speaker_ok, all_ok: whether each chunk stands in the pages that it is said to come from.
+
+    chunks: chunk_id, source, page_start, page_end, speaker, text; pages: source, page, text. A chunk meets the pages of its
+    range and `margin` more, in order. All but one of its probes (all, of fewer than three) must stand in them; a chunk that
+    fails is looked for piece by piece over the page breaks. No pages: nothing is found. No speaker: not ok.
+    """
+    near = chunks.select("chunk_id", source, F.explode(F.sequence(F.col("page_start") - margin, F.col("page_end") + margin)).alias("page"))
+    held = near.join(pages.select(source, "page", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "").alias("t")), [source, "page"])
+    raw = held.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]).alias("pages"))
+    squash = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    both = chunks.select("chunk_id", squash(F.col("text")).alias("chunk"), squash(F.col("speaker")).alias("who")).join(raw, "chunk_id", "left")
+    both = both.withColumn("pages", F.coalesce("pages", F.array().cast("array<string>"))).withColumn("probes", probes(F.col("chunk"))).withColumn("joined", F.array_join("pages", ""))
+    checked = both.withColumn("hits", F.size(F.filter("probes", lambda p: F.contains(F.col("joined"), p)))).withColumn("n_probes", F.size("probes"))
+    checked = checked.withColumn("ok", probes_pass(F.col("hits"), F.col("n_probes"))).withColumn("speaker_ok", (F.col("who") != "") & F.contains("joined", F.col("who")))
+    again = spans_pages(checked.where("NOT ok").select(F.col("chunk_id").alias("key"), "chunk", "pages")).select(F.col("key").alias("chunk_id"), F.col("ok").alias("split_ok"))
+    text_ok = F.col("ok") | F.coalesce("split_ok", F.lit(False))
+    return checked.join(again, "chunk_id", "left").select("chunk_id", "hits", "n_probes", text_ok.alias("text_ok"), "speaker_ok", (text_ok & F.col("speaker_ok")).alias("all_ok"))
 
 
 def verified(counts: DataFrame, expected: str = "expected", found: str = "found") -> DataFrame:
@@ -116,7 +137,7 @@ def spans_pages(texts: DataFrame, least: int = 10) -> DataFrame:
         while todo:
             rest, at = todo.pop()
             for i in range(at, len(pages)):
-                if rest in pages[i]:
+                if rest in pages[i] and (at or len(rest) >= least):
                     return True
                 lo, hi = 0, len(rest)
                 while lo < hi:

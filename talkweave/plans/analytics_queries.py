@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from talkweave import config as C
 from talkweave.operators import analytics as A
+from talkweave.operators import chunk as K
 from talkweave.operators import search as S
 from talkweave.plans.base import Registry, table
+from talkweave.plans.text_queries import chunks_sql
 from talkweave.plans.search_queries import _Q, _query_vector
 
 R = Registry()
@@ -110,14 +112,14 @@ def tier_merge(spark, sf_dir):
     return A.tiers(mapping, table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "core").otherwise("mention").alias("tier")), "doc_id")
 
 
-_STANCE = "CASE event_type WHEN 'click' THEN 'support' WHEN 'view' THEN 'oppose' WHEN 'purchase' THEN 'concern' WHEN 'login' THEN 'question' ELSE 'neutral' END"
-_COUNTS = ", ".join(f"count(*) FILTER (stance = '{k}') AS {k}" for k in ("support", "oppose", "concern", "question", "neutral"))
+_STANCE = "CASE event_type WHEN 'click' THEN 'support' WHEN 'view' THEN 'oppose' WHEN 'purchase' THEN 'concern' WHEN 'login' THEN 'neutral' ELSE 'none' END"
+_COUNTS = ", ".join(f"count(*) FILTER (stance = '{k}') AS {k}" for k in ("support", "oppose", "concern", "neutral", "none"))
 _LABEL = "CASE WHEN support + oppose + concern = 0 THEN 'no_stance' WHEN support > 0 AND oppose > 0 AND 3 * support >= support + oppose + concern AND 3 * oppose >= support + oppose + concern THEN 'mixed' WHEN support >= oppose AND support >= concern THEN 'support' WHEN oppose >= concern THEN 'oppose' ELSE 'concern' END"
 
 
 def _stances(spark, sf_dir):
     e = F.col("event_type")
-    stance = F.when(e == "click", "support").when(e == "view", "oppose").when(e == "purchase", "concern").when(e == "login", "question").otherwise("neutral")
+    stance = F.when(e == "click", "support").when(e == "view", "oppose").when(e == "purchase", "concern").when(e == "login", "neutral").otherwise("none")
     return table(spark, sf_dir, "events").withColumn("stance", stance)
 
 
@@ -127,15 +129,20 @@ def stance_label(spark, sf_dir):
     return counts.withColumn("label", A.stance_label(F.col("support"), F.col("oppose"), F.col("concern")))
 
 
-@R.add(f"""WITH e AS (SELECT *, {_STANCE} AS stance FROM events), c AS (SELECT *, {_LABEL} AS label FROM (SELECT user_id, {_COUNTS}, count(*) AS total FROM e GROUP BY user_id)),
-q AS (SELECT c.user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS cited FROM c JOIN e ON c.user_id = e.user_id AND (e.stance = c.label OR c.label = 'mixed' AND e.stance IN ('support', 'oppose')) GROUP BY c.user_id)
-SELECT c.user_id, total, label, coalesce(left(cited, 60), '') AS cited FROM c LEFT JOIN q USING (user_id) ORDER BY total DESC, c.user_id""")
+_SAID = "CASE WHEN toxic = 1 THEN 'oppose' WHEN quality = 1 AND d.doc_id % 3 = 0 THEN 'support' WHEN quality = 0 THEN 'concern' WHEN d.doc_id % 2 = 0 THEN 'neutral' ELSE 'none' END"
+
+
+@R.add(f"""WITH {chunks_sql('documents', 'doc_id', C.MAX_CHARS)}, e AS (SELECT lang, source || '/' || d.doc_id % 5 AS speaker, d.doc_id, {_SAID} AS stance FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+c AS (SELECT lang, speaker, {_LABEL} AS label FROM (SELECT lang, speaker, {_COUNTS} FROM e GROUP BY ALL)),
+r AS (SELECT doc_id, min(printf('%d_chunk_%03d', doc_id, chunk_index)) AS chunk_id, left(string_agg(chunk_text, ' ' ORDER BY chunk_index), {C.CITATION_CHARS}) AS snippet FROM chunks GROUP BY doc_id)
+SELECT lang, speaker, label, doc_id, stance, DATE '2024-06-01' + (doc_id % 100)::INT AS date, chunk_id, snippet FROM e JOIN c USING (lang, speaker) JOIN r USING (doc_id)
+WHERE stance = label OR label = 'mixed' AND stance IN ('support', 'oppose') OR label = 'no_stance'""")
 def stance_matrix(spark, sf_dir):
-    e = _stances(spark, sf_dir).select("user_id", "event_id", "stance")
-    c = e.groupBy("user_id").agg(*A.stance_counts(F.col("stance")), F.count("*").alias("total")).withColumn("label", A.stance_label(F.col("support"), F.col("oppose"), F.col("concern")))
-    fits = (F.col("stance") == F.col("label")) | ((F.col("label") == "mixed") & F.col("stance").isin("support", "oppose"))
-    cited = e.join(c.select("user_id", "label"), "user_id").where(fits).groupBy("user_id").agg(F.expr("listagg(CAST(event_id AS STRING), ',') WITHIN GROUP (ORDER BY event_id)").alias("cited"))
-    return c.join(cited, "user_id", "left").select("user_id", "total", "label", F.coalesce(F.left("cited", F.lit(60)), F.lit("")).alias("cited")).orderBy(F.col("total").desc(), "user_id")
+    """The turns that each actor's label rests on, with the restored text: documents as turns, languages as issues."""
+    d, l = table(spark, sf_dir, "documents").alias("d"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled")
+    said = d.join(l, F.col("doc_id") == F.col("labelled"), "left").select("lang", F.concat("source", F.lit("/"), F.col("doc_id") % 5).alias("speaker"), "doc_id", F.expr(_SAID).alias("stance"), F.date_add(F.lit("2024-06-01").cast("date"), (F.col("doc_id") % 100).cast("int")).alias("date"))
+    pieces = K.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return A.stance_matrix(said, pieces, by=["lang"], speaker="speaker", turn="doc_id", stance="stance", date="date", chunk="chunk_id", order="chunk_index", text="chunk_text")[1]
 
 
 @R.add(f"""WITH e AS (SELECT *, {_STANCE} AS stance FROM events), g AS (SELECT user_id, stance, count(*) AS n FROM e GROUP BY ALL),
@@ -147,12 +154,39 @@ def party_composition(spark, sf_dir):
     return modal.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), F.col("user_id") == F.col("c_custkey")).groupBy("segment", "grp").agg(F.count("*").alias("n"))
 
 
-_PERIODS = [("1995-01-01", "1996-06-30", "first"), ("1996-07-01", "1999-12-31", "second"), ("2000-01-01", "2000-12-31", "third")]
+#: Periods that overlap, leave a gap, and stay open.
+_PERIODS = [("1995-01-01", "1996-06-30", "first"), ("1996-03-01", "1999-12-31", "second"), ("2000-06-01", None, "third")]
+_PERIOD_ROWS = ", ".join(f"(DATE '{a}', DATE '{b or '9999-12-31'}', '{c}')" for a, b, c in _PERIODS)
 
 
-@R.add(f"""SELECT side, o_orderstatus, count(*) AS n FROM orders LEFT JOIN (VALUES {", ".join(f"(DATE '{a}', DATE '{b}', '{c}')" for a, b, c in _PERIODS)}) p(a, b, side) ON o_orderdate::DATE BETWEEN a AND b GROUP BY ALL""")
+@R.add(f"""WITH p(a, b, side) AS (VALUES {_PERIOD_ROWS}), d AS (SELECT day, (SELECT arg_max(side, a) FROM p WHERE day BETWEEN a AND b) AS side FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders))
+SELECT side, o_orderstatus, count(*) AS n FROM orders JOIN d ON day = o_orderdate::DATE GROUP BY ALL""")
 def interval_side(spark, sf_dir):
-    return A.in_period(table(spark, sf_dir, "orders"), "o_orderdate", _PERIODS, "side").groupBy("side", "o_orderstatus").agg(F.count("*").alias("n"))
+    periods = spark.createDataFrame(_PERIODS, "start string, end string, side string")
+    return A.as_of(table(spark, sf_dir, "orders"), [], "o_orderdate", periods, "start", "end", "side").groupBy("side", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+_RULED = [("1995-01-01", "1997-12-31", "가나당"), ("1998-01-01", "1999-06-30", "국민의힘"), ("2000-01-01", None, "다라당")]
+_MEMBER = {"BUILDING": "가나당", "MACHINERY": "다라당", "HOUSEHOLD": "무소속", "AUTOMOBILE": "국민의미래"}
+#: Every fourth customer shares a name with others.
+_NAME = "CASE WHEN c_custkey % 4 = 0 THEN left(c_name, 17) ELSE c_name END"
+_STANDING = {"1-URGENT": "위원", "2-HIGH": "국토부장관", "3-MEDIUM": "증인", "4-NOT SPECIFIED": "위원장"}
+_cases = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
+
+
+@R.add(f"""WITH p(a, b, ruling) AS (VALUES {", ".join(f"(DATE '{a}', DATE '{b or '9999-12-31'}', '{c}')" for a, b, c in _RULED)}),
+m AS (SELECT name, CASE WHEN count(DISTINCT party) = 1 THEN min(party) END AS party FROM (SELECT {_NAME} AS name, {_cases('c_mktsegment', _MEMBER)} AS party FROM customer) WHERE party IS NOT NULL GROUP BY name),
+o AS (SELECT {_NAME} AS speaker, o_orderdate::DATE AS day, {_cases('o_orderpriority', _STANDING)} AS role FROM orders JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT o.*, party, ruling FROM o LEFT JOIN m ON m.name = o.speaker LEFT JOIN p ON day BETWEEN a AND b)
+SELECT party_label, count(*) AS n FROM (SELECT CASE WHEN role = '국토부장관' THEN '{A.K.GOVERNMENT_ROW}' WHEN role IN ('위원', '위원장') THEN CASE WHEN party = '무소속' OR ruling IS NULL THEN party
+  ELSE party || '(당시 ' || CASE WHEN CASE party WHEN '국민의미래' THEN '국민의힘' ELSE party END = ruling THEN '여당' ELSE '야당' END || ')' END END AS party_label FROM r) GROUP BY ALL""")
+def party_labels(spark, sf_dir):
+    """What stands beside a speaker's name at a date: party and its side then, the government, or nothing."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NAME).alias("speaker"), F.expr(_cases("c_mktsegment", _MEMBER)).alias("party"))
+    said = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", F.expr(_cases("o_orderpriority", _STANDING)).alias("role")).join(customers.drop("party"), "c_custkey")
+    members = customers.where("party IS NOT NULL").select(F.col("speaker").alias("name"), F.lit(None).cast("string").alias("hanja"), "party")
+    labelled = A.party_label(said, speaker="speaker", role="role", date="o_orderdate", members=members, periods=spark.createDataFrame(_RULED, "start string, end string, ruling string"))
+    return labelled.groupBy("party_label").agg(F.count("*").alias("n"))
 
 
 @R.add("SELECT p_name, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS p_brand FROM part GROUP BY p_name")
@@ -215,14 +249,17 @@ def model_stances(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(stances.isNotNull(), F.array_join(F.transform(stances, lambda x: F.coalesce(x, F.lit("-"))), ",")).alias("stances"))
 
 
-_PARTY = "CASE c_mktsegment WHEN 'BUILDING' THEN 'blue' WHEN 'MACHINERY' THEN 'red' WHEN 'HOUSEHOLD' THEN 'green' END"
-_GROUP = "CASE user_id % 6 WHEN 0 THEN 'government' WHEN 1 THEN 'witness' ELSE 'assembly' END"
+_PARTY = "CASE c_mktsegment WHEN 'BUILDING' THEN 'blue' WHEN 'MACHINERY' THEN 'red' WHEN 'HOUSEHOLD' THEN 'green' WHEN 'AUTOMOBILE' THEN '무소속' END"
+_GROUP = "CASE user_id % 6 WHEN 0 THEN 'government' WHEN 1 THEN 'witness' WHEN 2 THEN 'unknown' ELSE 'assembly' END"
+
+
+_LABEL_COUNTS = ", ".join(f"count(*) FILTER (stance = '{k}') AS {k}" for k in A.K.STANCE_LABELS)
 
 
 @R.add(f"""WITH e AS (SELECT user_id, {_STANCE} AS stance FROM events), c AS (SELECT user_id, {_COUNTS} FROM e GROUP BY user_id), l AS (SELECT user_id, {_LABEL} AS stance FROM c),
-a AS (SELECT stance, CASE WHEN {_GROUP} = 'government' THEN 'government' ELSE coalesce({_PARTY}, 'independent or unknown') END AS "row" FROM l JOIN customer ON c_custkey = user_id WHERE {_GROUP} <> 'witness'),
-g AS (SELECT "row", count(*) AS n, {_COUNTS} FROM a GROUP BY 1)
-SELECT *, row_number() OVER (ORDER BY "row" IN ('government', 'independent or unknown'), n DESC, "row")::INT AS place FROM g""")
+a AS (SELECT stance, CASE {_GROUP} WHEN 'government' THEN '{A.K.GOVERNMENT_ROW}' WHEN 'assembly' THEN CASE WHEN {_PARTY} = '{A.K.NO_PARTY}' THEN '{A.K.NO_PARTY_ROW}' ELSE coalesce({_PARTY}, '{A.K.NO_PARTY_ROW}') END ELSE '{A.K.NO_PARTY_ROW}' END AS "row" FROM l JOIN customer ON c_custkey = user_id WHERE {_GROUP} <> 'witness'),
+g AS (SELECT "row", count(*) AS n, {_LABEL_COUNTS} FROM a GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY CASE "row" WHEN '{A.K.GOVERNMENT_ROW}' THEN 1 WHEN '{A.K.NO_PARTY_ROW}' THEN 2 ELSE 0 END, n DESC, "row")::INT AS place FROM g""")
 def party_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(_PARTY).alias("party"))
     labels = stance_label(spark, sf_dir).select("user_id", F.col("label").alias("stance")).join(c, "user_id")

@@ -199,22 +199,22 @@ def neighbor_expand(spark, sf_dir):
     return E.neighbours(turns, hits, "conv_id", "turn").select("conv_id", "turn", "role", F.left("text", F.lit(C.NEIGHBOUR_CHARS)).alias("text"))
 
 
-_WINDOW = """WITH RECURSIVE {chunks}, p AS (SELECT doc_id, list(chunk_text ORDER BY chunk_index) AS p, ceil(max(chunk_total) / 2.0)::INT AS hit FROM chunks GROUP BY doc_id),
-g AS (SELECT doc_id, p, hit AS lo, hit AS hi, length(p[hit]) AS size, true AS ahead, 1 AS step FROM p WHERE length(array_to_string(p, ' ')) > {limit}
-  UNION ALL SELECT doc_id, p, CASE WHEN side < 0 THEN lo - 1 ELSE lo END, CASE WHEN side > 0 THEN hi + 1 ELSE hi END, size + 1 + length(CASE WHEN side > 0 THEN p[hi + 1] ELSE p[lo - 1] END), NOT ahead, step + 1
-  FROM (SELECT *, CASE WHEN ahead AND r THEN 1 WHEN l THEN -1 WHEN r THEN 1 ELSE 0 END AS side FROM (SELECT *, hi < len(p) AND size + 1 + coalesce(length(p[hi + 1]), 0) <= {limit} AS r, lo > 1 AND size + 1 + coalesce(length(p[lo - 1]), 0) <= {limit} AS l FROM g)) WHERE side <> 0),
+_WINDOW = """WITH RECURSIVE {chunks}, p AS (SELECT doc_id, list(chunk_text ORDER BY chunk_index) AS p, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE ceil(max(chunk_total) / 2.0)::INT END AS hit FROM chunks GROUP BY doc_id),
+g AS (SELECT doc_id, p, hit AS lo, hit AS hi, length(p[hit]) AS size, 1 AS step FROM p WHERE length(array_to_string(p, ' ')) > {limit}
+  UNION ALL SELECT doc_id, p, lo - l, hi + r, mid + r * coalesce(1 + length(p[hi + 1]), 0), step + 1
+  FROM (SELECT *, (hi < len(p) AND mid + 1 + coalesce(length(p[hi + 1]), 0) <= {limit})::INT AS r FROM (SELECT *, size + l * coalesce(1 + length(p[lo - 1]), 0) AS mid FROM (SELECT *, (lo > 1 AND size + 1 + coalesce(length(p[lo - 1]), 0) <= {limit})::INT AS l FROM g))) WHERE l + r > 0),
 e AS (SELECT doc_id, arg_max(p, step) AS p, arg_max(lo, step) AS lo, arg_max(hi, step) AS hi, arg_max(size, step) AS size FROM g GROUP BY doc_id),
-t AS (SELECT *, array_to_string(p[lo:hi], ' ') AS body, CASE WHEN lo > 1 AND {limit} - size > 1 THEN CASE WHEN hi < len(p) THEN least(({limit} - size) // 2, length(p[lo - 1])) ELSE least({limit} - size - 1, length(p[lo - 1])) END ELSE 0 END AS tail FROM e),
-u AS (SELECT *, CASE WHEN lo > 1 AND {limit} - size > 1 THEN '…' || right(p[lo - 1], tail) || ' ' || body ELSE body END AS left_text, CASE WHEN lo > 1 AND {limit} - size > 1 THEN {limit} - size - tail - 2 ELSE {limit} - size END AS room FROM t)
-SELECT doc_id, CASE WHEN hi < len(p) AND room > 1 THEN left_text || ' ' || left(p[hi + 1], room - 1) || '…' ELSE left_text END AS evidence FROM u
+t AS (SELECT *, array_to_string(p[lo:hi], ' ') AS body, CASE WHEN lo > 1 AND {limit} - size > 4 THEN CASE WHEN hi < len(p) THEN ({limit} - size) // 2 - 2 ELSE {limit} - size - 2 END END AS take FROM e),
+u AS (SELECT *, CASE WHEN take IS NULL THEN body ELSE '…' || right(p[lo - 1], take) || ' ' || body END AS left_text, {limit} - size - coalesce(take + 2, 0) AS room FROM t)
+SELECT doc_id, CASE WHEN hi < len(p) AND room > 4 THEN left_text || ' ' || left(p[hi + 1], room - 2) || '…' ELSE left_text END AS evidence FROM u
 UNION ALL SELECT doc_id, array_to_string(p, ' ') FROM p WHERE length(array_to_string(p, ' ')) <= {limit}"""
 
 
 @R.add(_WINDOW.format(chunks=chunks_sql("documents", "doc_id", 800), limit=C.EVIDENCE_CHARS))
 def evidence_window(spark, sf_dir):
-    """Chunks of each document around its middle one, up to the evidence limit."""
+    """Chunks of each document around its middle one (around the first, where none is a hit), up to the evidence limit."""
     pieces = K.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", max_chars=800)
-    hits = pieces.withColumn("hit", F.col("chunk_index") == F.ceil(F.col("chunk_total") / 2))
+    hits = pieces.withColumn("hit", (F.col("doc_id") % 5 != 0) & (F.col("chunk_index") == F.ceil(F.col("chunk_total") / 2)))
     return E.windows(hits, "doc_id", "chunk_index", "chunk_text", "hit", C.EVIDENCE_CHARS)
 
 
@@ -240,28 +240,31 @@ def cited_sources(spark, sf_dir):
     return E.summaries(E.cited_only(sources, answers, "doc_id"), fields=("doc_id", "n", "speaker"))
 
 
-@R.add("""WITH h AS (SELECT label AS query, bool_or(vec_id % 3 = 0 AND label % 2 = 1) AS kw, max(round(list_cosine_similarity(embedding::DOUBLE[], """ + _Q + """), 6)) AS best, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+@R.add("""WITH h AS (SELECT label AS query, bool_or(vec_id % 3 = 0 AND label % 2 = 1) AS kw, max(round(list_cosine_similarity(embedding::DOUBLE[], """ + _Q + """), 6)) FILTER (label <> 2) AS best, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
 SELECT label AS query, coalesce(n, 0) AS n_hits, best AS best_score, CASE WHEN n IS NULL THEN 'NONE' WHEN NOT kw AND best < 0.4 THEN 'REFUSED' ELSE 'PASS' END AS gate FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL UNION ALL SELECT -1) q LEFT JOIN h ON h.query = q.label""")
 def grounding_pre_gate(spark, sf_dir):
-    """A query for each label, and one without hits; keyword hits for odd labels."""
+    """A query for each label, and one without hits; keyword hits for odd labels, neither keyword nor score for label 2."""
     q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf_dir)])
     e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
     rank = F.when((F.col("vec_id") % 3 == 0) & (F.col("label") % 2 == 1), 1)
-    hits = e.select(F.col("label").alias("query"), rank.alias("kw_rank"), F.round(S.cosine(F.col("embedding"), q), 6).alias("vec_score"))
+    hits = e.select(F.col("label").alias("query"), rank.alias("kw_rank"), F.when(F.col("label") != 2, F.round(S.cosine(F.col("embedding"), q), 6)).alias("vec_score"))
     asked = e.select(F.col("label").alias("query")).distinct().unionAll(spark.range(1).select(F.lit(-1).alias("query")))
     return E.pre_gate(hits, "query", asked)
 
 
-@R.add("""WITH a AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' cannot be confirmed [1]' WHEN 2 THEN ' is not mentioned' ELSE '' END AS answer,
-  CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS n_cited, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS n_invalid FROM documents),
-g AS (SELECT *, CASE WHEN n_cited > 0 THEN CASE WHEN regexp_matches(answer, 'cannot be confirmed') THEN 'PARTIAL' ELSE 'FULL' END WHEN regexp_matches(answer, 'cannot be confirmed|not mentioned|not found') THEN 'REFUSED' ELSE 'PARTIAL' END AS level FROM a)
+_REFUSALS = {1: " 이 부분은 확인할 수 없습니다 [1]", 2: " 그런 언급은 없습니다", 3: " [1]\n## 논의의 한계\n세부는 확인되지 않습니다\n## 끝"}
+
+
+@R.add(f"""WITH a AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' [1]' WHEN 1 THEN '{_REFUSALS[1]}' WHEN 2 THEN '{_REFUSALS[2]}' WHEN 3 THEN '{_REFUSALS[3]}' ELSE '' END AS answer,
+  CASE WHEN doc_id % 5 IN (0, 1, 3) THEN 1 ELSE 0 END AS n_cited, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS n_invalid FROM documents),
+g AS (SELECT *, CASE WHEN n_cited > 0 THEN CASE WHEN regexp_matches(regexp_replace(answer, '(?s)##\\s*논의의 한계.*?(\n##\\s|$)', ''), '{FX.REFUSAL_STRICT}') THEN 'PARTIAL' ELSE 'FULL' END WHEN regexp_matches(answer, '{FX.REFUSAL_BROAD}') THEN 'REFUSED' ELSE 'PARTIAL' END AS level FROM a)
 SELECT doc_id, CASE WHEN n_invalid > 0 AND level = 'FULL' THEN 'PARTIAL' ELSE level END AS grounding, n_cited = 0 AND level = 'PARTIAL' AS ungrounded FROM g""")
 def grounding_grade(spark, sf_dir):
-    ending = F.when(F.col("doc_id") % 4 == 0, " [1]").when(F.col("doc_id") % 4 == 1, " cannot be confirmed [1]").when(F.col("doc_id") % 4 == 2, " is not mentioned").otherwise("")
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat("text", ending).alias("answer"), F.when(F.col("doc_id") % 4 < 2, 1).otherwise(0).alias("n_cited"), F.when(F.col("doc_id") % 8 == 0, 1).otherwise(0).alias("n_invalid")
-    )
-    return d.select("doc_id", *E.judged(F.col("answer"), F.col("n_cited"), F.col("n_invalid"), strict="cannot be confirmed", broad="cannot be confirmed|not mentioned|not found"))
+    """Answers that cite, cite and refuse, refuse in other words, refuse in their limits section only, and do neither."""
+    k = F.col("doc_id") % 5
+    ending = F.when(k == 0, " [1]").when(k == 1, _REFUSALS[1]).when(k == 2, _REFUSALS[2]).when(k == 3, _REFUSALS[3]).otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", ending).alias("answer"), k.isin(0, 1, 3).cast("int").alias("n_cited"), (F.col("doc_id") % 8 == 0).cast("int").alias("n_invalid"))
+    return d.select("doc_id", *E.judged(F.col("answer"), F.col("n_cited"), F.col("n_invalid")))
 
 
 @R.add("""WITH t AS (SELECT DISTINCT conv_id, turn + d AS turn FROM conversations, (VALUES (-1), (0), (1)) o(d) WHERE role = 'assistant' AND turn % 4 = 1)

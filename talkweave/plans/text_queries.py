@@ -233,12 +233,12 @@ def enrichment_audit(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct(F.struct("lang", "source")).alias("n_pairs"), F.avg(has).alias("coverage"))
 
 
-@R.add(f"""SELECT conv_id, turn, coalesce(lag(x) OVER w, '') AS prev_context, coalesce(lead(x) OVER w, '') AS next_context, '[' || conv_id || ' | ' || role || ']' || chr(10) || text AS embed_text
+@R.add(f"""SELECT conv_id, turn, coalesce(lag(x) OVER w, '') AS prev_context, coalesce(lead(x) OVER w, '') AS next_context, conv_id || ' 2024-06-' || lpad((turn + 1)::VARCHAR, 2, '0') || ' ' || conv_id || CASE WHEN role = 'user' THEN '' ELSE ' ' || role END || ' {X.K.SPEECH_MARK}: ' || text AS embed_text
 FROM (SELECT *, conv_id || ' ' || role || ': ' || left(text, {C.CONTEXT_CHARS}) AS x FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def chunk_context(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("speaker", F.col("conv_id").cast("string"))
     out = K.with_context(turns, "conv_id", "turn", "speaker", "role", "text")
-    return out.select("conv_id", "turn", "prev_context", "next_context", K.embed_text([F.col("speaker"), F.col("role")], F.col("text")).alias("embed_text"))
+    return out.select("conv_id", "turn", "prev_context", "next_context", K.embed_text(F.col("conv_id"), F.concat(F.lit("2024-06-"), F.lpad((F.col("turn") + 1).cast("string"), 2, "0")), F.col("speaker"), F.when(F.col("role") != "user", F.col("role")), F.col("text")).alias("embed_text"))
 
 
 _DOMAINS = {"src1": "law", "src2": "budget", "src5": "health"}
@@ -268,11 +268,13 @@ def chunks_sql(source: str, key: str, max_chars: int, keep: str = "") -> str:
     mark = "body"
     for _ in range(3):  # a match takes the character after the mark, which may be a mark itself
         mark = f"regexp_replace({mark}, '([.!?。])(\\s|[^0-9\\s])', '\\1' || chr(30) || '\\2', 'g')"
-    return f"""trimmed AS (SELECT {key}, {keep} {_strip("text")} AS body FROM {source}),
-sentences AS (SELECT {key}, {keep} body, list_filter(list_transform(string_split({mark}, chr(30)), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM trimmed),
-cut AS (SELECT {key}, {keep} body, flatten(list_transform(s, lambda x: list_transform(range(0, ((length(x) - 1) // {C.HARD_SPLIT} + 1)::BIGINT), lambda i: substr(x, i * {C.HARD_SPLIT} + 1, {C.HARD_SPLIT})))) AS s FROM sentences),
-packed AS (SELECT {key}, {keep} CASE WHEN length(body) <= {max_chars} THEN list_filter([body], lambda x: x <> '') WHEN len(s) = 0 THEN []
-  ELSE string_split(list_reduce(s, lambda a, x: CASE WHEN length(split_part(a, chr(30), -1)) + length(x) + 1 <= {max_chars} THEN a || ' ' || x ELSE a || chr(30) || x END), chr(30)) END AS p FROM cut),
+    last = "split_part(a, chr(30), -1)"
+    before = f"left(a, length(a) - length({last}))"
+    return f"""trimmed AS (SELECT {key}, {keep} {_strip("coalesce(text, '')")} AS body FROM {source}),
+sentences AS (SELECT {key}, {keep} body, string_split({mark}, chr(30)) AS s FROM trimmed),
+cut AS (SELECT {key}, {keep} body, flatten(list_transform(s, lambda x: list_transform(range(0, greatest((length(x) - 1) // {C.HARD_SPLIT} + 1, 1)::BIGINT), lambda i: substr(x, i * {C.HARD_SPLIT} + 1, {C.HARD_SPLIT})))) AS s FROM sentences),
+packed AS (SELECT {key}, {keep} CASE WHEN length(body) <= {max_chars} THEN [body]
+  ELSE list_transform(string_split(list_reduce(list_prepend('', s), lambda a, x: CASE WHEN {last} = '' THEN a || x WHEN length({last}) + length(x) + 1 > {max_chars} THEN {before} || {_strip(last)} || chr(30) || x ELSE {before} || {_strip(f"{last} || ' ' || x")} END), chr(30)), lambda x: {_strip('x')}) END AS p FROM cut),
 chunks AS (SELECT {key}, {keep} unnest(p) AS chunk_text, generate_subscripts(p, 1)::INT AS chunk_index, len(p)::INT AS chunk_total FROM packed)"""
 
 
@@ -338,13 +340,36 @@ def question_types(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.question_types(q).alias("types"))
 
 
-@R.add("""SELECT doc_id, n, n >= 4 AS ok FROM (SELECT doc_id, (SELECT count(*) FROM (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) p(f) WHERE contains(other, substr(squash, 1 + floor(f * greatest(length(squash) - 20, 0))::BIGINT, 20)))::INT AS n
-FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS squash, regexp_replace(upper(left(text, 200)) || substr(text, 201), '\\s+', '', 'g') AS other FROM documents))""")
-def source_audit(spark, sf_dir):
-    from talkweave.operators.gates import probe_hits, probes_pass
+#: Documents as pages of 60 characters under a running header, and a stretch of each as a chunk of some of its pages: as it
+#: stands, changed, with the wrong pages, and without a speaker.
+_PAGE, _FROM, _LONG = 60, 31, 200
+
 
-    d = table(spark, sf_dir, "documents").select("doc_id", X.squashed(F.col("text")).alias("squash"), X.squashed(F.concat(F.upper(F.left("text", F.lit(200))), F.substring("text", 201, 2_000_000_000))).alias("other"))
-    return d.select("doc_id", probe_hits(F.col("squash"), F.col("other")).alias("n")).withColumn("ok", probes_pass(F.col("n"), F.lit(C.PROBES)))
+@R.add(f"""WITH RECURSIVE pages AS (SELECT doc_id, n + 1 AS page, regexp_replace('[' || (n + 1) || '] ' || source || chr(10) || substr(text, n * {_PAGE} + 1, {_PAGE}), '\\s+', '', 'g') AS t FROM documents, generate_series(0, (length(text) - 1) // {_PAGE}) AS g(n)),
+c AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 = 1 THEN upper(substr(text, {_FROM}, {_LONG})) ELSE substr(text, {_FROM}, {_LONG}) END, '\\s+', '', 'g') AS chunk, CASE WHEN doc_id % 7 > 0 THEN source ELSE '' END AS who, CASE WHEN doc_id % 4 = 2 THEN 100000 ELSE 0 END AS shift FROM documents),
+near AS (SELECT c.doc_id, page, t FROM c JOIN pages p ON p.doc_id = c.doc_id AND page BETWEEN shift AND shift + {(_FROM + _LONG - 2) // _PAGE + 2}),
+raw AS (SELECT doc_id, string_agg(t, '' ORDER BY page) AS raw FROM near GROUP BY doc_id),
+probes AS (SELECT c.*, coalesce(raw, '') AS raw, list_distinct(list_filter(list_transform([0.0, 0.25, 0.5, 0.75, 1.0], lambda f: substr(chunk, least(floor(length(chunk) * f), greatest(length(chunk) - 20, 0))::BIGINT + 1, 20)), lambda p: length(p) >= 10)) AS probes FROM c LEFT JOIN raw ON raw.doc_id = c.doc_id),
+h AS (SELECT *, len(list_filter(probes, lambda p: contains(raw, p)))::INT AS hits, len(probes)::INT AS n_probes FROM probes),
+k AS (SELECT *, CASE WHEN n_probes >= 3 THEN hits >= n_probes - 1 ELSE hits >= n_probes END AS probes_ok FROM h),
+r AS (SELECT doc_id, chunk AS rest, 0::BIGINT AS page, length(chunk) < 0 AS done FROM k WHERE NOT probes_ok
+  UNION ALL SELECT doc_id, substr(rest, lo + 1), page, lo = length(rest) OR EXISTS (SELECT 1 FROM near n WHERE n.doc_id = x.doc_id AND n.page > x.page AND contains(n.t, substr(rest, lo + 1)))
+  FROM (SELECT r.doc_id, r.rest, near.page, coalesce(list_max(list_filter(range(1, length(r.rest) + 1), lambda k: contains(near.t, left(r.rest, k)))), 0) AS lo FROM r JOIN near ON near.doc_id = r.doc_id AND near.page > r.page WHERE NOT r.done) x WHERE lo >= 10),
+s AS (SELECT doc_id, bool_or(done) AS split_ok FROM r GROUP BY doc_id)
+SELECT k.doc_id AS chunk_id, hits, n_probes, probes_ok OR coalesce(split_ok, false) AS text_ok, who <> '' AND contains(raw, who) AS speaker_ok, (probes_ok OR coalesce(split_ok, false)) AND who <> '' AND contains(raw, who) AS all_ok FROM k LEFT JOIN s ON s.doc_id = k.doc_id""")
+def source_audit(spark, sf_dir):
+    """Chunks held against the pages they come from: probes, and the search over page breaks for those that fail."""
+    from talkweave.operators import gates
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source", "text")
+    n = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / _PAGE).cast("int"))).alias("n")
+    pages = docs.where("text <> ''").select("source_id", "source", "text", n).select("source_id", (F.col("n") + 1).alias("page"), F.concat(F.lit("["), F.col("n") + 1, F.lit("] "), "source", F.lit("\n"), F.substring("text", F.col("n") * _PAGE + 1, F.lit(_PAGE))).alias("text"))
+    part, shift = F.substring("text", _FROM, _LONG), F.when(F.col("source_id") % 4 == 2, 100_000).otherwise(0)
+    chunks = docs.select(
+        "source_id", F.col("source_id").alias("chunk_id"), (shift + 1).alias("page_start"), (shift + (_FROM + _LONG - 2) // _PAGE + 1).alias("page_end"),
+        F.when(F.col("source_id") % 7 > 0, F.col("source")).alias("speaker"), F.when(F.col("source_id") % 4 == 1, F.upper(part)).otherwise(part).alias("text"),
+    )
+    return gates.source_audit(chunks, pages)
 
 
 _CENSUS = {"marks": r"[*$%&#|]{1,}", "numbers": r"\d+", "shouts": r"!!", "links": r"https?://"}

@@ -23,7 +23,7 @@ def test_wildcards_are_text(spark):
 
 
 def test_query_terms_have_an_order():
-    assert S.query_terms("a b", {"a": ["z", "c"]}) == (["a b"], ["a", "c", "z", "b"])
+    assert S.query_terms("aa bb", {"aa": ["zz", "cc"]}) == (["aa bb"], ["aa", "cc", "zz", "bb"])
     assert S.query_terms("one") == ([], ["one"])
 
 
@@ -55,12 +55,32 @@ def test_window_never_cuts_the_hit():
     assert E.assembled(parts[:2], 0, 100) == " ".join(parts[:2])
 
 
+@pytest.mark.parametrize(
+    "parts, hit, limit, want",
+    [
+        (["aaaa", "bbbb", "cccc", "dddd"], 1, 14, "aaaa bbbb cccc"),  # before, then after, in each round
+        (["aaaa", "bbbb", "cccc", "dddddddd"], 2, 16, "aaaa bbbb cccc"),  # room for two is no room for an end
+        (["a" * 20, "bb", "c" * 20], 1, 22, "…" + "a" * 8 + " bb " + "c" * 8 + "…"),  # half of 20, less two; and what is left
+        (["a" * 20, "bb"], 1, 12, "…" + "a" * 8 + " bb"),
+        (["bb", "c" * 20], 0, 12, "bb " + "c" * 8 + "…"),
+        (["a" * 9, "bb", "cc"], 1, 10, "…aaa bb cc"),
+    ],
+)
+def test_window_takes_turns(parts, hit, limit, want):
+    assert E.assembled(parts, hit, limit) == want
+
+
+def test_turn_without_its_hit_begins_at_the_first_fragment(spark):
+    df = spark.createDataFrame([("t", i, c * 10, False) for i, c in enumerate("abc")], "k string, i int, x string, hit boolean")
+    assert E.windows(df, "k", "i", "x", "hit", 15).first().evidence == "a" * 10 + " bbb…"
+
+
 def test_grounding(spark):
-    hits = spark.createDataFrame([("q1", None, 0.4), ("q2", None, 0.39), ("q3", 1, 0.1)], "q string, kw_rank int, vec_score double")
-    assert {r.q: r.gate for r in E.pre_gate(hits, "q").collect()} == {"q1": "PASS", "q2": "REFUSED", "q3": "PASS"}
+    hits = spark.createDataFrame([("q1", None, 0.4), ("q2", None, 0.39), ("q3", 1, 0.1), ("q4", None, None)], "q string, kw_rank int, vec_score double")
+    assert {r.q: r.gate for r in E.pre_gate(hits, "q").collect()} == {"q1": "PASS", "q2": "REFUSED", "q3": "PASS", "q4": "PASS"}
     asked = spark.createDataFrame([("q1",), ("q9",)], "q string")
     assert {r.q: (r.gate, r.n_hits) for r in E.pre_gate(hits, "q", asked).collect()} == {"q1": ("PASS", 1), "q9": ("NONE", 0)}
-    df = spark.createDataFrame([("fine [1]", 1, 0), ("fine [1] [9]", 1, 1), ("cannot be confirmed [1]", 1, 0), ("not mentioned", 0, 0), ("claim", 0, 0), ("fine [1]\n## Limits\ncannot be confirmed", 1, 0)], "a string, c int, i int")
+    df = spark.createDataFrame([("fine [1]", 1, 0), ("fine [1] [9]", 1, 1), ("cannot be confirmed [1]", 1, 0), ("not mentioned", 0, 0), ("claim", 0, 0), ("fine [1]\n## 논의의 한계\ncannot be confirmed", 1, 0)], "a string, c int, i int")
     got = df.select(*E.judged(F.col("a"), F.col("c"), F.col("i"), strict="cannot be confirmed", broad="cannot be confirmed|not mentioned")).collect()
     assert [(r.grounding, r.ungrounded) for r in got] == [("FULL", False), ("PARTIAL", False), ("PARTIAL", False), ("REFUSED", False), ("PARTIAL", True), ("FULL", False)]
 
@@ -103,7 +123,7 @@ def test_audit_over_pages(spark):
 def test_relevance(spark):
     crit = "struct<text_any:array<string>,text_all:array<array<string>>,speaker_any:array<string>,committee_any:array<string>,date_any:array<string>,mode:string>"
     hit = dict(text=F.lit("budget of the port"), speaker=F.lit("Kim"), committee=F.lit("C1"), date=F.lit("2025-07-14"))
-    cases = [((None,) * 6, True), ((["port"], None, ["Lee"], None, None, None), False), ((["port"], None, ["Lee"], None, None, "or"), True), ((None, [["port", "x"], ["budget"]], None, None, ["2025-07"], None), True), ((None, None, None, ["C2"], None, None), False)]
+    cases = [((None,) * 6, True), ((["port"], None, ["Lee"], None, None, "and"), False), ((["port"], None, ["Lee"], None, None, None), True), ((["port"], None, ["Kim X"], None, None, "and"), False), ((["zzz"], None, ["Ki"], None, None, None), False), ((["port"], [["zzz"]], None, None, None, None), False), ((None, [["zzz"]], None, None, None, None), True), ((["port"], None, ["Kim"], None, None, "and"), True), ((None, [["port", "x"], ["budget"]], None, None, ["2025-07"], None), True), ((None, None, None, ["C2"], None, None), False)]
     for c, want in cases:
         df = spark.createDataFrame([(c,)], f"c {crit}")
         assert df.select(V.relevant(F.col("c"), **hit).alias("x")).first()["x"] is want
@@ -222,3 +242,50 @@ def test_stream_windows_are_the_tables(spark, tmp_path):
     batch = windows.tumbling(events, "1 day", "event_type").where(F.col("start") + F.expr("interval 1 day") <= F.lit(last))
     key = lambda df: {(r.start, r.event_type, r.n) for r in df.collect()}
     assert key(got) == key(batch) and key(got)
+
+
+def test_composition_rows(spark):
+    actors = [("a", "support", "red", "assembly"), ("b", "mixed", "red", "assembly"), ("c", "no_stance", "blue", "assembly"), ("d", "oppose", "무소속", "assembly"), ("e", "concern", "red", "unknown"), ("f", "support", None, "assembly"), ("g", "support", "red", "government"), ("h", "oppose", "red", "witness"), ("i", "oppose", "red", "staff")]
+    got = A.composition(spark.createDataFrame(actors, "who string, stance string, party string, grp string"), "stance", "party", "grp").orderBy("place").collect()
+    assert [(r.row, r.n, r.support, r.oppose, r.concern, r.mixed, r.no_stance) for r in got] == [("red", 2, 1, 0, 0, 1, 0), ("blue", 1, 0, 0, 0, 0, 1), ("정부측", 1, 1, 0, 0, 0, 0), ("무소속/미상", 3, 1, 1, 1, 0, 0)]
+
+
+def test_citations_of_a_matrix(spark):
+    said = [("s", 1, "support"), ("s", 2, "oppose"), ("s", 3, "none"), ("n", 4, "neutral"), ("n", 5, "none"), ("c", 6, "concern"), ("c", 7, "neutral")]
+    stances = spark.createDataFrame([("i", *r, "2024-06-01") for r in said], "issue string, who string, turn int, stance string, day string")
+    pieces = spark.createDataFrame([(t, f"t{t}_chunk_{k:03d}", k, c * 90) for t in range(1, 8) for k, c in ((2, "b"), (1, "a"))], "turn int, chunk_id string, k int, x string")
+    actors, cited = A.stance_matrix(stances, pieces, by=["issue"], speaker="who", turn="turn", stance="stance", date="day", chunk="chunk_id", order="k", text="x")
+    assert {r.who: (r.label, r.none, r.total) for r in actors.collect()} == {"s": ("mixed", 1, 3), "n": ("no_stance", 1, 2), "c": ("concern", 0, 2)}
+    rows = cited.collect()
+    assert sorted(r.turn for r in rows) == [1, 2, 4, 5, 6]
+    assert {(r.chunk_id, r.snippet) for r in rows if r.turn == 6} == {("t6_chunk_001", "a" * 90 + " " + "b" * 69)}
+
+
+def test_as_of_periods(spark):
+    periods = [("x", "2020-01-01", "2020-12-31", "old"), ("x", "2020-06-01", "2021-01-31", "new"), ("x", "2020-06-01", "2020-06-30", "also"), ("x", "2021-03-01", None, "open"), ("x", "2022-01-01", "2021-01-01", "never"), ("y", "2000-01-01", None, "y")]
+    p = spark.createDataFrame(periods, "k string, a string, b string, v string")
+    days = {("x", "2019-12-31"): None, ("x", "2020-01-01"): "old", ("x", "2020-05-31"): "old", ("x", "2020-06-01"): "also", ("x", "2020-07-01"): "new", ("x", "2021-01-31"): "new", ("x", "2021-02-01"): None, ("x", "2021-03-01"): "open", ("x", "9000-01-01"): "open", ("y", "2021-02-01"): "y", ("z", "2021-02-01"): None, ("x", None): None}
+    rows = spark.createDataFrame([*days, *days], "k string, d string")
+    got = A.as_of(rows, ["k"], "d", p, "a", "b", "v")
+    assert got.columns == ["k", "d", "v"] and [r.v for r in got.collect() if days[r.k, r.d] != r.v] == [] and got.count() == 24
+    assert {r.d: r.v for r in A.as_of(spark.createDataFrame([("2020-03-01",), ("2021-02-01",)], "d string"), [], "d", p.where("k = 'x'").drop("k"), "a", "b", "v").collect()} == {"2020-03-01": "old", "2021-02-01": None}
+    assert A.as_of(rows, ["k"], "d", p.limit(0), "a", "b", "v").where("v IS NOT NULL").count() == 0
+
+
+def test_party_labels(spark):
+    members = spark.createDataFrame([("나하나", None, "가나당"), ("다도현", "\uf9c9\u69ae", "국민의미래"), ("라민서", None, "무소속"), ("마", None, "가나당"), ("마", None, "다라당")], "name string, hanja string, party string")
+    periods = spark.createDataFrame([("2024-01-01", "2024-12-31", "국민의힘"), ("2025-06-01", None, "가나당")], "start string, end string, ruling string")
+    said = [("나하나", "위원", "2024-06-01", "가나당(당시 야당)"), ("나하나", "위원장", "2025-06-01", "가나당(당시 여당)"), ("나하나", "위원", "2025-02-01", "가나당"), ("\u67f3\u69ae", "위원", "2024-06-01", "국민의미래(당시 여당)"), ("라민서", "간사", "2024-06-01", "무소속"), ("마", "위원", "2024-06-01", None), ("나하나", "통일부장관", "2024-06-01", "정부측"), ("나하나", "증인", "2024-06-01", None), ("나하나", None, "2024-06-01", None), ("나하나", "위원", None, None), (None, "위원", "2024-06-01", None), ("모름", "위원", "2024-06-01", None)]
+    df = spark.createDataFrame(said, "who string, role string, d string, want string")
+    assert [tuple(r) for r in A.party_label(df, speaker="who", role="role", date="d", members=members, periods=periods).where("NOT (want <=> party_label)").collect()] == []
+
+
+def test_source_audit_verdicts(spark):
+    page = lambda n: "".join(chr(0xAC00 + (n * 97 + i * 7) % 11000) for i in range(80))
+    pages = spark.createDataFrame([("s", n, f"머리말 {n}\n김하나 " + page(n)) for n in range(1, 6)], "source_id string, page int, text string")
+    whole, over = page(2)[5:75], page(2)[40:] + page(3)[:45]
+    many = page(1)[60:] + page(2) + page(3) + page(4)[:30]
+    rows = [("whole", 2, 2, "김하나", whole), ("over", 2, 3, "김 하나", over), ("over wide", 3, 3, "김하나", over), ("many", 1, 4, "김하나", many), ("changed", 2, 3, "김하나", over[:30] + "x" * 60), ("far", 5, 5, "김하나", page(1)[:40]), ("no speaker", 2, 2, None, whole), ("other", 2, 2, "홍길동", whole), ("tiny", 2, 2, "김하나", "짧다"), ("lost", 90, 91, "김하나", whole)]
+    chunks = spark.createDataFrame([("s", c, a, b, w, t) for c, a, b, w, t in rows], "source_id string, chunk_id string, page_start int, page_end int, speaker string, text string")
+    got = {r.chunk_id: (r.text_ok, r.speaker_ok) for r in G.source_audit(chunks, pages).collect()}
+    assert got == {"whole": (True, True), "over": (True, True), "over wide": (True, True), "many": (True, True), "changed": (False, True), "far": (False, True), "no speaker": (True, False), "other": (True, False), "tiny": (True, True), "lost": (False, False)}

@@ -73,18 +73,16 @@ def test_turns_go_on_over_pages(spark):
 
 
 def fold(text, limit, hard):
-    parts = [s for s in (p.strip() for p in re.split(r"(?<=[.!?。])(?=\s|[^\d\s])", text)) if s]
-    parts = [p[i : i + hard] for p in parts for i in range(0, len(p), hard)]
-    out, last = [], ""
+    """Buffers as texts: what joins one is stripped with it, what begins one keeps its blanks until it is closed."""
+    parts = re.split(r"(?<=[.!?。])(?=\s|[^\d\s])", text)
+    parts = [p[i : i + hard] for p in parts for i in range(0, max(len(p), 1), hard)]
+    out = [""]
     for p in parts:
-        if not last:
-            last = p
-        elif len(last) + len(p) + 1 <= limit:
-            last += " " + p
+        if out[-1] and len(out[-1]) + len(p) + 1 > limit:
+            out.append(p)
         else:
-            out.append(last)
-            last = p
-    return out + [last] if last else out
+            out[-1] = f"{out[-1]} {p}".strip() if out[-1] else p
+    return [x.strip() for x in out]
 
 
 def test_packing_is_the_fold(spark):
@@ -97,6 +95,14 @@ def test_packing_is_the_fold(spark):
         assert "".join("".join(r.p).split()) == "".join(texts[r.id].split())
 
 
+def test_sizes_count_the_blanks_between_sentences(spark):
+    df = spark.createDataFrame([("Aaaa.   Bbbb.   Cccc.",), ("",), (None,), ("  short  ",)], "t string")
+    got = [r.p for r in df.select(K.packed(K.sentences(F.col("t")), 14).alias("p")).limit(1).collect()]
+    assert got == [["Aaaa.    Bbbb.", "Cccc."]]  # 5 + 1 + 8, and then 14 + 1 + 8 is too much
+    rows = K.chunks(df.select(F.monotonically_increasing_id().alias("k"), F.col("t")), ["k"], "t", max_chars=30).collect()
+    assert sorted(r.chunk_text for r in rows) == ["", "", "Aaaa.   Bbbb.   Cccc.", "short"]
+
+
 def test_batches(spark):
     df = spark.range(45).withColumnRenamed("id", "k")
     got = sorted(r["n"] for r in K.fixed_batches(df, "k", 20).groupBy("batch").agg(F.count("*").alias("n")).collect())
