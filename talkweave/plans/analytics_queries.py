@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from talkweave import config as C
 from talkweave.operators import analytics as A
 from talkweave.operators import chunk as K
+from talkweave.operators import judging as J
 from talkweave.operators import search as S
+from talkweave.operators import terms as M
 from talkweave.plans.base import Registry, table
 from talkweave.plans.text_queries import chunks_sql
 from talkweave.plans.search_queries import _Q, _query_vector
@@ -296,3 +298,47 @@ def member_party(spark, sf_dir):
     last = F.trim(F.element_at(F.split("p_type", " "), -1))
     rows = table(spark, sf_dir, "part").select(F.upper(F.left("p_name", F.lit(3))).alias("name"), "p_brand", last.alias("last"))
     return A.unambiguous(rows, "name", "p_brand").join(rows.groupBy("name").agg(F.min("last").alias("last_part")), "name")
+
+
+_VOCABULARY = "SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7"
+
+
+@R.add(f"""WITH v AS ({_VOCABULARY}) SELECT doc_id, count(*) AS n_terms, string_agg(w, ' ' ORDER BY w) AS terms FROM documents JOIN v ON contains(lower(text), w) GROUP BY doc_id""")
+def terms_held(spark, sf_dir):
+    """Which of hundreds of terms stand in each document: the long words of all benchmark items, in one pass over a text."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")
+    vocabulary = table(spark, sf_dir, "benchmark").select(words).where(F.length("w") >= 7).distinct().orderBy("w")
+    terms = [r["w"] for r in vocabulary.collect()]  # a dictionary: the benchmark's, not the corpus's
+    found = table(spark, sf_dir, "documents").select("doc_id", M.held(F.lower(F.coalesce("text", F.lit(""))), terms).alias("t")).where(F.size("t") > 0)
+    return found.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+def _rule_client():
+    """A stand-in for a model: finds excerpts with a word relevant; every seventh answer of a task is no JSON at first."""
+    import json
+
+    class Client:
+        calls = 0
+
+        def __call__(self, prompt: str) -> str:
+            self.calls += 1
+            if self.calls % 7 == 0:
+                return "let me think"
+            return json.dumps({"relevant": [i for i, x in enumerate(prompt.split("\x1e")[1:]) if "nation" in x]})
+
+    def parse(text: str, n: int):
+        try:
+            chosen = set(json.loads(text)["relevant"])
+        except ValueError:
+            return None
+        return ["core" if i in chosen else "mention" for i in range(n)]
+
+    return Client(), parse
+
+
+@R.add(f"SELECT lang, doc_id, CASE WHEN contains(left(text, {C.EXCERPT}), 'nation') THEN 'core' ELSE 'mention' END AS verdict, NULL::VARCHAR AS failure FROM documents")
+def judged_mapping(spark, sf_dir):
+    """Every document's excerpt judged in batches of a language."""
+    client, parse = _rule_client()
+    rows = J.numbered(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), ["lang"], "doc_id")
+    return J.judged(rows, ["lang"], "doc_id", "text", prompt=lambda group, texts: "\x1e".join([group["lang"], *texts]), generate=client, parse=parse)

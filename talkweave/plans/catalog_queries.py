@@ -12,6 +12,8 @@ from talkweave.operators import evaluate as V
 from talkweave.operators import gates as G
 from talkweave.operators import search as S
 from talkweave.plans.base import Registry, table
+from talkweave.session import fresh
+from talkweave.sources import keyed
 from talkweave.sources import layers as L
 
 R = Registry()
@@ -29,8 +31,10 @@ def prefix_sources(spark, sf_dir):
 def source_reload(spark, sf_dir):
     """Two sources loaded anew in place of what they had, with a version."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").withColumn("version", F.lit(1))
-    new = d.where("source IN ('src1', 'src2')").withColumn("lang", F.upper("lang"))
-    return L.replaced(d, new, ["source"], version=F.lit(2))
+    at = fresh(spark, "keyed")
+    keyed.replace(d, at, "source")
+    keyed.replace(d.where("source IN ('src1', 'src2')").withColumn("lang", F.upper("lang")).withColumn("version", F.lit(2)), at, "source")
+    return keyed.read(spark, at, "source", d.schema)
 
 
 @R.add("SELECT source, n AS expected, n - lost AS found FROM (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 100 = 3) AS lost FROM documents GROUP BY source) WHERE lost > 0")
@@ -138,8 +142,10 @@ def issue_block(spark, sf_dir):
 def mapping_replace(spark, sf_dir):
     """Two issues' mappings replaced as a whole, with the version of the mapping."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("issue")).join(table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "core").otherwise("mention").alias("tier")), "doc_id")
-    old = d.withColumn("map_version", F.lit("v1"))
-    return L.replaced(old, old.where("issue IN ('src0', 'src3')"), ["issue"], map_version=F.lit("v2"))
+    old, at = d.withColumn("map_version", F.lit("v1")), fresh(spark, "keyed")
+    keyed.replace(old, at, "issue")
+    keyed.replace(old.where("issue IN ('src0', 'src3')").withColumn("map_version", F.lit("v2")), at, "issue", expected=old.where("issue IN ('src0', 'src3')").groupBy("issue").agg(F.count("*").alias("n_rows")))
+    return keyed.read(spark, at, "issue", old.schema)
 
 
 @R.add(f"""WITH s AS (SELECT source, count(*) AS core, count(*) * 3 AS near FROM documents GROUP BY source), e AS (SELECT *, {C.SCOPE_LIMIT_MB / 100}::DOUBLE AS mb,
