@@ -37,7 +37,7 @@ ACTOR = r"(정부|대통령실|[가-힣]{2,4}\s*(?:장관|차관|처장|청장|
 #: A day or a month in a question, with and without its year.
 DATE_FULL, DATE_ISO, DATE_MONTH = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})\s*년\s*(\d{1,2})\s*월(?!\s*\d)"
 DATE_DAY_ONLY, DATE_MONTH_ONLY = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(\d{1,2})\s*월(?!\s*\d)"
-SPEECH_MARK = "발언"
+SPEECH_MARK, AROUND, GROUP_HEADING = "발언", "주변 맥락", "━━ %s 근거 ━━"
 SESSION_HEADER = r"제\d+회[-–—]?.{0,50}\d+차\s*\(\d{4}년\d+월\d+일\)"
 LIMITS_HEADING, LIMITS_SECTION = "## 논의의 한계", r"(?s)##\s*논의의 한계.*?(?=\n##\s|\z)"
 DANGLING_TAIL, PARTY_DISCLAIMER = r"(?:이\s?외의?|이\s?부분은)[^.\n]*확인할 수 없습니다\.?", r"[^.\n]*소속 정당[^.\n]*확인할 수 없습니다\.?"

@@ -110,11 +110,6 @@ Embed = Callable[[list[str]], list[list[float]]]
 Generate = Callable[[str], str]
 
 
-def no_embedding(texts: list[str]) -> list[list[float]]:
-    """The default of an `Embed`: nothing is near anything. Put a model's client in its place."""
-    return [[0.0] for _ in texts]
-
-
 def cached(embed: Embed, size: int = 256) -> Embed:
     """The same, keeping the vectors of the last `size` questions; what isn't known yet goes to the model in one call."""
     known: OrderedDict[str, list[float]] = OrderedDict()
@@ -131,8 +126,3 @@ def cached(embed: Embed, size: int = 256) -> Embed:
         return out
 
     return run
-
-
-def no_answer(prompt: str) -> str:
-    """The default of a `Generate`: the refusal that the gates know."""
-    return "cannot be confirmed"

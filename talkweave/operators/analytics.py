@@ -11,6 +11,7 @@ from talkweave import config as C
 from talkweave.functions import fixed as K
 from talkweave.functions.question import nfkc
 from talkweave.functions.text import speaker_group
+from talkweave.operators.terms import held
 
 
 def totals(df: DataFrame, who: str, unit: str, meeting: str, date: str) -> DataFrame:
@@ -54,6 +55,24 @@ def gap_filled(months: DataFrame, *, month: str = "month", columns: Sequence[str
     return spine.join(months, [*by, month], "left").select(*by, month, *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
 
 
+def issue_timeline(chunks: DataFrame, mapping: DataFrame, keywords: dict, *, chunk: str = "chunk_id", turn: str = "turn_id", date: str = "date", text: str = "text", issue: str = "issue", core: str = "core") -> DataFrame:
+    """issue, month, corpus_turns, mapped_turns, mapped_core_turns for each month from the first to the last that either axis
+    has: the turns that hold a keyword of the issue (ignoring case; an issue without keywords has none), and the turns that are
+    mapped to it. Chunks without a date count nowhere.
+
+    keywords: issue -> its terms, a dictionary; all of them are looked for in one pass over a text.
+    """
+    kind = mapping.schema[issue].dataType
+    owners = [(i, k.lower()) for i, ks in keywords.items() for k in ks if k]
+    dated = chunks.where(F.col(date).isNotNull()).withColumn("month", F.date_format(date, "yyyy-MM"))
+    found = dated.select("month", turn, F.explode(held(F.lower(F.coalesce(text, F.lit(""))), [k for _, k in owners])).alias("term"))
+    spark = chunks.sparkSession
+    terms = spark.createDataFrame(owners, f"{issue} {kind.simpleString()}, term string")
+    corpus = found.join(F.broadcast(terms), "term").groupBy(issue, "month").agg(F.count_distinct(turn).alias("corpus_turns"))  # a row a keyword
+    mapped = mapping.join(dated.select(chunk, turn, "month"), chunk).groupBy(issue, "month").agg(F.count_distinct(turn).alias("mapped_turns"), F.count_distinct(F.when(F.col(core), F.col(turn))).alias("mapped_core_turns"))
+    return gap_filled(corpus.join(mapped, [issue, "month"], "full"), columns=["corpus_turns", "mapped_turns", "mapped_core_turns"], by=[issue])
+
+
 def spikes(counts: DataFrame, by: Sequence[str], period: str, n: str, at_least: float = C.SPIKE_RATIO, periods: int = C.MIN_MONTHS) -> DataFrame:
     """by, period, n, median_others, ratio: periods of `at_least` times the median of the group's other periods.
 

@@ -125,10 +125,20 @@ def cited_only(sources: DataFrame, answers: DataFrame, key: str, number: str = "
     return sources.join(answers.select(key, F.explode("cited").alias(number)), [key, number], "left_semi")
 
 
+def rendered(n: Column, speaker: Column, role: Column, party: Column, committee: Column, date: Column, page: Column, text: Column, previous: Column, following: Column) -> Column:
+    """A numbered source as it is shown: who, where and when, the text, and what was said before and after, where it is known."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    extra = lambda c, form: F.when(known(c) != "", F.format_string(form, c)).otherwise("")
+    head = F.concat(F.lit("["), known(n), F.lit("]\nspeaker: "), known(speaker), extra(role, " %s"), extra(party, " [%s]"), F.lit("\ncommittee: "), known(committee), F.lit("\ndate: "), known(date), F.lit("\npage: "), known(page), F.lit("\ncontent:\n"), known(text))
+    around = F.concat(F.lit("\n\n["), known(n), F.lit(f" {K.AROUND}]"), extra(previous, "\nprevious: %s"), extra(following, "\nnext: %s"))
+    return F.concat(head, F.when((known(previous) != "") | (known(following) != ""), around).otherwise(""))
+
+
 def source_blocks(df: DataFrame, group: str, rank: str, line: Column, by: Sequence[str] = ()) -> DataFrame:
-    """A block of numbered lines for each group of a question (`by`), groups in order of first appearance."""
-    g = df.select(*by, group, rank, line.alias("line")).groupBy(*by, group).agg(F.min(rank).alias("first"), F.expr(f"listagg(line, '\n') WITHIN GROUP (ORDER BY {rank})").alias("block"))
-    return g.select(*by, group, "block", F.row_number().over(Window.partitionBy(*by).orderBy("first")).alias("place"))
+    """A block of numbered sources for each group of a question (`by`) under its heading, groups in order of first appearance."""
+    g = df.select(*by, group, rank, line.alias("line")).groupBy(*by, group).agg(F.min(rank).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "line"))), lambda x: x["line"]), "\n\n").alias("lines"))
+    block = F.concat(F.format_string(K.GROUP_HEADING, F.coalesce(F.col(group).cast("string"), F.lit(""))), F.lit("\n\n"), F.col("lines"))
+    return g.select(*by, group, block.alias("block"), F.row_number().over(Window.partitionBy(*by).orderBy("first")).alias("place"))
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave import config as C
@@ -154,6 +154,24 @@ def spans_pages(texts: DataFrame, least: int = 10) -> DataFrame:
     return texts.select("key", "chunk", "pages").mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, ok boolean")
 
 
+def field_report(df: DataFrame, key: str, fields: dict[str, int], samples: int, short: Column, seed: str = "0") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What enrichment has put into array columns: (field, n, filled, coverage; field, value, n, place: the most frequent values,
+    as many as `fields` says; field, filled, key: a sample of filled and of empty rows, short ones left out of the empty).
+
+    Values are counted once for each time they stand in a row. A null array is empty.
+    """
+    size = lambda f: F.coalesce(F.greatest(F.size(f), F.lit(0)), F.lit(0))
+    marks = df.select(key, F.coalesce(short, F.lit(False)).alias("short"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), (size(f) > 0).alias("filled")) for f in fields])))
+    coverage = marks.groupBy("field").agg(F.count("*").alias("n"), F.count_if("filled").alias("n_filled")).withColumn("coverage", F.round(F.col("n_filled") / F.col("n"), 4))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("vs")) for f in fields]))).select("field", F.explode("vs").alias("value"))
+    limit = F.element_at(F.create_map(*[x for f, n in fields.items() for x in (F.lit(f), F.lit(n))]), F.col("field"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "value"))
+    top = values.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("place", place).where(F.col("place") <= limit)
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)).cast("binary"))
+    drawn = marks.where(F.col("filled") | ~F.col("short")).withColumn("rn", F.row_number().over(Window.partitionBy("field", "filled").orderBy(draw, key))).where(F.col("rn") <= samples)
+    return coverage, top, drawn.select("field", "filled", key)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
     """A sample that is the same on every engine: the n rows whose md5 of key and seed is least, in order of key."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)).cast("binary")), key).limit(n).orderBy(key)

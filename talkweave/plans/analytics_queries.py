@@ -342,3 +342,21 @@ def judged_mapping(spark, sf_dir):
     client, parse = _rule_client()
     rows = J.numbered(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), ["lang"], "doc_id")
     return J.judged(rows, ["lang"], "doc_id", "text", prompt=lambda group, texts: "\x1e".join([group["lang"], *texts]), generate=client, parse=parse)
+
+
+_KEYWORDS = {0: ["nation", "tion of"], 1: ["HAND"], 2: []}
+_WHEN = "CASE WHEN doc_id % 11 > 0 THEN DATE '2023-01-01' + (doc_id % 100 * 9 + CASE WHEN doc_id % 3 = 0 THEN 300 ELSE 0 END)::INT END"
+
+
+@R.add(f"""WITH k(issue, kw) AS (VALUES {", ".join(f"({i}, '{w.lower()}')" for i, ws in _KEYWORDS.items() for w in ws)}),
+c AS (SELECT doc_id, doc_id // 2 AS turn_id, lower(text) AS low, strftime({_WHEN}, '%Y-%m') AS month FROM documents WHERE {_WHEN} IS NOT NULL),
+a AS (SELECT issue::BIGINT AS issue, month, count(DISTINCT turn_id) AS corpus_turns FROM c JOIN k ON contains(low, kw) GROUP BY ALL),
+b AS (SELECT doc_id % 3 AS issue, month, count(DISTINCT turn_id) AS mapped_turns, count(DISTINCT CASE WHEN quality = 1 THEN turn_id END) AS mapped_core_turns FROM labels JOIN c USING (doc_id) GROUP BY ALL),
+m AS (SELECT issue, month, corpus_turns, mapped_turns, mapped_core_turns FROM a FULL JOIN b USING (issue, month)),
+s AS (SELECT issue, strftime(unnest(generate_series(min(strptime(month || '-01', '%Y-%m-%d')), max(strptime(month || '-01', '%Y-%m-%d')), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM m GROUP BY issue)
+SELECT issue, month, coalesce(corpus_turns, 0) AS corpus_turns, coalesce(mapped_turns, 0) AS mapped_turns, coalesce(mapped_core_turns, 0) AS mapped_core_turns FROM s LEFT JOIN m USING (issue, month)""")
+def issue_timelines(spark, sf_dir):
+    """Months of three issues by keyword and by mapping, from the first to the last of either."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("turn_id"), F.expr(_WHEN.replace("DATE '2023-01-01' + (", "date_add(DATE '2023-01-01', (").replace(")::INT END", ")::INT) END")).alias("date"), "text")
+    mapping = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 3).alias("issue"), (F.col("quality") == 1).alias("core"))
+    return A.issue_timeline(chunks, mapping, _KEYWORDS, chunk="doc_id")

@@ -128,6 +128,35 @@ def hybrid_many(spark, sf_dir):
     return _lists(spark, sf_dir)[2]["hybrid"].select("q", "doc_id", "rrf", "rank")
 
 
+_DAY = "DATE '2024-01-01' + (doc_id % 366)::INT"
+
+
+@R.add(f"""WITH {_EVAL.replace("array_to_string(list_filter(string_split(text", "lang AS only, " + _DAY + " AS day, array_to_string(list_filter(string_split(text", 1)},
+s AS (SELECT ks.q, d.doc_id, score, {_DAY.replace("doc_id", "d.doc_id")} AS day FROM ks JOIN qt ON qt.q = ks.q JOIN documents d ON d.doc_id = ks.doc_id WHERE score > 0 AND (qt.q % 40 = 0 OR d.lang = qt.only) AND (qt.q % 60 = 0 OR {_DAY.replace("doc_id", "d.doc_id")} BETWEEN qt.day - 90 AND qt.day + 90))
+SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, day DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= {C.CANDIDATES}""")
+def kw_many_filtered(spark, sf_dir):
+    """A table of questions, most of them limited to a language and a span of days, hits of equal score newest first."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumn("day", day)
+    index = G.build(docs, "doc_id", ["text"], fresh(spark, "trigrams"), slots=16, parts=16)
+    own = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("q") % 366).cast("int"))
+    open_ = F.col("q") % 60 == 0
+    asked = _questions(spark, sf_dir).select("q", "text", F.when(F.col("q") % 40 != 0, F.array("lang")).alias("names"), F.when(~open_, F.date_sub(own, 90)).alias("date_from"), F.when(~open_, F.date_add(own, 90)).alias("date_to"))
+    return Q.keyword_lists(index, asked, committee="lang", date="day", newest="day")
+
+
+@R.add(f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, 's' || vec_id % 4 AS who, DATE '2024-01-01' + (vec_id % 366)::INT AS day FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(b.e, a.e), 6) AS vec_score FROM v a JOIN v b ON (a.vec_id % 3 = 0 OR b.who = a.who) AND b.day >= a.day - 60 AND (a.vec_id % 60 = 0 OR b.day <= a.day + 60) WHERE a.vec_id % 20 = 0)
+SELECT q, vec_id, vec_score, row_number() OVER (PARTITION BY q ORDER BY vec_score DESC, vec_id)::INT AS rank FROM s WHERE vec_score IS NOT NULL QUALIFY rank <= {C.CANDIDATES}""")
+def vec_many_filtered(spark, sf_dir):
+    """Every twentieth vector as a question, most of them limited to a speaker and all to a span of days."""
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), (F.col(c) % 366).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").withColumns({"who": F.concat(F.lit("s"), F.col("vec_id") % 4), "day": day("vec_id")})
+    cells = V.build(rows, "vec_id", "embedding", fresh(spark, "cells"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 3 != 0, F.col("who")).alias("speaker"), F.date_sub("day", 60).alias("date_from"), F.when(F.col("vec_id") % 60 != 0, F.date_add("day", 60)).alias("date_to"))
+    return Q.vector_lists(cells, asked, speaker="who", date="day", probes=None)
+
+
 _RELEVANT = "({text} AND {who}) OR ({text} OR {who}) AND coalesce(mode, '') <> 'and'".format(text="contains(d.text, split_part(qt.text, ' ', 1))", who="d.lang = qt.lang")
 
 
@@ -275,14 +304,19 @@ def scope_expand(spark, sf_dir):
     return E.expanded(turns, turns.where("role = 'assistant' AND turn % 4 = 1"), "conv_id", "turn").select("conv_id", "turn", F.length("text").alias("chars"))
 
 
-@R.add("""WITH s AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents), t AS (SELECT s.*, text FROM s JOIN documents USING (doc_id) WHERE n <= 5),
-g AS (SELECT lang, source, min(n) AS first_n, string_agg('[' || n || '] ' || source || ': ' || text, chr(10) ORDER BY n) AS block FROM t GROUP BY ALL)
-SELECT lang, source, block, row_number() OVER (PARTITION BY lang ORDER BY first_n)::INT AS place FROM g""")
+@R.add(f"""WITH t AS (SELECT *, lag(text) OVER w AS prev, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM t WHERE turn % 3 < 2),
+r AS (SELECT conv_id, role, n, '[' || n || ']' || chr(10) || 'speaker: s' || conv_id % 3 || CASE WHEN role = 'system' THEN '' ELSE ' ' || role END || CASE WHEN role = 'user' THEN ' [blue]' ELSE '' END || chr(10) || 'committee: ' || role || chr(10)
+  || 'date: 2024-06-11' || chr(10) || 'page: ' || turn || chr(10) || 'content:' || chr(10) || text || CASE WHEN prev IS NULL AND next IS NULL THEN '' ELSE chr(10) || chr(10) || '[' || n || ' {FX.AROUND}]' || coalesce(chr(10) || 'previous: ' || prev, '') || coalesce(chr(10) || 'next: ' || next, '') END AS line FROM s WHERE n <= {C.QA_LIMIT}),
+g AS (SELECT conv_id, role, min(n) AS first_n, '━━ ' || role || ' 근거 ━━' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY n) AS block FROM r GROUP BY conv_id, role)
+SELECT conv_id, role, block, row_number() OVER (PARTITION BY conv_id ORDER BY first_n)::INT AS place FROM g""")
 def source_block(spark, sf_dir):
-    """For each language as a question: its first five documents as numbered sources, in blocks by source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    top = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where(F.col("rank") <= C.QA_LIMIT)
-    return E.source_blocks(top, "source", "rank", F.format_string("[%d] %s: %s", "rank", "source", "text"), ["lang"])
+    """For each conversation as a question: some of its turns as numbered sources with their neighbours, in blocks by role."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
+    top = t.where("turn % 3 < 2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= C.QA_LIMIT)
+    line = E.rendered(F.col("rank"), F.concat(F.lit("s"), F.col("conv_id") % 3), F.when(F.col("role") != "system", F.col("role")), F.when(F.col("role") == "user", F.lit("blue")), F.col("role"), F.lit("2024-06-11"), F.col("turn"), F.col("text"), F.col("before"), F.col("after"))
+    return E.source_blocks(top, "role", "rank", line, ["conv_id"])
 
 
 @R.add("SELECT doc_id, round((length(text) * 0.1537::DOUBLE + len(string_split(text, ' ')) * 0.6141::DOUBLE) / 1000000.0::DOUBLE, 6) AS usd FROM documents")

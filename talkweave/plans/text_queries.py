@@ -227,6 +227,27 @@ def enrich_mentions(spark, sf_dir):
     return hits.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs")).orderBy(F.col("n").desc(), "value").limit(50)
 
 
+_FIELDS = {"licences": r"(?:Apache|GNU|MIT|CC BY)[A-Za-z -]{0,20}License", "numbers": r"\d{3,}"}
+_FIELD_SQL = " UNION ALL ".join(f"SELECT doc_id, length(text) < {C.SHORT_CHARS} AS short, '{f}' AS field, regexp_extract_all(text, '{p}') AS vs FROM documents" for f, p in _FIELDS.items())
+
+
+@R.add(f"""WITH v AS ({_FIELD_SQL}), c AS (SELECT field, count(*) AS n, count_if(len(vs) > 0) AS filled FROM v GROUP BY field),
+t AS (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS place FROM (SELECT field, unnest(vs) AS value FROM v) GROUP BY field, value QUALIFY place <= CASE field WHEN 'licences' THEN 30 ELSE 20 END),
+s AS (SELECT field, len(vs) > 0 AS filled, doc_id FROM v WHERE len(vs) > 0 OR NOT short QUALIFY row_number() OVER (PARTITION BY field, len(vs) > 0 ORDER BY md5(doc_id || '|0'), doc_id) <= 10)
+SELECT 'coverage' AS part, field, n || ' ' || filled || ' ' || printf('%.4f', filled / n) AS line FROM c UNION ALL SELECT 'top', field, place || ' ' || value || ' ' || n FROM t UNION ALL SELECT 'sample', field, (CASE WHEN filled THEN 'filled ' ELSE 'empty ' END) || doc_id FROM s""")
+def field_reports(spark, sf_dir):
+    """Coverage, most frequent values and samples of what two patterns find in the documents."""
+    from talkweave.operators.gates import field_report
+
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") < C.SHORT_CHARS).alias("short"), *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f) for f, p in _FIELDS.items()])
+    coverage, top, drawn = field_report(d, "doc_id", {"licences": 30, "numbers": 20}, 10, F.col("short"))
+    line = lambda df, part, *cols: df.select(F.lit(part).alias("part"), "field", F.concat_ws(" ", *cols).alias("line"))
+    return (
+        line(coverage, "coverage", "n", "n_filled", F.format_string("%.4f", "coverage")).unionAll(line(top, "top", "place", "value", "n"))
+        .unionAll(line(drawn, "sample", F.when(F.col("filled"), "filled").otherwise("empty"), "doc_id"))
+    )
+
+
 @R.add("""SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT (lang, source)) AS n_pairs, avg(CASE WHEN len(regexp_extract_all(text, 'License')) > 0 THEN 1.0 ELSE 0.0 END) AS coverage FROM documents GROUP BY lang""")
 def enrichment_audit(spark, sf_dir):
     has = (F.size(F.regexp_extract_all("text", F.lit("License"), F.lit(0))) > 0).cast("double")

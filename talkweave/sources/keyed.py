@@ -14,12 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.sources.layers import _versions, read_layer, write_layer
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+from talkweave.sources.layers import _removed, _versions, read_layer, write_layer
 
 
 def known(spark: SparkSession, at: str, key: str) -> DataFrame | None:
@@ -52,7 +47,7 @@ def replace(new: DataFrame, at: str, key: str, expected: DataFrame | None = None
             rows = kept.unionByName(rows)
         write_layer(rows, f"{at}/manifest")
     except BaseException:
-        _delete(spark, place)
+        _removed(spark, place)
         raise
     return loaded
 
@@ -79,5 +74,5 @@ def vacuum(spark: SparkSession, at: str, key: str) -> int:
     live = {r["load"] for r in manifest.select("load").distinct().collect()} if manifest is not None else set()  # a name a load
     gone = [n for n in (f.getPath().getName() for f in fs.listStatus(root)) if n.startswith("load=") and n[5:] not in live]
     for n in gone:
-        _delete(spark, f"{at}/data/{n}")
+        _removed(spark, f"{at}/data/{n}")
     return len(gone)

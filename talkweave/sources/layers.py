@@ -39,6 +39,11 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_layer(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = (), expected: int | None = None) -> int:
     """Write a layer whole or not at all: as a new version beside the old ones, which readers take up when its job is
     committed. Returns its rows; if `expected` isn't that many, the version is taken back and the old one stays."""
@@ -48,8 +53,7 @@ def write_layer(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str
     (writer.partitionBy(*by) if by else writer).format(fmt).save(at)
     n = spark.read.schema(df.schema).format(fmt).load(at).count()
     if expected is not None and n != expected:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _removed(spark, at)
         raise RuntimeError(f"{path}: {n} rows written, {expected} expected")
     return n
 
@@ -152,9 +156,15 @@ class Pipeline:
     def __init__(self, *stages: tuple[str, Callable[[DataFrame], DataFrame], Callable[[DataFrame], bool] | None]):
         self.stages = stages
 
-    def run(self, df: DataFrame, path: str, start: str | None = None) -> DataFrame:
+    def run(self, df: DataFrame, path: str, start: str | None = None, clean: bool = False, clean_first: bool = False) -> DataFrame:
+        """The last stage's layer. clean: what the stages from `start` on have written before goes first, but for the first
+        stage's layer, which is dear to make again and goes only if clean_first says so."""
         names = [n for n, _, _ in self.stages]
         at = names.index(start) if start else 0
+        if clean:
+            for name in names[at:]:
+                if name != names[0] or clean_first:
+                    _removed(df.sparkSession, f"{path}/{name}")
         if at:
             df = read_layer(df.sparkSession, f"{path}/{names[at - 1]}")
         for name, stage, gate in self.stages[at:]:

@@ -289,3 +289,33 @@ def test_source_audit_verdicts(spark):
     chunks = spark.createDataFrame([("s", c, a, b, w, t) for c, a, b, w, t in rows], "source_id string, chunk_id string, page_start int, page_end int, speaker string, text string")
     got = {r.chunk_id: (r.text_ok, r.speaker_ok) for r in G.source_audit(chunks, pages).collect()}
     assert got == {"whole": (True, True), "over": (True, True), "over wide": (True, True), "many": (True, True), "changed": (False, True), "far": (False, True), "no speaker": (True, False), "other": (True, False), "tiny": (True, True), "lost": (False, False)}
+
+
+def test_clean_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    p = L.Pipeline(("one", lambda d: d, None), ("two", lambda d: d.where("k > 1"), None), ("three", lambda d: d, None))
+    at = str(tmp_path / "p")
+    versions = lambda: [len(L._versions(spark, f"{at}/{n}")) for n in ("one", "two", "three")]
+    p.run(df, at)
+    p.run(df, at)
+    assert versions() == [2, 2, 2]
+    p.run(df, at, start="three", clean=True)
+    assert versions() == [2, 2, 1]
+    p.run(df, at, clean=True)
+    assert versions() == [3, 1, 1]  # the first stage's layer stays
+    assert p.run(df, at, clean=True, clean_first=True).count() == 1 and versions() == [1, 1, 1]
+
+
+def test_timeline_of_two_axes(spark):
+    chunks = [(1, 1, "2024-01-05", "the PORT opens"), (2, 1, "2024-01-06", "port again"), (3, 2, "2024-04-01", "nothing"), (4, 3, None, "port without a day"), (5, 4, "2024-02-01", None), (6, 5, "2023-12-31", "a bridge")]
+    c = spark.createDataFrame(chunks, "chunk_id int, turn_id int, date string, text string")
+    m = spark.createDataFrame([("i", 3, True), ("i", 5, False), ("i", 4, True), ("j", 1, False)], "issue string, chunk_id int, core boolean")
+    got = {(r.issue, r.month): (r.corpus_turns, r.mapped_turns, r.mapped_core_turns) for r in A.issue_timeline(c, m, {"i": ["port", "bridge"], "j": [], "k": ["zzz"]}).collect()}
+    assert got == {("i", "2023-12"): (1, 0, 0), ("i", "2024-01"): (1, 0, 0), ("i", "2024-02"): (0, 1, 0), ("i", "2024-03"): (0, 0, 0), ("i", "2024-04"): (0, 1, 1), ("j", "2024-01"): (0, 1, 0)}
+
+
+def test_rendered_source(spark):
+    row = spark.createDataFrame([(1, "Kim", None, "blue", "C", "2024-06-11", 3, "Said.", None, "After."), (2, None, "chair", "", "C", None, None, "Said.", None, "")], "n int, s string, r string, p string, c string, d string, g int, t string, b string, a string")
+    got = [r[0] for r in row.select(E.rendered(*[F.col(x) for x in "n s r p c d g t b a".split()]).alias("x")).collect()]
+    assert got[0] == "[1]\nspeaker: Kim [blue]\ncommittee: C\ndate: 2024-06-11\npage: 3\ncontent:\nSaid.\n\n[1 주변 맥락]\nnext: After."
+    assert got[1] == "[2]\nspeaker:  chair\ncommittee: C\ndate: \npage: \ncontent:\nSaid."
