@@ -43,3 +43,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the links need more rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Parts that the nodes of one component are dealt over when they get its name.
+DEALS = 16
+
+
+def least_names(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id for each row of nodes (node, least): the smallest `least` of its component (roots: node, root, from
+    components()); its own where no link has it. Nulls count last.
+
+    A component may hold a third of all nodes. Its name is a min() that combines before the shuffle; then it is repeated for
+    each of DEALS parts of the component, so that the join that hands it out has no row of all its nodes in one task.
+    """
+    linked = nodes.join(roots, "node")
+    deal = F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    named = linked.withColumn("deal", deal).join(names, ["root", "deal"]).select("node", "component_id")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))

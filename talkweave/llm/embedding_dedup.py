@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm.common import read, stored
-from talkweave.llm.components import components
+from talkweave.llm.components import components, least_names
 from talkweave.llm.simhash import Forest
 
 THRESHOLD = 0.93
@@ -130,9 +130,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int
     found = stored(tiles.groupBy("label", "dim", "a", "b").applyInArrow(_tile(threshold), "u long, v long, n long"), "vector-links")
     roots = components(found.where("v is not null").select("u", "v"))
     more = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("more"))
-    placed = classes.select("node", "least", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").join(more, "node", "left").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    names = least_names(classes.select("node", "least"), roots)
+    named = classes.select("node", "weight").join(names, "node").join(more, "node", "left").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     return rows.select("vec_id", "node").join(named, "node", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

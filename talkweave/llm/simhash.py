@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkweave.llm.common import WordHashes, lower_words, mix, read, stored
-from talkweave.llm.components import components
+from talkweave.llm.components import components, least_names
 from talkweave.llm.substring_dedup import shingles
 
 BITS = 4
@@ -188,9 +188,7 @@ def _dealt(keyed: DataFrame, group: int, carried: list[str]) -> DataFrame:
 
 def named(fps: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """fps with component_id: the smallest id (least) of all nodes of a row's component."""
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
+    return fps.join(least_names(nodes.select(F.col("fp").alias("node"), "least"), roots).withColumnRenamed("node", "fp"), "fp")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = SHINGLE) -> DataFrame:
