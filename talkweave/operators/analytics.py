@@ -116,6 +116,13 @@ def in_period(df: DataFrame, date: str, periods: Sequence[tuple[str, str, str]],
     return df.withColumn(name, out)
 
 
+def members(df: DataFrame, name: str, era: str, history: str, wanted: str) -> DataFrame:
+    """name, party of those whose eras name the wanted one: the last of the parties that a history parts by strokes, trimmed; an
+    empty one is none."""
+    last = F.trim(F.element_at(F.split(F.coalesce(history, F.lit("")), "/"), -1))
+    return df.where(F.contains(F.col(era), F.lit(wanted))).select(F.trim(name).alias("name"), F.nullif(last, F.lit("")).alias("party"))
+
+
 def unambiguous(df: DataFrame, name: str, value: str) -> DataFrame:
     """name, value: null where the name stands for several values."""
     return df.groupBy(name).agg(F.when(F.count_distinct(value) == 1, F.min(value)).alias(value))

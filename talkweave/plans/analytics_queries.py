@@ -292,12 +292,12 @@ def party_history(spark, sf_dir):
     return A.history(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", periods)
 
 
-@R.add("""WITH r AS (SELECT trim(string_split(p_type, ' ')[-1]) AS last, p_brand, upper(left(p_name, 3)) AS name FROM part)
-SELECT name, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS p_brand, min(last) AS last_part FROM r GROUP BY name""")
+@R.add("""WITH r AS (SELECT upper(left(p_name, 3)) AS name, nullif(trim(string_split(replace(p_type, ' ', ' / '), '/')[-1]), '') AS party FROM part WHERE contains(p_brand, '1'))
+SELECT name, CASE WHEN count(DISTINCT party) = 1 THEN min(party) END AS party FROM r GROUP BY name""")
 def member_party(spark, sf_dir):
-    last = F.trim(F.element_at(F.split("p_type", " "), -1))
-    rows = table(spark, sf_dir, "part").select(F.upper(F.left("p_name", F.lit(3))).alias("name"), "p_brand", last.alias("last"))
-    return A.unambiguous(rows, "name", "p_brand").join(rows.groupBy("name").agg(F.min("last").alias("last_part")), "name")
+    """Parties of the members of one era, the last of each history; none for a name that stands for several."""
+    rows = table(spark, sf_dir, "part").select(F.upper(F.left("p_name", F.lit(3))).alias("who"), "p_brand", F.replace("p_type", F.lit(" "), F.lit(" / ")).alias("history"))
+    return A.unambiguous(A.members(rows, "who", "p_brand", "history", "1"), "name", "party")
 
 
 _VOCABULARY = "SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7"

@@ -13,6 +13,7 @@ from talkweave.operators import evaluate as V
 from talkweave.operators import gates as G
 from talkweave.operators import search as S
 from talkweave.plans.base import Registry, table
+from talkweave.session import fresh
 from talkweave.sources import layers as L
 from talkweave.streaming import ratelimit, windows
 
@@ -98,15 +99,17 @@ def embedding_carry_over(spark, sf_dir):
     return L.carried_over(chunks, stored, "text", "embedding", "vec_id").select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("x"))
 
 
-@R.add("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND trim(text) <> ''")
+@R.add("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND trim(text) <> '' AND (starts_with(source, 'src1') OR starts_with(source, 'src5'))")
 def pending_antijoin(spark, sf_dir):
-    return L.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text").select("doc_id", "source")
+    return L.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "source", ["src1", "src5"]).select("doc_id", "source")
 
 
 @R.add("SELECT doc_id, left(text, 600) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def semi_join_scope(spark, sf_dir):
-    ids = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(ids, "doc_id", "left_semi").select("doc_id", F.left("text", F.lit(C.EXCERPT)).alias("text"))
+    """Documents within a scope copied into a layer of their own, counted, and read from there."""
+    ids, at = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), fresh(spark, "scope")
+    L.copied(table(spark, sf_dir, "documents").select("doc_id", "text"), at, "doc_id", ids)
+    return L.read_layer(spark, at).select("doc_id", F.left("text", F.lit(C.EXCERPT)).alias("text"))
 
 
 @R.add("SELECT user_id, count(*) AS n, avg(CASE WHEN props IS NULL OR value < 20 THEN 1.0 ELSE 0.0 END) AS date_null, avg(CASE WHEN trim(event_type) IN ('', 'view') THEN 1.0 ELSE 0.0 END) AS blank FROM events GROUP BY user_id HAVING NOT (avg(CASE WHEN props IS NULL OR value < 20 THEN 1.0 ELSE 0.0 END) > 0.5 OR avg(CASE WHEN trim(event_type) IN ('', 'view') THEN 1.0 ELSE 0.0 END) > 0.2)")

@@ -129,11 +129,26 @@ def appended(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 
 
-def pending(all_rows: DataFrame, done: DataFrame, key: str, text: str | None = None) -> DataFrame:
-    rows = all_rows.join(done.select(key), key, "left_anti")
+def pending(all_rows: DataFrame, done: DataFrame, key: str, text: str | None = None, source: str | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
+    """The rows that aren't done yet, without blank texts, of the sources that begin with one of the prefixes (all, if none)."""
+    rows = (from_sources(all_rows, source, prefixes) if source else all_rows).join(done.select(key), key, "left_anti")
     return rows.where(F.coalesce(F.trim(F.col(text)), F.lit("")) != "") if text else rows
 
 
+def copied(df: DataFrame, path: str, key: str | None = None, ids: DataFrame | None = None, by: Sequence[str] = ()) -> int:
+    """Copy a table, or its rows whose key is among `ids`, into a layer, and count the copy against it; returns the rows."""
+    rows = df if ids is None else df.join(ids.select(key).distinct(), key, "left_semi")
+    return write_layer(rows, path, by=by, expected=rows.count())
+
+
+def ledger(failed: DataFrame, path: str) -> int:
+    """Keep the rows that a stage failed on as the layer `path`, in place of what a former run left there; without any, no
+    ledger stays behind. Returns how many there are."""
+    n = failed.count()
+    _removed(failed.sparkSession, path)
+    return write_layer(failed, path, expected=n) if n else 0
+
+
 def carried_over(chunks: DataFrame, vectors: DataFrame, text: str, vector: str, id_: str) -> DataFrame:
     """chunks with the vector of the same text (by md5), of the least id that has one; null where none has."""
     known = vectors.where(F.col(vector).isNotNull()).groupBy(F.md5(F.col(text).cast("binary")).alias("__md5")).agg(F.min_by(vector, id_).alias(vector))

@@ -319,3 +319,20 @@ def test_rendered_source(spark):
     got = [r[0] for r in row.select(E.rendered(*[F.col(x) for x in "n s r p c d g t b a".split()]).alias("x")).collect()]
     assert got[0] == "[1]\nspeaker: Kim [blue]\ncommittee: C\ndate: 2024-06-11\npage: 3\ncontent:\nSaid.\n\n[1 주변 맥락]\nnext: After."
     assert got[1] == "[2]\nspeaker:  chair\ncommittee: C\ndate: \npage: \ncontent:\nSaid."
+
+
+def test_ledgers_and_copies(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"s{i % 3}", "x" if i else " ") for i in range(10)], "k int, source string, t string")
+    at = str(tmp_path / "ledger")
+    assert L.ledger(df.where("k < 2"), at) == 2 and L.ledger(df.where("k = 5"), at) == 1
+    assert [r.k for r in L.read_layer(spark, at).collect()] == [5]
+    assert L.ledger(df.where("k > 99"), at) == 0 and L._versions(spark, at) == []
+    ids = spark.createDataFrame([(1,), (1,), (4,), (77,)], "k int")
+    assert L.copied(df, str(tmp_path / "some"), "k", ids) == 2 and L.copied(df, str(tmp_path / "all")) == 10
+    done = spark.createDataFrame([(3,)], "k int")
+    assert sorted(r.k for r in L.pending(df, done, "k", "t", "source", ["s0", "s2"]).collect()) == [2, 5, 6, 8, 9]
+
+
+def test_members_of_an_era(spark):
+    df = spark.createDataFrame([(" Kim ", "제21대, 제22대", "가/나/ 다 "), ("Lee", "제21대", "가"), ("Park", "제22대", None), ("Choi", "제22대", "라/")], "n string, e string, h string")
+    assert [tuple(r) for r in A.members(df, "n", "e", "h", "제22대").collect()] == [("Kim", "다"), ("Park", None), ("Choi", None)]
