@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from talkweave.functions import fixed as K
 
 
+#: All characters that count as blanks, of any script.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Blanks of any script taken off both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Blanks of any script taken off both ends: a look at the ends, where a pattern would look at every blank within."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(BLANKS))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def squashed(text: Column) -> Column:
@@ -55,33 +67,29 @@ def restored(lines: Column, starts: str = f"^[{K.MARKERS}{K.HEADINGS}]|{K.REPORT
     The fold keeps how each line is joined, and of what it is joined to only the last token and how that ends; the text is
     put together once, after it.
     """
-    hangul = lambda c: c.rlike("[가-힣]")
+    hangul = lambda c: (c >= "가") & (c <= "힣")  # noqa: E731  strings compare by code point
 
     def facts(x: Column) -> Column:
-        return once(
-            strip(x),
-            lambda r: F.struct(
-                x.alias("x"),
-                r.alias("r"),
-                hangul(F.left(r, F.lit(1))).alias("opens"),
-                hangul(F.right(r, F.lit(1))).alias("ends"),
-                F.right(r, F.lit(1)).rlike(f"[{K.SENTENCE_LAST}{K.PARTICLE_LAST}]").alias("closed"),
-                r.rlike("(?U)" + starts).alias("starts"),
-                r.rlike(K.FORCED_JOIN).alias("forced"),
-                F.element_at(F.split(r, r"(?U)\s+"), -1).alias("token"),
-                (~r.rlike(r"(?U)\s")).alias("single"),
-            ),
-        )
+        ends = lambda r: F.struct(x.alias("x"), r.alias("r"), hangul(F.left(r, F.lit(1))).alias("opens"), F.right(r, F.lit(1)).alias("last"))
+        # Patterns are tried only where they can matter: on lines that a line might be joined to, or that might be joined.
+        more = lambda e: F.struct(
+            e["x"], e["r"], e["opens"], hangul(e["last"]).alias("ends"),
+            (hangul(e["last"]) & F.contains(F.lit(K.SENTENCE_LAST + K.PARTICLE_LAST), e["last"])).alias("closed"),
+            (e["opens"] & e["r"].rlike("(?U)" + starts)).alias("starts"),
+            (e["opens"] & e["r"].rlike(K.FORCED_JOIN)).alias("forced"),
+            F.when(hangul(e["last"]), F.element_at(F.split(e["r"], r"(?U)\s+"), -1)).otherwise("").alias("token"),
+        )
+        return once(once(strip(x), ends), more)
 
     def step(s: Column, f: Column) -> Column:
         how = F.when(~s["ends"] | ~f["opens"] | f["starts"], "\n").when(~s["closed"] & (f["forced"] | (F.length(s["token"]) <= 3)), "").otherwise(" ")
-        token = lambda h: F.when((h == "") & f["single"], F.concat(s["token"], f["r"])).otherwise(f["token"])
+        token = lambda h: F.when((h == "") & (f["token"] == f["r"]), F.concat(s["token"], f["r"])).otherwise(f["token"])
         return once(how, lambda h: F.struct(F.concat(s["how"], F.array(h)).alias("how"), f["ends"].alias("ends"), f["closed"].alias("closed"), token(h).alias("token")))
 
     def together(known: Column, how: Column) -> Column:
         def piece(f: Column, i: Column) -> Column:
             begins, stays = F.get(how, i) == "\n", F.coalesce(F.get(how, i + 1), F.lit("\n")) == "\n"
-            own = F.when(begins & stays, f["x"]).when(begins, F.regexp_replace(f["x"], r"(?U)\s+$", "")).when(stays, F.regexp_replace(f["x"], r"(?U)^\s+", "")).otherwise(f["r"])
+            own = F.when(begins & stays, f["x"]).when(begins, rstrip(f["x"])).when(stays, lstrip(f["x"])).otherwise(f["r"])
             return F.concat(F.get(how, i), own)
 
         # Lines hold no line feed, so it parts the restored ones; the first of them has one before it.

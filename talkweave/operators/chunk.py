@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talkweave import config as C
 from talkweave.functions import fixed as K
-from talkweave.functions.text import once, strip
+from talkweave.functions.text import lstrip, once, rstrip, strip
 
 #: After a sentence mark, if a blank or anything but a digit follows: decimals stay whole.
 SENTENCE_END = r"(?<=[.!?。])(?=\s|[^\d\s])"
@@ -41,12 +41,11 @@ def packed(parts: Column, max_chars: int = C.MAX_CHARS) -> Column:
         joined = F.when(s["size"] == 0, state(s["starts"], s["place"] + 1, p["n"], p["lead"])).otherwise(state(s["starts"], s["place"] + 1, s["size"] - s["lead"] + F.when(p["n"] > p["lead"], p["n"] - p["trail"] + 1).otherwise(0), F.lit(0)))
         return F.when(fits, joined).otherwise(state(F.concat(s["starts"], F.array(s["place"] + 1)), s["place"] + 1, p["n"], p["lead"]))
 
-    blanks = lambda x, pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
-    size = lambda x: F.struct(F.length(x).alias("n"), blanks(x, r"(?U)^\s+").alias("lead"), blanks(x, r"(?U)\s+$").alias("trail"))
+    size = lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(lstrip(x))).alias("lead"), (F.length(x) - F.length(rstrip(x))).alias("trail"))
 
     def joined(all_: Column) -> Column:
         starts = F.aggregate(F.transform(all_, size), state(F.array().cast("array<int>"), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
-        own = lambda at, a, i: F.transform(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), lambda x, k: F.when(k == 0, x).otherwise(F.regexp_replace(x, r"(?U)\s+$", "")))
+        own = lambda at, a, i: F.transform(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), lambda x, k: F.when(k == 0, x).otherwise(rstrip(x)))
         text = lambda xs: strip(F.array_join(F.filter(xs, lambda x: x != ""), " "))
         return once(starts, lambda at: F.transform(at, lambda a, i: text(own(at, a, i))))
 

@@ -14,7 +14,7 @@ from talkweave.operators import evidence as E
 from talkweave.operators import questions as Q
 from talkweave.operators import search as S
 from talkweave.operators import trigram as G
-from talkweave.plans.base import Registry, table
+from talkweave.plans.base import Registry, spread, table
 from talkweave.plans.text_queries import chunks_sql
 from talkweave.session import fresh
 
@@ -34,7 +34,7 @@ _KW = f"SELECT doc_id, ({{score}})::INT AS score, left(text, {C.SNIPPET}) AS sni
 
 @R.add(_KW.format(score=_SCORE, more=""))
 def kw_search_documents(spark, sf_dir):
-    return S.keyword_search(table(spark, sf_dir, "documents"), "doc_id", PHRASES, TOKENS)
+    return S.keyword_search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", PHRASES, TOKENS)
 
 
 @R.add(_KW.format(score=_FULL, more="AND lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src5')"))
@@ -44,7 +44,7 @@ def kw_search_filtered(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir, fields=("text",)):
-    return G.build(table(spark, sf_dir, "documents"), "doc_id", fields, fresh(spark, "trigrams"), slots=16, parts=16)
+    return G.build(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id", fields, fresh(spark, "trigrams"), slots=16, parts=16)
 
 
 @R.add(_KW.format(score=_FULL, more="AND lang IN ('en', 'de')"))
@@ -182,7 +182,7 @@ def eval_by_axis(spark, sf_dir):
 
 def _axes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    keyword = S.keyword_search(docs, "doc_id", PHRASES, TOKENS, limit=C.CANDIDATES).drop("snippet")
+    keyword = S.keyword_search(spread(docs.select("doc_id", "text")), "doc_id", PHRASES, TOKENS, limit=C.CANDIDATES).drop("snippet")
     vector = S.vector_search(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _query_vector(spark, sf_dir), limit=C.CANDIDATES)
     return docs, S.ranked(keyword, F.col("score").desc(), F.col("doc_id")), S.ranked(vector, F.col("vec_score").desc_nulls_last(), F.col("doc_id"))
 
@@ -242,7 +242,7 @@ UNION ALL SELECT doc_id, array_to_string(p, ' ') FROM p WHERE length(array_to_st
 @R.add(_WINDOW.format(chunks=chunks_sql("documents", "doc_id", 800), limit=C.EVIDENCE_CHARS))
 def evidence_window(spark, sf_dir):
     """Chunks of each document around its middle one (around the first, where none is a hit), up to the evidence limit."""
-    pieces = K.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", max_chars=800)
+    pieces = K.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text", max_chars=800)
     hits = pieces.withColumn("hit", (F.col("doc_id") % 5 != 0) & (F.col("chunk_index") == F.ceil(F.col("chunk_total") / 2)))
     return E.windows(hits, "doc_id", "chunk_index", "chunk_text", "hit", C.EVIDENCE_CHARS)
 

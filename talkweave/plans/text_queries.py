@@ -8,7 +8,7 @@ from talkweave import config as C
 from talkweave.functions import text as X
 from talkweave.operators import chunk as K
 from talkweave.operators import turns as T
-from talkweave.plans.base import Registry, table
+from talkweave.plans.base import Registry, spread, table
 from talkweave.sources import layers as L
 
 R = Registry()
@@ -86,6 +86,8 @@ def _minutes(spark, sf_dir):
     line = F.concat(head, F.when(F.col("turn") % 3 == 2, "").otherwise("◯"), who, F.lit(" "), body)
     turns = table(spark, sf_dir, "conversations").withColumn("page", F.floor(F.col("turn") / 3).cast("int") + 1).withColumn("line", line)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    # A number of partitions that is asked for isn't made smaller: the pages' repair is much work on few bytes.
+    turns = turns.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id")
     pages = turns.groupBy(F.col("conv_id").alias("source_id"), "page").agg(lines.alias("text"))
     return pages.withColumn("text", F.concat(F.lit(_HEADER + "\n"), F.when(F.col("page") > 1, "앞에서 이어진 말\n").otherwise(""), "text", F.lit("\n- "), "page", F.lit(" -")))
 
@@ -222,7 +224,7 @@ _ENTITIES = r"(?:Apache|GNU|MIT|CC BY)[A-Za-z -]{0,20}License|https?://[a-z.]+"
 @R.add(f"""WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_ENTITIES}')) AS m FROM documents)
 SELECT value, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(m) AS value FROM m) GROUP BY value ORDER BY n DESC, value LIMIT 50""")
 def enrich_mentions(spark, sf_dir):
-    turns = T.enriched(table(spark, sf_dir, "documents").select("doc_id", "text"), entities=_ENTITIES)
+    turns = T.enriched(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), entities=_ENTITIES)
     hits = turns.select("doc_id", F.explode("mentions").alias("value"))
     return hits.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs")).orderBy(F.col("n").desc(), "value").limit(50)
 
@@ -301,7 +303,7 @@ chunks AS (SELECT {key}, {keep} unnest(p) AS chunk_text, generate_subscripts(p,
 
 @R.add(f"""WITH {chunks_sql('documents', 'doc_id', C.MAX_CHARS, 'lang,')} SELECT doc_id, lang, printf('%d_chunk_%03d', doc_id, chunk_index) AS chunk_id, chunk_index, chunk_total, chunk_text, length(chunk_text) < {C.SHORT_CHARS} AS is_short FROM chunks""")
 def chunk_pack(spark, sf_dir):
-    return K.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text", keep=["lang"])
+    return K.chunks(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text", keep=["lang"])
 
 
 _HITS = " + ".join(f"{C.TOKEN_WEIGHT} * contains(lower(chunk_text), '{t}')::INT" for t in ("the", "nation"))
@@ -314,7 +316,7 @@ def hybrid_dedup_turn(spark, sf_dir):
     """The best chunk of each document by keyword hits."""
     from talkweave.operators import search as S
 
-    pieces = K.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    pieces = K.chunks(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
     hits = S.ranked(S.keyword_search(pieces, "chunk_id", [], ["the", "nation"], text="chunk_text", limit=60), F.col("score").desc(), F.col("chunk_id"))
     scored = hits.select("chunk_id", F.col("rank").alias("kw_rank"), F.lit(None).cast("int").alias("vec_rank"), F.round(C.RRF_KEYWORD / (C.RRF_K + F.col("rank")), 5).alias("rrf"))
     return S.best_per_turn(scored)
