@@ -155,7 +155,7 @@ def split_header(line: Column, **forms) -> Column:
     # One lambda holds the forms, so that they stand in the plan once and not for each option.
     read = F.transform(F.when(F.size(tokens) >= 2, F.array(two, one, whole)).otherwise(F.array(whole)), lambda o: F.struct(speaker(o["head"], **forms).alias("s"), o["rest"].alias("rest")))
     first = F.get(F.filter(read, lambda r: r["s"].isNotNull()), F.lit(0))
-    return F.struct(first["s"]["name"].alias("name"), first["s"]["role"].alias("role"), first["rest"].alias("rest"))
+    return once(first, lambda r: F.struct(r["s"]["name"].alias("name"), r["s"]["role"].alias("role"), r["rest"].alias("rest")))
 
 
 def iso_date(raw: Column) -> Column:

@@ -32,7 +32,8 @@ def _parsed(pages: DataFrame, source: str, page: str, marker: str, **forms) -> D
     their first marker is a piece as well: text that a page break has cut off from the turn before.
     """
     first = F.array_position(F.transform("segments", lambda s: s["section_type"]), "body")
-    blocks = pages.select(source, page, first.alias("first"), F.posexplode("segments").alias("seg", "s")).select(source, page, "first", "seg", F.col("s.section_type").alias("kind"), F.col("s.text").alias("body"))
+    # The outer form, since for the other a filter on the array's size is put below, which builds the segments two times more.
+    blocks = pages.select(source, page, first.alias("first"), F.posexplode_outer("segments").alias("seg", "s")).select(source, page, "first", "seg", F.col("s.section_type").alias("kind"), F.col("s.text").alias("body"))
     body = F.col("kind") == "body"
     before = (F.col(page) > 1) & (F.col("seg") + 1 < F.col("first")) & ~F.col("kind").isin("agenda", "report", "attendance")
     parts = F.when(body, F.split(X.strip(F.col("body")), f"(?={marker})")).otherwise(F.slice(F.split("body", marker, 2), 1, 1))
