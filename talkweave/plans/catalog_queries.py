@@ -203,15 +203,18 @@ def label_sheet_read(spark, sf_dir):
     return V.label_sheet(rows, "conv_id", "at", "line", ["support", "oppose", "neutral"])
 
 
-@R.add("""SELECT doc_id, lang IN ('en', 'de') AND (contains(text, 'the') OR contains(text, 'ung')) AND starts_with(source, 'src') AS both, lang IN ('en', 'de') AND (contains(text, 'ation') OR contains(source, 'src1')) AS either FROM documents""")
+@R.add("""SELECT doc_id, lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND (contains(text, 'the') OR contains(text, 'ung')) AND (contains(text, 'tion') OR contains(text, 'und')) AS both,
+lang IN ('en', 'de') AND (contains(text, 'ation') OR source = 'src1') AS either, lang IN ('en', 'de') AS lone FROM documents""")
 def eval_relevance(spark, sf_dir):
+    """Documents held against criteria of mode `and`, of no mode, and with groups of words but no words of their own."""
     none, words = F.array().cast("array<string>"), lambda *x: F.array(*map(F.lit, x))
     groups = F.array().cast("array<array<string>>")
     d = table(spark, sf_dir, "documents")
     args = dict(text=F.col("text"), speaker=F.col("source"), committee=F.col("lang"), date=F.lit("2024-01-01"))
-    both = F.struct(words("en", "de").alias("committee_any"), words("2024").alias("date_any"), words("src").alias("speaker_any"), none.alias("text_any"), F.array(words("the", "ung")).alias("text_all"), F.lit("and").alias("mode"))
-    either = F.struct(words("en", "de").alias("committee_any"), none.alias("date_any"), words("src1").alias("speaker_any"), words("ation").alias("text_any"), groups.alias("text_all"), F.lit("or").alias("mode"))
-    return d.select("doc_id", V.relevant(both, **args).alias("both"), V.relevant(either, **args).alias("either"))
+    both = F.struct(words("en", "de").alias("committee_any"), words("2024").alias("date_any"), words("src1", "src2", "src3").alias("speaker_any"), words("the", "ung").alias("text_any"), F.array(words("tion", "und")).alias("text_all"), F.lit("and").alias("mode"))
+    either = F.struct(words("en", "de").alias("committee_any"), none.alias("date_any"), words("src1").alias("speaker_any"), words("ation").alias("text_any"), groups.alias("text_all"), F.lit(None).cast("string").alias("mode"))
+    lone = F.struct(words("en", "de").alias("committee_any"), none.alias("date_any"), none.alias("speaker_any"), none.alias("text_any"), F.array(words("never there")).alias("text_all"), F.lit("and").alias("mode"))
+    return d.select("doc_id", V.relevant(both, **args).alias("both"), V.relevant(either, **args).alias("either"), V.relevant(lone, **args).alias("lone"))
 
 
 @R.add("SELECT doc_id, text FROM (SELECT * FROM documents ORDER BY md5(doc_id || '|11'), doc_id LIMIT 25) ORDER BY doc_id")
