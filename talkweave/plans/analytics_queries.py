@@ -11,7 +11,7 @@ from talkweave.operators import chunk as K
 from talkweave.operators import judging as J
 from talkweave.operators import search as S
 from talkweave.operators import terms as M
-from talkweave.plans.base import Registry, table
+from talkweave.plans.base import Registry, spread, table
 from talkweave.plans.text_queries import chunks_sql
 from talkweave.plans.search_queries import _Q, _query_vector
 
@@ -143,7 +143,7 @@ def stance_matrix(spark, sf_dir):
     """The turns that each actor's label rests on, with the restored text: documents as turns, languages as issues."""
     d, l = table(spark, sf_dir, "documents").alias("d"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled")
     said = d.join(l, F.col("doc_id") == F.col("labelled"), "left").select("lang", F.concat("source", F.lit("/"), F.col("doc_id") % 5).alias("speaker"), "doc_id", F.expr(_SAID).alias("stance"), F.date_add(F.lit("2024-06-01").cast("date"), (F.col("doc_id") % 100).cast("int")).alias("date"))
-    pieces = K.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    pieces = K.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text")
     return A.stance_matrix(said, pieces, by=["lang"], speaker="speaker", turn="doc_id", stance="stance", date="date", chunk="chunk_id", order="chunk_index", text="chunk_text")[1]
 
 
