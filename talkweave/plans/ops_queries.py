@@ -12,7 +12,7 @@ from talkweave.functions import fixed as K
 from talkweave.operators import evaluate as V
 from talkweave.operators import gates as G
 from talkweave.operators import search as S
-from talkweave.plans.base import Registry, table
+from talkweave.plans.base import Registry, spread, table
 from talkweave.session import fresh
 from talkweave.sources import layers as L
 from talkweave.streaming import ratelimit, windows
@@ -246,7 +246,8 @@ f AS (SELECT a.lang, a.doc_id AS q, min(rank) FILTER (b.lang = a.lang AND b.sour
 SELECT lang, count(*) AS n, round_even(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 3) AS recall_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 3) AS recall_10, round_even(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0.0 END), 3) AS mrr_10 FROM f GROUP BY lang""")
 def eval_recall_mrr(spark, sf_dir):
     """Every twentieth document's long words as a question to all documents; a hit of its language and source is relevant."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 9).alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    d = docs.select("doc_id", "lang", "source", F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda x: F.length(x) >= 9).alias("w"))
     q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), F.col("w").alias("qw"))
     hits = S.word_hits(d, q, "doc_id", "q", F.col("w"), F.col("qw"), limit=C.MRR_CUT).join(d.select("doc_id", "lang", "source"), "doc_id")
     asked = q.drop("qw").join(hits, "q", "left")
