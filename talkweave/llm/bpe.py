@@ -4,7 +4,8 @@ Two tiers. A minimal perfect hash (hash, displace) over the vocabulary resolves
 vocabulary entry: one probe, one comparison. Any other pre-token is merged from its bytes: the bytes are a doubly linked
 list, the candidate pairs wait in a heap by (rank, place), and a pair that a merge has made stale is skipped when it
 surfaces. The hash is built once on the driver; it is as large as the vocabulary file, so broadcasting it is bounded by
-that file. Each worker keeps a memo of pre-tokens, emptied when full.
+that file. Each worker keeps a memo of pre-tokens, emptied when full; long
+ones, which seldom come again, are merged each time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from talkweave.llm.common import read
 
 M64 = (1 << 64) - 1
-MEMO = 400_000
+#: Entries of a worker's memo, and the characters of the longest pre-token that it takes up, so that its bytes are bounded.
+MEMO, MEMO_CHARS = 400_000, 64
 
 
 def _scatter(h: int, d: int) -> int:
@@ -121,12 +123,13 @@ class Encoder(dict):
         self.ascii = re.compile(vocabulary.pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace(r"\S", r"[^\t-\r ]").replace(r"\s", r"[\t-\r ]"))
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= self.memo:
-            self.clear()
         raw = token.encode()
         whole = self.v.hash.find(raw)
-        ids = [whole] if whole >= 0 else self.merged(raw)
-        out = self[token] = np.array(ids, "<u4").tobytes()
+        out = np.array([whole] if whole >= 0 else self.merged(raw), "<u4").tobytes()
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= self.memo:
+                self.clear()
+            self[token] = out
         return out
 
     def merged(self, raw: bytes) -> list[int]:
