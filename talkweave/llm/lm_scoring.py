@@ -10,11 +10,16 @@ T(h): the number of different words after h. a(h) is in the filter too, at level
 A filter of everything that was counted grows with the corpus, so it is not broadcast: it lies in blocks, one for each
 bucket of the hash space, of BITS bits an entered level whatever the size of the corpus, and the probes go to the blocks.
 Texts are cut into chunks of about CHUNK tokens, kept once in the shared folder as the chunk's distinct words, the most
-frequent first, and each token's number among them, compressed. A chunk sends each bucket one packed row of its distinct pairs, with the counts of its learning
-texts (so an n-gram that is in every text is one entry of a chunk); the bucket adds them up, makes its block, and answers
-every row by probes. One of the chunks that hold a pair is named its owner, so that T(h) is a sum over chunks. Words then
-make the same round trip with their counts and T, and each chunk scores its texts. A bucket holds its share of distinct
-n-grams, and their number of buckets follows the input.
+frequent first, and each token's number among them, compressed.
+
+To learn, a chunk sends each bucket one packed row of the distinct pairs of its learning texts with their counts (so an
+n-gram that is in every text is one entry of a chunk). The bucket adds them up, makes its block, and forgets keys and sums;
+back to the chunks go bits alone: one of the chunks that hold a pair is named its owner, so that T(h) is a sum over chunks.
+Words then go to their buckets with counts and T, and give blocks as well; of words the exact counts are kept beside, for the
+base. The stored blocks are the model (Model), and any texts can be scored by it.
+
+To score, a chunk sends each bucket its distinct pairs and words, they are probed in the stored blocks, and the levels come
+back to the chunk, which scores its texts.
 
 Pairs are told apart by 40 bits of hash within a bucket, words by 64.
 """
@@ -22,6 +27,7 @@ Pairs are told apart by 40 bits of hash within a bucket, words by 64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +49,8 @@ START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 CHUNK, BATCH = 2_000_000, 500
 #: Kinds of filter entries: words, pairs of words, back-off levels of contexts.
 WORDS, PAIRS, BACKOFF = 1, 2, 3
-#: Bit of an answer that names the owner; the level is below it.
-OWNER = 128
+#: Levels end below this, in a byte's reach.
+HIGHEST = 128
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +110,15 @@ class Block:
                 level += 1
                 keys, q = keys[q >= level], q[q >= level]
 
+    def packed(self) -> bytes:
+        return np.packbits(self.bits).tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Block:
+        block = cls.__new__(cls)
+        block.bits = np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
+        return block
+
     @staticmethod
     def entry(kind: int, keys: np.ndarray) -> np.ndarray:
         """Kinds share the block; their keys must not."""
@@ -115,7 +130,7 @@ class Block:
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
         found, keys = np.zeros(len(keys), np.int64), self.entry(kind, keys)
         live, level = np.arange(len(keys)), 1
-        while len(live) and level < OWNER:
+        while len(live) and level < HIGHEST:
             for probe in range(PROBES):
                 live = live[self.bits[self.place(keys[live], level, probe)]]
             found[live] = level
@@ -225,131 +240,179 @@ class Chunk:
         return pairs, of, pair_keys(self.words[pairs // len(self.words)], self.words[pairs % len(self.words)])
 
 
-def answered(keys: list[np.ndarray], c: list[np.ndarray], block, finish) -> list[list[np.ndarray]]:
-    """For rows of keys with counts: what finish(distinct keys, sums, block) gives, dealt back to the rows; and for each
-    entry whether its row is the first that counts the key."""
-    sizes, c = [len(k) for k in keys], np.concatenate(c, axis=-1)
+class Dealt:
+    """What of a chunk lies in which bucket, to put a bucket's answers back in the chunk's order."""
+
+    def __init__(self, keys: np.ndarray, n_buckets: int):
+        self.order, self.cuts = grouped(bucket_of(keys, n_buckets), n_buckets)
+
+    def back(self, of: dict[int, np.ndarray]) -> np.ndarray:
+        out = np.empty(len(self.order), np.int64)
+        for b, i, j in self.cuts:
+            out[self.order[i:j]] = of[b]
+        return out
+
+
+def counted_pairs(x: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, keys, counts) of the chunk's pairs that its learning texts hold."""
+    pairs, of, keys = x.pairs()
+    c = np.bincount(of, x.learns[~x.first], len(pairs)).astype(np.int64)
+    return pairs[c > 0], keys[c > 0], c[c > 0]
+
+
+def summed(keys: list[np.ndarray], *c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys, of each entry its number among them, sums of each count)."""
     distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.rint(np.bincount(of, x, len(distinct))).astype(np.int64) for x in np.atleast_2d(c)]
-    counting = np.flatnonzero(np.atleast_2d(c)[0] > 0)
-    owner = np.zeros(len(of), bool)
-    owner[counting[np.unique(of[counting], return_index=True)[1]]] = True
-    cuts = np.cumsum(sizes)[:-1]
-    return [*(np.split(x[of], cuts) for x in finish(distinct, sums, block(distinct, sums))), np.split(owner, cuts)]
+    return distinct, of, [np.rint(np.bincount(of, np.concatenate(x), len(distinct))).astype(np.int64) for x in c]
 
 
-def pair_answers(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
-    """chunk, bucket, answers: a byte for each distinct pair of a chunk in a bucket: its level, and whether the chunk owns it."""
+PAIR_BLOCKS = "chunk long, bucket int, owned binary, bits binary"
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def pair_blocks(parts: DataFrame, n_buckets: int, bits: int) -> DataFrame:
+    """chunk, bucket, owned: a bit for each counted pair of a chunk in a bucket, whether the chunk owns it; and for each
+    bucket a row without a chunk, with the bits of its block."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = Chunk(row)
-                pairs, of, keys = x.pairs()
-                c = np.bincount(of, x.learns[~x.first], len(pairs)).astype(np.int64)
+                _, keys, c = counted_pairs(Chunk(row))
                 order, own = grouped(bucket_of(keys, n_buckets), n_buckets)
                 keys, c = keys[order], c[order]
                 counts = [few(c[a:b]) for _, a, b in own]
                 columns = [pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([b for b, _, _ in own], pa.int32()), pa.array([five(keys[a:b]) for _, a, b in own], pa.binary()), *(pa.array([y[i] for y in counts], pa.binary()) for i in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "keys", "small", "large"])
 
-    def answer(table: pa.Table) -> pa.Table:
+    def entered(table: pa.Table) -> pa.Table:
         keys = [unfive(x) for x in table["keys"].to_pylist()]
-        c = [unfew(x, y) for x, y in zip(table["small"].to_pylist(), table["large"].to_pylist())]
-        q, owner = answered(keys, c, lambda k, s: Block([(PAIRS, k, levels(s[0]))], bits), lambda k, s, block: [block.level(PAIRS, k)])
-        rows = [zipped((a + OWNER * b).astype(np.uint8)) for a, b in zip(q, owner)]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "answers": pa.array(rows, pa.binary())})
-
-    sent = parts.select("chunk", *_names(CHUNKED)).mapInArrow(probes, "chunk long, bucket int, keys binary, small binary, large binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, answers binary")
-
-
-class Dealt:
-    """What of a chunk lies in which bucket, to put a bucket's answers back in the chunk's order."""
+        distinct, of, (sums,) = summed(keys, [unfew(x, y) for x, y in zip(table["small"].to_pylist(), table["large"].to_pylist())])
+        owner = np.zeros(len(of), bool)
+        owner[np.unique(of, return_index=True)[1]] = True  # the first that counts a pair
+        owned = [np.packbits(x).tobytes() for x in np.split(owner, np.cumsum([len(k) for k in keys])[:-1])]
+        block = Block([(PAIRS, distinct, levels(sums))], bits).packed()
+        bucket = table["bucket"][0].as_py()
+        columns = [pa.array([*table["chunk"].to_pylist(), None], pa.int64()), pa.array([bucket] * (len(keys) + 1), pa.int32()), pa.array([*owned, None], pa.binary()), pa.array([None] * len(keys) + [block], pa.binary())]
+        return pa.Table.from_arrays(columns, _names(PAIR_BLOCKS))
 
-    def __init__(self, keys: np.ndarray, n_buckets: int):
-        self.order, self.cuts = grouped(bucket_of(keys, n_buckets), n_buckets)
-
-    def back(self, of: dict[int, np.ndarray]) -> np.ndarray:
-        out = np.empty(len(self.order), np.int64)
-        for b, i, j in self.cuts:
-            out[self.order[i:j]] = of[b]
-        return out
-
-    def pair_levels(self, table: pa.Table) -> np.ndarray:
-        got = {r["bucket"]: r["answers"] for r in table.to_pylist() if r["answers"] is not None}
-        return self.back({b: unzipped(got[b], j - i) for b, i, j in self.cuts})
+    rows = parts.select("chunk", *_names(CHUNKED)).mapInArrow(sent, "chunk long, bucket int, keys binary, small binary, large binary")
+    return rows.groupBy("bucket").applyInArrow(entered, PAIR_BLOCKS)
 
 
 WORD_ROWS = "chunk long, bucket int, keys binary, c binary, c_large binary, t binary, t_large binary"
 
 
-def word_rows(parts: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
-    """chunk, bucket, and packed: a chunk's words, their counts in learning texts, and how many of the pairs that they begin
-    the chunk owns."""
+def word_rows(parts: DataFrame, owned: DataFrame, n_buckets: int) -> DataFrame:
+    """chunk, bucket, and packed: the words of a chunk's learning texts, their counts there, and how many of the pairs that
+    they begin the chunk owns."""
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         x = Chunk(left.to_pylist()[0])
-        pairs, _, keys = x.pairs()
-        owned = Dealt(keys, n_buckets).pair_levels(right) >= OWNER
-        t = np.bincount(pairs[owned] // len(x.words), minlength=len(x.words))
+        pairs, keys, _ = counted_pairs(x)
+        dealt, got = Dealt(keys, n_buckets), {r["bucket"]: np.frombuffer(r["owned"], np.uint8) for r in right.to_pylist()}
+        own = dealt.back({b: np.unpackbits(got[b], count=j - i) for b, i, j in dealt.cuts}) > 0
+        t = np.bincount(pairs[own] // len(x.words), minlength=len(x.words))
         c = np.bincount(x.number[x.learns], minlength=len(x.words))
-        dealt = Dealt(x.words, n_buckets)
-        own = [dealt.order[i:j] for _, i, j in dealt.cuts]
-        packed = [(x.words[o].tobytes(), *few(c[o]), *few(t[o])) for o in own]
-        columns = [pa.array([left["chunk"][0].as_py()] * len(own), pa.int64()), pa.array([b for b, _, _ in dealt.cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(5))]
+        known = np.flatnonzero(c)
+        dealt = Dealt(x.words[known], n_buckets)
+        places = [known[dealt.order[i:j]] for _, i, j in dealt.cuts]
+        packed = [(x.words[o].tobytes(), *few(c[o]), *few(t[o])) for o in places]
+        columns = [pa.array([left["chunk"][0].as_py()] * len(places), pa.int64()), pa.array([b for b, _, _ in dealt.cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(5))]
         return pa.Table.from_arrays(columns, _names(WORD_ROWS))
 
-    return parts.select("chunk", *_names(CHUNKED)).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rows, WORD_ROWS)
+    return parts.select("chunk", *_names(CHUNKED)).groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(rows, WORD_ROWS)
 
 
-WORD_ANSWERS = "chunk long, bucket int, c binary, c_large binary, q binary, b binary, total long, words long"
+BLOCKS = "bucket int, kind int, bits binary, keys binary, c binary, c_large binary, total long, words long"
 
 
-def word_answers(rows: DataFrame, bits: int) -> DataFrame:
-    """chunk, bucket, c (exact), q and b (levels of the count and of the back-off) of a chunk's words; total and words of a
-    bucket stand in one of its rows."""
+def word_blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """A row of BLOCKS for each bucket of words: the filter's bits for counts and back-off, and the exact counts for the base."""
 
-    def answer(table: pa.Table) -> pa.Table:
+    def entered(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], "<u8") for r in sent]
-        both = [np.stack([unfew(r["c"], r["c_large"]), unfew(r["t"], r["t_large"])]) for r in sent]
-        seen: list[int] = []
+        keys, _, (c, t) = summed([np.frombuffer(r["keys"], "<u8") for r in sent], [unfew(r["c"], r["c_large"]) for r in sent], [unfew(r["t"], r["t_large"]) for r in sent])
+        block = Block([(WORDS, keys, levels(c)), (BACKOFF, keys, backoff_levels(c, t))], bits).packed()
+        inside = keys != START
+        row = [sent[0]["bucket"], WORDS, block, keys.tobytes(), *few(c), int(c[inside].sum()), int(inside.sum())]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK_TYPES)], BLOCK_TYPES.names)
 
-        def finish(k: np.ndarray, s: list[np.ndarray], block: Block) -> list[np.ndarray]:
-            inside = k != START
-            seen.extend([int(s[0][inside].sum()), int((s[0][inside] > 0).sum())])
-            return [s[0], block.level(WORDS, k), block.level(BACKOFF, k)]
+    return rows.groupBy("bucket").applyInArrow(entered, BLOCKS)
 
-        made = lambda k, s: Block([(WORDS, k, levels(s[0])), (BACKOFF, k, backoff_levels(*s))], bits)
-        c, q, b, _ = answered(keys, both, made, finish)
-        pad = [None] * (len(keys) - 1)
-        packed = [(*few(x), zipped(y.astype(np.uint8)), zipped(z.astype(np.uint8))) for x, y, z in zip(c, q, b)]
-        return pa.Table.from_arrays([table["chunk"], table["bucket"], *(pa.array([p[i] for p in packed], pa.binary()) for i in range(4)), *(pa.array([x, *pad], pa.int64()) for x in seen)], _names(WORD_ANSWERS))
 
-    return rows.groupBy("bucket").applyInArrow(answer, WORD_ANSWERS)
+BLOCK_TYPES = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in BLOCKS.split(", "))])
 
 
-def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; learns from the rows where train holds.
+@dataclass(frozen=True)
+class Model:
+    """What was learned: the filter's blocks (BLOCKS), by hash range, and the totals of the learning texts."""
 
-    Null texts are empty: one token, the end. With no training row at all N = V = 0, so every token's probability is 1.
-    Repeated rows are each scored; null ids stay null; other columns drop; an empty table gives no rows. `chunk` is a size
-    of work and changes no result.
-    """
-    n_buckets = buckets(docs)
-    parts = stored(chunks(docs, train, chunk), "lm-chunks")
-    pairs = stored(pair_answers(parts, n_buckets, bits), "lm-pairs")
-    words = stored(word_answers(word_rows(parts, pairs, n_buckets), bits), "lm-words")
+    blocks: DataFrame
+    n_buckets: int
+    tokens: int
+    words: int
+
+
+def fit(parts: DataFrame, n_buckets: int, bits: int = BITS) -> Model:
+    """The model of the learning texts of chunks()."""
+    pairs = stored(pair_blocks(parts, n_buckets, bits), "lm-pairs")
+    words = stored(word_blocks(word_rows(parts, pairs.where("chunk is not null").select("chunk", "bucket", "owned"), n_buckets), bits), "lm-words")
     size = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    total = size["n"]
-    denominator = float(total + size["v"] + 1)
+    blocks = pairs.where("chunk is null").select("bucket", F.lit(PAIRS).alias("kind"), "bits").unionByName(words, allowMissingColumns=True)
+    return Model(blocks, n_buckets, size["n"], size["v"])
+
+
+PROBED = "chunk long, bucket int, pairs binary, words binary"
+ANSWERS = "chunk long, bucket int, pairs binary, c binary, c_large binary, q binary, b binary"
+
+
+def answers(parts: DataFrame, model: Model) -> DataFrame:
+    """chunk, bucket, and packed: the levels of a chunk's pairs and words in a bucket, and the words' exact counts."""
+    n_buckets = model.n_buckets
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = Chunk(row)
+                keys, raw = x.pairs()[2], {}
+                for column, values, pack in ((0, keys, five), (1, x.words, np.ndarray.tobytes)):
+                    dealt = Dealt(values, n_buckets)
+                    for b, i, j in dealt.cuts:
+                        raw.setdefault(b, [b"", b""])[column] = pack(values[dealt.order[i:j]])
+                columns = [pa.array([row["chunk"]] * len(raw), pa.int64()), pa.array(list(raw), pa.int32()), *(pa.array([y[i] for y in raw.values()], pa.binary()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, _names(PROBED))
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        blocks = {r["kind"]: r for r in held.to_pylist()}
+        filters = {kind: Block.unpacked(r["bits"]) for kind, r in blocks.items()}
+        level = lambda at, kind, keys: filters[at].level(kind, keys).astype(np.uint8) if at in filters else np.zeros(len(keys), np.uint8)
+        known, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if WORDS in blocks:
+            known, count = np.frombuffer(blocks[WORDS]["keys"], "<u8"), unfew(blocks[WORDS]["c"], blocks[WORDS]["c_large"])
+        out = []
+        for chunk, bucket, raw, words in zip(*(asked[n].to_pylist() for n in _names(PROBED))):
+            keys, words = unfive(raw), np.frombuffer(words, "<u8")
+            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+            c = np.where(known[at] == words, count[at], 0) if len(known) else np.zeros(len(words), np.int64)
+            out.append((chunk, bucket, zipped(level(PAIRS, PAIRS, keys)), *few(c), zipped(level(WORDS, WORDS, words)), zipped(level(WORDS, BACKOFF, words))))
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], _names(ANSWERS))
+
+    asked = parts.select("chunk", *_names(CHUNKED)).mapInArrow(probes, PROBED)
+    held = model.blocks.select("bucket", "kind", "bits", "keys", "c", "c_large")
+    return asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, ANSWERS)
+
+
+def scored(parts: DataFrame, model: Model) -> DataFrame:
+    """What score() returns, of the texts of chunks(), whether they learn or not."""
+    n_buckets, denominator = model.n_buckets, float(model.tokens + model.words + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         x = Chunk(left.to_pylist()[0])
         _, of, keys = x.pairs()
-        both = expected(Dealt(keys, n_buckets).pair_levels(right) & (OWNER - 1))[of]
-        dealt, got = Dealt(x.words, n_buckets), {r["bucket"]: r for r in right.to_pylist() if r["q"] is not None}
+        got = {r["bucket"]: r for r in right.to_pylist()}
+        dealt = Dealt(keys, n_buckets)
+        both = expected(dealt.back({b: unzipped(got[b]["pairs"], j - i) for b, i, j in dealt.cuts}))[of]
+        dealt = Dealt(x.words, n_buckets)
         exact = dealt.back({b: unfew(got[b]["c"], got[b]["c_large"]) for b, _, _ in dealt.cuts})
         c, back = expected(dealt.back({b: unzipped(got[b]["q"], j - i) for b, i, j in dealt.cuts})), dealt.back({b: unzipped(got[b]["b"], j - i) for b, i, j in dealt.cuts})
         inner = np.flatnonzero(~x.first)
@@ -363,12 +426,33 @@ def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK)
         return pa.Table.from_arrays([pc.list_flatten(left["ids"]).combine_chunks(), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     schema = T.StructType([T.StructField("doc_id", parts.schema["ids"].dataType.elementType), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
-    answers = pairs.select("chunk", "bucket", "answers").unionByName(words.select("chunk", "bucket", "c", "c_large", "q", "b"), allowMissingColumns=True)
-    scored = parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = parts.groupBy("chunk").cogroup(answers(parts, model).groupBy("chunk")).applyInArrow(finish, schema)
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def learned(docs: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> Model:
+    """A model of all texts of docs, to score others with (score_with). Null texts are empty; an empty table gives a model of
+    nothing, by which every token's probability is 1."""
+    return fit(stored(chunks(docs, F.lit(True), chunk), "lm-chunks"), buckets(docs), bits)
+
+
+def score_with(model: Model, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The columns of score() for every row of docs, by a model that is there already."""
+    return scored(stored(chunks(docs, F.lit(False), chunk), "lm-chunks"), model)
+
+
+def score(docs: DataFrame, train: Column, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; learns from the rows where train holds.
+
+    Null texts are empty: one token, the end. With no training row at all N = V = 0, so every token's probability is 1.
+    Repeated rows are each scored; null ids stay null; other columns drop; an empty table gives no rows. `chunk` is a size
+    of work and changes no result.
+    """
+    parts = stored(chunks(docs, train, chunk), "lm-chunks")
+    return scored(parts, fit(parts, buckets(docs), bits))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 7) == 2
-    scored = score(read(spark, sf_dir, "documents"), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = score(read(spark, sf_dir, "documents"), ~held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
