@@ -31,23 +31,27 @@ def packed(parts: Column, max_chars: int = C.MAX_CHARS) -> Column:
     """Sentences joined by a blank into buffers; a buffer is closed when the next sentence, with its leading blanks, would pass
     max_chars. A buffer loses the blanks at its ends whenever a sentence joins it, and when it is closed.
 
-    The fold keeps the places where buffers begin and the size of the open one; texts are joined once, after it.
+    The fold keeps the places where buffers begin and the size and blanks of the open one; texts are joined once, after it.
     """
-    state = lambda starts, place, size, lead: F.struct(starts.alias("starts"), place.alias("place"), size.alias("size"), lead.alias("lead"))
+    state = lambda starts, place, size, lead, trail: F.struct(starts.alias("starts"), place.alias("place"), size.alias("size"), lead.alias("lead"), trail.alias("trail"))
 
     def step(s: Column, p: Column) -> Column:
-        fits = (s["place"] > 0) & ((s["size"] == 0) | (s["size"] + p["n"] + 1 <= max_chars))
-        # A sentence that joins an empty buffer is the buffer.
-        joined = F.when(s["size"] == 0, state(s["starts"], s["place"] + 1, p["n"], p["lead"])).otherwise(state(s["starts"], s["place"] + 1, s["size"] - s["lead"] + F.when(p["n"] > p["lead"], p["n"] - p["trail"] + 1).otherwise(0), F.lit(0)))
-        return F.when(fits, joined).otherwise(state(F.concat(s["starts"], F.array(s["place"] + 1)), s["place"] + 1, p["n"], p["lead"]))
+        fits = (s["size"] > 0) & (s["size"] + p["n"] + 1 <= max_chars)
+        # What is blank as a whole leaves nothing but the other, stripped at both ends.
+        size = F.when(s["lead"] == s["size"], F.greatest(p["n"] - p["lead"] - p["trail"], F.lit(0))).otherwise(s["size"] - s["lead"] + F.when(p["n"] > p["lead"], p["n"] - p["trail"] + 1).otherwise(-s["trail"]))
+        # A sentence that joins an empty buffer is the buffer, which begins with it.
+        starts = F.when(s["size"] == 0, F.slice(s["starts"], F.lit(1), F.greatest(F.size(s["starts"]) - 1, F.lit(0)))).otherwise(s["starts"])
+        return F.when(fits, state(s["starts"], s["place"] + 1, size, F.lit(0), F.lit(0))).otherwise(state(F.concat(starts, F.array(s["place"] + 1)), s["place"] + 1, p["n"], p["lead"], p["trail"]))
 
     size = lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(lstrip(x))).alias("lead"), (F.length(x) - F.length(rstrip(x))).alias("trail"))
 
     def joined(all_: Column) -> Column:
-        starts = F.aggregate(F.transform(all_, size), state(F.array().cast("array<int>"), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
-        own = lambda at, a, i: F.transform(F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a), lambda x, k: F.when(k == 0, x).otherwise(rstrip(x)))
-        text = lambda xs: strip(F.array_join(F.filter(xs, lambda x: x != ""), " "))
-        return once(starts, lambda at: F.transform(at, lambda a, i: text(own(at, a, i))))
+        starts = F.aggregate(F.transform(all_, size), state(F.array().cast("array<int>"), F.lit(0), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["starts"])
+        own = lambda at, a, i: F.slice(all_, a, F.coalesce(F.get(at, i + 1), F.size(all_) + 1) - a)
+        # The first keeps the blanks at its end until a sentence joins that is more than blanks.
+        first = lambda xs, x: F.when(strip(F.coalesce(F.get(xs, F.lit(1)), F.lit(""))) == "", rstrip(x)).otherwise(x)
+        text = lambda xs: strip(F.array_join(F.filter(F.transform(xs, lambda x, k: F.when(k == 0, first(xs, x)).otherwise(rstrip(x))), lambda x: x != ""), " "))
+        return once(starts, lambda at: F.transform(at, lambda a, i: once(own(at, a, i), text)))
 
     return once(parts, joined)
 

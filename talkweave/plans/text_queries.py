@@ -285,12 +285,13 @@ def chunk_short_flags(spark, sf_dir):
     return K.emitted(table(spark, sf_dir, "conversations"), ["role"], "text")
 
 
-def chunks_sql(source: str, key: str, max_chars: int, keep: str = "") -> str:
+def chunks_sql(source: str, key: str, max_chars: int, keep: str = "", apart: str = "") -> str:
     """CTEs up to chunks(key, keep, chunk_index, chunk_total, chunk_text): sentences marked by chr(30), long ones cut, then a
-    fold over a text whose buffers are parted by chr(30)."""
+    fold over a text whose buffers are parted by chr(30). apart: `\\x1e`, so that a place marked once isn't marked again, which
+    puts empty sentences there and takes a buffer's first blanks off before the next sentence is measured."""
     mark = "body"
     for _ in range(3):  # a match takes the character after the mark, which may be a mark itself
-        mark = f"regexp_replace({mark}, '([.!?。])(\\s|[^0-9\\s])', '\\1' || chr(30) || '\\2', 'g')"
+        mark = f"regexp_replace({mark}, '([.!?。])(\\s|[^0-9\\s{apart}])', '\\1' || chr(30) || '\\2', 'g')"
     last = "split_part(a, chr(30), -1)"
     before = f"left(a, length(a) - length({last}))"
     return f"""trimmed AS (SELECT {key}, {keep} {_strip("coalesce(text, '')")} AS body FROM {source}),

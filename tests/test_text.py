@@ -166,3 +166,26 @@ def test_nfkc(spark):
     from talkweave.functions.question import nfkc
 
     assert one(spark, nfkc, " 柳榮夏 ") == "柳榮夏"
+
+
+def test_packing_follows_its_definition_where_sentences_are_blank(spark):
+    """Hard pieces may be blank or end in blanks: the fold over places gives what joining the texts one by one gives."""
+    import random
+
+    rng = random.Random(5)
+
+    def defined(parts, most):
+        out, last = [], ""
+        for x in parts:
+            if last == "":
+                last = x
+            elif len(last) + len(x) + 1 > most:
+                out, last = [*out, last.strip()], x
+            else:
+                last = f"{last} {x}".strip()
+        return [*out, last.strip()]
+
+    rows = [(i, [rng.choice(["", " ", "   ", "ab", " ab", "abc  ", "  abcd  ", "\nabcdef\n", "ab cd"]) for _ in range(rng.randint(1, 12))]) for i in range(400)]
+    for most in (6, 14):
+        got = spark.createDataFrame(rows, "id int, p array<string>").select("id", K.packed(F.col("p"), most).alias("p")).collect()
+        assert {r.id: list(r.p) for r in got} == {i: defined(p, most) for i, p in rows}
