@@ -369,6 +369,14 @@ def question_types(spark, sf_dir):
 _PAGE, _FROM, _LONG = 60, 31, 200
 
 
+def _capitals(text):
+    """Upper case letter by letter, as SQL has it: what would become several letters (ß) becomes its one capital or stays."""
+    few = "ßᾳῃῳ" + "".join(map(chr, (*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8))))
+    one = "ẞᾼῌῼ" + "".join(map(chr, (*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0))))
+    letters = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, few, one)))
+    return F.array_join(letters, "")
+
+
 @R.add(f"""WITH RECURSIVE pages AS (SELECT doc_id, n + 1 AS page, regexp_replace('[' || (n + 1) || '] ' || source || chr(10) || substr(text, n * {_PAGE} + 1, {_PAGE}), '\\s+', '', 'g') AS t FROM documents, generate_series(0, (length(text) - 1) // {_PAGE}) AS g(n)),
 c AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 = 1 THEN upper(substr(text, {_FROM}, {_LONG})) ELSE substr(text, {_FROM}, {_LONG}) END, '\\s+', '', 'g') AS chunk, CASE WHEN doc_id % 7 > 0 THEN source ELSE '' END AS who, CASE WHEN doc_id % 4 = 2 THEN 100000 ELSE 0 END AS shift FROM documents),
 near AS (SELECT c.doc_id, page, t FROM c JOIN pages p ON p.doc_id = c.doc_id AND page BETWEEN shift AND shift + {(_FROM + _LONG - 2) // _PAGE + 2}),
@@ -391,7 +399,7 @@ def source_audit(spark, sf_dir):
     part, shift = F.substring("text", _FROM, _LONG), F.when(F.col("source_id") % 4 == 2, 100_000).otherwise(0)
     chunks = docs.select(
         "source_id", F.col("source_id").alias("chunk_id"), (shift + 1).alias("page_start"), (shift + (_FROM + _LONG - 2) // _PAGE + 1).alias("page_end"),
-        F.when(F.col("source_id") % 7 > 0, F.col("source")).alias("speaker"), F.when(F.col("source_id") % 4 == 1, F.upper(part)).otherwise(part).alias("text"),
+        F.when(F.col("source_id") % 7 > 0, F.col("source")).alias("speaker"), F.when(F.col("source_id") % 4 == 1, _capitals(part)).otherwise(part).alias("text"),
     )
     return gates.source_audit(chunks, pages)
 
