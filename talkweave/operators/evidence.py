@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from talkweave import config as C
 from talkweave.functions import fixed as K
+from talkweave.functions.text import once
+
+#: What `\s` stands for in patterns with (?U).
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def restored(df: DataFrame, keys: Sequence[str], order: str, text: str, chars: int) -> DataFrame:
@@ -103,10 +107,19 @@ def stripped(answer: Column, question_about: Column, always: str = K.DANGLING_TA
     """Stock sentences at an answer's end taken off, however many, `unless` only where the question isn't about them.
 
     Never to nothing, and not at all where the answer has a limits section, whose sentences are asked for.
+
+    The sentences begin at a blank's first place, and one that takes all before it in its line at the line's or sentence's
+    beginning: from any other place a match would begin further left, so none is tried there, which keeps long lines linear.
     """
-    tail = lambda p: F.regexp_replace(F.regexp_replace(answer, r"(?U)\s+$", ""), rf"(?U)\s*(?:(?:{p})\s*)+$", "")
-    text = F.when(question_about, tail(always)).otherwise(tail(f"{always}|{unless}"))
-    return F.when(answer.contains(limits) | (text == ""), answer).otherwise(text)
+    rest = r"[^.\n]*"
+    first = lambda p: rf"(?<![^.\n]){p}" if p.startswith(rest) else p
+    tail = lambda text, *ps: F.regexp_replace(F.rtrim(text, F.lit(SPACES)), rf"(?U)(?<!\s)\s*(?:{'|'.join(map(first, ps))})\s*(?:(?:{'|'.join(ps)})\s*)*$", "")
+
+    def of(whole: Column) -> Column:
+        text = F.when(question_about, tail(whole, always)).otherwise(tail(whole, always, unless))
+        return F.when(whole.contains(limits), whole).otherwise(once(text, lambda t: F.when(t == "", whole).otherwise(t)))
+
+    return once(answer, of)
 
 
 def display_name(name: Column, aliases: Mapping[str, str]) -> Column:

@@ -430,7 +430,7 @@ def stripped_answers(spark, sf_dir):
         F.when(k == 0, F.concat(body, F.lit((" " + always) * 9))).when(k == 1, F.concat(body, F.lit(" " + unless))).when(k == 2, F.lit(always))
         .when(k == 3, F.concat(body, F.lit(f"\n{X.K.LIMITS_HEADING}\n{always}"))).otherwise(F.concat(body, F.lit(f" {unless} {always} \n {always}")))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", stripped(raw, F.col("doc_id") % 2 == 0).alias("answer"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", stripped(raw, F.col("doc_id") % 2 == 0).alias("answer"))
 
 
 _NAMES = {"user": "person", "assistant": "machine"}

@@ -336,3 +336,23 @@ def test_ledgers_and_copies(spark, tmp_path):
 def test_members_of_an_era(spark):
     df = spark.createDataFrame([(" Kim ", "제21대, 제22대", "가/나/ 다 "), ("Lee", "제21대", "가"), ("Park", "제22대", None), ("Choi", "제22대", "라/")], "n string, e string, h string")
     assert [tuple(r) for r in A.members(df, "n", "e", "h", "제22대").collect()] == [("Kim", "다"), ("Park", None), ("Choi", None)]
+
+
+def test_stripping_is_linear_in_a_line(spark):
+    """The same as the pattern at every place, and a line of 400,000 letters is no matter of minutes."""
+    import random
+    import time
+
+    always, unless = E.K.DANGLING_TAIL, E.K.PARTY_DISCLAIMER
+    rng = random.Random(11)
+    bits = [" ", "\n", ".", "가", "이외의 것은 확인할 수 없습니다.", "이\n외 것 확인할 수 없습니다", "그의 소속 정당은 확인할 수 없습니다.", "소속 정당 확인할 수 없습니다", "소속 정당", "　", "  \n "]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))), rng.random() < 0.3) for _ in range(3000)]
+    plain = lambda a, p: F.regexp_replace(F.regexp_replace(a, r"(?U)\s+$", ""), rf"(?U)\s*(?:(?:{p})\s*)+$", "")
+    want = F.when(F.col("about"), plain(F.col("a"), always)).otherwise(plain(F.col("a"), f"{always}|{unless}"))
+    df = spark.createDataFrame(rows, "a string, about boolean")
+    bad = df.select("a", E.stripped(F.col("a"), F.col("about")).alias("got"), F.when(want == "", F.col("a")).otherwise(want).alias("want")).where("NOT got <=> want").collect()
+    assert bad == []
+    began = time.time()
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("가 "), 200_000), F.lit("소속 정당은 확인할 수 없습니다. 끝")).alias("a"))
+    assert df.select((E.stripped(F.col("a"), F.lit(False)) == F.col("a")).alias("same")).first().same
+    assert time.time() - began < 20
