@@ -77,3 +77,10 @@ def test_every_row_has_a_verdict_or_a_letter(spark):
     assert len(good) + len(dead) == len(rows)
     assert {(r.g, r.failure) for r in dead} == {("down", "ConnectionError 5 times"), ("broken", "no readable answer 2 times"), ("fine", "not in the answer"), ("once broken", "not in the answer")}
     assert all((r.verdict == "yes") == (r.i % 2 == 1) for r in good) and {r.g for r in good} == {"fine", "once broken", "none"}
+
+
+def test_texts_are_looked_through_in_slices_of_bounded_size():
+    texts = ["a" * 30, None, "b" * 500, "", "c" * 99, "d"]
+    got = list(terms.slices(texts, 100))
+    assert [t for own in got for t in own] == [t or "" for t in texts]
+    assert all(sum(map(len, own[:-1])) < 100 for own in got) and len(got) == 3 and list(terms.slices([])) == []
