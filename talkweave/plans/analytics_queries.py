@@ -342,7 +342,7 @@ def _rule_client():
 def judged_mapping(spark, sf_dir):
     """Every document's excerpt judged in batches of a language."""
     client, parse = _rule_client()
-    rows = J.numbered(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), ["lang"], "doc_id")
+    rows = J.numbered(table(spark, sf_dir, "documents").select("lang", "doc_id", F.left("text", F.lit(C.EXCERPT)).alias("text")), ["lang"], "doc_id")
     return J.judged(rows, ["lang"], "doc_id", "text", prompt=lambda group, texts: "\x1e".join([group["lang"], *texts]), generate=client, parse=parse)
 
 

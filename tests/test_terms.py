@@ -84,3 +84,18 @@ def test_texts_are_looked_through_in_slices_of_bounded_size():
     got = list(terms.slices(texts, 100))
     assert [t for own in got for t in own] == [t or "" for t in texts]
     assert all(sum(map(len, own[:-1])) < 100 for own in got) and len(got) == 3 and list(terms.slices([])) == []
+
+
+def test_rows_of_one_group_are_numbered_by_many_tasks(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = spark.range(4000).select(F.lit("g").alias("g"), F.col("id").alias("k"))
+        got = judging.numbered(rows, ["g"], "k", size=20).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2500
+        assert got.select("batch").distinct().count() == 200
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
