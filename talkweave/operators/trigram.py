@@ -83,19 +83,6 @@ def term_grams(terms: DataFrame, slots: int) -> DataFrame:
     return terms.select("term", F.explode(grams_of(F.col("term"))).alias("gram")).withColumn("slot", slot_of(F.col("gram"), slots))
 
 
-def candidates(index: Index, terms: DataFrame) -> DataFrame:
-    """term, field, key, part: the rows that hold the rarest trigrams of each term of a table (column term, distinct, three
-    characters or more), in any field. Terms and postings are joined, so thousands of terms are one pass."""
-    spark = terms.sparkSession
-    wanted = term_grams(terms, index.slots).withColumn("field", F.explode(F.array(*map(F.lit, index.fields))))
-    # A gram that no row holds counts as the rarest: nothing can be joined to it, and the term has no candidates.
-    known = wanted.join(index.table(spark, "grams"), ["slot", "gram", "field"], "left")
-    lists = known.groupBy("term", "field").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "gram", "slot"))), 1, LISTS).alias("lists"))
-    lists = lists.where(F.get("lists", F.lit(0))["n_rows"] > 0).select("term", "field", F.size("lists").alias("n"), F.explode("lists").alias("l")).select("term", "field", "n", "l.gram", "l.slot")
-    hits = lists.join(index.table(spark, "postings"), ["slot", "gram", "field"]).groupBy("term", "field", "key", "part").agg(F.count("*").alias("got"), F.first("n").alias("n"))
-    return hits.where("got = n").select("term", "field", "key", "part")
-
-
 def _one(index: Index, spark: SparkSession, term: str) -> DataFrame:
     """key, part of the candidates of one term: its rarest lists read by literal slots and grams, semi-joined rarest first."""
     found = term_grams(spark.createDataFrame([(term,)], "term string"), index.slots).collect()  # as many as the term has characters

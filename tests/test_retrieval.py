@@ -150,3 +150,23 @@ def test_blocks_of_vectors_give_what_all_pairs_give(spark, tmp_path, monkeypatch
     plain = lambda d: sorted((r.q, r["rank"], r.k, r.vec_score) for r in d.collect())
     assert plain(got) == plain(want) and got.count() > 100
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_terms_of_many_questions_make_no_row_for_each_hit(spark, monkeypatch):
+    """Terms that nearly every row holds, in blocks that are smaller than a list; terms with blanks, marks and of one letter."""
+    from talkweave.operators import questions as Q
+
+    monkeypatch.setattr(Q, "WORDED", 3)
+    monkeypatch.setattr(Q, "FEW", 40)
+    rng = random.Random(5)
+    data = [(i, rng.choice([None, "", "  ", *[" ".join(rng.choices(["these", "Those", "THESEthose", "o se", "the", "İx", "Σας"], k=rng.randint(1, 30))) for _ in range(9)]]), rng.choice([1.5, float("nan"), None, 2.0])) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, text string, age double")
+    asked = [(1, "these those"), (2, "those  these"), (3, "hese the"), (4, "the These those these"), (5, "σας İx"), (6, "o se these"), (7, None)]
+    q = spark.createDataFrame(asked, "q int, text string")
+    got = Q.keyword_lists(df, q, key="id", newest="age", aliases={"the": ["s"], "those": ["these t", " "]}, limit=50)
+    held = F.contains(F.lower("text"), F.lower("term"))
+    pairs = df.crossJoin(Q.terms(q, {"the": ["s"], "those": ["these t", " "]})).where(held).groupBy("q", "id", "age").agg(F.sum(F.when(F.col("phrase"), 2).otherwise(1)).cast("int").alias("score"))
+    want = Q.first_of_each(pairs, 50, F.col("score").desc(), F.col("age").desc_nulls_last(), F.col("id"))
+    plain = lambda d: sorted((r.q, r["rank"], r.id, r.score) for r in d.collect())
+    assert plain(got) == plain(want) and len({r.q for r in got.collect()}) == 6
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
