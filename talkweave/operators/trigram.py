@@ -1,8 +1,8 @@
 """Substring search by a trigram index: posting lists as a table, intersected rarest first, survivors verified.
 
-An index is a folder with three tables. `postings` (slot, gram, key, part): which rows hold a trigram of their lower-cased
-text; written by slot, a hash of the gram, and sorted by gram, so a search opens the folders of its grams and, in them, the
-row groups whose range holds the gram. `grams` (slot, gram, n_rows): how common each is. `rows` (part, all columns): the
+An index is a folder with three tables. `postings` (slot, gram, field, n, keys): which rows hold a trigram of their lower-cased
+text, a list for each batch of rows; written by slot, a hash of the gram, and sorted by gram, so a search opens the folders of
+its grams and, in them, the row groups whose range holds the gram. `grams` (slot, gram, n_rows): how common each is. `rows` (part, all columns): the
 rows themselves by a hash of their key, so that survivors are read from few folders.
 
 A row that holds a term holds all its trigrams; the reverse isn't so, hence the last look at the text. The result is that
@@ -11,9 +11,11 @@ of a scan for every term: one of fewer than three characters has no trigram and
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ LISTS = 3
 SLOTS = PARTS = 64
 #: A gram's postings are dealt over this many files at most, so that no task writes a common gram alone.
 SALTS = 8
+#: Characters (or one text) of which a task makes lists at a time.
+SLICE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,7 @@ class Index:
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         own = self.columns[self.key].dataType.simpleString()
-        schema = {"rows": T.StructType([*self.columns, T.StructField("part", T.IntegerType())]), "postings": f"key {own}, part int, field string, gram string, slot int", "grams": "gram string, field string, n_rows long, slot int"}
+        schema = {"rows": T.StructType([*self.columns, T.StructField("part", T.IntegerType())]), "postings": f"field string, gram string, n long, keys array<{own}>, slot int", "grams": "gram string, field string, n_rows long, slot int"}
         return spark.read.schema(schema[name]).parquet(f"{self.at}/{name}")
 
 
@@ -62,6 +66,54 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(parts)).cast("int")
 
 
+def _lists(texts: list[str], first: int = 0) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(grams, ends, places): the distinct trigrams of the texts, and one after the other the places (from `first` on) of the
+    texts that hold each. A gram and a text are one number, by the letters that are there, so one sort does it all."""
+    point = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    there = np.zeros(0x110000, bool)
+    there[point] = True
+    letters, n = np.flatnonzero(there), len(texts)
+    if n > 1 and len(letters) ** GRAM * n >= 1 << 63:
+        yield from _lists(texts[: n // 2], first)
+        yield from _lists(texts[n // 2 :], first + n // 2)
+        return
+    code = (np.cumsum(there) - 1)[point]
+    text = np.repeat(np.arange(n), [len(t) for t in texts])
+    size = max(len(point) - GRAM + 1, 0)
+    gram = np.zeros(size, np.int64)
+    for k in range(GRAM):
+        gram = gram * len(letters) + code[k : k + size]
+    inside = text[:size] == text[GRAM - 1 :] if size else np.zeros(0, bool)  # a gram doesn't reach into the next text
+    both = np.sort(gram[inside] * n + text[:size][inside])
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    gram, place = np.divmod(both, max(n, 1))
+    starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    digits = [letters[gram[starts] // len(letters) ** k % len(letters)] for k in reversed(range(GRAM))] if len(starts) else [[]] * GRAM
+    whole = np.stack(digits, axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    yield [whole[i : i + GRAM] for i in range(0, len(whole), GRAM)], np.append(starts, len(gram)), place + first
+
+
+def lists_of(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """field, gram, n, keys: the n rows of a slice of a batch that hold a gram. A row for each gram and text would be a
+    thousand rows for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, field in enumerate(fields):
+                texts = [t or "" for t in batch.column(k + 1).to_pylist()]
+                size, a = 0, 0
+                for b, t in enumerate(texts, 1):
+                    size += len(t)
+                    if size >= SLICE or b == len(texts):
+                        for grams, ends, places in _lists(texts[a:b], a):
+                            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column(0).take(pa.array(places)))
+                            yield pa.RecordBatch.from_arrays([pa.array([field] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.diff(ends), pa.int64()), keys], ["field", "gram", "n", "keys"])
+                        size, a = 0, b
+
+    own = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *[F.lower(F.col(f)).alias(f"in_{i}") for i, f in enumerate(fields)]).mapInArrow(run, f"field string, gram string, n long, keys array<{own}>")
+
+
 def build(df: DataFrame, key: str, fields: Sequence[str], at: str, *, slots: int = SLOTS, parts: int = PARTS) -> Index:
     """Index the text columns `fields` of df into the folder `at`, which must not exist. key: unique, not null; df has no
     columns named slot, part, gram or field."""
@@ -69,11 +121,9 @@ def build(df: DataFrame, key: str, fields: Sequence[str], at: str, *, slots: int
     df.withColumn("part", part_of(F.col(key), parts)).repartition("part").sortWithinPartitions("part", key).write.partitionBy("part").parquet(f"{at}/rows")
     index = Index(at, key, tuple(fields), slots, parts, df.schema)
     rows = index.table(spark, "rows")
-    held = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), grams_of(F.col(f)).alias("grams")) for f in fields]))
-    postings = rows.select(F.col(key).alias("key"), "part", held.alias("h")).select("key", "part", "h.field", F.explode("h.grams").alias("gram"))
-    postings = postings.withColumn("slot", slot_of(F.col("gram"), slots)).repartition("slot", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    postings.sortWithinPartitions("slot", "gram", "field", "key").write.partitionBy("slot").parquet(f"{at}/postings")
-    counts = index.table(spark, "postings").groupBy("slot", "gram", "field").agg(F.count("*").alias("n_rows"))
+    postings = lists_of(rows, key, fields).withColumn("slot", slot_of(F.col("gram"), slots)).repartition("slot", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(SALTS)))
+    postings.sortWithinPartitions("slot", "gram", "field").write.partitionBy("slot").parquet(f"{at}/postings")
+    counts = index.table(spark, "postings").groupBy("slot", "gram", "field").agg(F.sum("n").alias("n_rows"))
     counts.repartition("slot").sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{at}/grams")
     return index
 
@@ -91,10 +141,11 @@ def _one(index: Index, spark: SparkSession, term: str) -> DataFrame:
     n_rows = index.table(spark, "grams").where(F.col("slot").isin(*{g["slot"] for g in found}) & F.col("gram").isin(*[g["gram"] for g in found]))
     counts = {r["gram"]: r["n"] for r in n_rows.groupBy("gram").agg(F.sum("n_rows").alias("n")).collect()}
     order = sorted(range(len(found)), key=lambda i: (counts.get(found[i]["gram"], 0), found[i]["gram"]))
-    out = postings.where(own[order[0]]).select("field", "key", "part")
+    held = lambda i: postings.where(own[i]).select("field", F.explode("keys").alias("key"))
+    out = held(order[0])
     for i in order[1:LISTS]:
-        out = out.join(postings.where(own[i]).select("field", "key"), ["field", "key"], "left_semi")
-    return out.select("key", "part").distinct()
+        out = out.join(held(i), ["field", "key"], "left_semi")
+    return out.select("key", part_of(F.col("key"), index.parts).alias("part")).distinct()
 
 
 def holding(index: Index, spark: SparkSession, terms: Iterable[str]) -> DataFrame:

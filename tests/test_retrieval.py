@@ -170,3 +170,13 @@ def test_common_terms_of_many_questions_make_no_row_for_each_hit(spark, monkeypa
     plain = lambda d: sorted((r.q, r["rank"], r.id, r.score) for r in d.collect())
     assert plain(got) == plain(want) and len({r.q for r in got.collect()}) == 6
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_lists_of_keys(spark, rows, index, monkeypatch):
+    """A row for each gram of a slice, not for each gram and text; every gram of every text stands in one of them."""
+    monkeypatch.setattr(trigram, "SLICE", 300)
+    low = [(r.id, f, (r[f] or "").lower()) for r in rows.collect() for f in ("text", "speaker")]
+    want = {(f, t[k : k + 3], i) for i, f, t in low for k in range(len(t) - 2)}
+    for lists in (trigram.lists_of(rows, "id", ["text", "speaker"]).collect(), index.table(spark, "postings").collect()):
+        got = [(r.field, r.gram, i) for r in lists for i in r["keys"]]
+        assert sorted(got) == sorted(want) and all(r.n == len(r["keys"]) for r in lists) and 2 * len(lists) < len(got)
