@@ -14,14 +14,16 @@ The pipeline's stage asks for a similarity of 0.8, at which 64 bits differ in 10
 can't tell from chance. It takes 256 bits of five-word shingles, whose differing share is the angle between two sets, and
 deals the fingerprints out by keys of random bits, as many as a pair at that similarity needs to agree in one. The radius is
 two standard deviations wider than such a pair's mean, so that few are missed, and what is within it is verified: the
-texts of both ends are read again, and the Jaccard similarity of their shingles decides.
+texts of both ends are read again, and the Jaccard similarity of their shingles decides. First a fingerprint's likeliest
+links are, which join most of what belongs together; then all other pairs within the radius whose ends these have not
+joined. So what a component is does not depend on which links were tried first.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -242,6 +244,8 @@ def tables(n: int, similarity: float, miss: float = 0.03) -> list[np.ndarray]:
     return [np.sort(rng.permutation(256)[:bits]) for _ in range(math.ceil(math.log(miss) / math.log1p(-same)))]
 
 
+#: Links of the second look that a task sends on at a time.
+PAIRS = 1_000_000
 #: Standard deviations that a link's bits may differ in above the mean at the similarity, before it is verified.
 WIDER = 2.0
 
@@ -252,7 +256,8 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _similar(radius: int):
     """Batches of (c, key, a, b, node, bits), sorted by key -> links of nodes within the radius: in small groups of each
-    with the nearest two and the first before it, in large ones with the nearest and the first of each tree so far."""
+    with the nearest two and the first before it, in large ones with the nearest and the first of each tree so far. With
+    one more column, the tree that a node is in: all pairs within the radius of nodes in different trees."""
     pivots = np.stack([mix(np.arange(k, k + 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (1, 9)])
 
     def small(x: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -289,36 +294,66 @@ def _similar(radius: int):
                 label[label == tree] = label[i]
         return np.array(out, np.int64).reshape(-1, 2).T
 
-    def flush(key: np.ndarray, node: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def every(x: np.ndarray, group: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tree: np.ndarray) -> Iterator[np.ndarray]:
+        few = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
+        for s in range(1, 48):
+            i, j = few[s:], few[:-s]
+            i, j = (part[(group[i] == group[j]) & (tree[i] != tree[j])] for part in (i, j))
+            ok = _apart(x[i], x[j]) <= radius
+            yield np.stack([i[ok], j[ok]])
+        for k in np.flatnonzero(sizes > 48):
+            at, end = int(starts[k]), int(starts[k] + sizes[k])
+            if (tree[at:end] == tree[at]).all():
+                continue
+            for i in range(at + 1, end):
+                near = np.flatnonzero(tree[at:i] != tree[i]) + at
+                near = near[_apart(x[near], x[i]) <= radius]
+                if len(near):
+                    yield np.stack([np.full(len(near), i), near])
+
+    def flush(key: np.ndarray, node: np.ndarray, x: np.ndarray, tree: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
         group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
         sizes = np.bincount(group)
+        if tree is not None:
+            held, n = [], 0
+            for pairs in chain(every(x, group, starts, sizes, tree), [None]):
+                if pairs is not None:
+                    held.append(node[pairs])
+                    n += pairs.shape[1]
+                if n >= PAIRS or (pairs is None and n):
+                    u, v = np.concatenate(held, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    held, n = [], 0
+            return
         few = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
         pairs = [few[small(x[few], group[few])]] + [starts[k] + large(x[starts[k] : starts[k] + sizes[k]]) for k in np.flatnonzero(sizes > 48)]
         u, v = node[np.concatenate(pairs, axis=1)]
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty((0, 4), np.int64), np.empty(0, np.int64), np.empty((0, 4), np.uint64))
+        rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(-1, 4)
             own = (np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64), bits)
-            key, node, x = (np.concatenate(p) for p in zip(rest, own))
-            other = np.flatnonzero((key != key[-1]).any(axis=1))
+            own += tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[6:])
+            own = own if rest is None else tuple(np.concatenate(p) for p in zip(rest, own))
+            other = np.flatnonzero((own[0] != own[0][-1]).any(axis=1))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from flush(key[:cut], node[:cut], x[:cut])
-            rest = (key[cut:], node[cut:], x[cut:])
-        if len(rest[0]):
+                yield from flush(*(p[:cut] for p in own))
+            rest = tuple(p[cut:] for p in own)
+        if rest is not None:
             yield from flush(*rest)
 
     return run
 
 
 def similar_links(nodes: DataFrame, n: int, similarity: float, group: int = GROUP) -> DataFrame:
-    """u, v: links of nodes (fp, bits) whose fingerprints say that they may be so similar: to be verified."""
+    """u, v: links of nodes (fp, bits) whose fingerprints say that they may be so similar: to be verified. Each node has a few;
+    if nodes have a column tree, all pairs of different trees are links."""
     places = tables(n, similarity)
     differ = likely_differ(similarity)
     radius = int(256 * differ + WIDER * math.sqrt(256 * differ * (1 - differ)))
@@ -329,10 +364,11 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, group: int = GROU
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 32), axis=1, bitorder="little")
             for c, at in enumerate(places):
                 key = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), c, np.int32)), pa.array(key), *batch.columns], ["c", "key", "fp", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), c, np.int32)), pa.array(key), *batch.columns], ["c", "key", *batch.schema.names])
 
-    keyed = nodes.select("fp", "bits").mapInArrow(keys, "c int, key long, fp long, bits binary")
-    return _dealt(keyed, group, ["fp", "bits"]).mapInArrow(_similar(radius), "u long, v long").distinct()
+    tree = ["tree"] if "tree" in nodes.columns else []
+    keyed = nodes.select("fp", "bits", *tree).mapInArrow(keys, "c int, key long, fp long, bits binary" + ", tree long" * len(tree))
+    return _dealt(keyed, group, ["fp", "bits", *tree]).mapInArrow(_similar(radius), "u long, v long").distinct()
 
 
 def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
@@ -362,6 +398,23 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int =
     return pairs.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
 
 
+def similar_roots(nodes: DataFrame, n: int, similarity: float, texts: Callable[[DataFrame], DataFrame], group: int = GROUP) -> DataFrame:
+    """node, root of nodes (fp, bits), by all links that similar_links() can propose and verified() confirms. texts: from a
+    table of fps to their (fp, text).
+
+    The links of each node's likeliest partners are verified first. That one of them fails says nothing of the others, so all
+    pairs that these have left in different trees are verified then; within a tree there is nothing to learn.
+    """
+    looked = lambda links: verified(links, texts(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), similarity)
+    links = stored(similar_links(nodes, n, similarity, group), "simhash-links")
+    roots = stored(components(looked(links)), "simhash-roots")
+    marked = nodes.select("fp", "bits").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "bits", F.coalesce("root", "fp").alias("tree"))
+    rest = stored(similar_links(marked, n, similarity, group).join(links, ["u", "v"], "left_anti"), "simhash-rest")
+    if rest.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(looked(rest)))
+
+
 def near_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: near duplicates by the Jaccard similarity of five-word shingles. Fingerprints of 256 bits
     propose links, and miss some 5 % of the pairs that are just at the similarity; the texts decide. Rows as for
@@ -381,10 +434,12 @@ def near_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     kind = T.StructType([source.schema["doc_id"], T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType())])
     fps = stored(source.mapInArrow(run, kind), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "digest")).alias("one"))
-    links = stored(similar_links(nodes, nodes.count(), similarity), "simhash-links")
-    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("one.digest").alias("digest"), name(F.col("one.doc_id")))
-    texts = ends.join(source.select("digest", name(F.col("doc_id")), "text"), ["digest", "name"]).select("fp", "text").dropDuplicates(["fp"])
-    return named(fps, nodes, components(verified(links, texts, similarity))).select("doc_id", "component_id")
+
+    def texts(ends: DataFrame) -> DataFrame:
+        ends = ends.join(nodes, "fp").select("fp", F.col("one.digest").alias("digest"), name(F.col("one.doc_id")))
+        return ends.join(source.select("digest", name(F.col("doc_id")), "text"), ["digest", "name"]).select("fp", "text").dropDuplicates(["fp"])
+
+    return named(fps, nodes, similar_roots(nodes, nodes.count(), similarity, texts)).select("doc_id", "component_id")
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,6 +173,26 @@ def test_similar_documents_are_brute_force(spark):
     assert [got[k] for k in range(90_000, 90_005)] == [90_000, 90_000, 90_002, 90_002, 90_004] and len(found) == len(rows)
 
 
+@pytest.mark.parametrize("n", [12, 90])
+def test_similar_documents_meet_behind_unlike_ones(spark, n):
+    """Fingerprints of unlike texts lie nearer to a document than that of the only one like it."""
+    rng = np.random.default_rng(30)
+    some = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60))
+    pair, rows = some(), []
+    for k in range(n):
+        own = np.zeros(256, np.uint8)
+        own[0] = k == n - 1
+        own[1:41] = k == n // 2  # within the radius of all others, and farthest from each
+        if 0 < k < n - 1 and k != n // 2:
+            own[200 + rng.choice(50, 3, replace=False)] = 1
+        rows.append((k, bytearray(np.packbits(own, bitorder="little")), pair if k in (n // 2, n - 1) else some()))
+    df = spark.createDataFrame(rows, "fp long, bits binary, text string")
+    nodes, texts = df.select("fp", "bits"), df.select("fp", F.col("text").cast("binary").alias("text"))
+    got = [(r.node, r.root) for r in simhash.similar_roots(nodes, n, 0.8, lambda ends: texts.join(ends, "fp")).collect()]
+    assert sorted(got) == [(n // 2, n // 2), (n - 1, n // 2)]
+    assert not simhash.verified(simhash.similar_links(nodes, n, 0.8), texts, 0.8).collect(), "the first look doesn't find it"
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
