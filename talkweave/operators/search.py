@@ -5,8 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkweave import config as C
 from talkweave.functions import fixed as K
@@ -55,13 +59,74 @@ def with_twins(aliases: dict[str, Sequence[str]]) -> dict[str, list[str]]:
     return {x: sorted(group - {x}) for x, group in out.items()}
 
 
+#: Rows, and words of them, of a block; questions of a block; rows of one while there are too few blocks for all cores.
+ROWS, WORDS, ASKED, FEW = 32_768, 4_000_000, 32_768, 512
+
+
 def word_hits(df: DataFrame, queries: DataFrame, key: str, query: str, words: Column, query_words: Column, limit: int) -> DataFrame:
-    """query, key, n_hits, rank: for each of many queries its best rows by the number of words that both have, by a join on
-    the word (an index, not all pairs); a row isn't a hit of itself. Ties by key."""
-    held = df.select(key, F.explode(F.array_distinct(words)).alias("__w"))
-    asked = queries.select(query, F.explode(F.array_distinct(query_words)).alias("__w"))
-    hits = asked.join(held, "__w").where(F.col(query) != F.col(key)).groupBy(query, key).agg(F.count("*").alias("n_hits"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("n_hits").desc(), key))).where(F.col("rank") <= limit)
+    """query, key, n_hits, rank: for each of many queries its best rows by the number of words that both have; a row isn't a
+    hit of itself. Ties by key. Rows that repeat a key are one, their hits added up.
+
+    A row for each word, query and row that has it would be more than either table, and a common word's would meet in one task.
+    Rows and queries meet in blocks of bounded size: a block has posting lists of its words, adds up each query's lists, and
+    sends on `limit` rows a query. Pairs still grow with rows times queries."""
+    spark = df.sparkSession
+    held = df.select(F.col(key).alias("key"), F.array_distinct(words).alias("words")).where("key is not null and size(words) > 0")
+    asked = queries.select(F.col(query).alias("q"), F.array_distinct(query_words).alias("words")).where("q is not null and size(words) > 0")
+    size = lambda rows: F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.coalesce(F.sum(F.size("words")), F.lit(0)) / WORDS), F.lit(1))
+    least = F.least(F.lit(spark.sparkContext.defaultParallelism), F.ceil(F.count("*") / FEW))
+    blocks = held.agg(F.greatest(size(ROWS), least).cast("int").alias("n_row_block")).crossJoin(asked.agg(size(ASKED).cast("int").alias("n_q_block")))
+
+    def dealt(df: DataFrame, by: str, own: str, other: str):
+        block = F.pmod(F.xxhash64(by), F.col(f"n_{own}")).cast("int")
+        return df.crossJoin(F.broadcast(blocks)).withColumns({own: block, other: F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))}).drop("n_row_block", "n_q_block").groupBy("row_block", "q_block")
+
+    def best(held: pa.Table, asked: pa.Table) -> pa.Table:
+        return _most_words(held, asked, limit)
+
+    kind = T.StructType([T.StructField("q", queries.schema[query].dataType), T.StructField("key", df.schema[key].dataType), T.StructField("n_hits", T.LongType())])
+    hits = dealt(held, "key", "row_block", "q_block").cogroup(dealt(asked, "q", "q_block", "row_block")).applyInArrow(best, kind)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("n_hits").desc(), "key"))).where(F.col("rank") <= limit)
+    return ranked.select(F.col("q").alias(query), F.col("key").alias(key), "n_hits", "rank")
+
+
+def _lists(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(distinct values of the column, in order; for each word the place of its row's value; the words)."""
+    words, values = table["words"].combine_chunks(), table[name].combine_chunks()
+    distinct = pc.unique(values)
+    distinct = distinct.take(pc.sort_indices(distinct))
+    return distinct, np.repeat(pc.index_in(values, distinct).to_numpy(), pc.list_value_length(words).to_numpy()), pc.list_flatten(words)
+
+
+def _most_words(held: pa.Table, asked: pa.Table, limit: int) -> pa.Table:
+    """q, key, n_hits: the `limit` best rows of a block for each of its queries."""
+    if not held.num_rows or not asked.num_rows:
+        return pa.table({"q": asked["q"].slice(0, 0), "key": held["key"].slice(0, 0), "n_hits": pa.array([], pa.int64())})
+    keys, row, words = _lists(held, "key")
+    queries, owner, wanted = _lists(asked, "q")
+    coded = words.dictionary_encode()
+    word = coded.indices.to_numpy()
+    row = row[np.argsort(word, kind="stable")]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(coded.dictionary)))))
+    at = pc.fill_null(pc.index_in(wanted, coded.dictionary), -1).to_numpy()
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(owner, kind="stable")
+    owner, at = owner[order], at[order]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    itself = pc.fill_null(pc.index_in(queries, keys), -1).to_numpy()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q, own in zip(owner[starts].tolist(), np.split(at, starts[1:])):
+        n = np.zeros(len(keys), np.int64)
+        for i in own.tolist():
+            np.add.at(n, row[ends[i] : ends[i + 1]], 1)
+        if itself[q] >= 0:
+            n[itself[q]] = 0
+        there = np.flatnonzero(n)
+        if len(there) > limit:
+            there = there[np.argpartition(there - n[there] * len(n), limit - 1)[:limit]]
+        out.append((np.full(len(there), q), there, n[there]))
+    q, key, n = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+    return pa.table({"q": queries.take(pa.array(q)), "key": keys.take(pa.array(key)), "n_hits": pa.array(n)})
 
 
 def keyword_search(

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,3 +181,23 @@ def test_postings_are_lists_of_keys(spark, rows, index, monkeypatch):
     for lists in (trigram.lists_of(rows, "id", ["text", "speaker"]).collect(), index.table(spark, "postings").collect()):
         got = [(r.field, r.gram, i) for r in lists for i in r["keys"]]
         assert sorted(got) == sorted(want) and all(r.n == len(r["keys"]) for r in lists) and 2 * len(lists) < len(got)
+
+
+def test_word_hits_meet_in_blocks(spark, monkeypatch):
+    """The best rows by words in common equal brute force, with repeated keys and nulls, and no join is on a word."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, [rng.choice("abcdefghijkl") for _ in range(rng.randrange(9))]])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k long, w array<string>")
+    queries = df.where("k % 4 = 0 or k is null").select(F.col("k").alias("q"), F.col("w").alias("qw"))
+    want = Counter()
+    for q, asked in rows:
+        for k, held in rows:
+            if q is not None and k is not None and q % 4 == 0 and q != k:
+                want[q, k] += len(set(asked or ()) & set(held or ()))
+    for most in (search.ROWS, 20):
+        monkeypatch.setattr(search, "ROWS", most)
+        monkeypatch.setattr(search, "ASKED", most // 2)
+        hits = search.word_hits(df, queries, "k", "q", F.col("w"), F.col("qw"), limit=5)
+        got = sorted((r.q, r["rank"], -r.n_hits, r.k) for r in hits.collect())
+        assert got == [(q, i + 1, *x) for q in range(0, 60, 4) for i, x in enumerate(sorted((-n, k) for (x, k), n in want.items() if x == q and n)[:5])]
+    assert "SortMergeJoin" not in hits._jdf.queryExecution().executedPlan().toString()
