@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +102,9 @@ class Merger:
                 part = own[i : i + 20_000]
                 raw = np.frombuffer(b"".join([words[j] for j in part]), np.uint8).reshape(-1, n)
                 ids, count = self._merged(np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1))
-                data = ids.astype("<u2")
-                for j, row, c in zip(part.tolist(), data, count.tolist()):
-                    out[j] = row[:c].tobytes()
+                data = ids.astype("<u2").tobytes()
+                for j, at, c in zip(part.tolist(), range(0, len(data), 2 * n), count.tolist()):
+                    out[j] = data[at : at + 2 * c]
         return out
 
     def _merged(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +152,19 @@ class Tokens:
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
         fresh = list(filterfalse(self.known.__contains__, words))
-        raw = {w: w.encode() for w in fresh}
-        ended = {w: m.groups() for w, x in raw.items() if x and x[-1] < 97 and (m := _ENDED.fullmatch(x))}
-        parts = list(set(chain.from_iterable(ended.values())))
-        plain = list({x for w, x in raw.items() if w not in ended} | set(parts))
-        letters = [x for x in plain if len(x) <= LONGEST and _PLAIN.fullmatch(x)]
-        ids = dict(zip(letters, self.merger.encode(letters)))
-        rest = [x for x in plain if x not in ids]
+        # Heads and tails lie in two lists of bytes: a pair for each word would be an object that is collected.
+        heads, tails = [w.encode() for w in fresh], [b""] * len(fresh)
+        for i, x in enumerate(heads):
+            if x and x[-1] < 97 and (m := _ENDED.fullmatch(x)):
+                heads[i], tails[i] = x[: m.end(1)], x[m.end(1) :]
+        parts = {*heads, *tails} - {b""}
+        letters = [x for x in parts if len(x) <= LONGEST and ((x.isalpha() and x.islower()) or _PLAIN.fullmatch(x))]
+        ids = {b"": b"", **dict(zip(letters, self.merger.encode(letters)))}
+        rest = [x for x in parts if x not in ids]
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             ids.update((x, np.array(e.ids, "<u2").tobytes()) for x, e in zip(part, self.batch([x.decode() for x in part], add_special_tokens=False)))
-        found = {w: ids[ended[w][0]] + ids[ended[w][1]] if w in ended else ids[x] for w, x in raw.items()}
+        found = {w: ids[x] + ids[y] for w, x, y in zip(fresh, heads, tails)}
         out = [found[w] if w in found else self.known[w] for w in words]
         if len(self.known) + len(found) > self.memo:
             self.known.clear()
