@@ -16,14 +16,16 @@ deals the fingerprints out by keys of random bits, as many as a pair at that sim
 two standard deviations wider than such a pair's mean, so that few are missed, and what is within it is verified: the
 texts of both ends are read again, and the Jaccard similarity of their shingles decides. First a fingerprint's likeliest
 links are, which join most of what belongs together; then all other pairs within the radius whose ends these have not
-joined. So what a component is does not depend on which links were tried first.
+joined. So what a component is does not depend on which links were tried first. Those other pairs may be as many as the
+square of a group's size, so no task gives them back: documents that links of fingerprints connect and verified ones
+don't meet with their shingles, and pairs are verified where they are found.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkweave.llm.common import WordHashes, lower_words, mix, read, stored
-from talkweave.llm.components import components, least_names
+from talkweave.llm.components import DEALS, components, least_names
 from talkweave.llm.substring_dedup import shingles
 
 BITS = 4
@@ -176,13 +178,12 @@ def fingerprint_links(distinct: DataFrame, n: int, bits: int = BITS, group: int
     return _dealt(keyed, group, ["fp"]).mapInArrow(_linked, "u long, v long")
 
 
-def _dealt(keyed: DataFrame, group: int, carried: list[str]) -> DataFrame:
-    """Rows in order of their group (c, key, a, b): a key with more than `group` rows is cut into chunks, and each pair of
-    chunks (a, b) is a group of its own."""
-    large = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("c", "key", F.ceil(F.col("n") / (group // 2)).cast("long").alias("chunks"))
-    marked = keyed.join(large, ["c", "key"], "left")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least(o, chunk).alias("a"), F.greatest(o, chunk).alias("b")))
+def _dealt(keyed: DataFrame, group: int, carried: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Rows in order of their group (c, key, a, b): a key with more than `group` rows (or of that size: c, key, n) is cut into
+    chunks, and each pair of chunks (a, b) is a group of its own."""
+    large = (keyed.groupBy("c", "key").agg(F.count("*").alias("n")) if sizes is None else sizes).where(F.col("n") > group).select("c", "key", F.ceil(F.col("n") / (group // 2)).cast("long").alias("chunks"))
+    marked = keyed.join(large, ["c", "key"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")), F.lit(0).cast("long")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "chunk").alias("a"), F.greatest(o, "chunk").alias("b")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
     dealt = marked.select("c", "key", F.explode(F.when(F.col("chunks").isNull(), whole).otherwise(others)).alias("p"), *carried).select("c", "key", "p.a", "p.b", *carried)
     return dealt.repartition("c", "key", "a", "b").sortWithinPartitions("c", "key", "a", "b", "fp")
@@ -244,8 +245,8 @@ def tables(n: int, similarity: float, miss: float = 0.03) -> list[np.ndarray]:
     return [np.sort(rng.permutation(256)[:bits]) for _ in range(math.ceil(math.log(miss) / math.log1p(-same)))]
 
 
-#: Links of the second look that a task sends on at a time.
-PAIRS = 1_000_000
+#: Bytes of shingles in a block of the second look.
+BLOCK = 32 << 20
 #: Standard deviations that a link's bits may differ in above the mean at the similarity, before it is verified.
 WIDER = 2.0
 
@@ -254,10 +255,52 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 4)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Batches sorted by their first four columns, cut so that each group lies in one: the group of a row, where groups
+    start, the batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def joined() -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+        batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = keys(batch)
+        new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
+        return np.cumsum(new) - 1, np.flatnonzero(new), batch
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = keys(batch)
+        if held and (key[0] != last).any():
+            yield joined()
+            held = []
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield joined()
+            held = []
+        held.append(batch.slice(cut))
+        last = key[-1]
+    if held:
+        yield joined()
+
+
+def _links(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
 def _similar(radius: int):
     """Batches of (c, key, a, b, node, bits), sorted by key -> links of nodes within the radius: in small groups of each
-    with the nearest two and the first before it, in large ones with the nearest and the first of each tree so far. With
-    one more column, the tree that a node is in: all pairs within the radius of nodes in different trees."""
+    with the nearest two and the first before it, in large ones with the nearest and the first of each tree so far; and what
+    connects all that lie within the radius of each other."""
     pivots = np.stack([mix(np.arange(k, k + 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (1, 9)])
 
     def small(x: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -279,7 +322,13 @@ def _similar(radius: int):
         second = second[second < len(near)]
         second = second[j[near[second]] == j[near[second - 1]]]
         chosen = np.concatenate([near[first], near[second], (order := np.lexsort((i, j)))[np.unique(j[order], return_index=True)[1]]])
-        return np.unique(np.stack([j, i])[:, chosen], axis=1)
+        links, forest = np.unique(np.stack([j, i])[:, chosen], axis=1), Forest(len(x))
+        for u, v in links.T.tolist():
+            forest.join(u, v)
+        joined, root = len(forest.links), np.array([forest.root(k) for k in range(len(x))], np.int64)
+        for u, v in zip(*(part[root[i] != root[j]].tolist() for part in (j, i))):
+            forest.join(u, v)
+        return np.concatenate([links, np.array(forest.links[joined:], np.int64).reshape(-1, 2).T], axis=1)
 
     def large(x: np.ndarray) -> np.ndarray:
         table, label, out = np.stack([_apart(x, p) for p in pivots], 1), np.arange(len(x)), []
@@ -294,69 +343,64 @@ def _similar(radius: int):
                 label[label == tree] = label[i]
         return np.array(out, np.int64).reshape(-1, 2).T
 
-    def every(x: np.ndarray, group: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tree: np.ndarray) -> Iterator[np.ndarray]:
-        few = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
-        for s in range(1, 48):
-            i, j = few[s:], few[:-s]
-            i, j = (part[(group[i] == group[j]) & (tree[i] != tree[j])] for part in (i, j))
-            ok = _apart(x[i], x[j]) <= radius
-            yield np.stack([i[ok], j[ok]])
-        for k in np.flatnonzero(sizes > 48):
-            at, end = int(starts[k]), int(starts[k] + sizes[k])
-            if (tree[at:end] == tree[at]).all():
-                continue
-            for i in range(at + 1, end):
-                near = np.flatnonzero(tree[at:i] != tree[i]) + at
-                near = near[_apart(x[near], x[i]) <= radius]
-                if len(near):
-                    yield np.stack([np.full(len(near), i), near])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, starts, batch in _whole_groups(batches):
+            node, x, sizes = batch.column(4).to_numpy(zero_copy_only=False), _wide(batch.column(5)), np.bincount(group)
+            few = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
+            pairs = [few[small(x[few], group[few])]] + [starts[k] + large(x[starts[k] : starts[k] + sizes[k]]) for k in np.flatnonzero(sizes > 48)]
+            yield _links(node[np.concatenate(pairs, axis=1)])
 
-    def flush(key: np.ndarray, node: np.ndarray, x: np.ndarray, tree: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
-        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-        sizes = np.bincount(group)
-        if tree is not None:
-            held, n = [], 0
-            for pairs in chain(every(x, group, starts, sizes, tree), [None]):
-                if pairs is not None:
-                    held.append(node[pairs])
-                    n += pairs.shape[1]
-                if n >= PAIRS or (pairs is None and n):
-                    u, v = np.concatenate(held, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-                    held, n = [], 0
-            return
-        few = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
-        pairs = [few[small(x[few], group[few])]] + [starts[k] + large(x[starts[k] : starts[k] + sizes[k]]) for k in np.flatnonzero(sizes > 48)]
-        u, v = node[np.concatenate(pairs, axis=1)]
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
+
+def _alike(radius: int, similarity: float):
+    """Batches of (c, key, a, b, node, bits, tree, chunk, grams), sorted by key -> a spanning forest, over the trees of each
+    group, of the pairs within the radius whose grams have the similarity."""
+
+    def links(x: np.ndarray, label: np.ndarray, chunk: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        ends = np.cumsum(size)
+        names, flat = np.unique(np.concatenate(grams), return_inverse=True)
+        mark, found, own = np.zeros(len(names), np.int64), [], (chunk == chunk[0]).all()
+        for i in range(1, len(x)):
+            near = np.flatnonzero((label[:i] != label[i]) & (own | (chunk[:i] != chunk[i])))
+            near = near[_apart(x[near], x[i]) <= radius]
+            near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i])]
+            if not len(near):
                 continue
-            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(-1, 4)
-            own = (np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64), bits)
-            own += tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[6:])
-            own = own if rest is None else tuple(np.concatenate(p) for p in zip(rest, own))
-            other = np.flatnonzero((own[0] != own[0][-1]).any(axis=1))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield from flush(*(p[:cut] for p in own))
-            rest = tuple(p[cut:] for p in own)
-        if rest is not None:
-            yield from flush(*rest)
+            mark[flat[ends[i] - size[i] : ends[i]]] = 1
+            to = np.cumsum(size[near])
+            sums = np.concatenate(([0], np.cumsum(mark[flat[np.repeat(ends[near] - to, size[near]) + np.arange(to[-1])]])))
+            mark[flat[ends[i] - size[i] : ends[i]]] = 0
+            both = sums[to] - sums[to - size[near]]
+            near = near[both >= similarity * (size[near] + size[i] - both)]
+            for t in np.unique(label[near]).tolist():
+                found.append((i, int(near[np.argmax(label[near] == t)])))
+                label[label == t] = label[i]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, starts, batch in _whole_groups(batches):
+            node, tree, chunk = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in (4, 6, 7))
+            x, pairs = _wide(batch.column(5)), []
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+                if (tree[at:end] != tree[at]).any():
+                    grams = [np.frombuffer(g, "<u8") for g in batch.column(8).slice(at, end - at).to_pylist()]
+                    pairs += [(at + i, at + j) for i, j in links(x[at:end], tree[at:end], chunk[at:end], grams)]
+            yield _links(node[np.array(pairs, np.int64).reshape(-1, 2).T])
 
     return run
 
 
+def radius_at(similarity: float) -> int:
+    differ = likely_differ(similarity)
+    return int(256 * differ + WIDER * math.sqrt(256 * differ * (1 - differ)))
+
+
 def similar_links(nodes: DataFrame, n: int, similarity: float, group: int = GROUP) -> DataFrame:
-    """u, v: links of nodes (fp, bits) whose fingerprints say that they may be so similar: to be verified. Each node has a few;
-    if nodes have a column tree, all pairs of different trees are links."""
+    """u, v: links of nodes (fp, bits) whose fingerprints say that they may be so similar: to be verified. Each node has a few,
+    and they connect all nodes that share a key and are within the radius."""
     places = tables(n, similarity)
-    differ = likely_differ(similarity)
-    radius = int(256 * differ + WIDER * math.sqrt(256 * differ * (1 - differ)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,16 +408,15 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, group: int = GROU
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 32), axis=1, bitorder="little")
             for c, at in enumerate(places):
                 key = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), c, np.int32)), pa.array(key), *batch.columns], ["c", "key", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), c, np.int32)), pa.array(key), *batch.columns], ["c", "key", "fp", "bits"])
 
-    tree = ["tree"] if "tree" in nodes.columns else []
-    keyed = nodes.select("fp", "bits", *tree).mapInArrow(keys, "c int, key long, fp long, bits binary" + ", tree long" * len(tree))
-    return _dealt(keyed, group, ["fp", "bits", *tree]).mapInArrow(_similar(radius), "u long, v long").distinct()
+    keyed = nodes.select("fp", "bits").mapInArrow(keys, "c int, key long, fp long, bits binary")
+    return _dealt(keyed, group, ["fp", "bits"]).mapInArrow(_similar(radius_at(similarity)), "u long, v long").distinct()
 
 
-def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """The links (u, v) whose nodes' texts (fp, text: one row a node) have a Jaccard similarity of shingles of at least
-    `similarity`. Texts without words are alike; shorter ones than a shingle are one shingle."""
+def gram_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """fp, grams (sorted hashes of the distinct shingles, unsigned 64-bit) of texts (fp, text). Texts without words have none;
+    shorter ones than a shingle are one shingle."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -384,6 +427,16 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int =
                 grams.append(np.unique(shingles(words, hashes, min(width, len(words)))).tobytes() if words else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["fp", "grams"])
 
+    return stored(texts.select("fp", "text").mapInArrow(sets, "fp long, grams binary"), "simhash-grams")
+
+
+def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """The links (u, v) whose nodes' texts (fp, text: one row a node) have a Jaccard similarity of shingles of at least
+    `similarity`. Texts without words are alike."""
+    return _verified(links, gram_sets(texts, width), similarity)
+
+
+def _verified(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -393,26 +446,42 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float, width: int =
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    grams = stored(texts.mapInArrow(sets, "fp long, grams binary"), "simhash-grams")
     pairs = links.join(grams.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(grams.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
     return pairs.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
 
 
-def similar_roots(nodes: DataFrame, n: int, similarity: float, texts: Callable[[DataFrame], DataFrame], group: int = GROUP) -> DataFrame:
-    """node, root of nodes (fp, bits), by all links that similar_links() can propose and verified() confirms. texts: from a
-    table of fps to their (fp, text).
+def alike_links(inside: DataFrame, grams: DataFrame, similarity: float, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """u, v: verified links that connect, within each key of inside (key, fp, bits, tree), the trees that have any pair within
+    the radius whose grams (fp, grams) have the similarity. A key with more than `group` rows or `block` bytes of grams is
+    worked off in pairs of chunks."""
+    inside = inside.select(F.lit(0).alias("c"), "key", "fp", "bits", "tree")
+    size = F.greatest(F.count("*"), F.ceil(F.sum("bytes") * group / block))
+    sizes = inside.join(grams.select("fp", F.length("grams").alias("bytes")), "fp").groupBy("c", "key").agg(size.alias("n"))
+    return _dealt(inside.join(grams, "fp"), group, ["fp", "bits", "tree", "chunk", "grams"], sizes).mapInArrow(_alike(radius_at(similarity), similarity), "u long, v long")
+
+
+def similar_roots(nodes: DataFrame, n: int, similarity: float, texts: Callable[[DataFrame], DataFrame], group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """node, root of nodes (fp, bits), by all links that similar_links() can propose and whose texts have the similarity.
+    texts: from a table of fps to their (fp, text).
 
-    The links of each node's likeliest partners are verified first. That one of them fails says nothing of the others, so all
-    pairs that these have left in different trees are verified then; within a tree there is nothing to learn.
+    The links of each node's likeliest partners are verified first. That one of them fails says nothing of the others, so
+    all pairs that these have left in different trees are verified then; within a tree there is nothing to learn. They may
+    be as many as the square of a group's rows, so no table holds them: the nodes that links connect, verified or not, meet
+    by their common name, each with its grams.
     """
-    looked = lambda links: verified(links, texts(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), similarity)
     links = stored(similar_links(nodes, n, similarity, group), "simhash-links")
-    roots = stored(components(looked(links)), "simhash-roots")
-    marked = nodes.select("fp", "bits").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "bits", F.coalesce("root", "fp").alias("tree"))
-    rest = stored(similar_links(marked, n, similarity, group).join(links, ["u", "v"], "left_anti"), "simhash-rest")
-    if rest.isEmpty():
+    grams = gram_sets(texts(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()))
+    roots = stored(components(_verified(links, grams, similarity)), "simhash-roots")
+    met = components(links).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+    met = stored(met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "key", F.coalesce("root", "fp").alias("tree")), "simhash-met")
+    apart = met.groupBy("key").agg(F.min("tree").alias("least"), F.max("tree").alias("most")).where("least < most")
+    # A key may hold a third of all nodes: it is repeated for each of DEALS parts of it.
+    deals = apart.select("key", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    inside = met.withColumn("deal", F.pmod(F.xxhash64("fp"), F.lit(DEALS)).cast("int")).join(deals, ["key", "deal"]).join(nodes.select("fp", "bits"), "fp")
+    inside = stored(inside.select("key", "fp", "bits", "tree"), "simhash-inside")
+    if inside.isEmpty():
         return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(looked(rest)))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(alike_links(inside, grams, similarity, group, block)))
 
 
 def near_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -193,6 +193,28 @@ def test_similar_documents_meet_behind_unlike_ones(spark, n):
     assert not simhash.verified(simhash.similar_links(nodes, n, 0.8), texts, 0.8).collect(), "the first look doesn't find it"
 
 
+@pytest.mark.parametrize("group, block", [(30_000, 32 << 20), (30_000, 20_000), (40, 32 << 20)])
+def test_pairs_of_a_group_are_verified_where_they_meet(spark, monkeypatch, group, block):
+    """No table has a row for each pair of a large group of fingerprints that lie near to each other, and none is lost."""
+    rng, n, rows = np.random.default_rng(31), 240, []
+    some = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40))
+    pairs = {int(v): int(u) for u, v in rng.permutation(n)[:40].reshape(-1, 2)}
+    shared = {k: some() for uv in pairs.items() for k in uv[:1]}
+    for k in range(n):
+        own = np.zeros(256, np.uint8)
+        own[rng.choice(256, 8, replace=False)] = 1
+        text = shared[k] if k in pairs else next((shared[v] for v, u in pairs.items() if u == k), None) or some()
+        rows.append((k, bytearray(np.packbits(own, bitorder="little")), text))
+    df = spark.createDataFrame(rows, "fp long, bits binary, text string")
+    sizes, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: (out := stored(df, name), sizes.append(out.count()))[0])
+    nodes, texts = df.select("fp", "bits"), df.select("fp", F.col("text").cast("binary").alias("text"))
+    args = (0.8, lambda ends: texts.join(ends, "fp"), group)
+    links = simhash.similar_roots(nodes, n, *args, block) if hasattr(simhash, "BLOCK") else simhash.similar_roots(nodes, n, *args)
+    assert sorted((r.node, r.root) for r in links.collect()) == sorted([(k, min(uv)) for uv in pairs.items() for k in uv])
+    assert max(sizes) < 30 * n or group < n
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
