@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -537,6 +538,24 @@ def test_token_batches_are_the_library():
             assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [end] * (end is not None) for t in part]
 
 
+
+def test_word_bpe_looks_at_each_part_of_words_once():
+    """A word with marks behind it is two parts; what the memo holds grows with the parts, not with their combinations."""
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        tokens = packing.Tokens(f.read())
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    heads = ["word", "größe", "naïve", "Other", "a÷b", "o×o", "ÄRGER", "it's", "x1", "e" * 64, "ß" * 40, "日本", "e\u0301", "ſ"]
+    marks = ["", ",", ".", "...", "!?", "'", "',", ",'", "''", "}", "~`", "^_", "\\", "\u201d", ",\u201d", "\x7f", "\x00,", "1,"]
+    for part in ([h + m for h in heads for m in marks], [m + h for h in heads for m in marks], marks, [" ".join(h + m for h in heads for m in marks)] * 3):
+        got = [np.frombuffer(x, "<u2").tolist() for x in tokens.encode(pa.array(["left out", *part], pa.string()).slice(1), 1).to_pylist()]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in part]
+    tokens.known.clear()
+    plain = ["".join(x) for x in itertools.product("bdfg", "aeiou", "lmnr")]
+    tokens.encode(pa.array([" ".join(w + m for w in plain for m in (",", ".", ";", ":", "!", "?", ")", "..."))], pa.string()))
+    assert len(tokens.known) <= len(plain) + 9
+
 # 8
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>menu</a></ul></nav>
