@@ -211,8 +211,8 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
             _held.clear()
             _held[key] = Tokens(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _held[key].encode(batch.column(1), END)], ["doc_id", "ids"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -296,6 +296,10 @@ class Shard:
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, by BM25 of its whole text, best first; ties by place."""
+        return np.fromiter(self.best(seed, free), np.int64)
+
+    def best(self, seed: int, free: np.ndarray, first: int = 32) -> Iterator[int]:
+        """The neighbours one by one: a window takes few of them, so those behind the first are sorted when asked for."""
         if 2 * (left := int(free.sum())) < self.indexed:  # used documents leave the index
             keep = free[self.doc]
             self.term, self.doc, self.weight, self.indexed = self.term[keep], self.doc[keep], self.weight[keep], left
@@ -304,7 +308,10 @@ class Shard:
         at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & free)
-        return found[np.argsort(-score[found], kind="stable")]
+        least = -score[found]
+        near = least <= (np.partition(least, first)[first] if len(least) > first else 0)
+        for part in (near, ~near):
+            yield from found[part][np.argsort(least[part], kind="stable")].tolist()
 
 
 def _packer(idf: np.ndarray, mean: float, length: int, shard: int):
@@ -339,7 +346,7 @@ def _packer(idf: np.ndarray, mean: float, length: int, shard: int):
                 yield from put(seed)
                 if k != own:
                     continue
-                for i in index.neighbours(seed, free).tolist():
+                for i in index.best(seed, free):
                     yield from put(i)
                     if k != own:
                         break
