@@ -823,3 +823,32 @@ def test_pipeline(spark):
     assert not [(a, b) for i, a in enumerate(kept) for b in kept[:i] if like(a, b) > 0.9], "near duplicates don't stay"
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs_, SF).collect()
     assert {r.doc_id for r in pieces} == set(after) - {k for k in after if k not in seen[3][1]} and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+def test_equal_passages_are_found_beside_nearer_ones(spark):
+    """Runs of a few words, in which many windows look alike: what 50 equal words of a smaller document hold is in a passage,
+    except at most as many words less one beside a passage."""
+    import random
+
+    rng = random.Random(4)
+    texts = []
+    for i in range(60):
+        words = []
+        while len(words) < 900:
+            words += [rng.choice("abc")] * rng.randint(20, 160) if rng.random() < 0.7 else [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30))]
+        texts.append(words)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).collect()
+    seen, lost, whole = set(), 0, 0
+    for i, words in enumerate(texts):
+        own = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        want, have = set(), set()
+        for k, x in enumerate(own):
+            if x in seen:
+                want.update(range(k, k + 50))
+        for r in found:
+            if r.doc_id == i:
+                have.update(range(r.start_word - 49, r.end_word + 49))
+        seen.update(own)
+        lost, whole = lost + len(want - have), whole + len(want)
+    assert whole > 10_000 and not lost
